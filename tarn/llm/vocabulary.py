@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.plans.materialize import materialize
@@ -47,15 +47,16 @@ def unpack_types(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b"\n")
 
 
-def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[str], id_col: str = "doc_id", text_col: str = "text", bucket_of: Callable[[bytes], bytes] = bytes, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[str], id_col: str = "doc_id", text_col: str = "text", bucket_of: Callable[[bytes], bytes] = bytes, train: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The written block table: block, kind, bucket, data, counts, ends, ids and one array for each of ``extras``.
 
     ``analyse()`` is called once in each task and gives a function from a text's bytes to (type frequencies, extras).
-    ``bucket_of``: the part of a type that chooses its bucket.
+    ``bucket_of``: the part of a type that chooses its bucket. ``train``: the rows whose type frequencies the counts of
+    a dictionary part sum up (all, if not given).
     """
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train") if train is not None else F.lit(True).alias("_train"))
     id_type = rows.schema[id_col].dataType.simpleString()
     schema = f"block bigint, kind int, bucket int, data binary, counts binary, ends binary, ids array<{id_type}>" + "".join(f", {e} array<bigint>" for e in extras)
     names = ["block", "kind", "bucket", "data", "counts", "ends", "ids", *extras]
@@ -76,13 +77,18 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(types), np.int64)
             place[order] = np.arange(len(types))
+            learned = np.zeros(len(types), np.int64)
+            for _, idx, cnt, _, trains in held:
+                if trains:
+                    learned[idx] += cnt
             parts = []
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in range(n_buckets):
                 if edges[b] < edges[b + 1]:
-                    parts.append((b, pack_types([types[k] for k in order[edges[b] : edges[b + 1]]])))
+                    mine = order[edges[b] : edges[b + 1]]
+                    parts.append((b, pack_types([types[k] for k in mine]), pack_ints(learned[mine])))
             deltas, counts, ends, at = [], [], [], 0
-            for _, idx, cnt, _ in held:
+            for _, idx, cnt, _, _ in held:
                 where = place[idx]
                 o = np.argsort(where)
                 deltas.append(np.diff(where[o], prepend=0))
@@ -96,9 +102,9 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
                 [
                     pa.array([block] * (n + 1), pa.int64()),
                     pa.array([PART] * n + [DOCS], pa.int32()),
-                    pa.array([b for b, _ in parts] + [-1], pa.int32()),
-                    pa.array([d for _, d in parts] + [pack_ints(join(deltas))], pa.binary()),
-                    pa.array([None] * n + [pack_ints(join(counts))], pa.binary()),
+                    pa.array([b for b, _, _ in parts] + [-1], pa.int32()),
+                    pa.array([d for _, d, _ in parts] + [pack_ints(join(deltas))], pa.binary()),
+                    pa.array([c for _, _, c in parts] + [pack_ints(join(counts))], pa.binary()),
                     pa.array([None] * n + [pack_ints(np.array(ends, np.int64))], pa.binary()),
                     listed([h[0] for h in held], id_arrow),
                     *[listed([h[3][k] for h in held], pa.int64()) for k in range(len(extras))],
@@ -110,11 +116,11 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
         id_arrow = None
         for batch in batches:
             id_arrow = batch.schema.field(0).type
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, value, trains in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = value.as_py()
                 found, more = look(text)
                 idx = np.fromiter((known.setdefault(t, len(known)) for t in found), np.int64, len(found))
-                held.append((doc, idx, np.fromiter(found.values(), np.int64, len(found)), more))
+                held.append((doc, idx, np.fromiter(found.values(), np.int64, len(found)), more, trains))
                 size += len(text) + 64
                 if size >= block_bytes:
                     yield from flush(id_arrow)
