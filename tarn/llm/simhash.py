@@ -36,6 +36,8 @@ SHINGLE, SEED = 4, 42
 THRESHOLD = 4
 #: Members of an anchor that one task compares with one another, at most.
 CAP = 4096
+#: Rows of a table of crowded anchors that may be broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST = 1_000_000
 #: The binary Golay code: length, generator polynomial, covering radius (fixed values).
 LENGTH, GENERATOR, RADIUS = 23, 0xC75, 3
 
@@ -193,12 +195,16 @@ def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: in
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fps[at : at + 4096][i])], names=["anchor", "fp"])
 
     members = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint")
-    sizes = members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # An anchor of several blocks is compared as pairs of blocks (i <= j); a member of block b joins every pair with b.
-    blocks = F.ceil(F.col("n") / cap).cast("int")
-    dealt = members.join(sizes, "anchor").withColumn("s", blocks).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-    pairs = F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o")
-    keyed = dealt.select("anchor", "fp", "s", "b", pairs).select("anchor", (F.least("b", "o") * F.col("s").cast("long") + F.greatest("b", "o")).cast("long").alias("pair"), "fp")
+    crowded = materialize(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cap), "crowded")
+    if crowded.isEmpty():
+        keyed = members.withColumn("pair", F.lit(0).cast("bigint"))
+    else:
+        few = crowded.count() <= MAX_BROADCAST
+        dealt = members.join(F.broadcast(crowded) if few else crowded, "anchor", "left").withColumn("s", F.coalesce(F.ceil(F.col("n") / cap), F.lit(1)).cast("bigint")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("s")))
+        pairs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("o")
+        keyed = dealt.select("anchor", "fp", "s", "b", pairs).select("anchor", "fp", (F.least("b", "o") * F.col("s") + F.greatest("b", "o")).alias("pair"))
+    keyed = keyed.select("anchor", "pair", "fp")
     grouped = keyed.repartition(F.col("anchor"), F.col("pair")).sortWithinPartitions("anchor", "pair")
     return grouped.mapInArrow(lambda it: _links_of_runs(it, threshold), "u bigint, v bigint").distinct()
 
