@@ -1,13 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 A document is coded as its lower-cased words, each followed by a space, and one end. Words are coded bit by bit.
-Hashed contexts (the word's last bytes, its whole prefix, and the document's class) index tables of bit counts
-gathered from all training documents; each gives a prediction, the predictions are combined in the logistic domain by
-weights that a gate chooses (bit position and evidence), and an adaptive probability map refines the result. Weights
-and map are learned online, one mini-batch after another, on words that the tables have had taken out of them.
-A word that training has seen also has its frequency, overall and in the document's class; the two ways to code a word
-are mixed by the share of tokens that training saw once. The class is the document's commonest word, hashed to 6 bits;
-it is coded with the document, so the score is the log10 probability of a complete code.
+Hashed contexts (the word's last bytes, its beginning, and the document's kind) index tables of bit counts gathered
+from all training documents; each gives a prediction, the predictions are combined in the logistic domain by weights
+that a gate chooses (bit position and evidence), and an adaptive probability map refines the result. Weights and map
+are learned online, one mini-batch after another, on words that the tables have had taken out of them.
+A word's probability starts from its frequency in the document's kind; what absolute discounting takes from seen words
+is shared between its frequency over all documents and its spelling, as words seen once in a kind tell. Within a document frequencies
+adapt: its words are drawn as from an urn to which each drawn word is returned twice (``ALPHA`` weighs the model).
+
+A document's class is its commonest word, hashed to 6 bits; classes with like frequent words are one kind (``KINDS``,
+mostly one for each language). The kind is coded with the document, so the score is the log10 probability of a complete
+code.
 
 A word's probability depends only on the word and the class. It is computed once for each distinct pair and summed
 over documents by ``vocabulary``; counts of all training tokens meet there by hash.
@@ -22,7 +26,8 @@ to the untrained model.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,11 @@ from tarn.llm import vocabulary
 from tarn.llm.vocabulary import PART, count_blocks, sum_by_document, unpack_ints, unpack_types
 from tarn.plans.materialize import materialize
 
-CLASSES = 64
+CLASSES, KINDS = 64, 8
+#: Frequent types that classes are compared by, at most.
+FREQUENT = 4000
+#: How many drawn words of a document weigh as much as the model.
+ALPHA = 3000.0
 #: Entries of each context's table; words that weights and map are learned from, at most.
 SLOTS, SAMPLE = 1 << 20, 40_000
 ORDERS = 6
@@ -60,13 +69,36 @@ def analyse(raw: bytes) -> tuple[dict[bytes, int], tuple[int, ...]]:
     return found, (len(words) + 1,)
 
 
-def contexts(types: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cluster_classes(rows: list[tuple[bytes, int]]) -> np.ndarray:
+    """The kind of each class, from the counts of frequent types: k-means of the classes' word shares (square roots)."""
+    words: dict[bytes, int] = {}
+    for t, _ in rows:
+        words.setdefault(t[1:], len(words))
+    counts = np.zeros((CLASSES, len(words)))
+    for t, n in rows:
+        counts[t[0] - 48, words[t[1:]]] += n
+    size = counts.sum(axis=1)
+    points = np.sqrt(counts / np.maximum(1, size)[:, None])
+    centers = points[[int(np.argmax(size))]]
+    for _ in range(KINDS - 1):
+        away = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+        centers = np.concatenate([centers, points[[int(np.argmax(away * size))]]])
+    kind = np.zeros(CLASSES, np.int64)
+    for _ in range(20):
+        kind = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for k in range(KINDS):
+            if size[kind == k].sum():
+                centers[k] = (points * size[:, None])[kind == k].sum(axis=0) / size[kind == k].sum()
+    return kind
+
+
+def contexts(types: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context hash of each order, byte, type number) for every coded byte of every type."""
     coded = [b"\n" if t[1:] == END else t[1:] + b" " for t in types]
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8)
     of = np.repeat(np.arange(len(types)), lengths)
-    kind = np.frombuffer(b"".join(t[:1] for t in types), np.uint8).astype(np.uint64)[of]
+    kind = kinds[np.frombuffer(b"".join(t[:1] for t in types), np.uint8).astype(np.int64) - 48].astype(np.uint64)[of]
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     within = np.arange(len(data)) - starts
     last = []
@@ -146,11 +178,11 @@ class Mixer:
         np.clip(self.map, 1e-4, 1 - 1e-4, out=self.map)
 
 
-def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, batch: int = 256) -> Mixer:
+def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 256) -> Mixer:
     """Online, over mini-batches of words; each word's own counts are taken out of the tables for its own bits."""
     mixer = Mixer()
     for k, at in enumerate(range(0, len(types), batch)):
-        hashes, data, of = contexts(types[at : at + batch])
+        hashes, data, of = contexts(types[at : at + batch], kinds)
         own = _weight(n[at : at + batch])[of]
         for bit, slots, target in bit_slots(hashes, data):
             c0 = np.stack([n0[o][slots[o]] for o in range(ORDERS)])
@@ -166,12 +198,12 @@ def quantize(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(255, np.rint(16 * np.log2(1 + n))).astype(np.uint8) for n in (n0, n1)])
 
 
-def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer) -> np.ndarray:
+def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer, kinds: np.ndarray) -> np.ndarray:
     """log10 of the mixed probability of each type's spelling."""
     scale = (2.0 ** (np.arange(256) / 16) - 1).astype(np.float32)
     out = np.zeros(len(types))
     for at in range(0, len(types), 4096):
-        hashes, data, of = contexts(types[at : at + 4096])
+        hashes, data, of = contexts(types[at : at + 4096], kinds)
         bits = np.zeros(len(data))
         for bit, slots, target in bit_slots(hashes, data):
             c0 = np.stack([scale[table[0, o][slots[o]]] for o in range(ORDERS)])
@@ -193,24 +225,51 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[t] = counts.get(t, 0) + k
                 bucket[t] = b
     words: Counter = Counter()
+    shares: dict[bytes, list[int]] = {}
     for t, k in counts.items():
         words[t[1:]] += k
+        if k:
+            shares.setdefault(t[1:], []).append((t[0] - 48) << 48 | k)
     fresh = dict.fromkeys((w for w, k in words.items() if k), True)
     types = list(counts)
     for at in range(0, len(types), 20_000):
         some = types[at : at + 20_000]
         columns = [pa.array([bucket[t] for t in some], pa.int32()), pa.array(some, pa.binary()), pa.array([counts[t] for t in some], pa.int64()), pa.array([words[t[1:]] for t in some], pa.int64())]
-        columns.append(pa.array([fresh.pop(t[1:], False) and counts[t] >= 0 for t in some], pa.bool_()))
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "type", "n", "c", "fresh"])
+        columns.append(pa.array([fresh.pop(t[1:], False) for t in some], pa.bool_()))
+        columns.append(pa.array([np.array(shares.get(t[1:], []), "<u8").tobytes() for t in some], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "type", "n", "c", "fresh", "shares"])
 
 
-def _fill_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_kind(types: list[bytes], shares: list[bytes], kinds: np.ndarray) -> np.ndarray:
+    """Training tokens of each type's word in documents of the type's kind."""
+    of = np.repeat(np.arange(len(types)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
+    flat = np.frombuffer(b"".join(shares), "<u8")
+    own = kinds[np.frombuffer(b"".join(t[:1] for t in types), np.uint8).astype(np.int64) - 48]
+    same = kinds[(flat >> np.uint64(48)).astype(np.int64)] == own[of]
+    return np.bincount(of, weights=np.where(same, flat & np.uint64((1 << 48) - 1), 0), minlength=len(types))
+
+
+def _words_by_kind(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """By kind: distinct training words, those seen once and twice there, and those seen once there and elsewhere, too."""
+    held = np.zeros((4, KINDS), np.int64)
+    for batch in batches:
+        shares, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        of = np.repeat(np.arange(len(shares)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
+        flat = np.frombuffer(b"".join(shares), "<u8")
+        where, at = np.unique(of * KINDS + kinds[(flat >> np.uint64(48)).astype(np.int64)], return_inverse=True)
+        n = np.bincount(at, weights=flat & np.uint64((1 << 48) - 1), minlength=len(where))
+        for k, which in enumerate((n > 0, n == 1, n == 2, (n == 1) & (c[where // KINDS] > 1))):
+            held[k] += np.bincount(where[which] % KINDS, minlength=KINDS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS)), *[pa.array(h) for h in held]], names=["k", "words", "once", "twice", "elsewhere"])
+
+
+def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Bit counts of the partition's training types, by order and slice of the table."""
     tables = np.zeros((2, ORDERS, SLOTS), np.float32)
     for batch in batches:
         types, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for at in range(0, len(types), 65_536):
-            hashes, data, of = contexts(types[at : at + 65_536])
+            hashes, data, of = contexts(types[at : at + 65_536], kinds)
             weight = _weight(n[at : at + 65_536])[of]
             for _, slots, target in bit_slots(hashes, data):
                 for o in range(ORDERS):
@@ -240,6 +299,56 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary())], names=["o", "s", "data"])
 
 
+@dataclass
+class Frequencies:
+    """Training tokens overall; tokens and distinct words by kind; the discount of seen words, and how much of it goes
+    to words of other kinds."""
+
+    total: int
+    tokens: np.ndarray
+    words: np.ndarray
+    discount: float
+    elsewhere: float
+
+
+def word_log10(types: list[bytes], c: np.ndarray, n_kind: np.ndarray, spelled: np.ndarray, kinds: np.ndarray, f: Frequencies) -> np.ndarray:
+    """log10 of a word's probability: its kind's frequency, backing off to all documents and to its spelling."""
+    if not f.total:
+        return spelled
+    kind = kinds[np.array([t[0] - 48 for t in types], np.int64)]
+    tokens, words = f.tokens[kind], f.words[kind]
+    own = np.where(tokens > 0, np.maximum(0, n_kind - f.discount) / np.maximum(1, tokens), 0)
+    rest = np.where(tokens > 0, f.discount * words / np.maximum(1, tokens), 1)
+    with np.errstate(divide="ignore"):
+        seen = np.log(own + rest * f.elsewhere * c / f.total)
+        new = np.log(rest * (1 - f.elsewhere)) + spelled * np.log(10)
+        return np.logaddexp(seen, new) / np.log(10)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after a shift by seven."""
+    shifted = x + 7
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
+    inverse = 1 / shifted
+    series = inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 * (1 / 1260)))
+    return (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * np.log(2 * np.pi) + series - np.log(product)
+
+
+def urn_log10(p_log10: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """By pairs of document and type: log10 of drawing the type so often; the document's term comes with its first pair."""
+    a_log = p_log10 * np.log(10) + np.log(ALPHA)
+    out = a_log.copy()
+    more = counts > 1
+    a = np.exp(a_log[more])
+    # Gamma(a + n) / Gamma(a) = a (a + 1) ... (a + n - 1); the first factor stays in the log domain.
+    out[more] += log_gamma(a + counts[more]) - log_gamma(a + 1)
+    n = np.bincount(of, weights=counts)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    size = n[of[first]]
+    out[first] -= log_gamma(ALPHA + size) - log_gamma(np.full(len(size), ALPHA))
+    return out / np.log(10)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, block_bytes: int = vocabulary.BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -249,36 +358,41 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     training = ~held_out(id_col) if training is None else training
     blocks = count_blocks(docs, lambda: analyse, ["n_tokens"], id_col, text_col, bucket_of=_word, train=training, block_bytes=block_bytes)
     parts = blocks.where(F.col("kind") == PART).select("bucket", "block", "data", "counts")
-    types = materialize(parts.repartition("bucket").mapInArrow(_count_types, "bucket int, type binary, n bigint, c bigint, fresh boolean"), "types")
+    types = materialize(parts.repartition("bucket").mapInArrow(_count_types, "bucket int, type binary, n bigint, c bigint, fresh boolean, shares binary"), "types")
 
-    by_class = types.groupBy(F.ascii(F.substring("type", 1, 1).cast("string")).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("fresh").cast("int")).alias("v")).collect()
-    per_class = np.zeros(256)
+    frequent = types.where("n > 0").orderBy(F.desc("n"), "type").limit(FREQUENT).collect()
+    kinds = cluster_classes([(bytes(r["type"]), r["n"]) for r in frequent])
+    by_class = types.groupBy((F.ascii(F.substring("type", 1, 1).cast("string")) - 48).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("fresh").cast("int")).alias("v")).collect()
+    per_kind = np.zeros(KINDS)
     for row in by_class:
-        per_class[row["k"]] = row["n"]
-    total, distinct = int(per_class.sum()), int(sum(r["v"] for r in by_class))
-    once = types.where((F.col("c") == 1) & (F.col("n") == 1)).count()
-    novelty = min(0.5, max(0.001, once / total)) if total else 1.0
+        per_kind[kinds[row["k"]]] += row["n"]
+    total, distinct = int(per_kind.sum()), int(sum(r["v"] for r in by_class))
+    facts = ("words", "once", "twice", "elsewhere")
+    by_kind = types.where("fresh").select("shares", "c").mapInArrow(lambda it: _words_by_kind(it, kinds), "k bigint, " + ", ".join(f"{x} bigint" for x in facts)).groupBy("k").agg(*[F.sum(x).alias(x) for x in facts]).collect()
+    held = np.zeros((len(facts), KINDS))
+    for row in by_kind:
+        held[:, row["k"]] = [row[x] for x in facts]
+    words, once, twice, elsewhere = held[0], *held[1:].sum(axis=1)
+    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    frequencies = Frequencies(total, per_kind, words, discount, min(0.9, max(0.02, elsewhere / max(1, once))))
 
     seen = types.where("n > 0").select("type", "n")
-    slices = seen.mapInArrow(_fill_tables, "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
+    slices = seen.mapInArrow(lambda it: _fill_tables(it, kinds), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
     n0, n1 = np.zeros((ORDERS, SLOTS), np.float32), np.zeros((ORDERS, SLOTS), np.float32)
     for row in slices.collect():  # at most ORDERS * SLOTS entries, whatever the corpus holds
         part = _unpack_table(bytes(row["data"]))
         n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
-    sample = seen.where(F.col("n") <= 2).orderBy(F.xxhash64("type"), "type").limit(SAMPLE).collect()
-    mixer = train_mixer([bytes(r["type"]) for r in sample], np.array([r["n"] for r in sample], float), n0, n1)
+    sample = seen.orderBy(F.xxhash64("type"), "type").limit(SAMPLE).collect()
+    names, n = [bytes(r["type"]) for r in sample], np.array([r["n"] for r in sample], float)
+    mixer = train_mixer([t for t, k in zip(names, n, strict=True) if k <= 2], n[n <= 2], n0, n1, kinds)
     model = spark.sparkContext.broadcast((quantize(n0, n1), mixer))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, trained = model.value
         for batch in batches:
-            names, n, c = batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            spelled = 10 ** spelling_log10(names, table, trained)
-            in_class = per_class[[t[0] for t in names]]
-            known = c / max(1, total)
-            known = np.where(in_class > 0, 0.85 * n / np.maximum(1, in_class) + 0.15 * known, known)
-            p = np.log10(np.maximum((1 - novelty) * known + novelty * spelled, 1e-300))
-            p = np.where(spelled > 0, p, spelling_log10(names, table, trained)) if (spelled == 0).any() else p
+            names, c = batch.column(1).to_pylist(), batch.column(3).to_numpy()
+            spelled = spelling_log10(names, table, trained, kinds)
+            p = word_log10(names, c, in_kind(names, batch.column(5).to_pylist(), kinds), spelled, kinds, frequencies)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(p)], names=["bucket", "type", "c", "p"])
 
     scored = types.mapInArrow(score, "bucket int, type binary, c bigint, p double")
@@ -304,10 +418,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def combine(pairs: np.ndarray, counts: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
         c, p = pairs.T if pairs.shape[1] > 1 else (np.zeros(0), np.zeros(0))
-        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, p * counts]
+        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, urn_log10(p, counts, of)]
 
     summed = sum_by_document(blocks, values, combine, "n_known bigint, base_score double, score double", ["n_tokens"], id_col)
-    side = float(np.log10(CLASSES))
+    side = float(np.log10(KINDS))
     return summed.select(id_col, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", (F.col("score") - side).alias("score"))
 
 

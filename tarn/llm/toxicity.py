@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 MAX_ROWS, MAX_FEATURES = 20_000, 3000
 #: Groups that mined words, and word beginnings, are dealt into; each is a voter.
 GROUPS = 6
-BEGINNINGS = (4, 5)
+BEGINNINGS = (3, 4, 5, 6)
+#: Words whose mined features a task remembers, at most.
+CACHE = 300_000
 
 # Words of abuse in the four languages of the corpus.
 ABUSE = frozenset(
@@ -50,15 +52,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def features_of(text: str | None) -> tuple[set[str], list[str], str]:
-    """Words of a text, marked, and the beginnings of its longer words."""
-    whole = text or ""
-    words = _WORD.findall(whole.lower())
-    distinct = set(words)
-    found = {"w:" + w for w in distinct}
-    for n in BEGINNINGS:
-        found |= {f"{n}:" + w[:n] for w in distinct if len(w) > n}
-    return found, words, whole
+def features_of(word: str) -> list[str]:
+    """A word, marked, and its beginnings."""
+    return ["w:" + word, *[f"{n}:" + word[:n] for n in BEGINNINGS if len(word) >= n]]
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 @dataclass
@@ -66,35 +66,62 @@ class Model:
     """Mined features with their voter groups, and the classifier's weights."""
 
     features: dict[str, int] = field(default_factory=dict)
-    positive: set[str] = field(default_factory=set)
+    #: The voter group of each feature; -1: none.
+    groups: list[int] = field(default_factory=list)
     weights: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+
     @property
     def n_voters(self) -> int:
-        return 5 + GROUPS * (1 + len(BEGINNINGS))
-
-    def look(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        """(numbers of the mined features that a text has, its votes: 1 toxic, 0 silent)."""
-        found, words, whole = features_of(text)
+        return 5 + 2 * GROUPS * (1 + len(BEGINNINGS))
+
+    def _numbers(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            found = self.known[word] = tuple(self.features[f] for f in features_of(word) if f in self.features)
+        return found
+
+    def look(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the mined features in a text, their rates, its votes: 1 toxic, 0 silent)."""
+        whole = text or ""
+        words = Counter(words_of(whole))
+        n = words.total()
         votes = np.zeros(self.n_voters)
-        abuse = sum(w in ABUSE for w in words)
-        votes[0], votes[1] = abuse > 0, abuse > 1
+        abuse = sum(k for w, k in words.items() if w in ABUSE)
+        votes[0], votes[1] = abuse > 0, abuse > 0.005 * n
         votes[2] = abuse > 0 and any(m.lower() in ABUSE for m in _AIMED.findall(whole))
-        letters = sum(map(len, words))
+        letters = sum(len(w) * k for w, k in words.items())
         votes[3] = letters > 0 and sum(map(str.isupper, whole)) > 0.5 * letters
-        votes[4] = len(_BANGS.findall(whole)) > 0.02 * len(words) > 0
-        mine = found & self.features.keys()
-        for f in mine & self.positive:
-            kind = 0 if f[0] == "w" else 1 + BEGINNINGS.index(int(f[0]))
-            votes[5 + kind * GROUPS + zlib.crc32(f.encode()) % GROUPS] = 1
-        return sorted(self.features[f] for f in mine), votes
-
-    def score(self, numbers: list[int], votes: np.ndarray) -> float:
+        votes[4] = len(_BANGS.findall(whole)) > 0.02 * n > 0
+        counts: Counter = Counter()
+        for w, k in words.items():
+            for f in self._numbers(w):
+                counts[f] += k
+        hits = np.zeros(len(votes))
+        for f, k in counts.items():
+            if self.groups[f] >= 0:
+                hits[5 + 2 * self.groups[f]] += k
+        votes[5::2] = hits[5::2] > 0
+        votes[6::2] = hits[5::2] > 0.004 * n
+        numbers = np.fromiter(counts, np.int64, len(counts))
+        rates = np.minimum(1.0, 60 * np.fromiter(counts.values(), float, len(counts)) / (n + 30))
+        return numbers, rates, votes
+
+    def inputs(self, numbers: np.ndarray, rates: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classifier's inputs: each feature's presence and rate, the votes, the bias."""
+        m = len(self.features)
+        fired = np.flatnonzero(votes)
+        return np.r_[numbers, m + numbers, 2 * m + fired, 2 * m + len(votes)], np.r_[np.full(len(numbers), 0.3), rates, np.ones(len(fired) + 1)]
+
+    def score(self, numbers: np.ndarray, rates: np.ndarray, votes: np.ndarray) -> float:
         if self.weights is None:
             return 0.9 if votes[0] else 0.1
-        m = len(self.features)
-        total = self.weights[numbers].sum() + self.weights[m : m + len(votes)] @ votes + self.weights[-1]
-        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        where, values = self.inputs(numbers, rates, votes)
+        return float(1 / (1 + np.exp(-np.clip(self.weights[where] @ values, -30, 30))))
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +149,16 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
     return posterior, theta, rho
 
 
-def _fit(indptr: np.ndarray, indices: np.ndarray, n_features: int, target: np.ndarray, epochs: int = 200, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression on sparse 0/1 features (the last is the bias), full batches with Adagrad steps."""
+def _fit(indptr: np.ndarray, indices: np.ndarray, values: np.ndarray, n_features: int, target: np.ndarray, epochs: int = 200, l2: float = 1e-4) -> np.ndarray:
+    """Logistic regression on sparse inputs, full batches with Adagrad steps; the classes weigh alike up to 4 to 1."""
     weights, squares = np.zeros(n_features), np.full(n_features, 1e-8)
     of = np.repeat(np.arange(len(target)), np.diff(indptr))
+    share = np.clip(target.mean(), 0.01, 0.99)
+    weight = 1 + target * (min(4.0, (1 - share) / share) - 1)
     for _ in range(epochs):
-        z = np.bincount(of, weights=weights[indices], minlength=len(target))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gradient = np.bincount(indices, weights=error[of], minlength=n_features) / len(target) + l2 * weights
+        z = np.bincount(of, weights=weights[indices] * values, minlength=len(target))
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
+        gradient = np.bincount(indices, weights=error[of] * values, minlength=n_features) / len(target) + l2 * weights
         squares += gradient**2
         weights -= 0.5 * gradient / np.sqrt(squares)
     return weights
@@ -151,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
-                seen[y].update(features_of(text)[0])
+                seen[y].update({f for w in set(words_of(text or "")) for f in features_of(w)})
                 n[y] += 1
         for y, found in seen.items():
             found[""] = n[y]
@@ -169,20 +198,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     strong = counts.where((F.col("feature") != "") & (F.col("n0") + F.col("n1") >= least)).withColumn("odds", odds).withColumn("strength", F.abs("odds") * F.sqrt(F.col("n0") / n0 + F.col("n1") / n1))
     mined = strong.orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES).collect()
     model.features = {r["feature"]: k for k, r in enumerate(mined)}
-    model.positive = {r["feature"] for r in mined if r["odds"] > np.log(6) and r["n1"] >= least}
+    kinds = ["w", *map(str, BEGINNINGS)]
+    model.groups = [GROUPS * kinds.index(f[0]) + zlib.crc32(f.encode()) % GROUPS if r["odds"] > np.log(6) and r["n1"] >= least else -1 for f, r in ((r["feature"], r) for r in mined)]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.look(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int8).tolist() for f in found], pa.list_(pa.int8()))], names=["y", "h", "features", "votes"])
+            lists = [pa.array([f[k].tolist() for f in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float32()))]
+            votes = pa.array([f[2].astype(np.int8).tolist() for f in found], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists, votes], names=["y", "h", "numbers", "rates", "votes"])
 
-    sample = rows.select("_toxic", "_text", F.xxhash64("_id").alias("h")).mapInArrow(look, "y int, h bigint, features array<int>, votes array<tinyint>").orderBy("h").limit(2 * max_rows).collect()
+    sample = rows.select("_toxic", "_text", F.xxhash64("_id").alias("h")).mapInArrow(look, "y int, h bigint, numbers array<int>, rates array<float>, votes array<tinyint>").orderBy("h").limit(2 * max_rows).collect()
     votes = np.array([r["votes"] for r in sample], float)
     posterior, _, _ = label_model(votes, np.array([r["y"] > 0 for r in sample]))
-    m = len(model.features)
-    lists = [np.r_[np.array(r["features"], np.int64), m + np.flatnonzero(v), m + votes.shape[1]] for r, v in zip(sample, votes, strict=True)]
-    indptr = np.r_[0, np.cumsum([len(x) for x in lists])]
-    model.weights = _fit(indptr, np.concatenate(lists), m + votes.shape[1] + 1, posterior)
+    rows_of = [model.inputs(np.array(r["numbers"], np.int64), np.array(r["rates"], float), v) for r, v in zip(sample, votes, strict=True)]
+    indptr = np.r_[0, np.cumsum([len(x) for x, _ in rows_of])]
+    n_inputs = 2 * len(model.features) + votes.shape[1] + 1
+    model.weights = _fit(indptr, np.concatenate([x for x, _ in rows_of]), np.concatenate([v for _, v in rows_of]), n_inputs, posterior)
     return model
 
 
