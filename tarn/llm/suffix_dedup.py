@@ -33,7 +33,7 @@ from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
 WINDOW, GRAM = 50, 24
-BLOCK_BYTES, CHUNK = 16 << 20, 1 << 20
+BLOCK_BYTES, CHUNK = 6 << 20, 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -69,10 +69,11 @@ class Block:
             half = mix(substring_hashes(prefix, first, length // 2) + np.uint64(0x632BE59BD9B4E019))
             span = mix(mix(substring_hashes(prefix, first, length)) + half * np.uint64(31) + gram + ((at - first) * 64 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             shift = np.array([a for _, a, _ in pieces])[piece] - (part_ends - sizes)[piece]
-            found.append(((gram >> np.uint64(32)).astype(np.uint32), span, np.array([d for d, _, _ in pieces])[piece], first + shift, (last - first + 1), at - first))
-        empty = [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+            found.append(((gram >> np.uint64(32)).astype(np.uint32), span, np.array([d for d, _, _ in pieces], np.int32)[piece], first + shift, (last - first + 1).astype(np.int32), (at - first).astype(np.int32)))
+        empty = [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int32, np.int64, np.int32, np.int32)]
         gram, span, doc, first, count, lead = [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
         key = keys[doc] if len(doc) else np.zeros(0, np.int64)
+        del found
         order = np.lexsort((key, span, gram))
         self.gram, self.span, self.doc, self.key, self.first, self.count, self.lead = gram[order], span[order], doc[order], key[order], first[order], count[order], lead[order]
         new = np.ones(len(order), bool)
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         steps = np.zeros(len(text) + 1, np.int32)
         np.add.at(steps, b.first[whole], 1)
         np.add.at(steps, b.first[whole] + b.count[whole] + WINDOW - 1, -1)
-        depth = np.cumsum(steps) > 0
+        depth = np.cumsum(steps, dtype=np.int32) > 0
         runs = np.flatnonzero(np.diff(np.r_[False, depth])).astype("<i8")
         # Places of the classes that are compared, in the documents with the smallest id.
         places = np.flatnonzero(send[b.of_class] & ~whole)
@@ -359,7 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     start = first[(bits >> np.uint64(n)) & np.uint64(1) == 1] + n
                     np.add.at(steps, start, 1)
                     np.add.at(steps, start + WINDOW, -1)
-        gone = np.cumsum(steps[:-1]) > 0
+        gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
         spans, kept, begin = [], [], 0
         for end in ends.tolist():
             runs = np.flatnonzero(np.diff(np.r_[False, gone[begin:end], False]))
