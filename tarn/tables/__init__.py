@@ -1,0 +1,5 @@
+"""Versioned lake tables: transactional, partitioned by transforms, with row deletes and schema evolution."""
+
+from tarn.tables.lake import CommitConflict, LakeTable
+
+__all__ = ["CommitConflict", "LakeTable"]
