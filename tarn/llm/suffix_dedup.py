@@ -33,7 +33,11 @@ from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
 WINDOW, GRAM = 50, 24
-BLOCK_BYTES, CHUNK = 6 << 20, 1 << 20
+#: Bytes of text in a block and hashed at once: a block's columns stay well below a megabyte each, so that the JVM does
+#: not have to treat them as huge objects. A larger corpus may take larger blocks for fewer rows.
+BLOCK_BYTES, CHUNK = 1 << 20, 1 << 18
+#: Windows that are sorted at once, unless one anchor has more.
+SORTED = 200_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -248,6 +252,25 @@ def repeated_windows(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count:
     return mask
 
 
+def _in_slices(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``repeated_windows`` for slices of whole anchors, so that memory does not grow with the bucket."""
+    lengths = count + WINDOW - 1
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(gram, kind="stable")
+    sizes = np.cumsum(count[order])
+    mask = np.zeros(len(gram), np.uint64)
+    heads = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1], True])
+    at = 0
+    while at < len(heads) - 1:
+        done = sizes[heads[at] - 1] if heads[at] else 0
+        stop = max(at + 1, int(np.searchsorted(sizes[heads[1:] - 1], done + SORTED)))
+        mine = order[heads[at] : heads[stop]]
+        part = np.concatenate([data[begin[k] : begin[k] + lengths[k]] for k in mine.tolist()])
+        mask[mine] = repeated_windows(gram[mine], key[mine], lead[mine], count[mine], part)
+        at = stop
+    return mask
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of a partition sorted by its first column, one list for each bucket."""
     now, held = None, []
@@ -328,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gram, kind, key, shape = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3, 4))
             block = np.repeat([r[0] for r in rows], [len(unpack(r[1])) for r in rows])
             data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
-            mask = repeated_windows(gram, key, shape // 64, shape % 64, data)
+            mask = _in_slices(gram, key, shape // 64, shape % 64, data)
             for one in np.unique(block[mask > 0]):
                 hit = (block == one) & (mask > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kind[hit].astype("<i8"))], pa.binary()), pa.array([pack(mask[hit].astype("<u8"))], pa.binary())], names=["block", "kind", "mask"])
