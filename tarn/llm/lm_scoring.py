@@ -159,18 +159,21 @@ class Mixer:
         evidence = np.searchsorted([0.5, 4.0, 40.0], total[3])
         return bit * 4 + evidence
 
-    def predict(self, bit: int, x: np.ndarray, total: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-        g = self.gate(bit, total)
-        dot = np.clip(np.einsum("on,no->n", x, self.weights[g]), -11, 11)
+    def refine(self, dot: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(refined probability, mixed probability, nearest place in the map)."""
+        dot = np.clip(dot, -11, 11)
         mixed = 1 / (1 + np.exp(-dot))
         at = np.clip((dot + 8) * (LEVELS - 1) / 16, 0, LEVELS - 1.001)
         low = at.astype(np.int64)
         share = at - low
-        refined = self.map[node, low] * (1 - share) + self.map[node, low + 1] * share
-        return np.clip((mixed + refined) / 2, 1e-5, 1 - 1e-5), mixed, g, low + (share > 0.5)
+        where = node * LEVELS + low
+        flat = self.map.reshape(-1)
+        refined = flat[where] * (1 - share) + flat[where + 1] * share
+        return np.clip((mixed + refined) / 2, 1e-5, 1 - 1e-5), mixed, low + (share > 0.5)
 
     def learn(self, bit: int, x: np.ndarray, total: np.ndarray, node: np.ndarray, target: np.ndarray, rate: float) -> None:
-        _, mixed, g, near = self.predict(bit, x, total, node)
+        g = self.gate(bit, total)
+        _, mixed, near = self.refine(np.einsum("on,no->n", x, self.weights[g]), node)
         step = np.zeros_like(self.weights)
         np.add.at(step, g, ((target - mixed) * x).T)
         self.weights += rate * step / np.maximum(1, np.bincount(g, minlength=len(step)))[:, None]
@@ -194,22 +197,28 @@ def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarra
 
 
 def quantize(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Counts as one byte each on a logarithmic scale."""
-    return np.stack([np.minimum(255, np.rint(16 * np.log2(1 + n))).astype(np.uint8) for n in (n0, n1)])
+    """Both counts of an entry on logarithmic scales, a byte each."""
+    q0, q1 = (np.minimum(255, np.rint(16 * np.log2(1 + n))).astype(np.uint16) for n in (n0, n1))
+    return q0 << np.uint16(8) | q1
 
 
 def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer, kinds: np.ndarray) -> np.ndarray:
     """log10 of the mixed probability of each type's spelling."""
-    scale = (2.0 ** (np.arange(256) / 16) - 1).astype(np.float32)
+    scale = 2.0 ** (np.arange(256) / 16) - 1
+    stretch, evidence = (v.ravel().astype(np.float32) for v in _inputs(scale[:, None], scale[None, :]))
+    gates = np.searchsorted([0.5, 4.0, 40.0], evidence).astype(np.int64)
+    weights = np.ascontiguousarray(mixer.weights.T.astype(np.float32))
     out = np.zeros(len(types))
     for at in range(0, len(types), 4096):
         hashes, data, of = contexts(types[at : at + 4096], kinds)
         bits = np.zeros(len(data))
         for bit, slots, target in bit_slots(hashes, data):
-            c0 = np.stack([scale[table[0, o][slots[o]]] for o in range(ORDERS)])
-            c1 = np.stack([scale[table[1, o][slots[o]]] for o in range(ORDERS)])
-            x, total = _inputs(c0, c1)
-            p = mixer.predict(bit, x, total, (1 << bit) | data >> (8 - bit))[0]
+            states = [table[o][slots[o]] for o in range(ORDERS)]
+            g = bit * 4 + gates[states[3]]
+            dot = stretch[states[0]] * weights[0][g]
+            for o in range(1, ORDERS):
+                dot += stretch[states[o]] * weights[o][g]
+            p = mixer.refine(dot, (1 << bit) | data >> (8 - bit))[0]
             bits += np.log10(np.where(target == 1, p, 1 - p))
         out[at : at + 4096] = np.bincount(of, weights=bits, minlength=len(types[at : at + 4096]))
     return out
@@ -266,15 +275,14 @@ def _words_by_kind(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iter
 def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Bit counts of the partition's training types, by order and slice of the table."""
     tables = np.zeros((2, ORDERS, SLOTS), np.float32)
+    flat = tables.reshape(-1)
     for batch in batches:
         types, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for at in range(0, len(types), 65_536):
-            hashes, data, of = contexts(types[at : at + 65_536], kinds)
-            weight = _weight(n[at : at + 65_536])[of]
-            for _, slots, target in bit_slots(hashes, data):
-                for o in range(ORDERS):
-                    for value in (0, 1):
-                        tables[value, o] += np.bincount(slots[o][target == value], weights=weight[target == value], minlength=SLOTS)
+        hashes, data, of = contexts(types, kinds)
+        weight = _weight(n)[of].astype(np.float32)
+        for _, slots, target in bit_slots(hashes, data):
+            for o in range(ORDERS):
+                np.add.at(flat, (target * ORDERS + o) * SLOTS + slots[o], weight)
     for o in range(ORDERS):
         for s in range(0, SLOTS, SLICE):
             part = tables[:, o, s : s + SLICE]
