@@ -1,23 +1,68 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and all but the last return the columns of
+``documents``. Each works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import decontamination, packing, simhash, suffix_dedup
 from tarn.llm import quality_rules as rules
 from tarn.plans.materialize import materialize
 from tarn.registry import table
 
+#: No SQL: learned rules, fingerprints, alignments and tokenizers; tests hold the stages against brute force.
+ORACLE_SQL = None
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or that a learned rule rejects go."""
     learned = rules.learn_rules(*rules.training_rows(docs, table(spark, sf_dir, "labels")))
-    return rules.apply_rules(docs, learned).where(F.col("kept")).select(*docs.columns)
+    carried = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return rules.apply_rules(carried, learned).where(F.col("kept")).select("_row.*")
 
 
-STAGES = [("quality rules", quality_rules)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has, too, are cut out; a document that loses all its text goes.
+
+    A cut may split a character; what is left of it goes as well.
+    """
+    cut = suffix_dedup.remove_repeats(docs).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    text = F.col("kept").cast("string")
+    whole = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "�", ""))
+    out = cut.withColumn("text", whole)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in the training sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), carry={"ids_crc32": F.crc32("ids")})
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

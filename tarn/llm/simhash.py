@@ -209,13 +209,36 @@ def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: in
     return grouped.mapInArrow(lambda it: _links_of_runs(it, threshold), "u bigint, v bigint").distinct()
 
 
+def _roots(classes: DataFrame, threshold: int) -> DataFrame:
+    """``classes`` (fp, ...) with the smallest fingerprint of each one's component as ``root``."""
+    roots = connected_components(linked_fingerprints(classes, threshold))
+    return classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(id, fp, component): ``component`` is the smallest id reachable over links."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    edges = linked_fingerprints(classes, threshold)
-    roots = connected_components(edges)
-    rooted = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(classes, threshold)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = rooted.join(least, "root").select("fp", "component")
     return rows.join(found, "fp").select(id_col, "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: the one with the smallest id (nulls last)."""
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(carried, F.col(f"`{text_col}`").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = b"".join(fingerprint(t.as_py()) for t in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["row", "fp"])
+
+    # Written once: the row numbers must not change between the choice and the join.
+    marked = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp bigint").withColumn("uid", F.monotonically_increasing_id())
+    table = materialize(marked, "fingerprints")
+    first = F.min(F.struct(F.col(f"row.`{id_col}`").isNull().alias("unknown"), F.col(f"row.`{id_col}`").alias("id"), "uid")).alias("first")
+    rooted = _roots(table.groupBy("fp").agg(first), threshold)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    return table.join(winners, "uid", "left_semi").select("row.*")
