@@ -41,7 +41,7 @@ def test_float_division_is_ieee(spark):
 def test_integer_arithmetic(spark):
     df = spark.createDataFrame([(-7, 2), (7, -2), (-(2**63), -1)], "a bigint, b bigint")
     assert [r[0] for r in df.select(P.pg_mod("a", "b")).collect()] == [-1, 1, 0]
-    assert [r[0] for r in df.limit(2).select(P.int_div("a", "b")).collect()] == [-3, -3]
+    assert [r[0] for r in df.where("b <> -1").select(P.int_div("a", "b")).collect()] == [-3, -3]
 
 
 def test_ceil_and_floor_of_any_magnitude(spark):
