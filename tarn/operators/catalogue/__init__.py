@@ -1,3 +1,3 @@
 """The registered queries over the driver tables, by operator family."""
 
-from tarn.operators.catalogue import helpers, scans, sql  # noqa: F401
+from tarn.operators.catalogue import helpers, lake, scans, sql, streams  # noqa: F401
