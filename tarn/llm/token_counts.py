@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from tarn.llm import vocabulary
 from tarn.llm.vocabulary import count_blocks, parts_by_bucket, sum_by_document, unpack_types
 
-#: Characters of the fast path: printable Latin up to U+024F, white space of ASCII, common punctuation.
-_LATIN = [chr(c) for c in range(0x20, 0x250) if not 0x7F <= c <= 0xA0 and c not in (0xAD, 0x130)]
+#: Characters of the fast path: printable Latin up to U+017F, white space of ASCII, common punctuation.
+_LATIN = [chr(c) for c in range(0x20, 0x180) if not 0x7F <= c <= 0xA0 and c not in (0xAD, 0x130)]
 _FAST = re.compile("[\t\n\r\x0b\x0c" + re.escape("".join(_LATIN)) + "‐-‧€™]*")
 _LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
 _NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
