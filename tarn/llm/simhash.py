@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm.components import connected_components
 from tarn.plans.materialize import materialize
@@ -236,7 +237,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["row", "fp"])
 
     # Written once: the row numbers must not change between the choice and the join.
-    marked = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp bigint").withColumn("uid", F.monotonically_increasing_id())
+    marked = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])).withColumn("uid", F.monotonically_increasing_id())
     table = materialize(marked, "fingerprints")
     first = F.min(F.struct(F.col(f"row.`{id_col}`").isNull().alias("unknown"), F.col(f"row.`{id_col}`").alias("id"), "uid")).alias("first")
     rooted = _roots(table.groupBy("fp").agg(first), threshold)

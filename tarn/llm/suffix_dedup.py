@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
@@ -36,8 +37,8 @@ WINDOW, GRAM = 50, 24
 #: Bytes of text in a block and hashed at once: a block's columns stay well below a megabyte each, so that the JVM does
 #: not have to treat them as huge objects. A larger corpus may take larger blocks for fewer rows.
 BLOCK_BYTES, CHUNK = 1 << 20, 1 << 18
-#: Windows that are sorted at once, unless one anchor has more.
-SORTED = 200_000
+#: Classes that are decided, and windows that are sorted, at once, unless one anchor has more.
+DECIDED, SORTED = 200_000, 200_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -115,7 +116,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """block, ends, data, keys and the carried columns, as lists of structs."""
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carry"))
-    schema = f"block bigint, ends binary, data binary, keys binary, carry array<{rows.schema['_carry'].dataType.simpleString()}>"
+    schema = T.StructType.fromDDL("block bigint, ends binary, data binary, keys binary").add("carry", T.ArrayType(rows.schema["_carry"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,8 +141,31 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes, bytes]]:
-    """One bucket's classes: for each block, the smallest ids and which classes must send their span."""
-    gram, span, key = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    """One bucket's classes: for each block, the smallest ids and which classes must send their span.
+
+    The anchors' hashes are taken in ranges of about ``DECIDED`` classes, so memory does not grow with the bucket.
+    """
+    n = max(1, sum(len(p[1]) for p in parts) // DECIDED)
+    low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
+    edges = np.linspace(low, high, n + 1).astype(np.int64)
+    cuts = [np.searchsorted(p[1].astype(np.int64), edges) for p in parts]
+    least, send = [np.zeros(len(p[1]), np.int64) for p in parts], [np.zeros(len(p[1]), bool) for p in parts]
+    for k in range(n):
+        slices = [slice(c[k], c[k + 1]) for c in cuts]
+        gram, span, key = (np.concatenate([p[x][some] for p, some in zip(parts, slices, strict=True)]) for x in (1, 2, 3))
+        if not len(gram):
+            continue
+        smallest, sends = _decide_range(gram, span, key)
+        at = 0
+        for part, some in enumerate(slices):
+            own = slice(at, at + some.stop - some.start)
+            least[part][some], send[part][some] = smallest[own], sends[own]
+            at = own.stop
+    for (block, _, _, own), smallest, sends in zip(parts, least, send, strict=True):
+        yield block, pack(np.where(smallest < own, smallest + 1, 0).astype("<i8")), np.packbits(sends).tobytes()
+
+
+def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((key, span, gram))
     g, s, k = gram[order], span[order], key[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
@@ -151,13 +175,9 @@ def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]])
     begin = np.flatnonzero(new_gram)
     several = (np.add.reduceat(new.astype(np.int64), begin) > 1) & (np.minimum.reduceat(k, begin) < np.maximum.reduceat(k, begin))
     out_least, out_send = np.empty(len(order), np.int64), np.empty(len(order), bool)
-    # A class whose id is the smallest of its anchor's classes has nothing smaller to match.
+    # Of each class those with its smallest id send a span; larger ids are repeated as a whole.
     out_least[order], out_send[order] = least, several[group] & (k == least)
-    at = 0
-    for block, mine, _, own in parts:
-        some = slice(at, at + len(mine))
-        yield block, pack(np.where(out_least[some] < own, out_least[some] + 1, 0).astype("<i8")), np.packbits(out_send[some]).tobytes()
-        at += len(mine)
+    return out_least, out_send
 
 
 def suffix_order(segment: np.ndarray, start: np.ndarray, prefix: np.ndarray, data: np.ndarray, length: int = WINDOW) -> np.ndarray:
@@ -395,6 +415,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table([carry, pa.array(sizes), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["carry", "n_bytes", "spans", "kept"])
 
-    carry = texts.schema["carry"].dataType.elementType.simpleString()
-    final = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, f"carry {carry}, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary")
+    schema = T.StructType().add("carry", texts.schema["carry"].dataType.elementType)
+    for f in T.StructType.fromDDL("n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"):
+        schema.add(f)
+    final = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
     return final.select("carry.*", "n_bytes", "spans", "kept")
