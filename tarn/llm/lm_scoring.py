@@ -6,7 +6,8 @@ from all training documents; each gives a prediction, the predictions are combin
 that a gate chooses (bit position and evidence), and an adaptive probability map refines the result. Weights and map
 are learned online, one mini-batch after another, on words that the tables have had taken out of them.
 A word's probability starts from its frequency in the document's kind; what absolute discounting takes from seen words
-is shared between its frequency over all documents and its spelling, as words seen once in a kind tell. Within a document frequencies
+is shared between its frequency over all documents and its spelling, as words seen once in a kind tell. This is mixed
+with a model without kinds by the share that best predicts training words left out one at a time. Within a document frequencies
 adapt: its words are drawn as from an urn to which each drawn word is returned twice (``ALPHA`` weighs the model).
 
 A document's class is its commonest word, hashed to 6 bits; classes with like frequent words are one kind (``KINDS``,
@@ -309,27 +310,51 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Frequencies:
-    """Training tokens overall; tokens and distinct words by kind; the discount of seen words, and how much of it goes
-    to words of other kinds."""
+    """Training tokens and distinct words overall and by kind; the discount of seen words, how much of it goes to words
+    of other kinds, and the share of the model with kinds."""
 
     total: int
+    distinct: int
     tokens: np.ndarray
     words: np.ndarray
     discount: float
     elsewhere: float
+    share: float = 0.9
+
+
+def _models(n_kind: np.ndarray, c: np.ndarray, kind: np.ndarray, f: Frequencies, out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seen mass and mass of new words, of the model with kinds and of that without; ``out`` tokens are left out."""
+    tokens, words = f.tokens[kind] - out, f.words[kind]
+    own = np.where(tokens > 0, np.maximum(0, n_kind - out - f.discount) / np.maximum(1, tokens), 0)
+    rest = np.where(tokens > 0, f.discount * np.minimum(words, np.maximum(1, tokens)) / np.maximum(1, tokens), 1)
+    total = max(1, f.total - out)
+    plain = np.maximum(0, c - out - f.discount) / total
+    return own + rest * f.elsewhere * (c - out) / total, rest * (1 - f.elsewhere), plain, np.full(len(c), f.discount * min(f.distinct, total) / total)
+
+
+def kind_share(n: np.ndarray, c: np.ndarray, n_kind: np.ndarray, kind: np.ndarray, f: Frequencies) -> float:
+    """The weight of the model with kinds that best predicts words seen again, each token left out in turn."""
+    again = c > 1
+    if not again.any():
+        return 0.5
+    with_kinds, _, without, _ = _models(n_kind[again], c[again], kind[again], f, 1)
+    grid = np.linspace(0.02, 0.98, 49)
+    worth = [(n[again] * np.log(g * with_kinds + (1 - g) * without + 1e-12)).sum() for g in grid]
+    return float(grid[int(np.argmax(worth))])
+
+
+def kinds_of(types: list[bytes], kinds: np.ndarray) -> np.ndarray:
+    return kinds[np.array([t[0] - 48 for t in types], np.int64)]
 
 
 def word_log10(types: list[bytes], c: np.ndarray, n_kind: np.ndarray, spelled: np.ndarray, kinds: np.ndarray, f: Frequencies) -> np.ndarray:
-    """log10 of a word's probability: its kind's frequency, backing off to all documents and to its spelling."""
+    """log10 of a word's probability: frequencies in its kind and overall, and its spelling."""
     if not f.total:
         return spelled
-    kind = kinds[np.array([t[0] - 48 for t in types], np.int64)]
-    tokens, words = f.tokens[kind], f.words[kind]
-    own = np.where(tokens > 0, np.maximum(0, n_kind - f.discount) / np.maximum(1, tokens), 0)
-    rest = np.where(tokens > 0, f.discount * words / np.maximum(1, tokens), 1)
+    with_kinds, new_with, without, new_without = _models(n_kind, c, kinds_of(types, kinds), f)
     with np.errstate(divide="ignore"):
-        seen = np.log(own + rest * f.elsewhere * c / f.total)
-        new = np.log(rest * (1 - f.elsewhere)) + spelled * np.log(10)
+        seen = np.log(f.share * with_kinds + (1 - f.share) * without)
+        new = np.log(f.share * new_with + (1 - f.share) * new_without) + spelled * np.log(10)
         return np.logaddexp(seen, new) / np.log(10)
 
 
@@ -382,16 +407,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         held[:, row["k"]] = [row[x] for x in facts]
     words, once, twice, elsewhere = held[0], *held[1:].sum(axis=1)
     discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    frequencies = Frequencies(total, per_kind, words, discount, min(0.9, max(0.02, elsewhere / max(1, once))))
+    frequencies = Frequencies(total, distinct, per_kind, words, discount, min(0.9, max(0.02, elsewhere / max(1, once))))
 
-    seen = types.where("n > 0").select("type", "n")
-    slices = seen.mapInArrow(lambda it: _fill_tables(it, kinds), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
+    seen = types.where("n > 0").select("type", "n", "c", "shares")
+    slices = seen.select("type", "n").mapInArrow(lambda it: _fill_tables(it, kinds), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
     n0, n1 = np.zeros((ORDERS, SLOTS), np.float32), np.zeros((ORDERS, SLOTS), np.float32)
     for row in slices.collect():  # at most ORDERS * SLOTS entries, whatever the corpus holds
         part = _unpack_table(bytes(row["data"]))
         n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
     sample = seen.orderBy(F.xxhash64("type"), "type").limit(SAMPLE).collect()
     names, n = [bytes(r["type"]) for r in sample], np.array([r["n"] for r in sample], float)
+    frequencies.share = kind_share(n, np.array([r["c"] for r in sample], float), in_kind(names, [bytes(r["shares"]) for r in sample], kinds), kinds_of(names, kinds), frequencies)
     mixer = train_mixer([t for t, k in zip(names, n, strict=True) if k <= 2], n[n <= 2], n0, n1, kinds)
     model = spark.sparkContext.broadcast((quantize(n0, n1), mixer))
 
