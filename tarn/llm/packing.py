@@ -13,9 +13,11 @@ row by row; other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,12 @@ _N = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 
 
+@cache
 def token_ids(path: str) -> Callable[[bytes], bytes]:
-    """A function from a text's bytes to its ids as little-endian unsigned 32-bit integers."""
+    """A function from a text's bytes to its ids as little-endian unsigned 32-bit integers.
+
+    It remembers pre-tokens; a worker process keeps it from task to task.
+    """
     from tokenizers import Tokenizer
 
     tok, letters = Tokenizer.from_file(path), byte_letters()
@@ -45,10 +51,10 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
 
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
-            found = tok.model.tokenize("".join(map(letters.__getitem__, piece.encode())))
+            found = tok.model.tokenize(piece.encode().decode("latin-1").translate(letters))
             if len(self) >= CACHE:
                 self.clear()
-            self[piece] = out = np.array([t.id for t in found], "<u4").tobytes()
+            self[piece] = out = struct.pack(f"<{len(found)}I", *[t.id for t in found])
             return out
 
     known = Pieces()
