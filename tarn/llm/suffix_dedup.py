@@ -9,6 +9,8 @@ equal choose the same content-defined anchors (``windows.anchors``), so only win
 2. Anchors with different spans send the bytes of one span for each class. Their window suffixes are sorted by
    mergesort; two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
    hashes. Neighbours that agree in ``WINDOW`` bytes by hash are compared byte by byte before they count as equal.
+   An anchor with more than ``Limits.crowded`` spans (the edge of a passage that very many documents hold) sends its windows
+   one by one instead, each to the bucket of its own bytes and once from each block, so it meets in no single task.
 3. Decisions return to the blocks, which cut the bytes out.
 
 A class comes at most once from each block and a span once for each class, so copies in any number stay cheap, and no
@@ -21,7 +23,9 @@ are carried along under their own names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,28 @@ from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
 WINDOW, GRAM = 50, 24
-#: Bytes of text in a block and hashed at once: a block's columns stay well below a megabyte each, so that the JVM does
-#: not have to treat them as huge objects. A larger corpus may take larger blocks for fewer rows.
-BLOCK_BYTES, CHUNK = 1 << 20, 1 << 18
-#: Classes that are decided, and windows that are sorted, at once, unless one anchor has more.
-DECIDED, SORTED = 200_000, 200_000
 LAST = np.iinfo(np.int64).max
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What is held at once; results do not depend on it.
+
+    ``block``: bytes of text in a block (its columns stay well below a megabyte, so that the JVM does not have to treat
+    them as huge objects; a larger corpus may take larger blocks for fewer rows). ``chunk``: bytes hashed at once.
+    ``decided``, ``sorted``: classes decided and windows sorted at once, unless one anchor has more. ``crowded``: spans
+    of an anchor that are compared in one task, at most.
+    """
+
+    block: int = 1 << 20
+    chunk: int = 1 << 18
+    decided: int = 200_000
+    sorted: int = 200_000
+    crowded: int = 1000
+
+
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers with their bytes transposed, compressed."""
     size = values.dtype.itemsize
@@ -57,12 +75,12 @@ def unpack(data: bytes) -> np.ndarray:
 class Block:
     """A block's occurrences of anchors, and its distinct classes in the order of their hashes."""
 
-    def __init__(self, text: bytes, ends: np.ndarray, keys: np.ndarray) -> None:
+    def __init__(self, text: bytes, ends: np.ndarray, keys: np.ndarray, chunk: int = Limits.chunk) -> None:
         self.keys = keys
         data = np.frombuffer(text, np.uint8)
         starts = np.r_[0, ends[:-1]] if len(ends) else np.zeros(0, np.int64)
         found: list[tuple[np.ndarray, ...]] = []
-        for pieces in self._chunks(starts, ends):
+        for pieces in self._chunks(starts, ends, chunk):
             part = np.concatenate([data[a:b] for _, a, b in pieces])
             sizes = np.array([b - a for _, a, b in pieces])
             part_ends = np.cumsum(sizes)
@@ -88,16 +106,16 @@ class Block:
         self.rep = np.flatnonzero(new)
 
     @staticmethod
-    def _chunks(starts: np.ndarray, ends: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
-        """(document, start, end) pieces of about ``CHUNK`` bytes; pieces of one text overlap by a window less one."""
+    def _chunks(starts: np.ndarray, ends: np.ndarray, chunk: int) -> Iterator[list[tuple[int, int, int]]]:
+        """(document, start, end) pieces of about ``chunk`` bytes; pieces of one text overlap by a window less one."""
         held: list[tuple[int, int, int]] = []
         size = 0
         for doc, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             while b - a >= WINDOW:
-                stop = min(b, a + CHUNK + WINDOW - 1)
+                stop = min(b, a + chunk + WINDOW - 1)
                 held.append((doc, a, stop))
                 size += stop - a
-                if size >= CHUNK:
+                if size >= chunk:
                     yield held
                     held, size = [], 0
                 if stop == b:
@@ -112,7 +130,7 @@ class Block:
         return np.searchsorted(self.gram[self.rep].astype(np.uint64), edges)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """block, ends, data, keys and the carried columns, as lists of structs."""
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carry"))
@@ -127,7 +145,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ends = np.cumsum([len(t) for t in texts])
             a = 0
             while a < len(texts):
-                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_BYTES, side="left")) + 1
+                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block_bytes, side="left")) + 1
                 b = min(b, len(texts))
                 own = ends[a:b] - (ends[a - 1] if a else 0)
                 carry = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a))
@@ -140,32 +158,32 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, schema), "texts")
 
 
-def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, bytes, bytes]]:
-    """One bucket's classes: for each block, the smallest ids and which classes must send their span.
+def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], limits: Limits) -> Iterator[tuple[int, bytes, bytes]]:
+    """One bucket's classes: for each block, the smallest ids and what classes must send (1: their span, 2: windows).
 
-    The anchors' hashes are taken in ranges of about ``DECIDED`` classes, so memory does not grow with the bucket.
+    The anchors' hashes are taken in ranges of about ``limits.decided`` classes, so memory does not grow with the bucket.
     """
-    n = max(1, sum(len(p[1]) for p in parts) // DECIDED)
+    n = max(1, sum(len(p[1]) for p in parts) // limits.decided)
     low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
     edges = np.linspace(low, high, n + 1).astype(np.int64)
     cuts = [np.searchsorted(p[1].astype(np.int64), edges) for p in parts]
-    least, send = [np.zeros(len(p[1]), np.int64) for p in parts], [np.zeros(len(p[1]), bool) for p in parts]
+    least, send = [np.zeros(len(p[1]), np.int64) for p in parts], [np.zeros(len(p[1]), np.uint8) for p in parts]
     for k in range(n):
         slices = [slice(c[k], c[k + 1]) for c in cuts]
         gram, span, key = (np.concatenate([p[x][some] for p, some in zip(parts, slices, strict=True)]) for x in (1, 2, 3))
         if not len(gram):
             continue
-        smallest, sends = _decide_range(gram, span, key)
+        smallest, sends = _decide_range(gram, span, key, limits.crowded)
         at = 0
         for part, some in enumerate(slices):
             own = slice(at, at + some.stop - some.start)
             least[part][some], send[part][some] = smallest[own], sends[own]
             at = own.stop
     for (block, _, _, own), smallest, sends in zip(parts, least, send, strict=True):
-        yield block, pack(np.where(smallest < own, smallest + 1, 0).astype("<i8")), np.packbits(sends).tobytes()
+        yield block, pack(np.where(smallest < own, smallest + 1, 0).astype("<i8")), sends.tobytes()
 
 
-def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((key, span, gram))
     g, s, k = gram[order], span[order], key[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
@@ -173,10 +191,11 @@ def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray) -> tuple[
     group, kind = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
     least = k[new][kind]
     begin = np.flatnonzero(new_gram)
-    several = (np.add.reduceat(new.astype(np.int64), begin) > 1) & (np.minimum.reduceat(k, begin) < np.maximum.reduceat(k, begin))
-    out_least, out_send = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    classes = np.add.reduceat(new.astype(np.int64), begin)
+    several = np.where((classes > 1) & (np.minimum.reduceat(k, begin) < np.maximum.reduceat(k, begin)), np.where(classes > crowded, 2, 1), 0)
+    out_least, out_send = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
     # Of each class those with its smallest id send a span; larger ids are repeated as a whole.
-    out_least[order], out_send[order] = least, several[group] & (k == least)
+    out_least[order], out_send[order] = least, several[group] * (k == least)
     return out_least, out_send
 
 
@@ -272,7 +291,23 @@ def repeated_windows(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count:
     return mask
 
 
-def _in_slices(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
+def _own_windows(b: Block, text: bytes, kinds: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
+    """Of crowded anchors' classes: (class, window) repeated within the block, and (class, window, bytes) to compare."""
+    groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    for kind in kinds.tolist():
+        r = b.rep[kind]
+        first, key, lead = int(b.first[r]), int(b.key[r]), int(b.lead[r])
+        for number in range(int(b.count[r])):
+            groups.setdefault((lead - number, text[first + number : first + number + WINDOW]), []).append((key, kind, number))
+    own, alone = [], []
+    for (_, window), members in groups.items():
+        least = min(members)[0]
+        own += [(kind, number) for key, kind, number in members if key > least]
+        alone += [(kind, number, window) for key, kind, number in members if key == least]
+    return own, alone
+
+
+def _in_slices(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray, most: int) -> np.ndarray:
     """``repeated_windows`` for slices of whole anchors, so that memory does not grow with the bucket."""
     lengths = count + WINDOW - 1
     begin = np.cumsum(lengths) - lengths
@@ -283,7 +318,7 @@ def _in_slices(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.nd
     at = 0
     while at < len(heads) - 1:
         done = sizes[heads[at] - 1] if heads[at] else 0
-        stop = max(at + 1, int(np.searchsorted(sizes[heads[1:] - 1], done + SORTED)))
+        stop = max(at + 1, int(np.searchsorted(sizes[heads[1:] - 1], done + most)))
         mine = order[heads[at] : heads[stop]]
         part = np.concatenate([data[begin[k] : begin[k] + lengths[k]] for k in mine.tolist()])
         mask[mine] = repeated_windows(gram[mine], key[mine], lead[mine], count[mine], part)
@@ -305,16 +340,16 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The other columns of ``docs``, n_bytes, spans (array of start, stop: removed bytes) and kept (binary)."""
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _blocks(docs, id_col, text_col)
+    texts = _blocks(docs, id_col, text_col, limits.block)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ends, data, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = Block(zstandard.decompress(data), unpack(ends), unpack(keys))
+                b = Block(zstandard.decompress(data), unpack(ends), unpack(keys), limits.chunk)
                 edges, rep = b.buckets(n_buckets), b.rep
                 rows = [(k, rep[edges[k] : edges[k + 1]]) for k in range(n_buckets) if edges[k] < edges[k + 1]]
                 columns = [pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64())]
@@ -323,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            out = list(_decide_classes([(block, unpack(g), unpack(s), unpack(k)) for block, g, s, k in rows]))
+            out = list(_decide_classes([(block, unpack(g), unpack(s), unpack(k)) for block, g, s, k in rows], limits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out]), pa.array([bucket] * len(out), pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([zstandard.compress(o[2], 1) for o in out], pa.binary())],
                 names=["block", "bucket", "least", "send"],
@@ -336,30 +371,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """The spans repeated as a whole, and the spans to compare, by bucket."""
         row, parts = rows.to_pylist()[0], sorted(zip(*(found[c].to_pylist() for c in ("bucket", "least", "send")), strict=True))
         text = zstandard.decompress(row["data"])
-        b = Block(text, unpack(row["ends"]), unpack(row["keys"]))
+        b = Block(text, unpack(row["ends"]), unpack(row["keys"]), limits.chunk)
         edges, own = b.buckets(n_buckets), b.key[b.rep]
-        least, send = own.copy(), np.zeros(len(own), bool)
+        least, send = own.copy(), np.zeros(len(own), np.uint8)
         for bucket, smallest, sends in parts:
             some = slice(edges[bucket], edges[bucket + 1])
             value = unpack(smallest)
             least[some] = np.where(value > 0, value - 1, own[some])
-            send[some] = np.unpackbits(np.frombuffer(zstandard.decompress(sends), np.uint8))[: len(value)].astype(bool)
+            send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
         whole = b.key > least[b.of_class]
         steps = np.zeros(len(text) + 1, np.int32)
         np.add.at(steps, b.first[whole], 1)
         np.add.at(steps, b.first[whole] + b.count[whole] + WINDOW - 1, -1)
+        own_windows, alone = _own_windows(b, text, np.flatnonzero(send == 2))
+        for kind, number in own_windows:
+            a, z = np.searchsorted(b.of_class, [kind, kind + 1])
+            starts = b.first[a:z][~whole[a:z]] + number
+            np.add.at(steps, starts, 1)
+            np.add.at(steps, starts + WINDOW, -1)
         depth = np.cumsum(steps, dtype=np.int32) > 0
         runs = np.flatnonzero(np.diff(np.r_[False, depth])).astype("<i8")
         # Places of the classes that are compared, in the documents with the smallest id.
-        places = np.flatnonzero(send[b.of_class] & ~whole)
+        places = np.flatnonzero((send[b.of_class] > 0) & ~whole)
         out = [(row["block"], -1, [pack(runs), pack(b.of_class[places].astype("<i8")), pack(b.first[places].astype("<i8"))] + [b""] * 2)]
-        for bucket in range(n_buckets):
-            mine = np.arange(edges[bucket], edges[bucket + 1])
-            mine = mine[send[mine]]
-            if len(mine):
-                r = b.rep[mine]
-                spans = b"".join([text[f : f + c + WINDOW - 1] for f, c in zip(b.first[r].tolist(), b.count[r].tolist(), strict=True)])
-                out.append((row["block"], bucket, [pack(b.gram[r].astype("<u4")), pack(mine.astype("<i8")), pack(b.key[r].astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), zstandard.compress(spans, 3)]))
+        parts = {bucket: np.flatnonzero(send[edges[bucket] : edges[bucket + 1]] == 1) + edges[bucket] for bucket in range(n_buckets)}
+        loose: dict[int, list[tuple[int, int, bytes]]] = {}
+        for kind, number, window in alone:
+            loose.setdefault(zlib.crc32(window) % n_buckets, []).append((kind, number, window))
+        for bucket in sorted(k for k in parts if len(parts[k]) or k in loose):
+            mine, more = parts[bucket], loose.get(bucket, [])
+            r = b.rep[mine]
+            spans = [text[f : f + c + WINDOW - 1] for f, c in zip(b.first[r].tolist(), b.count[r].tolist(), strict=True)] + [w for _, _, w in more]
+            kinds, numbers = np.array([k for k, _, _ in more], np.int64), np.array([n for _, n, _ in more], np.int64)
+            rep = b.rep[kinds]
+            gram = np.r_[b.gram[r], np.array([zlib.crc32(w) for _, _, w in more], np.uint32)]
+            shape = np.r_[b.lead[r] * 64 + b.count[r], (b.lead[rep] - numbers) * 64 + 1 + (numbers << 12)]
+            out.append((row["block"], bucket, [pack(gram.astype("<u4")), pack(np.r_[mine, kinds].astype("<i8")), pack(np.r_[b.key[r], b.key[rep]].astype("<i8")), pack(shape.astype("<i4")), zstandard.compress(b"".join(spans), 3)]))
         columns = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32())]
         return pa.table(columns + [pa.array([o[2][k] for o in out], pa.binary()) for k in range(5)], names=["block", "bucket", "a", "b", "c", "d", "e"])
 
@@ -371,10 +418,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gram, kind, key, shape = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3, 4))
             block = np.repeat([r[0] for r in rows], [len(unpack(r[1])) for r in rows])
             data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
-            mask = _in_slices(gram, key, shape // 64, shape % 64, data)
+            mask = _in_slices(gram, key, (shape & 4095) // 64, shape & 63, data, limits.sorted) << (shape >> 12).astype(np.uint64)
             for one in np.unique(block[mask > 0]):
                 hit = (block == one) & (mask > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kind[hit].astype("<i8"))], pa.binary()), pa.array([pack(mask[hit].astype("<u8"))], pa.binary())], names=["block", "kind", "mask"])
+                kinds, at = np.unique(kind[hit], return_inverse=True)
+                bits = np.zeros(len(kinds), np.uint64)
+                np.bitwise_or.at(bits, at, mask[hit])
+                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kinds.astype("<i8"))], pa.binary()), pa.array([pack(bits.astype("<u8"))], pa.binary())], names=["block", "kind", "mask"])
 
     masks = steps.where("bucket >= 0").select("bucket", "block", "a", "b", "c", "d", "e").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "block bigint, kind binary, mask binary")
     both = steps.where("bucket < 0").select("block", F.lit(True).alias("cover"), "a", "b", "c").unionByName(masks.select("block", F.lit(False).alias("cover"), F.col("kind").alias("a"), F.col("mask").alias("b"), F.lit(None).cast("binary").alias("c")))

@@ -127,17 +127,14 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "chunk", "at_once"), [(1 << 20, 1 << 18, 200_000), (3000, 700, 50)])
-def test_suffix_dedup_equals_brute_force(spark, make_docs, monkeypatch, block, chunk, at_once):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_dedup, "SORTED", at_once)
+@pytest.mark.parametrize("limits", [suffix_dedup.Limits(), suffix_dedup.Limits(3000, 700, 50, 50, 1000), suffix_dedup.Limits(9000, 700, 50, 50, 2)])
+def test_suffix_dedup_equals_brute_force(spark, make_docs, limits):
     rng = random.Random(11)
     shared = [prose(70 + k, 25) for k in range(3)]
     rows = EDGES + [(400 + k, prose(100 + k, 20) + " " + rng.choice(shared)[rng.randint(0, 40) :] + " " + prose(200 + k, 12)) for k in range(25)]
     rows += [(500, "ab" * 300), (501, "ba" * 200), (502, "a" * 49), (503, "a" * 50), (504, "a" * 51), (505, "é" * 60), (506, "xé" * 60)]
     rng.shuffle(rows)
-    got = suffix_dedup.remove_repeats(make_docs(rows).repartition(3)).collect()
+    got = suffix_dedup.remove_repeats(make_docs(rows).repartition(3), limits=limits).collect()
     want = Counter()
     for (i, _), (b, gone) in zip(rows, brute_removed(rows)):
         edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
