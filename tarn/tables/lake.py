@@ -316,6 +316,20 @@ class LakeTable:
         self._commit(None, "append", files, [], [])
         return sum(f["rows"] for f in files)
 
+    def insert_returning(self, df: DataFrame) -> DataFrame:
+        """INSERT … RETURNING: the stored rows, read back from the new files."""
+        files = self._write(df)
+        self._commit(None, "append", files, [], [])
+        return self._read(files, [])
+
+    def delete_returning(self, where: Column | list[Predicate]) -> DataFrame:
+        """DELETE … RETURNING: the rows as they were."""
+        rows, read = self._matching(where)
+        deletes = self._write_deletes(rows)
+        gone = self._rows_at(deletes) if deletes else rows.drop("_file", "_pos").limit(0)
+        self._commit(None, "delete", [], deletes, [], read)
+        return gone
+
     def _matching(self, where: Column | list[Predicate]) -> tuple[DataFrame, list[Predicate] | None]:
         predicates = where if isinstance(where, list) else []
         df = self._read(self.plan_files(predicates), self.state.current["deletes"], keep_position=True)

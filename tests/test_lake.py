@@ -143,3 +143,39 @@ def test_partition_evolution(spark, table):
 @pytest.mark.parametrize("text", ["a", "year(a)", "month(a)", "day(a)", "hour(a)", "bucket(3, a)", "truncate(2, a)"])
 def test_transform_text_round_trip(text):
     assert str(Transform.parse(text)) == text
+
+
+def test_returning(spark, table):
+    assert [r["id"] for r in table.insert_returning(rows(spark, (8, "h", 1))).collect()] == [8]
+    assert sorted(r["label"] for r in table.delete_returning(F.col("id") > 2).collect()) == ["c", "h"]
+    assert table.delete_returning([("id", "=", 55)]).count() == 0 and [i for i, _ in content(table)] == [1, 2]
+
+
+def test_catalog(spark, tmp_path):
+    from tarn.tables import LakeCatalog, analyze
+
+    catalog = LakeCatalog(spark, f"file://{tmp_path}/c")
+    assert catalog.names() == []
+    catalog.create("ns", "one", SCHEMA).insert(rows(spark, (1, "a", 1), (2, None, 2)))
+    catalog.create("ns", "two", SCHEMA)
+    assert catalog.names("ns") == [("ns", "one"), ("ns", "two")]
+    assert {r["name"]: r["record_count"] for r in catalog.tables().collect()} == {"one": 2, "two": 0}
+    assert set(catalog.import_schema("ns", but=["two"])) == {"one"} and spark.sql("SELECT count(*) FROM one").first()[0] == 2
+    with pytest.raises(ValueError, match="no tables"):
+        catalog.import_schema("ns", only=["three"])
+    stats = {r["column"]: r for r in analyze(catalog.load("ns", "one"), fraction=1.0).collect()}
+    assert stats["label"]["null_share"] == 0.5 and stats["id"]["high"] == "2"
+    catalog.drop("ns", "two")
+    assert catalog.names() == [("ns", "one")]
+
+
+def test_server_scopes():
+    from tarn.sources.access import Server, resolve
+
+    servers = [Server("a", "s3a://x"), Server("b", "s3a://x/deep"), Server("c"), Server("d", "s3a://x/deep/")]
+    assert resolve(servers[:3], "s3a://x/deep/f.csv").name == "b" and resolve(servers, "s3a://x/other").name == "a"
+    assert resolve(servers, "s3a://xy/f") is None and resolve(servers, "s3a://q", "c").name == "c"
+    with pytest.raises(ValueError, match="both serve"):
+        resolve(servers, "s3a://x/deep/f.csv")
+    with pytest.raises(ValueError, match="outside"):
+        resolve(servers, "s3a://y/f", "a")
