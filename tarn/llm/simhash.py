@@ -228,12 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: the one with the smallest id (nulls last)."""
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(carried, F.col(f"`{text_col}`").cast("binary").alias("text"))
+    docs_columns = list(docs.columns)
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs_columns]).alias("row")
+    rows = docs.select(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = b"".join(fingerprint(t.as_py()) for t in batch.column(1))
+            texts = batch.column(0).field(docs_columns.index(text_col)).cast(pa.binary())
+            fps = b"".join(fingerprint(t.as_py()) for t in texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["row", "fp"])
 
     # Written once: the row numbers must not change between the choice and the join.
