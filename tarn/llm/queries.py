@@ -49,6 +49,26 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(generate_series(0, CAST(length(h) // 2 - 50 AS BIGINT))) AS p FROM d WHERE length(h) >= 100),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+r AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE m < doc_id),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM r),
+k AS (SELECT doc_id, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g),
+spans AS (SELECT doc_id, n, min(p) AS a, max(p) + 50 AS z FROM k GROUP BY doc_id, n),
+edges AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_a FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, min(a) AS first_a,
+               string_agg(substr(h, 2 * z + 1, 2 * (coalesce(next_a, length(h) // 2) - z)), '' ORDER BY a) AS rest
+        FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE substr(h, 1, 2 * first_a) || rest END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -100,4 +120,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": OP8_SQL}
+    return {"op6_suffix_dedup": OP6_SQL, "op8_sharding": OP8_SQL}
