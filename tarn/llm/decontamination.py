@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.memory import lean
+
 NGRAM, STEM = 3, 5
 #: Documents that hold a rare seed, at most; the least share of a full copy's score.
 RARE, THRESHOLD = 100, 0.5
@@ -154,6 +156,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 def rare_seeds(docs: DataFrame, items: Items, text_col: str = "text", rare: int = RARE) -> np.ndarray:
     """The block's seeds that join: rare ones, and the rarest three quarters of each item's."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(items.seeds), np.int64)
         for batch in batches:
@@ -183,6 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((items, rare_seeds(docs, items, text_col)))
 
+        @lean
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
             item_kind = pa.array(block.ids).type if block.ids else pa.int64()
@@ -207,6 +211,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((items, rare_seeds(docs, items, text_col)))
 
+        @lean
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
             for batch in batches:

@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.memory import lean
 from tarn.llm import vocabulary
 from tarn.llm.vocabulary import PART, count_blocks, sum_by_document, unpack_ints, unpack_types
 from tarn.plans.materialize import materialize
@@ -421,6 +422,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     mixer = train_mixer([t for t, k in zip(names, n, strict=True) if k <= 2], n[n <= 2], n0, n1, kinds)
     model = spark.sparkContext.broadcast((quantize(n0, n1), mixer))
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, trained = model.value
         for batch in batches:
@@ -434,6 +436,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         parts.select("bucket", "block", "data", F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("p"))
     )
 
+    @lean
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, dict[bytes, tuple[float, float]]()
         for batch in batches:

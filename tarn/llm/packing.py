@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.memory import lean
 from tarn.llm.token_counts import _LATIN, byte_letters
 from tarn.plans.materialize import materialize
 
 CAPACITY, END = 2048, 0
 #: Pre-tokens whose ids a task remembers, at most.
-CACHE = 400_000
+CACHE = 200_000
 
 _FAST = re.compile("[\t\n\r\x0b\x0c" + re.escape("".join(_LATIN)) + "‐-‧€™]*")
 _L = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
@@ -166,6 +167,7 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: i
     names = [id_col, "piece", "start", "length", "ids", "_task", "_rank"]
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -209,6 +211,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int | None =
     ranked = pieces.join(bases, ["length", "_task"]).withColumn("_rank", F.col("_base") + F.col("_rank")).select(id_col, "piece", "start", "length", *carry, "_rank")
     schema = ranked.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",_rank bigint", "") + ",sequence_id bigint,offset bigint"
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(table[:, 2])
         first = {int(x): int(ends[k] - table[k, 2]) for k, x in reversed(list(enumerate(table[:, 0])))}

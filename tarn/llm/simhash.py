@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.memory import lean
 from tarn.llm.components import connected_components
 from tarn.plans.materialize import materialize
 
@@ -68,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("binary").alias("_text"))
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp bigint"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = b"".join(fingerprint(t.as_py()) for t in batch.column(1))
@@ -188,6 +190,7 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterato
 def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) -> DataFrame:
     """(u, v): links that span the components of the distinct fingerprints of column fp."""
 
+    @lean
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
@@ -232,6 +235,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     carried = F.struct(*[F.col(f"`{c}`") for c in docs_columns]).alias("row")
     rows = docs.select(carried)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field(docs_columns.index(text_col)).cast(pa.binary())

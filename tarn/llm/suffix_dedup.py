@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.memory import lean
 from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
@@ -136,6 +137,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carry"))
     schema = T.StructType.fromDDL("block bigint, ends binary, data binary, keys binary").add("carry", T.ArrayType(rows.schema["_carry"].dataType))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -346,6 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _blocks(docs, id_col, text_col, limits.block)
 
+    @lean
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ends, data, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -356,6 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns += [pa.array([pack(values[r].astype(kind)) for _, r in rows], pa.binary()) for values, kind in ((b.gram, "<u4"), (b.span, "<u8"), (b.key, "<i8"))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "gram", "span", "key"])
 
+    @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             out = list(_decide_classes([(block, unpack(g), unpack(s), unpack(k)) for block, g, s, k in rows], limits))
@@ -413,6 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = texts.select("block", "ends", "data", "keys").groupBy("block").cogroup(decided.groupBy("block"))
     steps = materialize(covered.applyInArrow(cover, "block bigint, bucket int, a binary, b binary, c binary, d binary, e binary"), "spans")
 
+    @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             gram, kind, key, shape = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3, 4))

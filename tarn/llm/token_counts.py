@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from tarn.llm.memory import lean
 from tarn.llm import vocabulary
 from tarn.llm.vocabulary import count_blocks, parts_by_bucket, sum_by_document, unpack_types
 
@@ -93,6 +94,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     blocks = count_blocks(docs, analyse, ["n_bytes"], id_col, text_col, block_bytes=block_bytes)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, known = piece_counter(path), dict[bytes, int]()
         for batch in batches:

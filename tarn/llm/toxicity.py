@@ -28,6 +28,8 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.memory import lean
+
 MAX_ROWS, MAX_FEATURES = 20_000, 3000
 #: Groups that mined words, and word beginnings, are dealt into; each is a voter.
 GROUPS = 6
@@ -174,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     """Mine features, fit the label model and train the classifier."""
     rows = training_rows(docs, labels, max_rows)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         n = Counter()
@@ -201,6 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     kinds = ["w", *map(str, BEGINNINGS)]
     model.groups = [GROUPS * kinds.index(f[0]) + zlib.crc32(f.encode()) % GROUPS if r["odds"] > np.log(6) and r["n1"] >= least else -1 for f, r in ((r["feature"], r) for r in mined)]
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.look(t) for t in batch.column(1).to_pylist()]
@@ -223,6 +227,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, max_rows))
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:

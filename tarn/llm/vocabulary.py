@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.memory import lean
 from tarn.plans.materialize import materialize
 
 BLOCK_BYTES = 24 << 20
@@ -61,6 +62,7 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
     schema = f"block bigint, kind int, bucket int, data binary, counts binary, ends binary, ids array<{id_type}>" + "".join(f", {e} array<bigint>" for e in extras)
     names = ["block", "kind", "bucket", "data", "counts", "ends", "ids", *extras]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
