@@ -165,7 +165,7 @@ def write_files(df: DataFrame, path: str, kind: str | None = None, compression:
         writer.options(header=str(header).lower(), sep=sep or ",", nullValue=null or "", emptyValue='""', escape='"', quote='"').csv(path)
     else:
         columns = [F.coalesce(_escape(F.col(f"`{f.name}`").cast("string")), F.lit("\\N" if null is None else null)) for f in df.schema]
-        writer.text(path) if len(columns) == 1 and False else df.select(F.concat_ws(sep or "\t", *columns).alias("value")).write.mode(mode).option("compression", codec).text(path)
+        df.select(F.concat_ws(sep or "\t", *columns).alias("value")).write.mode(mode).option("compression", codec).text(path)
 
 
 def export_to(df: DataFrame, path: str, **options) -> int:
