@@ -25,7 +25,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "project_text_functions": ("SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, char_length(c_name) AS n, reverse(c_name) AS back, replace(c_name, '#', '-') AS swapped, ascii(c_mktsegment) AS code, repeat(c_mktsegment, 2) AS twice, substring(c_name, 3, 4) AS part, rtrim(concat(c_name, '  ')) AS trimmed, startswith(c_name, 'Cust') AS starts FROM {customer}", "SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, CAST(length(c_name) AS INTEGER) AS n, reverse(c_name) AS back, replace(c_name, '#', '-') AS swapped, ascii(c_mktsegment) AS code, repeat(c_mktsegment, 2) AS twice, substring(c_name, 3, 4) AS part, rtrim(concat(c_name, '  ')) AS trimmed, starts_with(c_name, 'Cust') AS starts FROM {customer}"),
     "project_null_functions": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS s, greatest(o_orderkey, o_custkey, 500) AS g, least(o_orderkey, o_custkey) AS l, abs(o_custkey - o_orderkey) AS d FROM {orders}",
     "project_casts": "SELECT p_partkey, CAST(p_size AS BIGINT) AS big, CAST(p_size AS DOUBLE) AS dbl, CAST(p_size AS DECIMAL(10,0)) AS dec, CAST(p_partkey AS VARCHAR(20)) AS txt FROM {part}",
-    "project_conditional_aggregate_pivot": "SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_lines, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS final_lines FROM {lineitem} GROUP BY l_returnflag",
+    "project_conditional_aggregate_pivot": "SELECT l_returnflag, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS open_lines, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS final_lines FROM {lineitem} GROUP BY l_returnflag",
     # -- joins
     "join_inner": "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_acctbal > 0",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
@@ -58,13 +58,13 @@ SQL: dict[str, str | tuple[str, str]] = {
     "agg_avg": "SELECT l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(l_quantity) AS mean_qty, avg(l_linenumber) AS mean_line FROM {lineitem} GROUP BY l_linestatus",
     "agg_variance": "SELECT l_returnflag, round(var_samp(l_linenumber), 9) AS vs, round(var_pop(l_linenumber), 9) AS vp, round(stddev_samp(l_linenumber), 9) AS ss, round(stddev_pop(l_linenumber), 9) AS sp FROM {lineitem} GROUP BY l_returnflag",
     "agg_bool": "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS all_large, bool_or(o_totalprice > 400000) AS any_huge FROM {orders} GROUP BY o_orderstatus",
-    "agg_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, sum(o_custkey) FILTER (WHERE o_totalprice > 100000) AS s FROM {orders} GROUP BY o_orderpriority",
-    "agg_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, sum(DISTINCT l_linenumber) AS lines FROM {lineitem} GROUP BY l_returnflag",
+    "agg_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, CAST(sum(o_custkey) FILTER (WHERE o_totalprice > 100000) AS BIGINT) AS s FROM {orders} GROUP BY o_orderpriority",
+    "agg_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM {lineitem} GROUP BY l_returnflag",
     "agg_string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey"),
-    "agg_group_expression": "SELECT year(o_orderdate) AS y, o_orderkey % 3 AS m, count(*) AS n FROM {orders} GROUP BY year(o_orderdate), o_orderkey % 3",
+    "agg_group_expression": "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, o_orderkey % 3 AS m, count(*) AS n FROM {orders} GROUP BY year(o_orderdate), o_orderkey % 3",
     "agg_having": "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM {orders} GROUP BY o_custkey HAVING count(*) > 12 AND sum(CAST(o_totalprice AS DECIMAL(18,2))) / count(*) > 100000",
-    "agg_empty_input": "SELECT count(*) AS n, sum(o_custkey) AS s, min(o_orderdate) AS d, max(o_orderstatus) AS t FROM {orders} WHERE o_totalprice < 0",
-    "agg_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_linestatus) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "agg_empty_input": "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s, min(o_orderdate) AS d, max(o_orderstatus) AS t FROM {orders} WHERE o_totalprice < 0",
+    "agg_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "agg_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "agg_grouping_sets": "SELECT n_regionkey, c_mktsegment, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_regionkey), (c_mktsegment), ())",
     "agg_percentile": ("SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity) AS med, mode(l_linenumber, true) AS common FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, (SELECT l_linenumber FROM {lineitem} b WHERE b.l_returnflag = a.l_returnflag GROUP BY l_linenumber ORDER BY count(*) DESC, l_linenumber LIMIT 1) AS common FROM {lineitem} a GROUP BY l_returnflag"),
@@ -74,12 +74,12 @@ SQL: dict[str, str | tuple[str, str]] = {
     "distinct_nan_zero": "SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE -0.0 END AS z FROM {orders}) t",
     "sort_limit_offset": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 10",
     "sort_null_order": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM {orders} ORDER BY nullif(o_orderstatus, 'F') ASC NULLS FIRST, o_orderkey LIMIT 40",
-    "top_k_per_group": "SELECT c_nationkey, c_custkey, r FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) t WHERE r <= 3",
+    "top_k_per_group": "SELECT c_nationkey, c_custkey, CAST(r AS BIGINT) AS r FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) t WHERE r <= 3",
     # -- windows
-    "window_ranking": "SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey) AS rn, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
+    "window_ranking": "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey) AS BIGINT) AS rn, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
     "window_distribution": "SELECT c_custkey, round(percent_rank() OVER w, 12) AS pr, round(cume_dist() OVER w, 12) AS cd FROM {customer} WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)",
     "window_navigation": "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, nth_value(o_orderkey, 2) OVER w AS second FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
-    "window_rows_frame": "SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS moving FROM {orders}",
+    "window_rows_frame": "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving FROM {orders}",
     "window_range_frame": "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM {lineitem}",
     # -- set operations, CTEs, set-returning functions
     "set_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",

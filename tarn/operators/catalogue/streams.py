@@ -28,6 +28,6 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_counts(table(spark, sf_dir, "events"), "30 minutes", ["user_id"])
 
 
-@query("SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, count(*) AS n FROM events GROUP BY user_id")
 def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum((F.col("event_type") == "click").cast("int")).alias("clicks"), F.count("*").alias("n"))
