@@ -5,10 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: (session, path, scope) of each written table.
+_written: list[tuple[SparkSession, str, str]] = []
+_scopes: list[str] = [""]
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name``, so that they can be released together."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +45,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _scopes[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this session has written; returns how many."""
-    mine = [entry for entry in _written if entry[0] is spark]
+def release(spark: SparkSession, scope_name: str | None = None) -> int:
+    """Delete the tables this session has written (of one scope, if named); returns how many."""
+    mine = [entry for entry in _written if entry[0] is spark and scope_name in (None, entry[2])]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for entry in mine:
         path = jvm.org.apache.hadoop.fs.Path(entry[1])
@@ -48,7 +62,7 @@ def release(spark: SparkSession) -> int:
 
 @atexit.register
 def _release_all() -> None:
-    for spark in {id(s): s for s, _ in _written}.values():
+    for spark in {id(s): s for s, _, _ in _written}.values():
         try:
             release(spark)
         except Exception:  # the session has ended before the interpreter
