@@ -6,18 +6,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontamination, packing, simhash, suffix_dedup
 from tarn.llm import quality_rules as rules
-from tarn.plans.materialize import materialize
+from tarn.plans.materialize import materialize, release, scope
 from tarn.registry import table
 
 #: No SQL: learned rules, fingerprints, alignments and tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(run: Stage) -> Stage:
+    """A stage, which first deletes what earlier stages wrote for themselves: their results have been written since."""
+
+    @wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with scope("pipeline"):
+            return run(spark, docs, sf_dir)
+
+    return wrapped
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or that a learned rule rejects go."""
     learned = rules.learn_rules(*rules.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -25,11 +44,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.apply_rules(carried, learned).where(F.col("kept")).select("_row.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
     return simhash.keep_one(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has, too, are cut out; a document that loses all its text goes.
 
@@ -44,11 +65,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*docs.columns)
 
 
+@_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in the training sequences."""
     import public_tokenizers
