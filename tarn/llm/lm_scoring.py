@@ -17,7 +17,8 @@ code.
 A word's probability depends only on the word and the class. It is computed once for each distinct pair and summed
 over documents by ``vocabulary``; counts of all training tokens meet there by hash.
 
-Bounds: ``SLOTS`` entries in each table (the broadcast is 2 bytes for each) and ``SAMPLE`` words for weights and map.
+Bounds: each table has an entry for each distinct training word, ``SLOTS`` at least, in powers of two (a broadcast
+state is 2 bytes), and ``SAMPLE`` words for weights and map. Counts have no end; states hold their odds and evidence.
 
 Defined results: a null text counts as empty and scores its end alone; a null id is hashed as the empty text and so
 belongs to the training rows; repeated rows are scored one by one; without training rows every probability falls back
@@ -47,13 +48,15 @@ CLASSES, KINDS = 64, 8
 FREQUENT = 4000
 #: How many drawn words of a document weigh as much as the model.
 ALPHA = 3000.0
-#: Entries of each context's table; words that weights and map are learned from, at most.
+#: Entries of each context's table, at least; words that weights and map are learned from, at most.
 SLOTS, SAMPLE = 1 << 20, 40_000
 ORDERS = 6
 END = b"\xff"
 #: Table entries in one row of the shuffled tables.
 SLICE = 1 << 16
 LEVELS = 24
+#: Weight that is added up in single precision before it is passed on.
+EXACT = float(1 << 23)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -126,13 +129,18 @@ def contexts(types: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, data.astype(np.int64), of
 
 
-def bit_slots(hashes: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def table_slots(distinct: int) -> int:
+    """Entries of each table for so many distinct training words, a power of two."""
+    return max(SLOTS, 1 << max(0, distinct - 1).bit_length())
+
+
+def bit_slots(hashes: np.ndarray, data: np.ndarray, size: int = SLOTS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bit number, slots by order, bit) for the eight bits of each byte."""
     mul = np.uint64(0x94D049BB133111EB)
     for bit in range(8):
         node = ((1 << bit) | data >> (8 - bit)).astype(np.uint64)
         with np.errstate(over="ignore"):
-            slots = ((hashes + node[None, :] * np.uint64(0x632BE59BD9B4E019)) * mul >> np.uint64(44)).astype(np.int64) % SLOTS
+            slots = ((hashes + node[None, :] * np.uint64(0x632BE59BD9B4E019)) * mul >> np.uint64(32)).astype(np.int64) & (size - 1)
         yield bit, slots, data >> (7 - bit) & 1
 
 
@@ -149,6 +157,39 @@ def _inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(stretch * np.minimum(1.0, 0.25 + total / 4), -9, 9), total
 
 
+def quantize(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """An entry's state: 10 bits of its stretched prediction and 6 bits of the evidence on a logarithmic scale.
+
+    Past its end the evidence changes nothing any more (``_inputs``, ``Mixer.gate``); the odds keep their ratio.
+    """
+    stretch, total = _inputs(n0, n1)
+    odds = np.rint((stretch + 9) * (1022 / 18)).astype(np.uint16)
+    return odds << np.uint16(6) | np.minimum(63, np.rint(4 * np.log2(1 + total))).astype(np.uint16)
+
+
+#: Stretched prediction and evidence of each state.
+STRETCH = np.arange(1 << 16) // 64 * (18 / 1022) - 9
+EVIDENCE = 2.0 ** (np.arange(1 << 16) % 64 / 4) - 1
+
+
+def log_counts(n: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits, to a share of 0.0004 and without an end below 2**63."""
+    return np.rint(1024 * np.log2(1 + n)).astype(np.uint16)
+
+
+def plain_counts(n: np.ndarray) -> np.ndarray:
+    return 2.0 ** (n / 1024) - 1 if n.dtype == np.uint16 else n
+
+
+def states_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The states of whole tables, a slice at a time."""
+    out = np.empty(n0.shape, np.uint16)
+    for o in range(len(out)):
+        for s in range(0, out.shape[1], SLICE):
+            out[o, s : s + SLICE] = quantize(plain_counts(n0[o, s : s + SLICE]), plain_counts(n1[o, s : s + SLICE]))
+    return out
+
+
 class Mixer:
     """Gated weights and the adaptive probability map over quantized tables."""
 
@@ -189,32 +230,25 @@ def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarra
     for k, at in enumerate(range(0, len(types), batch)):
         hashes, data, of = contexts(types[at : at + batch], kinds)
         own = _weight(n[at : at + batch])[of]
-        for bit, slots, target in bit_slots(hashes, data):
-            c0 = np.stack([n0[o][slots[o]] for o in range(ORDERS)])
-            c1 = np.stack([n1[o][slots[o]] for o in range(ORDERS)])
+        for bit, slots, target in bit_slots(hashes, data, n0.shape[1]):
+            c0 = plain_counts(np.stack([n0[o][slots[o]] for o in range(ORDERS)]))
+            c1 = plain_counts(np.stack([n1[o][slots[o]] for o in range(ORDERS)]))
             c0, c1 = np.maximum(0, c0 - own * (1 - target)), np.maximum(0, c1 - own * target)
-            x, total = _inputs(c0, c1)
-            mixer.learn(bit, x, total, (1 << bit) | data >> (8 - bit), target, 0.4 / (1 + k / 20))
+            states = quantize(c0, c1)
+            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.4 / (1 + k / 20))
     return mixer
 
 
-def quantize(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Both counts of an entry on logarithmic scales, a byte each."""
-    q0, q1 = (np.minimum(255, np.rint(16 * np.log2(1 + n))).astype(np.uint16) for n in (n0, n1))
-    return q0 << np.uint16(8) | q1
-
-
 def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer, kinds: np.ndarray) -> np.ndarray:
     """log10 of the mixed probability of each type's spelling."""
-    scale = 2.0 ** (np.arange(256) / 16) - 1
-    stretch, evidence = (v.ravel().astype(np.float32) for v in _inputs(scale[:, None], scale[None, :]))
-    gates = np.searchsorted([0.5, 4.0, 40.0], evidence).astype(np.int64)
+    stretch = STRETCH.astype(np.float32)
+    gates = np.searchsorted([0.5, 4.0, 40.0], EVIDENCE).astype(np.int64)
     weights = np.ascontiguousarray(mixer.weights.T.astype(np.float32))
     out = np.zeros(len(types))
     for at in range(0, len(types), 4096):
         hashes, data, of = contexts(types[at : at + 4096], kinds)
         bits = np.zeros(len(data))
-        for bit, slots, target in bit_slots(hashes, data):
+        for bit, slots, target in bit_slots(hashes, data, table.shape[1]):
             states = [table[o][slots[o]] for o in range(ORDERS)]
             g = bit * 4 + gates[states[3]]
             dot = stretch[states[0]] * weights[0][g]
@@ -274,38 +308,53 @@ def _words_by_kind(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS)), *[pa.array(h) for h in held]], names=["k", "words", "once", "twice", "elsewhere"])
 
 
-def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Bit counts of the partition's training types, by order and slice of the table."""
-    tables = np.zeros((2, ORDERS, SLOTS), np.float32)
-    flat = tables.reshape(-1)
+    tables = np.zeros((2, ORDERS, size), np.float32)
+    flat, added = tables.reshape(-1), 0.0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for o in range(ORDERS):
+            for s in range(0, size, SLICE):
+                part = tables[:, o, s : s + SLICE]
+                if part.any():
+                    yield _slice(o, s, part)
+        tables.fill(0)
+
     for batch in batches:
         types, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         hashes, data, of = contexts(types, kinds)
         weight = _weight(n)[of].astype(np.float32)
-        for _, slots, target in bit_slots(hashes, data):
+        added += float(weight.sum())
+        if added > EXACT:
+            yield from flush()
+            added = float(weight.sum())
+        for _, slots, target in bit_slots(hashes, data, size):
             for o in range(ORDERS):
-                np.add.at(flat, (target * ORDERS + o) * SLOTS + slots[o], weight)
-    for o in range(ORDERS):
-        for s in range(0, SLOTS, SLICE):
-            part = tables[:, o, s : s + SLICE]
-            if part.any():
-                packed = zstandard.compress(np.rint(part * 16).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary())], names=["o", "s", "data"])
+                np.add.at(flat, (target * ORDERS + o) * size + slots[o], weight)
+    yield from flush()
+
+
+def _slice(o: int, s: int, part: np.ndarray) -> pa.RecordBatch:
+    """One row of the shuffled tables: counts in sixteenths, 64 bits each, bytes transposed so that they compress."""
+    packed = zstandard.compress(np.rint(part * 16.0).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary())], names=["o", "s", "data"])
 
 
 def _unpack_table(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T
-    return (np.ascontiguousarray(raw).view("<u4").ravel().astype(np.float64) / 16).reshape(2, -1)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T
+    return (np.ascontiguousarray(raw).view("<u8").ravel().astype(np.float64) / 16).reshape(2, -1)
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of equal slices, as ``log_counts``."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for o, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             part = _unpack_table(data)
             sums[o, s] = sums[o, s] + part if (o, s) in sums else part
     for (o, s), part in sums.items():
-        packed = zstandard.compress(np.minimum(np.rint(part * 16), 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        packed = zstandard.compress(log_counts(part).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([s], pa.int32()), pa.array([packed], pa.binary())], names=["o", "s", "data"])
 
 
@@ -410,17 +459,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
     frequencies = Frequencies(total, distinct, per_kind, words, discount, min(0.9, max(0.02, elsewhere / max(1, once))))
 
+    size = table_slots(distinct)
     seen = types.where("n > 0").select("type", "n", "c", "shares")
-    slices = seen.select("type", "n").mapInArrow(lambda it: _fill_tables(it, kinds), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
-    n0, n1 = np.zeros((ORDERS, SLOTS), np.float32), np.zeros((ORDERS, SLOTS), np.float32)
-    for row in slices.collect():  # at most ORDERS * SLOTS entries, whatever the corpus holds
-        part = _unpack_table(bytes(row["data"]))
+    slices = seen.select("type", "n").mapInArrow(lambda it: _fill_tables(it, kinds, size), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
+    n0, n1 = np.zeros((ORDERS, size), np.uint16), np.zeros((ORDERS, size), np.uint16)
+    for row in slices.collect():  # 4 bytes an entry; entries are as many as distinct training words, about
+        part = np.frombuffer(zstandard.decompress(bytes(row["data"])), np.uint16).reshape(2, -1)
         n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
     sample = seen.orderBy(F.xxhash64("type"), "type").limit(SAMPLE).collect()
     names, n = [bytes(r["type"]) for r in sample], np.array([r["n"] for r in sample], float)
     frequencies.share = kind_share(n, np.array([r["c"] for r in sample], float), in_kind(names, [bytes(r["shares"]) for r in sample], kinds), kinds_of(names, kinds), frequencies)
     mixer = train_mixer([t for t, k in zip(names, n, strict=True) if k <= 2], n[n <= 2], n0, n1, kinds)
-    model = spark.sparkContext.broadcast((quantize(n0, n1), mixer))
+    model = spark.sparkContext.broadcast((states_of(n0, n1), mixer))
 
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

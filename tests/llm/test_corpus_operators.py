@@ -255,6 +255,17 @@ def test_spelling_is_a_probability():
     assert (10**leaves).sum() < 1
 
 
+def test_states_keep_the_odds_of_large_counts():
+    n1 = np.array([1e3, 1e5, 1e7, 1e9, 3e11])
+    for odds in (0.25, 2.0, 9.0):
+        states = lm_scoring.quantize(n1 / odds, n1)
+        assert np.allclose(lm_scoring.STRETCH[states], math.log(odds), atol=0.02)
+    packed = lm_scoring._slice(0, 0, np.array([[3e9, 0.5], [1e12, 7.0]]))
+    assert lm_scoring._unpack_table(packed.column(2)[0].as_py()).tolist() == [[3e9, 0.5], [1e12, 7.0]]
+    assert np.allclose(lm_scoring.plain_counts(lm_scoring.log_counts(n1)), n1, rtol=1e-3)
+    assert lm_scoring.table_slots(10) == lm_scoring.SLOTS and lm_scoring.table_slots(5_000_000) == 1 << 23
+
+
 def test_log_gamma():
     x = np.array([1e-8, 0.1, 1.0, 2.5, 40.0, 1e6])
     assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
