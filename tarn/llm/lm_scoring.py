@@ -4,7 +4,8 @@ A document is coded as its lower-cased words, each followed by a space, and one
 Hashed contexts (the word's last bytes, its beginning, and the document's kind) index tables of bit counts gathered
 from all training documents; each gives a prediction, the predictions are combined in the logistic domain by weights
 that a gate chooses (bit position and evidence), and an adaptive probability map refines the result. Weights and map
-are learned online, one mini-batch after another, on words that the tables have had taken out of them.
+are learned online, one mini-batch after another, on all training words, each taken out of the tables for its own bits;
+every partition learns its own and the means by use are taken.
 A word's probability starts from its frequency in the document's kind; what absolute discounting takes from seen words
 is shared between its frequency over all documents and its spelling, as words seen once in a kind tell. This is mixed
 with a model without kinds by the share that best predicts training words left out one at a time. Within a document frequencies
@@ -18,7 +19,7 @@ A word's probability depends only on the word and the class. It is computed once
 over documents by ``vocabulary``; counts of all training tokens meet there by hash.
 
 Bounds: each table has an entry for each distinct training word, ``SLOTS`` at least, in powers of two (a broadcast
-state is 2 bytes), and ``SAMPLE`` words for weights and map. Counts have no end; states hold their odds and evidence.
+state is 2 bytes, for training 4). Counts have no end; states hold their odds and evidence.
 
 Defined results: a null text counts as empty and scores its end alone; a null id is hashed as the empty text and so
 belongs to the training rows; repeated rows are scored one by one; without training rows every probability falls back
@@ -48,8 +49,8 @@ CLASSES, KINDS = 64, 8
 FREQUENT = 4000
 #: How many drawn words of a document weigh as much as the model.
 ALPHA = 3000.0
-#: Entries of each context's table, at least; words that weights and map are learned from, at most.
-SLOTS, SAMPLE = 1 << 20, 40_000
+#: Entries of each context's table, at least.
+SLOTS = 1 << 20
 ORDERS = 6
 END = b"\xff"
 #: Table entries in one row of the shuffled tables.
@@ -152,8 +153,7 @@ def _weight(n: np.ndarray) -> np.ndarray:
 def _inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions and the evidence behind them."""
     total = n0 + n1
-    p = (n1 + 0.3) / (total + 0.6)
-    stretch = np.log(p / (1 - p))
+    stretch = np.log((n1 + 0.3) / (n0 + 0.3))
     return np.clip(stretch * np.minimum(1.0, 0.25 + total / 4), -9, 9), total
 
 
@@ -177,8 +177,11 @@ def log_counts(n: np.ndarray) -> np.ndarray:
     return np.rint(1024 * np.log2(1 + n)).astype(np.uint16)
 
 
+_PLAIN = (2.0 ** (np.arange(1 << 16) / 1024) - 1).astype(np.float32)
+
+
 def plain_counts(n: np.ndarray) -> np.ndarray:
-    return 2.0 ** (n / 1024) - 1 if n.dtype == np.uint16 else n
+    return _PLAIN[n] if n.dtype == np.uint16 else n
 
 
 def states_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -197,6 +200,22 @@ class Mixer:
         self.weights = np.full((8 * 4, ORDERS), 0.35)
         centers = np.linspace(-8, 8, LEVELS)
         self.map = np.tile(1 / (1 + np.exp(-centers)), (256, 1))
+        #: Bits that each gate's weights and each place of the map have learned from; mini-batches so far.
+        self.used, self.hits, self.steps = np.zeros(len(self.weights)), np.zeros(self.map.shape), 0
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and map times their use, and their use, of which ``averaged`` makes one mixer."""
+        use = np.concatenate([np.repeat(self.used, ORDERS), self.hits.ravel()])
+        return np.concatenate([self.weights.ravel(), self.map.ravel()]) * use, use
+
+    @classmethod
+    def averaged(cls, sums: np.ndarray, use: np.ndarray) -> Mixer:
+        """The mean of many mixers by use; what none has used stays as it is before training."""
+        mixer = cls()
+        flat = np.concatenate([mixer.weights.ravel(), mixer.map.ravel()])
+        flat[use > 0] = sums[use > 0] / use[use > 0]
+        mixer.weights, mixer.map = flat[: mixer.weights.size].reshape(-1, ORDERS), flat[mixer.weights.size :].reshape(256, LEVELS)
+        return mixer
 
     def gate(self, bit: int, total: np.ndarray) -> np.ndarray:
         evidence = np.searchsorted([0.5, 4.0, 40.0], total[3])
@@ -215,27 +234,35 @@ class Mixer:
         return np.clip((mixed + refined) / 2, 1e-5, 1 - 1e-5), mixed, low + (share > 0.5)
 
     def learn(self, bit: int, x: np.ndarray, total: np.ndarray, node: np.ndarray, target: np.ndarray, rate: float) -> None:
-        g = self.gate(bit, total)
-        _, mixed, near = self.refine(np.einsum("on,no->n", x, self.weights[g]), node)
-        step = np.zeros_like(self.weights)
-        np.add.at(step, g, ((target - mixed) * x).T)
-        self.weights += rate * step / np.maximum(1, np.bincount(g, minlength=len(step)))[:, None]
-        np.add.at(self.map, (node, near), 0.02 * (target - self.map[node, near]))
-        np.clip(self.map, 1e-4, 1 - 1e-4, out=self.map)
-
-
-def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 256) -> Mixer:
-    """Online, over mini-batches of words; each word's own counts are taken out of the tables for its own bits."""
-    mixer = Mixer()
-    for k, at in enumerate(range(0, len(types), batch)):
+        g = self.gate(bit, total) - bit * 4
+        weights = self.weights[bit * 4 : bit * 4 + 4]
+        _, mixed, near = self.refine((weights @ x)[g, np.arange(len(g))], node)
+        met = np.bincount(g, minlength=4)
+        self.used[bit * 4 : bit * 4 + 4] += met
+        weights += rate * (((g == np.arange(4)[:, None]) * (target - mixed)) @ x.T) / np.maximum(1, met)[:, None]
+        where, flat = node * LEVELS + near, self.map.reshape(-1)
+        self.hits += np.bincount(where, minlength=flat.size).reshape(self.map.shape)
+        flat += np.bincount(where, weights=0.02 * (target - flat[where]), minlength=flat.size)
+        np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
+
+
+def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 256, own_weights: np.ndarray | None = None, mixer: Mixer | None = None) -> Mixer:
+    """Online, over mini-batches of words; each word's own counts are taken out of the tables for its own bits.
+
+    ``own_weights``: by order and word, what the tables hold of the word. ``mixer`` learns on, if given.
+    """
+    mixer = Mixer() if mixer is None else mixer
+    every = np.broadcast_to(_weight(n), (ORDERS, len(types))) if own_weights is None else own_weights
+    for at in range(0, len(types), batch):
         hashes, data, of = contexts(types[at : at + batch], kinds)
-        own = _weight(n[at : at + batch])[of]
+        own = every[:, at : at + batch][:, of].astype(np.float32)
         for bit, slots, target in bit_slots(hashes, data, n0.shape[1]):
             c0 = plain_counts(np.stack([n0[o][slots[o]] for o in range(ORDERS)]))
             c1 = plain_counts(np.stack([n1[o][slots[o]] for o in range(ORDERS)]))
             c0, c1 = np.maximum(0, c0 - own * (1 - target)), np.maximum(0, c1 - own * target)
             states = quantize(c0, c1)
-            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.4 / (1 + k / 20))
+            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.4 / (1 + mixer.steps / 20))
+        mixer.steps += 1
     return mixer
 
 
@@ -277,6 +304,9 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shares.setdefault(t[1:], []).append((t[0] - 48) << 48 | k)
     fresh = dict.fromkeys((w for w, k in words.items() if k), True)
     types = list(counts)
+    # In an order that arrival does not change: mixers learn in it.
+    mixed = np.fromiter((zlib.crc32(t) << 32 | zlib.adler32(t) for t in types), np.uint64, len(types))
+    types = [types[k] for k in np.argsort(mixed).tolist()]
     for at in range(0, len(types), 20_000):
         some = types[at : at + 20_000]
         columns = [pa.array([bucket[t] for t in some], pa.int32()), pa.array(some, pa.binary()), pa.array([counts[t] for t in some], pa.int64()), pa.array([words[t[1:]] for t in some], pa.int64())]
@@ -294,6 +324,18 @@ def in_kind(types: list[bytes], shares: list[bytes], kinds: np.ndarray) -> np.nd
     return np.bincount(of, weights=np.where(same, flat & np.uint64((1 << 48) - 1), 0), minlength=len(types))
 
 
+def own_weights(types: list[bytes], shares: list[bytes], kinds: np.ndarray) -> np.ndarray:
+    """By order and type: the weight that the type's word has in the tables, over all its classes that share the context."""
+    of = np.repeat(np.arange(len(types)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
+    flat = np.frombuffer(b"".join(shares), "<u8")
+    weight = _weight(flat & np.uint64((1 << 48) - 1))
+    same = kinds[(flat >> np.uint64(48)).astype(np.int64)] == kinds_of(types, kinds)[of]
+    out = np.empty((ORDERS, len(types)))
+    out[:2] = np.bincount(of, weights=np.where(same, weight, 0), minlength=len(types))  # contexts with the kind
+    out[2:] = np.bincount(of, weights=weight, minlength=len(types))
+    return out
+
+
 def _words_by_kind(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """By kind: distinct training words, those seen once and twice there, and those seen once there and elsewhere, too."""
     held = np.zeros((4, KINDS), np.int64)
@@ -382,15 +424,33 @@ def _models(n_kind: np.ndarray, c: np.ndarray, kind: np.ndarray, f: Frequencies,
     return own + rest * f.elsewhere * (c - out) / total, rest * (1 - f.elsewhere), plain, np.full(len(c), f.discount * min(f.distinct, total) / total)
 
 
-def kind_share(n: np.ndarray, c: np.ndarray, n_kind: np.ndarray, kind: np.ndarray, f: Frequencies) -> float:
-    """The weight of the model with kinds that best predicts words seen again, each token left out in turn."""
+#: Weights of the model with kinds that are compared.
+GRID = np.linspace(0.02, 0.98, 49)
+
+
+def kind_worth(n: np.ndarray, c: np.ndarray, n_kind: np.ndarray, kind: np.ndarray, f: Frequencies) -> np.ndarray:
+    """For each weight of ``GRID``: how well it predicts words seen again, each token left out in turn (sums of logs)."""
     again = c > 1
-    if not again.any():
-        return 0.5
     with_kinds, _, without, _ = _models(n_kind[again], c[again], kind[again], f, 1)
-    grid = np.linspace(0.02, 0.98, 49)
-    worth = [(n[again] * np.log(g * with_kinds + (1 - g) * without + 1e-12)).sum() for g in grid]
-    return float(grid[int(np.argmax(worth))])
+    return np.array([(n[again] * np.log(g * with_kinds + (1 - g) * without + 1e-12)).sum() for g in GRID])
+
+
+def kind_share(worth: np.ndarray) -> float:
+    """The weight of the model with kinds that is worth most, a half where nothing is seen again."""
+    return float(GRID[int(np.argmax(worth))]) if worth.any() else 0.5
+
+
+def _learn(batches: Iterator[pa.RecordBatch], n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, f: Frequencies) -> Iterator[pa.RecordBatch]:
+    """Sums over the partition's training types: ``kind_worth``, then those of a mixer that learned from all of them."""
+    worth, mixer = np.zeros(len(GRID)), Mixer()
+    for batch in batches:
+        types, n, c, shares = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy().astype(float), batch.column(3).to_pylist()
+        worth += kind_worth(n, c, in_kind(types, shares, kinds), kinds_of(types, kinds), f)
+        train_mixer(types, n, n0, n1, kinds, own_weights=own_weights(types, shares, kinds), mixer=mixer)
+    sums, use = mixer.sums()
+    sums, use = np.r_[worth, sums], np.r_[np.ones(len(GRID)), use]
+    some = np.flatnonzero(use)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some]), pa.array(use[some])], names=["i", "sum", "use"])
 
 
 def kinds_of(types: list[bytes], kinds: np.ndarray) -> np.ndarray:
@@ -462,14 +522,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     size = table_slots(distinct)
     seen = types.where("n > 0").select("type", "n", "c", "shares")
     slices = seen.select("type", "n").mapInArrow(lambda it: _fill_tables(it, kinds, size), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
-    n0, n1 = np.zeros((ORDERS, size), np.uint16), np.zeros((ORDERS, size), np.uint16)
+    tables = np.zeros((ORDERS, size, 2), np.uint16)  # both counts of an entry side by side: one look into memory
+    n0, n1 = tables[..., 0], tables[..., 1]
     for row in slices.collect():  # 4 bytes an entry; entries are as many as distinct training words, about
         part = np.frombuffer(zstandard.decompress(bytes(row["data"])), np.uint16).reshape(2, -1)
         n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
-    sample = seen.orderBy(F.xxhash64("type"), "type").limit(SAMPLE).collect()
-    names, n = [bytes(r["type"]) for r in sample], np.array([r["n"] for r in sample], float)
-    frequencies.share = kind_share(n, np.array([r["c"] for r in sample], float), in_kind(names, [bytes(r["shares"]) for r in sample], kinds), kinds_of(names, kinds), frequencies)
-    mixer = train_mixer([t for t, k in zip(names, n, strict=True) if k <= 2], n[n <= 2], n0, n1, kinds)
+    counted = spark.sparkContext.broadcast(tables)
+
+    @lean
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _learn(batches, counted.value[..., 0], counted.value[..., 1], kinds, frequencies)
+
+    facts = seen.mapInArrow(learn, "i bigint, sum double, use double").groupBy("i").agg(F.sum("sum").alias("sum"), F.sum("use").alias("use")).collect()
+    sums, use = np.zeros((2, len(GRID) + Mixer().sums()[0].size))
+    for row in facts:  # one for each weight and place of the map
+        sums[row["i"]], use[row["i"]] = row["sum"], row["use"]
+    frequencies.share = kind_share(sums[: len(GRID)])
+    mixer = Mixer.averaged(sums[len(GRID) :], use[len(GRID) :])
+    counted.unpersist()
     model = spark.sparkContext.broadcast((states_of(n0, n1), mixer))
 
     @lean

@@ -266,6 +266,26 @@ def test_states_keep_the_odds_of_large_counts():
     assert lm_scoring.table_slots(10) == lm_scoring.SLOTS and lm_scoring.table_slots(5_000_000) == 1 << 23
 
 
+def test_weights_and_share_learn_from_every_training_word(spark, make_docs, monkeypatch):
+    from collections import Counter
+
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 300}x" for j in range(60))) for k in range(80)]
+    seen, averaged = {}, lm_scoring.Mixer.averaged
+    monkeypatch.setattr(lm_scoring.Mixer, "averaged", classmethod(lambda cls, sums, use: seen.update(use=use) or averaged(sums, use)))
+    lm_scoring.lm_scores(make_docs(rows), block_bytes=4000).collect()
+    types = Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            types.update(lm_scoring.analyse(text.encode())[0])
+    bits = sum(8 * (1 if t[1:] == lm_scoring.END else len(t)) for t in types)
+    assert max(types.values()) > 2 and seen["use"][: 32 * lm_scoring.ORDERS].sum() == bits * lm_scoring.ORDERS
+
+    a, b = lm_scoring.Mixer(), lm_scoring.Mixer()
+    a.weights[0], a.used[0], b.weights[0], b.used[0] = 1.0, 1, 4.0, 2
+    mean = lm_scoring.Mixer.averaged(*(x + y for x, y in zip(a.sums(), b.sums(), strict=True)))
+    assert np.allclose(mean.weights[0], 3.0) and np.allclose(mean.weights[1], 0.35) and np.allclose(mean.map, a.map)
+
+
 def test_log_gamma():
     x = np.array([1e-8, 0.1, 1.0, 2.5, 40.0, 1e6])
     assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
