@@ -1,10 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every word n-gram of a test item is a seed. A first pass counts the documents that hold each seed. Rare seeds (in at
-most ``RARE`` documents) and in any case the rarest three quarters of an item's seeds join passages to items, so an item
-that very many documents hold is still found. A second pass aligns the words around the seeds with the item by
-Smith-Waterman (equal words 2, words with an equal stem 1, other pairs -1, gaps -1) and reports passages whose score is
-at least ``THRESHOLD`` of a full copy's.
+Every word n-gram of a test item is a seed and joins passages to the item, however many documents hold it. The words
+around the seeds are aligned with the item by Smith-Waterman (equal words 2, words with an equal stem 1, other pairs -1,
+gaps -1), and passages whose score is at least ``THRESHOLD`` of a full copy's are reported.
 
 Items are the query set: they are taken in blocks of about ``BLOCK_BYTES``, each searched in all documents, so the
 broadcast is bounded whatever the benchmark's size.
@@ -29,8 +27,10 @@ from pyspark.sql import functions as F
 from tarn.llm.memory import lean
 
 NGRAM, STEM = 3, 5
-#: Documents that hold a rare seed, at most; the least share of a full copy's score.
-RARE, THRESHOLD = 100, 0.5
+#: The least share of a full copy's score.
+THRESHOLD = 0.5
+#: Without effect: no seed is left out for being frequent.
+RARE = 100
 #: Bytes of items searched at once.
 BLOCK_BYTES = 8 << 20
 SAME, SIMILAR, OTHER, GAP = 2, 1, -1, 1
@@ -153,29 +153,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([(r["item_id"], r["text"]) for r in picked.orderBy("item_id", "text").collect()])
 
 
-def rare_seeds(docs: DataFrame, items: Items, text_col: str = "text", rare: int = RARE) -> np.ndarray:
-    """The block's seeds that join: rare ones, and the rarest three quarters of each item's."""
-
-    @lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                held[np.unique(items.hits(items.numbers(words_of(text.as_py())), items.seeds)[1])] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["seed", "n"])
-
-    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    held = np.zeros(len(items.seeds), np.int64)
-    for row in counted:
-        held[row["seed"]] = row["n"]
-    keep = held <= rare
-    for w in items.words:
-        mine = np.unique(np.searchsorted(items.seeds, items.keys(w)))
-        keep[mine[np.argsort(held[mine], kind="stable")][: -(-3 * len(mine) // 4)]] = True
-    return items.seeds[keep]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, item_id, score, first_word, end_word): the best passage for each document and item that it holds."""
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
@@ -184,16 +161,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     result = spark.createDataFrame([], schema)
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((items, rare_seeds(docs, items, text_col)))
+        shared = spark.sparkContext.broadcast(items)
 
         @lean
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seeds = shared.value
+            block = shared.value
             item_kind = pa.array(block.ids).type if block.ids else pa.int64()
             for batch in batches:
                 at, found = [], []
                 for k, text in enumerate(batch.column(1)):
-                    for match in matches(words_of(text.as_py()), block, seeds, threshold):
+                    for match in matches(words_of(text.as_py()), block, block.seeds, threshold):
                         at.append(k)
                         found.append(match)
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([block.ids[f[0]] for f in found], item_kind)]
@@ -209,13 +186,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     at = docs.columns.index(text_col)
     spark = docs.sparkSession
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((items, rare_seeds(docs, items, text_col)))
+        shared = spark.sparkContext.broadcast(items)
 
         @lean
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, seeds = shared.value
+            block = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not matches(words_of(t.as_py()), block, seeds, threshold) for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not matches(words_of(t.as_py()), block, block.seeds, threshold) for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -221,6 +221,14 @@ def test_a_passage_that_many_documents_hold_is_found(spark, make_docs, monkeypat
     assert decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 30
 
 
+def test_an_edit_with_only_a_frequent_seed_left_is_found(spark, make_docs):
+    words = [f"{w}q" for w in WORDS[:15]]
+    edited = [w if k not in (3, 6, 9, 12) else f"other{k}" for k, w in enumerate(words)]
+    frequent = [(1000 + k, " ".join(words[:3]) + f" filler{k}") for k in range(150)]
+    got = decontamination.contaminated(make_docs([(1, " ".join(edited)), *frequent]), spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(1, 7, 0.6)]
+
+
 def test_lm_base_scores_and_codes(spark, make_docs):
     # Two languages: for the rarer one the kind of a document tells more than the frequencies over all documents.
     rows = [(k, prose(k, 60) if k % 2 else prose(k, 60)[::-1]) for k in range(80)] + EDGES
