@@ -153,17 +153,24 @@ def _stop_density(text: str) -> float:
 
 def classify(blocks: list[Block]) -> None:
     """Pass one by density, length and place; pass two by the nearest decided neighbours."""
-    has_article = any(b.inside == 1 for b in blocks)
-    for b in blocks:
+    stops_of = [_stop_density(b.text) if b.inside >= 0 and len(b.text) >= MIDDLE else 0.0 for b in blocks]
+    dense = [0, 0]
+    for b, stops in zip(blocks, stops_of, strict=True):
+        if b.inside >= 0 and b.linked / len(b.text) <= MAX_LINKS and stops >= (LOW_STOPS if len(b.text) >= LONG else HIGH_STOPS):
+            dense[b.inside] += len(b.text)
+    # Containers that hold most of the dense text are evidence against what is outside: it must be clearly prose then.
+    has_article = any(b.inside == 1 for b in blocks) and dense[1] >= dense[0]
+    for b, stops in zip(blocks, stops_of, strict=True):
         links = b.linked / len(b.text)
-        if b.inside < 0 or (has_article and b.inside == 0):
+        if b.inside < 0:
             b.label = BAD
+        elif has_article and b.inside == 0:
+            b.label = GOOD if len(b.text) >= LONG and stops >= HIGH_STOPS and links <= MAX_LINKS and "©" not in b.text else BAD
         elif links > MAX_LINKS and (b.inside == 0 or links > 0.8):
             b.label = BAD if b.inside == 0 or len(b.text) < LONG else OPEN
         elif "©" in b.text and len(b.text) < LONG and b.inside == 0:
             b.label = BAD
         elif len(b.text) >= MIDDLE:
-            stops = _stop_density(b.text)
             if stops >= (LOW_STOPS if len(b.text) >= LONG else HIGH_STOPS):
                 b.label = GOOD
             elif b.inside == 0 and stops < LOW_STOPS / 2:

@@ -182,6 +182,16 @@ def test_extraction_of_an_article():
     assert html_extraction.main_text(PAGE) == want
 
 
+PROSE = "The text of the page is that of the article and it is what we want to see on this page for all of us that are here to read it, as it was for you and me in the past."
+
+
+def test_a_teaser_in_a_container_does_not_take_the_article():
+    page = f'<body><p>{PROSE} One.</p><p>{PROSE} Two.</p><div class="story-card"><p>A teaser of the story that is on the other page of the site for you.</p></div></body>'
+    assert f"{PROSE} One.\n\n{PROSE} Two." in html_extraction.main_text(page)
+    page = f"<p>{PROSE} Outside.</p><p>Menu of the site</p><article><p>{PROSE} In.</p><p>{PROSE} In.</p></article>"
+    assert html_extraction.main_text(page) == f"{PROSE} Outside.\n\n{PROSE} In.\n\n{PROSE} In."
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>The text of the page is that of the article and it is what we want to see."), (5, "u", "<script>never closed <p>The text"), (6, "u", "<<>><a <b"), (None, "u", "<!-- open"), (6, "u", "<p>" * 2000 + "The end of the line is here and it is the one that was there for all of us to see.")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "page_id bigint, url string, html string, text int")
