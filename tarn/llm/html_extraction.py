@@ -7,7 +7,8 @@ neighbours in the same container: both sides good or both bad decide; where they
 an article element the undecided stay.
 
 Defined results: a null or empty page gives an empty text; pages without markup are one block; unclosed scripts,
-styles and comments run to the end of the page; character references are decoded after the tags are taken out.
+styles and comments run to the end of the page; of other elements without an end only the tag is skipped, self-closed
+ones are empty, and a head without an end tag ends at the body or the first content; character references are decoded after the tags are taken out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose content is no text of the page.
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button|head|title|audio|video"
+DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button|title|audio|video"
+# Elements that run to the end of the page if they are not closed; elements that may stand in a head.
+RAW = frozenset("script style".split())
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 # Block-level elements.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -48,10 +52,11 @@ STOP_WORDS = {
 }
 
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{DROPPED})\b(?P<dattr>[^>]*+)>(?:.*?</(?P=drop)\s*+>|.*\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<drop>{DROPPED})\b(?P<dattr>[^>]*+)>"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attr>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in [*DROPPED.split("|"), "head"]}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -93,6 +98,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # element, bad, in an article, container
     text: list[str] = []
     linked, in_link, own_bad, at, containers = 0, False, False, 0, 0
+    head = False
+    unclosed: set[str] = set()  # elements that have no end tag from here on
 
     def end_block() -> None:
         nonlocal text, linked, own_bad
@@ -110,15 +117,33 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece.strip())
 
-    for tag in _TAG.finditer(page):
-        add(page[at : tag.start()])
+    def end_of(name: str, start: int) -> int:
+        """Where the element's end tag ends, -1 without one."""
+        found = None if name in unclosed else _END[name].search(page, start)
+        if not found:
+            unclosed.add(name)
+        return found.end() if found else -1
+
+    while tag := _TAG.search(page, at):
+        piece = page[at : tag.start()]
         at = tag.end()
-        name = (tag["name"] or "").lower()
+        name, drop = (tag["name"] or "").lower(), (tag["drop"] or "").lower()
+        if head and (piece.strip() or (name or drop or "head") not in HEAD_PARTS):
+            head = False
+        add(piece)
         if not name:
-            if tag["drop"]:
+            if drop:
                 add(" ")
+                if drop in RAW or not tag["dattr"].endswith("/"):
+                    end = end_of(drop, at)
+                    at = end if end >= 0 else len(page) if drop in RAW else at
+            continue
+        if name == "head" and not tag["close"]:
+            end = end_of(name, at)
+            head, at = end < 0, max(at, end)
+        elif head:
             continue
-        if name == "a":
+        elif name == "a":
             in_link = not tag["close"]
         elif name == "br":
             add(" ")

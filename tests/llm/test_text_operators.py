@@ -192,6 +192,14 @@ def test_a_teaser_in_a_container_does_not_take_the_article():
     assert html_extraction.main_text(page) == f"{PROSE} Outside.\n\n{PROSE} In.\n\n{PROSE} In."
 
 
+def test_unclosed_elements_do_not_take_the_page():
+    for start in ("<head><title>T</title><meta charset=x><body>", "<head><title>T</title>", "<svg/>", '<iframe src="x" />', "<svg>", "<video src=x>", "<button>", "<canvas><object>"):
+        assert html_extraction.main_text(f"<html>{start}<p>{PROSE}</p>") == PROSE, start
+    assert html_extraction.main_text(f"<head><title>T</title>x</head><p>{PROSE}</p>") == PROSE
+    assert html_extraction.main_text(f"<p>{PROSE}</p><style>p <p>{PROSE}") == PROSE
+    html_extraction.main_text("<svg>" * 50_000 + "<head>" * 50_000)
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>The text of the page is that of the article and it is what we want to see."), (5, "u", "<script>never closed <p>The text"), (6, "u", "<<>><a <b"), (None, "u", "<!-- open"), (6, "u", "<p>" * 2000 + "The end of the line is here and it is the one that was there for all of us to see.")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "page_id bigint, url string, html string, text int")
