@@ -161,7 +161,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
 
 
 def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], limits: Limits) -> Iterator[tuple[int, bytes, bytes]]:
-    """One bucket's classes: for each block, the smallest ids and what classes must send (1: their span, 2: windows).
+    """One bucket's classes: for each block, how far the smallest ids lie below its own (modulo 2**64) and what classes must send (1: their span, 2: windows).
 
     The anchors' hashes are taken in ranges of about ``limits.decided`` classes, so memory does not grow with the bucket.
     """
@@ -182,7 +182,7 @@ def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]],
             least[part][some], send[part][some] = smallest[own], sends[own]
             at = own.stop
     for (block, _, _, own), smallest, sends in zip(parts, least, send, strict=True):
-        yield block, pack(np.where(smallest < own, smallest + 1, 0).astype("<i8")), sends.tobytes()
+        yield block, pack((own - smallest).astype("<i8")), sends.tobytes()
 
 
 def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,8 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least, send = own.copy(), np.zeros(len(own), np.uint8)
         for bucket, smallest, sends in parts:
             some = slice(edges[bucket], edges[bucket + 1])
-            value = unpack(smallest)
-            least[some] = np.where(value > 0, value - 1, own[some])
+            least[some] = own[some] - unpack(smallest)
             send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
         whole = b.key > least[b.of_class]
         steps = np.zeros(len(text) + 1, np.int32)

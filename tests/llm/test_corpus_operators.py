@@ -144,6 +144,12 @@ def test_suffix_dedup_equals_brute_force(spark, make_docs, limits):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
 
 
+def test_suffix_dedup_with_negative_ids(spark, make_docs):
+    text = prose(77, 60)
+    got = suffix_dedup.remove_repeats(make_docs([(-5, text), (-2, text), (3, text), (None, text)])).collect()
+    assert {r["doc_id"]: len(r["kept"]) for r in got} == {-5: len(text.encode()), -2: 0, 3: 0, None: 0}
+
+
 def test_suffix_order_and_extensions():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
