@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: (session, path, scope) of each written table.
 _written: list[tuple[SparkSession, str, str]] = []
 _scopes: list[str] = [""]
+#: Shuffle files go as soon as the table that needed them is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -26,27 +28,53 @@ def scope(name: str) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; on a local master one is set where none is (tests).
+
+    On a cluster a folder of one machine would lose data, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tarn-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str = "table", bucket_by: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     The lineage ends at files that outlive any executor, so a lost executor costs a re-read and never a
-    recomputation, and values that depend on task ids or arrival order are fixed once written.
+    recomputation, and values that depend on task ids or arrival order are fixed once written. The shuffles behind the
+    table are deleted with the write. ``bucket_by`` (column, number) writes one file for each bucket: grouping or
+    joining by the column then reads the table without another shuffle.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path, _scopes[-1]))
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        if bucket_by is None:
+            df.write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        column, n = bucket_by
+        known = "tarn_" + uuid.uuid4().hex
+        df.repartition(n, column).write.bucketBy(n, column).option("path", path).option("compression", "zstd").saveAsTable(known)
+    table = spark.table(known).select("*")
+    spark.sql(f"DROP TABLE {known}")  # the catalog's entry; the files stay
+    return table
 
 
 def release(spark: SparkSession, scope_name: str | None = None) -> int:
