@@ -3,27 +3,31 @@
 A byte goes if it lies in a ``WINDOW``-byte string that also starts in a document with a smaller id. Windows that are
 equal choose the same content-defined anchors (``windows.anchors``), so only windows of one anchor need to meet:
 
-1. Documents are written as compressed blocks of texts. Each block sends its distinct anchor classes (anchor hash, hash
-   of the whole span of windows that chose the anchor, smallest id) to the anchor's bucket. Equal spans are decided
-   there: every occurrence with an id above the smallest one is repeated as a whole.
+1. Documents are written as compressed blocks of texts, a few blocks to a group; the table is bucketed by group, so
+   that later steps read it in place and only hashes and decisions move. Each group sends its distinct anchor classes
+   (anchor hash, hash of the whole span of windows that chose the anchor, smallest id) to the anchor's bucket. Equal
+   spans are decided there: every occurrence with an id above the smallest one is repeated as a whole. Each such class
+   then sends its bytes to the group that holds the smallest id, which compares them byte by byte; occurrences within a
+   group are compared there. Should one comparison fail, everything runs again with other hash functions.
 2. Anchors with different spans send the bytes of one span for each class. Their window suffixes are sorted by
    mergesort; two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
    hashes. Neighbours that agree in ``WINDOW`` bytes by hash are compared byte by byte before they count as equal.
-   An anchor with more than ``Limits.crowded`` spans (the edge of a passage that very many documents hold) sends its windows
-   one by one instead, each to the bucket of its own bytes and once from each block, so it meets in no single task.
-3. Decisions return to the blocks, which cut the bytes out.
-
-A class comes at most once from each block and a span once for each class, so copies in any number stay cheap, and no
-window is sampled away. Equal spans are told by 96 bits of hashes over strings of at most 76 bytes.
-
-Ids are ordered as integers, nulls last. Defined results: a null text counts as empty; texts shorter than ``WINDOW``
-lose nothing; equal ids do not remove one another's bytes, so repeated rows are all kept or cut alike; the other columns
-are carried along under their own names.
+   An anchor with more than ``Limits.crowded`` spans (the edge of a passage that very many documents hold) is sorted
+   within each group first; what is left of it goes window by window, each to the bucket of its own bytes, so that it
+   meets in no single task.
+3. Decisions return to the groups, which cut the bytes out.
+
+A class comes at most once from each group and a span once for each class, so copies in any number stay cheap, and no
+window is sampled away. Buckets are ranges of a hash of the anchor that is independent of its choice, and as many as
+keep ``Limits.bucket`` bytes of text in each on average.
+
+Ids must be of an integer type (a ``TypeError`` says so otherwise); they are ordered as integers, nulls last. Defined
+results: a null text counts as empty; texts shorter than ``WINDOW`` lose nothing; equal ids do not remove one another's
+bytes, so repeated rows are all kept or cut alike; the other columns are carried along under their own names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.memory import lean
+from tarn.llm.memory import give_back, lean
 from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
@@ -47,9 +51,9 @@ class Limits:
     """What is held at once; results do not depend on it.
 
     ``block``: bytes of text in a block (its columns stay well below a megabyte, so that the JVM does not have to treat
-    them as huge objects; a larger corpus may take larger blocks for fewer rows). ``chunk``: bytes hashed at once.
+    them as huge objects). ``group``: bytes of text whose anchors are sent together. ``chunk``: bytes hashed at once.
     ``decided``, ``sorted``: classes decided and windows sorted at once, unless one anchor has more. ``crowded``: spans
-    of an anchor that are compared in one task, at most.
+    of an anchor that are compared in one task, at most. ``bucket``: bytes of text whose anchors one bucket takes.
     """
 
     block: int = 1 << 20
@@ -57,8 +61,8 @@ class Limits:
     decided: int = 200_000
     sorted: int = 200_000
     crowded: int = 1000
-
-
+    group: int = 8 << 20
+    bucket: int = 32 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -73,10 +77,10 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-class Block:
-    """A block's occurrences of anchors, and its distinct classes in the order of their hashes."""
+class Group:
+    """A group's occurrences of anchors, and its distinct classes in the order of their hashes."""
 
-    def __init__(self, text: bytes, ends: np.ndarray, keys: np.ndarray, chunk: int = Limits.chunk) -> None:
+    def __init__(self, text: bytes, ends: np.ndarray, keys: np.ndarray, chunk: int = Limits.chunk, seed: int = 0) -> None:
         self.keys = keys
         data = np.frombuffer(text, np.uint8)
         starts = np.r_[0, ends[:-1]] if len(ends) else np.zeros(0, np.int64)
@@ -85,7 +89,7 @@ class Block:
             part = np.concatenate([data[a:b] for _, a, b in pieces])
             sizes = np.array([b - a for _, a, b in pieces])
             part_ends = np.cumsum(sizes)
-            prefix = prefix_hashes(part)
+            prefix = prefix_hashes(part, seed)
             at, first, last = anchors(prefix, part_ends, GRAM, WINDOW)
             piece = np.searchsorted(part_ends, at, side="right")
             length = last - first + WINDOW
@@ -93,7 +97,9 @@ class Block:
             half = mix(substring_hashes(prefix, first, length // 2) + np.uint64(0x632BE59BD9B4E019))
             span = mix(mix(substring_hashes(prefix, first, length)) + half * np.uint64(31) + gram + ((at - first) * 64 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             shift = np.array([a for _, a, _ in pieces])[piece] - (part_ends - sizes)[piece]
-            found.append(((gram >> np.uint64(32)).astype(np.uint32), span, np.array([d for d, _, _ in pieces], np.int32)[piece], first + shift, (last - first + 1).astype(np.int32), (at - first).astype(np.int32)))
+            # Anchors are chosen for a small hash; a second hash spreads them evenly.
+            even = mix(gram * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545F4914F6CDD1D))
+            found.append(((even >> np.uint64(32)).astype(np.uint32), span, np.array([d for d, _, _ in pieces], np.int32)[piece], first + shift, (last - first + 1).astype(np.int32), (at - first).astype(np.int32)))
         empty = [np.zeros(0, t) for t in (np.uint32, np.uint64, np.int32, np.int64, np.int32, np.int32)]
         gram, span, doc, first, count, lead = [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
         key = keys[doc] if len(doc) else np.zeros(0, np.int64)
@@ -131,74 +137,111 @@ class Block:
         return np.searchsorted(self.gram[self.rep].astype(np.uint64), edges)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """block, ends, data, keys and the carried columns, as lists of structs."""
+def _texts(docs: DataFrame, id_col: str, text_col: str, limits: Limits, n: int) -> DataFrame:
+    """group, block, size, ends, data, keys and the carried columns as lists of structs; bucketed by group."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type, to order documents by")
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carry"))
-    schema = T.StructType.fromDDL("block bigint, ends binary, data binary, keys binary").add("carry", T.ArrayType(rows.schema["_carry"].dataType))
+    schema = T.StructType.fromDDL("group bigint, block bigint, size bigint, ends binary, data binary, keys binary").add("carry", T.ArrayType(rows.schema["_carry"].dataType))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, serial = TaskContext.get().partitionId(), 0
+        task, serial, group, held = TaskContext.get().partitionId(), 0, 0, 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             ends = np.cumsum([len(t) for t in texts])
             a = 0
             while a < len(texts):
-                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block_bytes, side="left")) + 1
+                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limits.block, side="left")) + 1
                 b = min(b, len(texts))
                 own = ends[a:b] - (ends[a - 1] if a else 0)
+                if held and held + int(own[-1]) > limits.group:
+                    group, held = serial, 0
                 carry = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(2).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([task << 24 | serial]), pa.array([pack(own.astype("<i8"))], pa.binary()), pa.array([zstandard.compress(b"".join(texts[a:b]), 3)], pa.binary()), pa.array([pack(batch.column(1).slice(a, b - a).to_numpy().astype("<i8"))], pa.binary()), carry],
-                    names=["block", "ends", "data", "keys", "carry"],
+                    [pa.array([task << 32 | group]), pa.array([task << 32 | serial]), pa.array([int(own[-1])]), pa.array([pack(own.astype("<i8"))], pa.binary()), pa.array([zstandard.compress(b"".join(texts[a:b]), 3)], pa.binary()), pa.array([pack(batch.column(1).slice(a, b - a).to_numpy().astype("<i8"))], pa.binary()), carry],
+                    names=["group", "block", "size", "ends", "data", "keys", "carry"],
                 )
+                held += int(own[-1])
                 serial, a = serial + 1, b
 
-    return materialize(rows.mapInArrow(run, schema), "texts")
+    return materialize(rows.mapInArrow(run, schema), "texts", bucket_by=("group", n))
 
 
-def _decide_classes(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], limits: Limits) -> Iterator[tuple[int, bytes, bytes]]:
-    """One bucket's classes: for each block, how far the smallest ids lie below its own (modulo 2**64) and what classes must send (1: their span, 2: windows).
+def _joined(rows: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, pa.Table]:
+    """text, ends, keys of a group's blocks, and the blocks in order."""
+    rows = rows.take(pa.array(np.argsort(rows["block"].to_numpy())))
+    parts, ends, at = [], [], 0
+    for data, own in zip(rows["data"], rows["ends"], strict=True):
+        parts.append(zstandard.decompress(data.as_py()))
+        ends.append(unpack(own.as_py()) + at)
+        at += len(parts[-1])
+    return b"".join(parts), np.concatenate(ends), np.concatenate([unpack(k.as_py()) for k in rows["keys"]]), rows
 
-    The anchors' hashes are taken in ranges of about ``limits.decided`` classes, so memory does not grow with the bucket.
+
+@dataclass
+class Part:
+    """What one group sent to a bucket, and what is decided of it.
+
+    ``least``: the smallest id of each class. ``send``: 1 if the class must send its span, 2 its windows; 4 more if a
+    class of another group is repeated for its sake. ``home``, ``there``: of classes that are repeated as a whole, the
+    group that holds the smallest id, and the number of the class among what it sent.
     """
-    n = max(1, sum(len(p[1]) for p in parts) // limits.decided)
-    low, high = min(int(p[1][0]) for p in parts), max(int(p[1][-1]) for p in parts) + 1
+
+    group: int
+    gram: np.ndarray
+    span: np.ndarray
+    key: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.least, self.send = self.key.copy(), np.zeros(len(self.key), np.uint8)
+        self.home, self.there = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), np.int32)
+
+
+def _decide_classes(parts: list[Part], limits: Limits) -> None:
+    """One bucket's classes. The anchors' hashes are taken in ranges of about ``limits.decided`` classes."""
+    n = max(1, sum(len(p.gram) for p in parts) // limits.decided)
+    low, high = min(int(p.gram[0]) for p in parts), max(int(p.gram[-1]) for p in parts) + 1
     edges = np.linspace(low, high, n + 1).astype(np.int64)
-    cuts = [np.searchsorted(p[1].astype(np.int64), edges) for p in parts]
-    least, send = [np.zeros(len(p[1]), np.int64) for p in parts], [np.zeros(len(p[1]), np.uint8) for p in parts]
+    cuts = [np.searchsorted(p.gram.astype(np.int64), edges) for p in parts]
+    groups = np.array([p.group for p in parts])
     for k in range(n):
         slices = [slice(c[k], c[k + 1]) for c in cuts]
-        gram, span, key = (np.concatenate([p[x][some] for p, some in zip(parts, slices, strict=True)]) for x in (1, 2, 3))
+        gram, span, key = (np.concatenate([getattr(p, x)[some] for p, some in zip(parts, slices, strict=True)]) for x in ("gram", "span", "key"))
         if not len(gram):
             continue
-        smallest, sends = _decide_range(gram, span, key, limits.crowded)
+        owner, send = _decide_range(gram, span, key, limits.crowded)
+        sizes = [some.stop - some.start for some in slices]
+        part = np.repeat(np.arange(len(parts)), sizes)
+        there = np.concatenate([np.arange(some.start, some.stop) for some in slices])
         at = 0
-        for part, some in enumerate(slices):
-            own = slice(at, at + some.stop - some.start)
-            least[part][some], send[part][some] = smallest[own], sends[own]
-            at = own.stop
-    for (block, _, _, own), smallest, sends in zip(parts, least, send, strict=True):
-        yield block, pack((own - smallest).astype("<i8")), sends.tobytes()
+        for p, some, size in zip(parts, slices, sizes, strict=True):
+            of = owner[at : at + size]
+            p.least[some], p.send[some], p.home[some], p.there[some] = key[of], send[at : at + size], groups[part[of]], there[of]
+            at += size
 
 
 def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each class the place of the equal one with the smallest id, and ``Part.send``."""
     order = np.lexsort((key, span, gram))
     g, s, k = gram[order], span[order], key[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
     new = new_gram | np.r_[True, s[1:] != s[:-1]]
     group, kind = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-    least = k[new][kind]
-    begin = np.flatnonzero(new_gram)
+    heads, begin = np.flatnonzero(new), np.flatnonzero(new_gram)
+    least = k[heads][kind]
     classes = np.add.reduceat(new.astype(np.int64), begin)
     several = np.where((classes > 1) & (np.minimum.reduceat(k, begin) < np.maximum.reduceat(k, begin)), np.where(classes > crowded, 2, 1), 0)
-    out_least, out_send = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
+    owner, send = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
+    owner[order] = order[heads][kind]
     # Of each class those with its smallest id send a span; larger ids are repeated as a whole.
-    out_least[order], out_send[order] = least, several[group] * (k == least)
-    return out_least, out_send
+    own = several[group] * (k == least)
+    own[heads] |= 4 * np.logical_or.reduceat(k > least, heads)
+    send[order] = own
+    return owner, send
 
 
 def suffix_order(segment: np.ndarray, start: np.ndarray, prefix: np.ndarray, data: np.ndarray, length: int = WINDOW) -> np.ndarray:
@@ -257,8 +300,25 @@ def compare(a: np.ndarray, b: np.ndarray, prefix: np.ndarray, data: np.ndarray,
     return np.where(ends, 0, np.sign(data[a + step].astype(np.int64) - data[b + step].astype(np.int64)))
 
 
-def repeated_windows(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For each span (concatenated in ``data``) the bits of its windows that a span with a smaller key has, too."""
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray | int, step: int = 1 << 14) -> np.ndarray:
+    """Which strings of ``length`` bytes at ``a`` and ``b`` are equal, byte by byte."""
+    length = np.broadcast_to(length, len(a))
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), step):
+        n = length[k : k + step]
+        begin = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        same = data[np.repeat(a[k : k + step], n) + inside] == data[np.repeat(b[k : k + step], n) + inside]
+        out[k : k + step] = np.logical_and.reduceat(same, begin) if len(same) else True
+    return out
+
+
+def window_classes(gram: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(span, number within it, start in ``data``, class) of each window of spans (concatenated in ``data``) that is not
+    alone at its distance from its anchor; equal windows are of one class.
+
+    Where verification finds a collision, the sort is done again with another hash function.
+    """
     lengths = count + WINDOW - 1
     begin = np.cumsum(lengths) - lengths
     of = np.repeat(np.arange(len(gram)), count)
@@ -271,42 +331,54 @@ def repeated_windows(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count:
     sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]), len(segment)]) if len(segment) else np.zeros(0, np.int64)
     some = np.repeat(sizes, sizes) > 1
     order, segment = order[some], segment[some]
+    kind = np.zeros(len(order), np.int64)
+    for seed in range(4 if len(order) else 0):
+        prefix = prefix_hashes(data, seed)
+        sort = order[suffix_order(segment, start[order], prefix, data)]
+        a, b = start[sort[:-1]], start[sort[1:]]
+        same = segment[1:] == segment[:-1]
+        same[same] = extension(a[same], b[same], prefix, WINDOW) >= WINDOW
+        # Verification: what the hashes call equal is compared byte by byte.
+        checked = np.flatnonzero(same)
+        same[checked] = _equal(data, a[checked], b[checked], WINDOW)
+        kind = np.cumsum(np.r_[True, ~same]) - 1
+        if same[checked].all():
+            break
+    order = sort if len(order) else order
+    return of[order], number[order], start[order], kind
+
+
+def repeated_windows(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each span (concatenated in ``data``) the bits of its windows that a span with a smaller key has, too."""
+    of, number, _, kind = window_classes(gram, lead, count, data)
     mask = np.zeros(len(gram), np.uint64)
-    if not len(order):
+    if not len(of):
         return mask
-    prefix = prefix_hashes(data)
-    sort = suffix_order(segment, start[order], prefix, data)
-    order = order[sort]
-    a, b = start[order[:-1]], start[order[1:]]
-    same = segment[1:] == segment[:-1]
-    same[same] = extension(a[same], b[same], prefix, WINDOW) >= WINDOW
-    # Verification: what the hashes call equal is compared byte by byte.
-    checked = np.flatnonzero(same)
-    steps = np.arange(WINDOW)
-    for k in range(0, len(checked), 1 << 16):
-        some = checked[k : k + (1 << 16)]
-        same[some] = (data[a[some, None] + steps] == data[b[some, None] + steps]).all(axis=1)
-    head = np.r_[True, ~same]
-    least = np.minimum.reduceat(key[of[order]], np.flatnonzero(head))[np.cumsum(head) - 1]
-    repeated = order[key[of[order]] > least]
+    repeated = key[of] > np.minimum.reduceat(key[of], np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]))[kind]
     np.bitwise_or.at(mask, of[repeated], np.uint64(1) << number[repeated].astype(np.uint64))
     return mask
 
 
-def _own_windows(b: Block, text: bytes, kinds: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
-    """Of crowded anchors' classes: (class, window) repeated within the block, and (class, window, bytes) to compare."""
-    groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    for kind in kinds.tolist():
-        r = b.rep[kind]
-        first, key, lead = int(b.first[r]), int(b.key[r]), int(b.lead[r])
-        for number in range(int(b.count[r])):
-            groups.setdefault((lead - number, text[first + number : first + number + WINDOW]), []).append((key, kind, number))
-    own, alone = [], []
-    for (_, window), members in groups.items():
-        least = min(members)[0]
-        own += [(kind, number) for key, kind, number in members if key > least]
-        alone += [(kind, number, window) for key, kind, number in members if key == least]
-    return own, alone
+@dataclass
+class Loose:
+    """Windows of crowded anchors: span, number within it, hash; and which of them the group itself repeats."""
+
+    of: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    hash: np.ndarray
+    repeated: np.ndarray
+
+
+def _loose(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray) -> Loose:
+    """All windows of the spans in ``data``."""
+    lengths = count + WINDOW - 1
+    of = np.repeat(np.arange(len(gram)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = (np.cumsum(lengths) - lengths)[of] + number
+    masks = repeated_windows(gram, key, lead, count, data)
+    hashes = (mix(substring_hashes(prefix_hashes(data), start, WINDOW)) >> np.uint64(32)).astype(np.uint32)
+    return Loose(of, number, start, hashes, (masks[of] >> number.astype(np.uint64)) & np.uint64(1) == 1)
 
 
 def _in_slices(gram: np.ndarray, key: np.ndarray, lead: np.ndarray, count: np.ndarray, data: np.ndarray, most: int) -> np.ndarray:
@@ -342,135 +414,226 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
+def _concatenated(text: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The strings at ``first``, one after another."""
+    begin = np.cumsum(length) - length
+    return text[np.repeat(first - begin, length) + np.arange(int(length.sum()))]
+
+
+#: What a row of the step between the two shuffles is: for its own group what is repeated, and where classes stand that
+#: others are compared with; for another group bytes to compare; a comparison that failed. From 0 on it is a bucket.
+COVER, HOME, CLAIM, FAILED = -1, -2, -3, -4
+STEP = "group bigint, bucket int, a binary, b binary, c binary, d binary, e binary"
+
+
+def _step(rows: list[tuple[int, int, list[bytes]]]) -> pa.Table:
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
+    return pa.table(columns + [pa.array([r[2][k] if k < len(r[2]) else b"" for r in rows], pa.binary()) for k in range(5)], names=["group", "bucket", "a", "b", "c", "d", "e"])
+
+
+def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed: int) -> pa.Table:
+    """The spans repeated as a whole, and what must be compared: spans by bucket, whole classes by the group to ask."""
+    text, ends, keys, _ = _joined(rows)
+    b = Group(text, ends, keys, limits.chunk, seed)
+    data = np.frombuffer(text, np.uint8)
+    edges, own = b.buckets(n_buckets), b.key[b.rep]
+    least, send = own.copy(), np.zeros(len(own), np.uint8)
+    home, there = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    for bucket, delta, sends, homes, place in zip(*(found[c].to_pylist() for c in ("bucket", "least", "send", "home", "there")), strict=True):
+        some = slice(edges[bucket], edges[bucket + 1])
+        least[some] = own[some] - unpack(delta)
+        send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
+        repeated = np.flatnonzero(own[some] > least[some]) + edges[bucket]
+        home[repeated], there[repeated] = unpack(homes), unpack(place).astype(np.int64) | bucket << 32
+    me = int(rows["group"][0].as_py())
+    out: list[tuple[int, int, list[bytes]]] = []
+
+    whole = b.key > least[b.of_class]
+    rep = b.rep[b.of_class]
+    more = np.flatnonzero(np.arange(len(rep)) != rep)
+    alike = (b.count[more] == b.count[rep[more]]) & (b.lead[more] == b.lead[rep[more]])
+    alike[alike] = _equal(data, b.first[more[alike]], b.first[rep[more[alike]]], b.count[more[alike]] + WINDOW - 1)
+    if not alike.all():
+        out.append((me, FAILED, []))
+    # Bytes of what others decide, in the order of the text: neighbours overlap, and compress for it.
+    asked = np.flatnonzero(own > least)
+    asked = asked[np.lexsort((b.first[b.rep[asked]], home[asked]))]
+    for some in np.split(asked, np.flatnonzero(np.diff(home[asked])) + 1) if len(asked) else []:
+        r = b.rep[some]
+        out.append((int(home[some[0]]), CLAIM, [pack(there[some].astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), zstandard.compress(_concatenated(data, b.first[r], b.count[r].astype(np.int64) + WINDOW - 1).tobytes(), 1)]))
+    homes = np.flatnonzero(send & 4)
+    if len(homes):
+        bucket = np.searchsorted(edges, homes, side="right") - 1
+        r = b.rep[homes]
+        out.append((me, HOME, [pack((homes - edges[bucket] | bucket << 32).astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), pack(b.first[r].astype("<i8"))]))
+    send &= 3
+
+    steps = np.zeros(len(text) + 1, np.int32)
+    np.add.at(steps, b.first[whole], 1)
+    np.add.at(steps, b.first[whole] + b.count[whole] + WINDOW - 1, -1)
+    crowd = np.flatnonzero(send == 2)
+    r = b.rep[crowd]
+    loose = _loose(b.gram[r], b.key[r], b.lead[r], b.count[r], _concatenated(data, b.first[r], b.count[r].astype(np.int64) + WINDOW - 1))
+    for number in np.unique(loose.number[loose.repeated]):
+        kinds = np.zeros(len(own), bool)
+        kinds[crowd[loose.of[loose.repeated & (loose.number == number)]]] = True
+        starts = b.first[kinds[b.of_class] & ~whole] + number
+        np.add.at(steps, starts, 1)
+        np.add.at(steps, starts + WINDOW, -1)
+    runs = np.flatnonzero(np.diff(np.r_[False, np.cumsum(steps, dtype=np.int32) > 0])).astype("<i8")
+    # Places of the classes that are compared, in the documents with the smallest id.
+    places = np.flatnonzero((send[b.of_class] > 0) & ~whole)
+    out.append((me, COVER, [pack(runs), pack(b.of_class[places].astype("<i8")), pack(b.first[places].astype("<i8"))]))
+
+    # Spans and loose windows as one list: class, first, windows, lead, number within the class, hash.
+    spans, alone = np.flatnonzero(send == 1), np.flatnonzero(~loose.repeated)
+    kind = np.r_[spans, crowd[loose.of[alone]]]
+    number = np.r_[np.zeros(len(spans), np.int64), loose.number[alone]]
+    count = np.r_[b.count[b.rep[spans]], np.ones(len(alone), np.int64)].astype(np.int64)
+    gram = np.r_[b.gram[b.rep[spans]], loose.hash[alone]]
+    to = np.r_[np.searchsorted(edges, spans, side="right") - 1, loose.hash[alone].astype(np.int64) * n_buckets >> 32]
+    order = np.argsort(to, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+        r = b.rep[kind[some]]
+        shape = (b.lead[r] - number[some]) * 64 + count[some] + (number[some] << 12)
+        spelled = _concatenated(data, b.first[r] + number[some], count[some] + WINDOW - 1)
+        out.append((me, int(to[some[0]]), [pack(gram[some].astype("<u4")), pack(kind[some].astype("<i8")), pack(b.key[r].astype("<i8")), pack(shape.astype("<i4")), zstandard.compress(spelled.tobytes(), 3)]))
+    give_back()
+    return _step(out)
+
+
+def _verify(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """A row if what another group takes for this group's bytes is something else."""
+    text, _, _, _ = _joined(rows)
+    data = np.frombuffer(text, np.uint8)
+    where, shape, first = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    notes = found.to_pylist()
+    for note in notes:
+        if note["bucket"] == HOME:
+            where, shape, first = (unpack(note[c]) for c in "abc")
+    order = np.argsort(where)
+    where, shape, first = where[order], shape[order], first[order]
+    failed = False
+    for note in notes:
+        if note["bucket"] == CLAIM:
+            there, same = unpack(note["a"]), unpack(note["b"])
+            at = np.searchsorted(where, there)
+            theirs = np.frombuffer(zstandard.decompress(note["c"]), np.uint8)
+            failed |= not (shape[at] == same).all() or not np.array_equal(_concatenated(data, first[at], (same & 63).astype(np.int64) + WINDOW - 1), theirs)
+    give_back()
+    return pa.table({"failed": pa.array([True] * failed, pa.bool_())})
+
+
+def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
+    text, ends, _, rows = _joined(rows)
+    carry = rows["carry"].combine_chunks().flatten()
+    steps = np.zeros(len(text) + 1, np.int32)
+    notes = found.to_pylist()
+    kinds, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for note in notes:
+        if note["bucket"] == COVER:
+            runs, kinds, places = (unpack(note[c]) for c in "abc")
+            np.add.at(steps, runs[::2], 1)
+            np.add.at(steps, runs[1::2], -1)
+    for note in notes:
+        if note["bucket"] != COVER:
+            kind, mask = unpack(note["a"]), unpack(note["b"])
+            at = np.clip(np.searchsorted(kind, kinds), 0, len(kind) - 1)
+            hit = kind[at] == kinds
+            first, bits = places[hit], mask[at[hit]]
+            for n in range(64):
+                start = first[(bits >> np.uint64(n)) & np.uint64(1) == 1] + n
+                np.add.at(steps, start, 1)
+                np.add.at(steps, start + WINDOW, -1)
+    gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
+    spans, kept, begin = [], [], 0
+    for end in ends.tolist():
+        runs = np.flatnonzero(np.diff(np.r_[False, gone[begin:end], False]))
+        spans.append([{"start": a, "stop": b} for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True)])
+        edges = [0, *runs.tolist(), end - begin]
+        kept.append(b"".join(text[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        begin = end
+    sizes = np.diff(np.r_[0, ends])
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    out = pa.table([carry, pa.array(sizes), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["carry", "n_bytes", "spans", "kept"])
+    give_back()
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The other columns of ``docs``, n_bytes, spans (array of start, stop: removed bytes) and kept (binary)."""
     spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _blocks(docs, id_col, text_col, limits.block)
-
-    @lean
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, ends, data, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = Block(zstandard.decompress(data), unpack(ends), unpack(keys), limits.chunk)
-                edges, rep = b.buckets(n_buckets), b.rep
-                rows = [(k, rep[edges[k] : edges[k + 1]]) for k in range(n_buckets) if edges[k] < edges[k + 1]]
-                columns = [pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64())]
-                columns += [pa.array([pack(values[r].astype(kind)) for _, r in rows], pa.binary()) for values, kind in ((b.gram, "<u4"), (b.span, "<u8"), (b.key, "<i8"))]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "gram", "span", "key"])
-
-    @lean
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            out = list(_decide_classes([(block, unpack(g), unpack(s), unpack(k)) for block, g, s, k in rows], limits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out]), pa.array([bucket] * len(out), pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([zstandard.compress(o[2], 1) for o in out], pa.binary())],
-                names=["block", "bucket", "least", "send"],
-            )
-
-    sent = texts.select("block", "ends", "data", "keys").mapInArrow(classes, "bucket int, block bigint, gram binary, span binary, key binary")
-    decided = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, "block bigint, bucket int, least binary, send binary")
-
-    def cover(rows: pa.Table, found: pa.Table) -> pa.Table:
-        """The spans repeated as a whole, and the spans to compare, by bucket."""
-        row, parts = rows.to_pylist()[0], sorted(zip(*(found[c].to_pylist() for c in ("bucket", "least", "send")), strict=True))
-        text = zstandard.decompress(row["data"])
-        b = Block(text, unpack(row["ends"]), unpack(row["keys"]), limits.chunk)
-        edges, own = b.buckets(n_buckets), b.key[b.rep]
-        least, send = own.copy(), np.zeros(len(own), np.uint8)
-        for bucket, smallest, sends in parts:
-            some = slice(edges[bucket], edges[bucket + 1])
-            least[some] = own[some] - unpack(smallest)
-            send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
-        whole = b.key > least[b.of_class]
-        steps = np.zeros(len(text) + 1, np.int32)
-        np.add.at(steps, b.first[whole], 1)
-        np.add.at(steps, b.first[whole] + b.count[whole] + WINDOW - 1, -1)
-        own_windows, alone = _own_windows(b, text, np.flatnonzero(send == 2))
-        for kind, number in own_windows:
-            a, z = np.searchsorted(b.of_class, [kind, kind + 1])
-            starts = b.first[a:z][~whole[a:z]] + number
-            np.add.at(steps, starts, 1)
-            np.add.at(steps, starts + WINDOW, -1)
-        depth = np.cumsum(steps, dtype=np.int32) > 0
-        runs = np.flatnonzero(np.diff(np.r_[False, depth])).astype("<i8")
-        # Places of the classes that are compared, in the documents with the smallest id.
-        places = np.flatnonzero((send[b.of_class] > 0) & ~whole)
-        out = [(row["block"], -1, [pack(runs), pack(b.of_class[places].astype("<i8")), pack(b.first[places].astype("<i8"))] + [b""] * 2)]
-        parts = {bucket: np.flatnonzero(send[edges[bucket] : edges[bucket + 1]] == 1) + edges[bucket] for bucket in range(n_buckets)}
-        loose: dict[int, list[tuple[int, int, bytes]]] = {}
-        for kind, number, window in alone:
-            loose.setdefault(zlib.crc32(window) % n_buckets, []).append((kind, number, window))
-        for bucket in sorted(k for k in parts if len(parts[k]) or k in loose):
-            mine, more = parts[bucket], loose.get(bucket, [])
-            r = b.rep[mine]
-            spans = [text[f : f + c + WINDOW - 1] for f, c in zip(b.first[r].tolist(), b.count[r].tolist(), strict=True)] + [w for _, _, w in more]
-            kinds, numbers = np.array([k for k, _, _ in more], np.int64), np.array([n for _, n, _ in more], np.int64)
-            rep = b.rep[kinds]
-            gram = np.r_[b.gram[r], np.array([zlib.crc32(w) for _, _, w in more], np.uint32)]
-            shape = np.r_[b.lead[r] * 64 + b.count[r], (b.lead[rep] - numbers) * 64 + 1 + (numbers << 12)]
-            out.append((row["block"], bucket, [pack(gram.astype("<u4")), pack(np.r_[mine, kinds].astype("<i8")), pack(np.r_[b.key[r], b.key[rep]].astype("<i8")), pack(shape.astype("<i4")), zstandard.compress(b"".join(spans), 3)]))
-        columns = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32())]
-        return pa.table(columns + [pa.array([o[2][k] for o in out], pa.binary()) for k in range(5)], names=["block", "bucket", "a", "b", "c", "d", "e"])
-
-    covered = texts.select("block", "ends", "data", "keys").groupBy("block").cogroup(decided.groupBy("block"))
-    steps = materialize(covered.applyInArrow(cover, "block bigint, bucket int, a binary, b binary, c binary, d binary, e binary"), "spans")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs, id_col, text_col, limits, n)
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    n_buckets = n * max(1, -(-size // (n * limits.bucket)))
+    seed = 0
+    while (steps := _steps(texts, n, n_buckets, limits, seed)) is None:
+        seed += 1
 
     @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             gram, kind, key, shape = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3, 4))
-            block = np.repeat([r[0] for r in rows], [len(unpack(r[1])) for r in rows])
+            group = np.repeat([r[0] for r in rows], [len(unpack(r[1])) for r in rows])
             data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
             mask = _in_slices(gram, key, (shape & 4095) // 64, shape & 63, data, limits.sorted) << (shape >> 12).astype(np.uint64)
-            for one in np.unique(block[mask > 0]):
-                hit = (block == one) & (mask > 0)
+            for one in np.unique(group[mask > 0]):
+                hit = (group == one) & (mask > 0)
                 kinds, at = np.unique(kind[hit], return_inverse=True)
                 bits = np.zeros(len(kinds), np.uint64)
                 np.bitwise_or.at(bits, at, mask[hit])
-                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kinds.astype("<i8"))], pa.binary()), pa.array([pack(bits.astype("<u8"))], pa.binary())], names=["block", "kind", "mask"])
-
-    masks = steps.where("bucket >= 0").select("bucket", "block", "a", "b", "c", "d", "e").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "block bigint, kind binary, mask binary")
-    both = steps.where("bucket < 0").select("block", F.lit(True).alias("cover"), "a", "b", "c").unionByName(masks.select("block", F.lit(False).alias("cover"), F.col("kind").alias("a"), F.col("mask").alias("b"), F.lit(None).cast("binary").alias("c")))
-
-    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
-        carry = rows["carry"].combine_chunks().flatten()
-        text, ends = zstandard.decompress(rows["data"][0].as_py()), unpack(rows["ends"][0].as_py())
-        steps = np.zeros(len(text) + 1, np.int32)
-        notes = found.to_pylist()
-        place = {}
-        for note in notes:
-            if note["cover"]:
-                runs = unpack(note["a"])
-                np.add.at(steps, runs[::2], 1)
-                np.add.at(steps, runs[1::2], -1)
-                place = {"kind": unpack(note["b"]), "first": unpack(note["c"])}
-        for note in notes:
-            if not note["cover"]:
-                kind, mask = unpack(note["a"]), unpack(note["b"])
-                o = np.argsort(kind)
-                kind, mask = kind[o], mask[o]
-                at = np.clip(np.searchsorted(kind, place["kind"]), 0, len(kind) - 1)
-                hit = kind[at] == place["kind"]
-                first, bits = place["first"][hit], mask[at[hit]]
-                for n in range(64):
-                    start = first[(bits >> np.uint64(n)) & np.uint64(1) == 1] + n
-                    np.add.at(steps, start, 1)
-                    np.add.at(steps, start + WINDOW, -1)
-        gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
-        spans, kept, begin = [], [], 0
-        for end in ends.tolist():
-            runs = np.flatnonzero(np.diff(np.r_[False, gone[begin:end], False]))
-            spans.append([{"start": a, "stop": b} for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True)])
-            edges = [0, *runs.tolist(), end - begin]
-            kept.append(b"".join(text[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            begin = end
-        sizes = np.diff(np.r_[0, ends])
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.table([carry, pa.array(sizes), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["carry", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kinds.astype("<i8"))], pa.binary()), pa.array([pack(bits.astype("<u8"))], pa.binary())], names=["group", "a", "b"])
 
+    spans = steps.where("bucket >= 0").select("bucket", "group", "a", "b", "c", "d", "e")
+    masks = _to_bucket(spans, n).mapInArrow(resolve, "group bigint, a binary, b binary")
+    empty = F.lit(None).cast("binary").alias("c")
+    both = steps.where(F.col("bucket") == COVER).select("group", "bucket", "a", "b", "c").unionByName(masks.select("group", F.lit(0).alias("bucket"), "a", "b", empty))
     schema = T.StructType().add("carry", texts.schema["carry"].dataType.elementType)
     for f in T.StructType.fromDDL("n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"):
         schema.add(f)
-    final = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
+    final = texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(_cut, schema)
     return final.select("carry.*", "n_bytes", "spans", "kept")
+
+
+def _to_bucket(rows: DataFrame, n: int) -> DataFrame:
+    """Rows dealt evenly by bucket, sorted by it."""
+    return rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+
+
+def _steps(texts: DataFrame, n: int, n_buckets: int, limits: Limits, seed: int) -> DataFrame | None:
+    """What the groups do once equal spans are decided, written; None if a comparison of bytes has failed."""
+
+    def classes(rows: pa.Table) -> pa.Table:
+        text, ends, keys, _ = _joined(rows)
+        b = Group(text, ends, keys, limits.chunk, seed)
+        edges, rep = b.buckets(n_buckets), b.rep
+        sent = [(k, rep[edges[k] : edges[k + 1]]) for k in range(n_buckets) if edges[k] < edges[k + 1]]
+        columns = [pa.array([k for k, _ in sent], pa.int32()), pa.array([rows["group"][0].as_py()] * len(sent), pa.int64())]
+        columns += [pa.array([pack(values[r].astype(kind)) for _, r in sent], pa.binary()) for values, kind in ((b.gram, "<u4"), (b.span, "<u8"), (b.key, "<i8"))]
+        give_back()
+        return pa.table(columns, names=["bucket", "group", "gram", "span", "key"])
+
+    @lean
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            parts = [Part(group, unpack(g), unpack(s), unpack(k)) for group, g, s, k in rows]
+            del rows
+            _decide_classes(parts, limits)
+            again = [p.key > p.least for p in parts]
+            columns = [pa.array([p.group for p in parts]), pa.array([bucket] * len(parts), pa.int32()), pa.array([pack((p.key - p.least).astype("<i8")) for p in parts], pa.binary()), pa.array([zstandard.compress(p.send.tobytes(), 1) for p in parts], pa.binary())]
+            columns += [pa.array([pack(getattr(p, x)[some].astype(kind)) for p, some in zip(parts, again, strict=True)], pa.binary()) for x, kind in (("home", "<i8"), ("there", "<i4"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "bucket", "least", "send", "home", "there"])
+
+    def cover(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return _cover(rows, found, n_buckets, limits, seed)
+
+    read = texts.select("group", "block", "ends", "data", "keys")
+    sent = read.groupBy("group").applyInArrow(classes, "bucket int, group bigint, gram binary, span binary, key binary")
+    decided = _to_bucket(sent, n).mapInArrow(decide, "group bigint, bucket int, least binary, send binary, home binary, there binary")
+    steps = materialize(read.groupBy("group").cogroup(decided.groupBy("group")).applyInArrow(cover, STEP), "steps")
+    claims = steps.where(F.col("bucket").isin(HOME, CLAIM))
+    wrong = read.groupBy("group").cogroup(claims.groupBy("group")).applyInArrow(_verify, "failed boolean")
+    if steps.where(F.col("bucket") == FAILED).isEmpty() and not wrong.agg(F.count("*")).first()[0]:
+        return steps
+    return None

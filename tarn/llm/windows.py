@@ -6,12 +6,20 @@ subtraction and one multiplication. Equal strings have equal hashes; callers ver
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: An odd base and the seed of the byte table.
 BASE, SEED = 0x9E3779B97F4A7C15, 20_240_607
 INVERSE = pow(BASE, -1, 1 << 64)
-TABLE = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(4)
+def byte_table(seed: int) -> np.ndarray:
+    """Random odd values of the bytes; another seed is another hash function."""
+    return np.random.default_rng(SEED + seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -27,10 +35,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P[i] = sum of TABLE[data[j]] * BASE**j over j < i."""
+def prefix_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """P[i] = sum of byte_table[data[j]] * BASE**j over j < i."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum(byte_table(seed)[data] * powers(len(data))[0], out=out[1:])
     return out
 
 
