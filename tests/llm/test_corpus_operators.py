@@ -127,7 +127,7 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [suffix_dedup.Limits(), suffix_dedup.Limits(3000, 700, 50, 50, 1000), suffix_dedup.Limits(9000, 700, 50, 50, 2)])
+@pytest.mark.parametrize("limits", [suffix_dedup.Limits(), suffix_dedup.Limits(3000, 700, 50, 50, 1000, 7000, 500), suffix_dedup.Limits(9000, 700, 50, 50, 2)])
 def test_suffix_dedup_equals_brute_force(spark, make_docs, limits):
     rng = random.Random(11)
     shared = [prose(70 + k, 25) for k in range(3)]
@@ -199,7 +199,7 @@ def test_decontamination_finds_copies_and_edits(spark, make_docs, monkeypatch):
     rng = random.Random(9)
     vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, text(30)) for k in range(12)] + [(50, None), (51, ""), (52, "too short"), (53, text(30))]
+    items = [(k, text(30)) for k in range(12)] + [(50, None), (51, ""), (52, "short"), (53, text(30)), (54, "Too short")]
     docs = [(k, text(80)) for k in range(60)]
     planted = set()
     for d, (k, item) in zip(range(0, 48, 4), items):
@@ -209,19 +209,63 @@ def test_decontamination_finds_copies_and_edits(spark, make_docs, monkeypatch):
                 words[at] = rng.choice(vocabulary)
         docs[d] = (d, text(30) + " " + " ".join(words).upper() + ", " + text(40))
         planted.add((d, k))
+    docs[59] = (59, text(20) + " too short " + text(9) + " short")
+    planted.add((59, 54))
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for size in (decontamination.BLOCK_BYTES, 700):
-        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    for bits in (decontamination.MAX_BITS, 64):
+        monkeypatch.setattr(decontamination, "MAX_BITS", bits)
         got = decontamination.contaminated(make_docs(docs + EDGES), benchmark).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == planted and all(0.5 <= r["score"] <= 1 for r in got)
     kept = decontamination.drop_contaminated(make_docs(docs + EDGES), benchmark)
-    assert kept.count() == len(docs) + len(EDGES) - len(planted) and "odd name" in kept.columns
+    assert kept.count() == len(docs) + len(EDGES) - len(planted) and kept.columns == make_docs([]).columns
     assert decontamination.contaminated(make_docs([]), benchmark).count() == 0
     assert decontamination.contaminated(make_docs(docs), benchmark.where("false")).count() == 0
 
 
-def test_a_passage_that_many_documents_hold_is_found(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(decontamination, "RARE", 2)
+def edited(rng, words, vocabulary, how):
+    """A copy with every third, fourth or fifth word replaced, words put in between, left out, or inflected."""
+    if isinstance(how, int):
+        return [rng.choice(vocabulary) if k % how == how - 1 else w for k, w in enumerate(words)]
+    if how == "between":
+        return [x for w in words for x in ([w, rng.choice(vocabulary)] if rng.random() < 0.9 else [w])]
+    if how == "left out":
+        return [w for w in words if rng.random() < 0.8]
+    return [w + "ness" if len(w) >= 5 and rng.random() < 0.7 else w for w in words]
+
+
+def test_decontamination_equals_exhaustive_alignment(spark, make_docs):
+    """Every pair of text and item at the threshold or above, and no other, with the score of the whole matrix."""
+    rng = random.Random(21)
+    common, rare = WORDS[:6], [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(common if rng.random() < 0.4 else rare) for _ in range(n)]
+    items = [(k, text(rng.choice([2, 3, 4, 5, 9, 14, 20, 31]))) for k in range(40)]
+    rows, kinds = [], Counter()
+    for d in range(160):
+        how = [3, 4, 5, "between", "left out", "inflected"][d % 6]
+        rows.append((d, " ".join(text(rng.randint(0, 25)) + edited(rng, items[d % 40][1], rare, how) + text(rng.randint(0, 25)))))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(make_docs(rows), benchmark).collect()}
+    want = {}
+    for d, t in rows:
+        for k, w in items:
+            score = brute_alignment(w, t.split()) / (2 * len(w))
+            if score >= 0.5 and len(w) > 2:
+                want[d, k] = score
+                kinds[d % 6] += 1
+    assert {pair: score for pair, score in got.items() if len(items[pair[1]][1]) > 2} == want
+    assert all(n > 5 for n in kinds.values()) and len(kinds) == 6
+
+
+def test_every_third_word_replaced_is_found(spark, make_docs):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(60)]
+    docs = make_docs([(k, " ".join(edited(rng, w, ["zzz", "qqq"], 3))) for k, w in enumerate(items)])
+    got = decontamination.contaminated(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(k, k) for k in range(60)}
+
+
+def test_a_passage_that_many_documents_hold_is_found(spark, make_docs):
     item = prose(500, 30)
     docs = make_docs([(k, prose(600 + k, 20) + " " + item + " " + prose(700 + k, 20)) for k in range(30)])
     assert decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 30
