@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Schemes of object stores, whose rename is a copy.
+_OBJECT_STORES = frozenset("s3 s3a gs".split())
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -24,18 +31,49 @@ class Store:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file whole; False if it exists already. Rename of a hidden file publishes it in one step."""
-        if self.exists(name):
-            return False
-        from uuid import uuid4
+        """Write a new file whole; False if it exists already. Of several writers at once exactly one succeeds.
 
+        On a local file system a hidden file is published by a hard link, which fails where the name exists; file
+        systems with an atomic rename get that, without overwriting; object stores get a conditional put.
+        """
+        target, scheme = self._path(name), self.fs.getUri().getScheme()
+        if self.fs.exists(target):
+            return False
+        if scheme in _OBJECT_STORES:
+            return self._put_if_absent(target, text)
         hidden = self._path(f"_{uuid4().hex}.tmp")
         stream = self.fs.create(hidden, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(name) or not self.fs.rename(hidden, self._path(name)):
-            self.fs.delete(hidden, False)
+        try:
+            if scheme == "file":
+                self.fs.mkdirs(target.getParent())
+                os.link(hidden.toUri().getPath(), target.toUri().getPath())
+                return True
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+            self.fs.mkdirs(target.getParent())
+            options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+            context.rename(hidden, target, options)
+            return True
+        except FileExistsError:
             return False
+        except Py4JJavaError as lost:
+            if lost.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        finally:
+            self.fs.delete(hidden, False)
+
+    def _put_if_absent(self, target, text: str) -> bool:
+        builder = self.fs.createFile(target).overwrite(False).recursive()
+        stream = builder.must("fs.option.create.conditional.overwrite", "true").build()
+        stream.write(bytearray(text.encode()))
+        try:
+            stream.close()
+        except Py4JJavaError:
+            if self.fs.exists(target):
+                return False
+            raise
         return True
 
     def delete(self, name: str) -> None:

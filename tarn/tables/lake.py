@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.plans.materialize import materialize
 from tarn.tables.files import Store
 from tarn.tables.transforms import Transform
 
@@ -281,9 +282,13 @@ class LakeTable:
         rows = self.spark.read.parquet(folder).count()
         return [{"path": folder, "targets": targets, "rows": rows}] if targets else []
 
-    def _commit(self, change: Callable[[State], None] | None, operation: str, add: list[dict], deletes: list[dict], remove: list[str], read: list[Predicate] | None = None) -> None:
-        """Publish the next version; on a lost race rebase on the winner's, unless it changed what this one has read."""
-        base = self.state.current
+    def _commit(self, change: Callable[[State], None] | None, operation: str, add: list[dict], deletes: list[dict], remove: list[str], read: list[list[Predicate]] | None = None, base: dict | None = None) -> None:
+        """Publish the next version; on a lost race rebase on the winner's, unless it changed what this one has read.
+
+        ``read``: the conditions, each a list of predicates (an empty one reads every row), whose rows the change rests
+        on. ``base``: the snapshot that it has seen, if not the handle's current one.
+        """
+        base = base or self.state.current
         base_files, base_deletes = {f["path"] for f in base["files"]}, {d["path"] for d in base["deletes"]}
         touched = {t for d in deletes for t in d["targets"]} | set(remove)
         for _ in range(MAX_RETRIES):
@@ -295,9 +300,9 @@ class LakeTable:
                     raise CommitConflict("a file with changed rows was replaced by another writer")
                 if any(set(d["targets"]) & touched for d in now["deletes"] if d["path"] not in base_deletes):
                     raise CommitConflict("another writer changed rows of the same file")
-                if read is not None and state.properties["write.isolation-level"] == "serializable":
+                if read and state.properties["write.isolation-level"] == "serializable":
                     for f in now["files"]:
-                        if f["path"] not in base_files and all(self._may_hold(f, p) for p in read):
+                        if f["path"] not in base_files and any(all(self._may_hold(f, p) for p in each) for each in read):
                             raise CommitConflict("another writer added rows that the condition may match")
             if change:
                 change(state)
@@ -327,10 +332,11 @@ class LakeTable:
         rows, read = self._matching(where)
         deletes = self._write_deletes(rows)
         gone = self._rows_at(deletes) if deletes else rows.drop("_file", "_pos").limit(0)
-        self._commit(None, "delete", [], deletes, [], read)
+        self._commit(None, "delete", [], deletes, [], [read])
         return gone
 
-    def _matching(self, where: Column | list[Predicate]) -> tuple[DataFrame, list[Predicate] | None]:
+    def _matching(self, where: Column | list[Predicate]) -> tuple[DataFrame, list[Predicate]]:
+        """The rows that satisfy ``where``, with their places, and what of it is known about files (a column: nothing)."""
         predicates = where if isinstance(where, list) else []
         df = self._read(self.plan_files(predicates), self.state.current["deletes"], keep_position=True)
         for p in predicates:
@@ -340,7 +346,7 @@ class LakeTable:
     def delete(self, where: Column | list[Predicate]) -> int:
         rows, read = self._matching(where)
         deletes = self._write_deletes(rows)
-        self._commit(None, "delete", [], deletes, [], read)
+        self._commit(None, "delete", [], deletes, [], [read])
         return sum(d["rows"] for d in deletes)
 
     def update(self, where: Column | list[Predicate], values: dict[str, Column]) -> int:
@@ -351,12 +357,12 @@ class LakeTable:
             return 0
         changed = self._rows_at(deletes)
         files = self._write(changed.withColumns({c: F.expr(v) if isinstance(v, str) else v for c, v in values.items()}))
-        self._commit(None, "overwrite", files, deletes, [], read)
+        self._commit(None, "overwrite", files, deletes, [], [read])
         return deletes[0]["rows"]
 
-    def _rows_at(self, deletes: list[dict]) -> DataFrame:
+    def _rows_at(self, deletes: list[dict], files: list[dict] | None = None) -> DataFrame:
         targets = {t for d in deletes for t in d["targets"]}
-        files = [f for f in self.state.current["files"] if f["path"] in targets]
+        files = [f for f in (self.state.current["files"] if files is None else files) if f["path"] in targets]
         gone = self.spark.read.schema("file string, pos bigint").parquet(*[d["path"] for d in deletes])
         rows = self._read(files, [], keep_position=True)
         return rows.join(gone, (F.col("_file") == F.col("file")) & (F.col("_pos") == F.col("pos")), "left_semi").drop("_file", "_pos")
@@ -364,31 +370,37 @@ class LakeTable:
     def merge(self, source: DataFrame, on: list[str], update: dict[str, str] | None = None, delete_when: str | None = None, insert: bool = True) -> dict[str, int]:
         """MERGE by equal keys: ``update`` sets target columns to expressions over t.* and s.*; ``delete_when`` comes first.
 
-        A target row that two source rows match is an error.
+        A target row that two source rows match is an error. The source is evaluated once; files whose key ranges the
+        source cannot meet are not read.
         """
-        target = self._read(self.state.current["files"], self.state.current["deletes"], keep_position=True)
-        t, s = target.alias("t"), source.alias("s")
+        files, deletes, read = self._merge(source, on, update, delete_when, insert, self.state.current)
+        self._commit(None, "overwrite", files, deletes, [], [read])
+        return {"deleted": sum(d["rows"] for d in deletes), "written": sum(f["rows"] for f in files)}
+
+    def _merge(self, source: DataFrame, on: list[str], update: dict[str, str] | None, delete_when: str | None, insert: bool, seen: dict) -> tuple[list[dict], list[dict], list[Predicate]]:
+        """(new files, new deletes, what was read) of a MERGE into the files and deletes of ``seen``."""
+        source = materialize(source, "merge-source")
+        bounds = source.agg(*[f(F.col(f"`{k}`")).alias(f"{f.__name__}{i}") for i, k in enumerate(on) for f in (F.min, F.max)]).first()
+        read: list[Predicate] = [(k, op, bounds[f"{name}{i}"]) for i, k in enumerate(on) for op, name in ((">=", "min"), ("<=", "max")) if bounds[f"{name}{i}"] is not None]
+        near = [f for f in seen["files"] if all(self._may_hold(f, p) for p in read)]
+        t, s = self._read(near, seen["deletes"], keep_position=True).alias("t"), source.alias("s")
         keys = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
-        matched = t.join(s, keys, "inner")
-        twice = matched.groupBy("t._file", "t._pos").count().where("count > 1")
-        if not twice.isEmpty():
+        goes = F.coalesce(F.expr(delete_when), F.lit(False)) if delete_when else F.lit(False)
+        values = [(F.expr(update[c]) if c in update else F.col(f"t.`{c}`")).alias(c) for c in self.schema.names] if update is not None else []
+        # Written once: deletes and new rows come from the same match.
+        matched = materialize(t.join(s, keys, "inner").select(F.col("t._file").alias("_file"), F.col("t._pos").alias("_pos"), goes.alias("_goes"), F.struct(F.lit(1).alias("_one"), *values).alias("_new")), "merge")
+        if not matched.groupBy("_file", "_pos").count().where("count > 1").isEmpty():
             raise ValueError("MERGE command cannot affect row a second time")
-        goes = F.expr(delete_when) if delete_when else F.lit(False)
-        changed = matched.where(goes) if update is None else matched
-        deletes = self._write_deletes(changed.select(F.col("t._file").alias("_file"), F.col("t._pos").alias("_pos")))
+        deletes = self._write_deletes((matched.where("_goes") if update is None else matched).select("_file", "_pos"))
         new = []
         if update is not None:
-            kept = matched.where(~F.coalesce(goes, F.lit(False)))
-            new.append(kept.select(*[(F.expr(update[c]) if c in update else F.col(f"t.{c}")).alias(c) for c in self.schema.names]))
+            new.append(matched.where("NOT _goes").select("_new.*").drop("_one"))
         if insert:
-            fresh = s.join(t, keys, "left_anti").select(*[F.col(c) for c in source.columns])
-            new.append(fresh)
-        files = [f for df in new for f in self._write(df)]
-        self._commit(None, "overwrite", files, deletes, [], [])
-        return {"deleted": sum(d["rows"] for d in deletes), "written": sum(f["rows"] for f in files)}
+            new.append(s.join(t, keys, "left_anti").select(*[F.col(f"`{c}`") for c in source.columns]))
+        return [f for df in new for f in self._write(df)], deletes, read
 
     def truncate(self) -> None:
-        self._commit(None, "delete", [], [], [f["path"] for f in self.state.current["files"]], [])
+        self._commit(None, "delete", [], [], [f["path"] for f in self.state.current["files"]], [[]])
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -428,18 +440,25 @@ class LakeTable:
         self._commit(change, "schema", [], [], [])
         return before - len(self.state.snapshots)
 
+    def _live(self) -> tuple[set[str], set[str]]:
+        """(data files, folders of delete files) that some snapshot of the newest version lists."""
+        self.refresh()
+        return {_plain(f["path"]) for s in self.state.snapshots for f in s["files"]}, {_plain(d["path"]) for s in self.state.snapshots for d in s["deletes"]}
+
     def remove_orphans(self, older_than_ms: int = 3 * 86_400_000) -> int:
-        """Delete data files that no snapshot lists; at least a day old, so that running writers keep theirs."""
+        """Delete data files that no snapshot lists; at least a day old, so that running writers keep theirs.
+
+        The newest version counts, whatever this handle has seen. It is read again after the files are listed, so a
+        commit in between keeps what it published.
+        """
         if older_than_ms < 86_400_000:
             raise ValueError("orphans must be at least one day old")
-        strip = lambda p: p.replace("file:///", "/").replace("file:/", "/")
-        live = {strip(f["path"]) for s in self.state.snapshots for f in s["files"]}
-        folders = {strip(d["path"]) for s in self.state.snapshots for d in s["deletes"]}
         bound, n = time.time() * 1000 - older_than_ms, 0
-        for path, _, modified in self.store.list("data"):
-            own = strip(path)
-            if modified < bound and own not in live and own.rsplit("/", 1)[0] not in folders:
-                self.store.delete(own.removeprefix(strip(self.path) + "/"))
+        found = [_plain(path) for path, _, modified in self.store.list("data") if modified < bound]
+        live, folders = self._live()
+        for own in found:
+            if own not in live and own.rsplit("/", 1)[0] not in folders:
+                self.store.delete(own.removeprefix(_plain(self.path) + "/"))
                 n += 1
         return n
 
@@ -457,29 +476,53 @@ class LakeTable:
 
 
 class Transaction:
-    """Several inserts and deletes of one writer, visible to its own reads, published by one commit."""
+    """Several changes of one writer, visible to its own reads, published by one commit.
+
+    What it has read (the conditions of its scans, deletes, updates and merges) is checked against what others have
+    committed since it began, at the table's isolation level.
+    """
 
     def __init__(self, table: LakeTable) -> None:
         self.table, self.add, self.deletes = table, [], []
+        self.read: list[list[Predicate]] = []
 
     def __enter__(self) -> Transaction:
-        self.base = self.table.state
+        self.table.refresh()
+        self.base = self.table.state.current
         return self
 
     def _overlay(self) -> dict:
-        now = self.base.current
-        return {"files": now["files"] + self.add, "deletes": now["deletes"] + self.deletes}
+        return {"files": self.base["files"] + self.add, "deletes": self.base["deletes"] + self.deletes}
+
+    def _rows(self, where: Column | list[Predicate] | None, keep_position: bool = False) -> DataFrame:
+        seen, predicates = self._overlay(), where if isinstance(where, list) else []
+        self.read.append(predicates)
+        df = self.table._read([f for f in seen["files"] if all(self.table._may_hold(f, p) for p in predicates)], seen["deletes"], keep_position)
+        for p in predicates:
+            df = df.where(condition(p))
+        return df.where(where) if isinstance(where, Column) else df
 
     def insert(self, df: DataFrame) -> None:
         self.add += self.table._write(df)
 
-    def scan(self) -> DataFrame:
-        seen = self._overlay()
-        return self.table._read(seen["files"], seen["deletes"])
+    def scan(self, where: Column | list[Predicate] | None = None) -> DataFrame:
+        return self._rows(where)
 
-    def delete(self, where: Column) -> None:
+    def delete(self, where: Column | list[Predicate]) -> None:
+        self.deletes += self.table._write_deletes(self._rows(where, keep_position=True))
+
+    def update(self, where: Column | list[Predicate], values: dict[str, Column]) -> None:
         seen = self._overlay()
-        self.deletes += self.table._write_deletes(self.table._read(seen["files"], seen["deletes"], keep_position=True).where(where))
+        deletes = self.table._write_deletes(self._rows(where, keep_position=True))
+        if deletes:
+            changed = self.table._rows_at(deletes, seen["files"])
+            self.add += self.table._write(changed.withColumns({c: F.expr(v) if isinstance(v, str) else v for c, v in values.items()}))
+            self.deletes += deletes
+
+    def merge(self, source: DataFrame, on: list[str], update: dict[str, str] | None = None, delete_when: str | None = None, insert: bool = True) -> None:
+        files, deletes, read = self.table._merge(source, on, update, delete_when, insert, self._overlay())
+        self.add, self.deletes = self.add + files, self.deletes + deletes
+        self.read.append(read)
 
     def savepoint(self) -> tuple[int, int]:
         return len(self.add), len(self.deletes)
@@ -490,18 +533,18 @@ class Transaction:
     def __exit__(self, kind, value, trace) -> None:
         if kind is not None or not (self.add or self.deletes):
             return
-        own = {f["path"] for f in self.add}
-        if any(set(d["targets"]) & own for d in self.deletes):
-            self._commit_rewritten()
-        else:
-            self.table._commit(None, "overwrite", self.add, self.deletes, [], None)
-
-    def _commit_rewritten(self) -> None:
-        """Own rows that were deleted again are rewritten away, so published deletes point at older files only."""
-        own = {f["path"] for f in self.add}
-        kept = self.table._write(self.table._read(self.add, self.deletes))
-        old = [d | {"targets": [t for t in d["targets"] if t not in own]} for d in self.deletes]
-        self.table._commit(None, "overwrite", kept, [d for d in old if d["targets"]], [], None)
+        add, deletes = self.add, self.deletes
+        own = {f["path"] for f in add}
+        if any(set(d["targets"]) & own for d in deletes):
+            # Own rows that were changed again are rewritten away, so published deletes point at older files only.
+            add = self.table._write(self.table._read(add, deletes))
+            deletes = [d for d in (d | {"targets": [t for t in d["targets"] if t not in own]} for d in deletes) if d["targets"]]
+        self.table._commit(None, "overwrite", add, deletes, [], self.read, self.base)
+
+
+def _plain(path: str) -> str:
+    """A path without the spellings of the local scheme."""
+    return path.replace("file:///", "/").replace("file:/", "/")
 
 
 def _comparable(value: object) -> object:

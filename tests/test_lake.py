@@ -1,10 +1,14 @@
 import datetime as dt
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.tables import CommitConflict, LakeTable
+from tarn.tables.files import Store
 from tarn.tables.transforms import Transform
 
 SCHEMA = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("day", T.DateType())])
@@ -179,3 +183,73 @@ def test_server_scopes():
         resolve(servers, "s3a://x/deep/f.csv")
     with pytest.raises(ValueError, match="outside"):
         resolve(servers, "s3a://y/f", "a")
+
+
+def test_orphans_of_a_stale_handle_keep_live_files(spark, table, tmp_path):
+    stale = LakeTable(spark, table.path)
+    LakeTable(spark, table.path).insert(rows(spark, (7, "g", 7)))
+    LakeTable(spark, table.path).delete(F.col("id") == 1)
+    lost = tmp_path / "t/data/lost.parquet"
+    lost.write_bytes(b"x")
+    old = time.time() - 5 * 86_400
+    for path in (tmp_path / "t/data").rglob("*"):
+        if path.is_file():
+            os.utime(path, (old, old))
+    stale.remove_orphans()
+    assert not lost.exists() and [i for i, _ in content(table)] == [2, 3, 7]
+
+
+def test_transactions_are_serializable(spark, table):
+    with pytest.raises(CommitConflict, match="may match"):
+        with table.transaction() as tx:
+            tx.delete(F.col("id") >= 0)
+            LakeTable(spark, table.path).insert(rows(spark, (8, "h", 8)))
+    table.refresh()
+    with table.transaction() as tx:  # another partition's rows are no conflict
+        tx.delete([("id", "<=", 3)])
+        LakeTable(spark, table.path).insert(rows(spark, (9, "i", 9)))
+    assert [i for i, _ in content(table)] == [8, 9]
+    with pytest.raises(CommitConflict, match="may match"):
+        with table.transaction() as tx:
+            tx.insert(tx.scan().withColumn("id", F.col("id") + 100))
+            LakeTable(spark, table.path).insert(rows(spark, (10, "j", 10)))
+
+
+def test_transaction_updates_and_merges(spark, table):
+    with table.transaction() as tx:
+        tx.update([("id", "=", 1)], {"label": F.lit("A")})
+        tx.update(F.col("id") == 1, {"label": F.lit("AA")})
+        tx.merge(rows(spark, (2, "two", 2), (5, "five", 5)), ["id"], update={"label": "s.label"})
+        tx.delete([("id", "=", 3)])
+        assert sorted((r["id"], r["label"]) for r in tx.scan().collect()) == [(1, "AA"), (2, "two"), (5, "five")]
+    assert content(table) == [(1, "AA"), (2, "two"), (5, "five")]
+
+
+def test_concurrent_writers_lose_nothing(spark, table):
+    handles = [LakeTable(spark, table.path) for _ in range(8)]
+    files = [h._write(rows(spark, (100 + k, "w", 1 + k))) for k, h in enumerate(handles)]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: handles[k]._commit(None, "append", files[k], [], []), range(8)))
+    assert [i for i, _ in content(table)] == [1, 2, 3, *range(100, 108)]
+
+
+def test_a_name_is_created_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    with ThreadPoolExecutor(16) as pool:
+        won = list(pool.map(lambda k: store.create("metadata/v1.json", str(k)), range(16)))
+    assert sum(won) == 1 and store.read("metadata/v1.json") == str(won.index(True))
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.endswith(".tmp")]
+
+
+def test_merge_evaluates_its_source_once(spark, table):
+    source = rows(spark, (2, "new", 2), (9, "nine", 9)).withColumn("label", F.concat("label", F.lit("-"), F.uuid()))
+    table.merge(source, ["id"], update={"label": "s.label"})
+    got = dict(content(table))
+    assert sorted(got) == [1, 2, 3, 9] and got[2].startswith("new-") and got[9].startswith("nine-")
+
+
+def test_void_transform(spark, tmp_path):
+    assert str(Transform.parse("void(id)")) == "void(id)"
+    t = LakeTable.create(spark, f"file://{tmp_path}/v", SCHEMA, ["void(id)"])
+    t.insert(rows(spark, (1, "a", 1), (2, "b", 2)))
+    assert content(t) == [(1, "a"), (2, "b")] and len(t.plan_files([("id", "=", 1)])) >= 1
