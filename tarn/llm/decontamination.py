@@ -11,10 +11,12 @@ k of any n - 1 - T + k places; those whose seeds are rarest in the corpus are ta
 on diagonals less than n apart.
 
 1. Documents are read once: of each the seeds that some item may have (told by a bit field of bounded size) are written
-   with the hash of the whole text, by which equal texts are one from here on.
-2. Seeds are counted; each item keeps its rarest places. They join the documents' seeds; places are counted by text,
-   item and diagonals, and passages with k of them are candidates.
-3. Candidates are aligned, each distinct text once; documents and items join the matches by their texts' hashes.
+   with a hash of the whole text, by which equal texts are one from here on.
+2. Seeds are counted; each item keeps its rarest places. They join the documents' seeds (a second bit field leaves out
+   what cannot join before it is shuffled); places are counted by text, item and diagonals, and passages with k of them
+   are candidates.
+3. Candidates are aligned, each distinct text once; documents and items join the matches by SHA-256 of their texts. The
+   shorter hash of the first steps only finds candidates: texts that share it are aligned each.
 
 Both sides of every join may be of any size; Catalyst broadcasts one only below its size threshold.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -181,46 +183,70 @@ def _bit_field(seeds: DataFrame) -> np.ndarray:
     return field.view(np.uint8)
 
 
+SEEDS = "doc bigint, word array<bigint>, seed array<bigint>"
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _kept_seeds(docs: pa.Array, found: Iterable[tuple[np.ndarray, np.ndarray]], field: np.ndarray) -> pa.RecordBatch:
+    """The places and seeds that the bit field knows, of each document that has any."""
+    at, words, seeds = [], [], []
+    last = np.int64(8 * len(field) - 1)
+    for k, (place, seed) in enumerate(found):
+        bit = seed & last
+        known = np.flatnonzero(field[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        if len(known):
+            at.append(k)
+            words.append(place[known])
+            seeds.append(seed[known])
+    ends = pa.array(np.cumsum([0] + [len(w) for w in words]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (words, seeds)]
+    return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), *lists], names=["doc", "word", "seed"])
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, threshold: float) -> DataFrame:
     """(hash of the text, hash of the item, score, first word, end word), written."""
     spark = docs.sparkSession
     items = _items(benchmark, threshold)
     places = items.select("item", "n", "kept", "need", F.inline(F.arrays_zip("place", "seed")))
     flags = spark.sparkContext.broadcast(_bit_field(places))
-    texts = docs.select(_hash(F.col(text_col)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     @lean
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, tokens = flags.value, Tokens()
-        last = np.int64(8 * len(field) - 1)
         for batch in batches:
-            at, words, seeds = [], [], []
-            for k, text in enumerate(batch.column(1)):
-                place, seed = tokens.seeds(words_of(text.as_py()))
-                bit = seed & last
-                known = np.flatnonzero(field[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                if len(known):
-                    at.append(k)
-                    words.append(place[known])
-                    seeds.append(seed[known])
-            ends = pa.array(np.cumsum([0] + [len(w) for w in words]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (words, seeds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *lists], names=["doc", "word", "seed"])
-
-    found = materialize(texts.mapInArrow(seeds_of, "doc binary, word array<bigint>, seed array<bigint>"), "seeds")
+            found = (tokens.seeds(words_of(text.as_py())) for text in batch.column(1))
+            yield _kept_seeds(batch.column(0), found, field)
+
+    found = materialize(texts.mapInArrow(seeds_of, SEEDS), "seeds")
     counts = found.select(F.explode("seed").alias("seed")).groupBy("seed").agg(F.count("*").alias("often"))
     by_place = places.join(counts, "seed", "left").groupBy("item", "n", "kept", "need", "place").agg(F.sum(F.coalesce("often", F.lit(0))).alias("often"), F.collect_set("seed").alias("seeds"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "place"))
     rare = by_place.withColumn("rank", rank).where("rank <= kept").select("item", "n", "need", "place", F.explode("seeds").alias("seed"))
 
+    rare = materialize(rare, "rare")
+    rare_flags = spark.sparkContext.broadcast(_bit_field(rare))
+
+    @lean
+    def only_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, seeds = _lists(batch.column(1)), _lists(batch.column(2))
+            yield _kept_seeds(batch.column(0), zip(words, seeds, strict=True), rare_flags.value)
+
     group = F.floor((F.col("word") - F.col("place")) / F.col("n"))
-    met = found.select("doc", F.inline(F.arrays_zip("word", "seed"))).join(rare, "seed").select("doc", "item", "need", "place", F.explode(F.array(group, group + 1)).alias("diagonals"))
+    near = found.mapInArrow(only_rare, SEEDS).select("doc", F.inline(F.arrays_zip("word", "seed")))
+    met = near.join(rare, "seed").select("doc", "item", "need", "place", F.explode(F.array(group, group + 1)).alias("diagonals"))
     passages = met.distinct().groupBy("doc", "item", "need", "diagonals").agg(F.count("*").alias("shared")).where("shared >= need")
     wanted = passages.groupBy("doc", "item").agg(F.collect_set("diagonals").alias("diagonals")).join(items.select("item", F.col("text").alias("words")), "item")
     wanted = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("item", "words", "diagonals")).alias("items")), "candidates")
 
-    # Each distinct text once, whatever the number of its copies.
-    once = texts.join(wanted.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    # Each distinct text once, whatever the number of its copies: they are combined before the shuffle.
+    held = texts.join(wanted.select("doc"), "doc", "left_semi").withColumn("whole", _hash(F.col("text")))
+    once = held.groupBy("whole").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
 
     @lean
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +261,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, threshold: fl
             kinds = (pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["doc", "item", "score", "first_word", "end_word"])
 
-    aligned = once.join(wanted, "doc").select("doc", "text", "items").mapInArrow(align, "doc binary, item binary, score double, first_word bigint, end_word bigint")
+    aligned = once.join(wanted, "doc").select("whole", "text", "items").mapInArrow(align, "doc binary, item binary, score double, first_word bigint, end_word bigint")
     return materialize(aligned, "matches")
 
 
