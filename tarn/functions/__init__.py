@@ -19,7 +19,12 @@ from tarn.functions.scalars import (
     substring,
 )
 
+from tarn.functions.udfs import register_aggregate, register_scalar, register_table
+
 __all__ = [
+    "register_aggregate",
+    "register_scalar",
+    "register_table",
     "array_agg",
     "avg_numeric",
     "bpchar_eq",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,19 +44,47 @@ def float_stat(name: str, x: Column) -> Column:
     return known[name](x.cast("double"))
 
 
-def array_agg(x: Column, order_by: list[Column] | None = None, descending: bool = False, distinct: bool = False) -> Column:
-    """All values, NULLs too, in the order of the keys; NULL for no rows. Keys sort NULLS LAST (descending: FIRST)."""
+def _before(descending: list[bool]) -> Callable[[Column, Column], Column]:
+    """A comparator of entries with fields n0, k0, n1, k1, ...: ascending NULLS LAST, descending NULLS FIRST."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(range(len(descending))):
+            step = -1 if descending[k] else 1
+            out = (
+                F.when(a[f"n{k}"] != b[f"n{k}"], F.when(a[f"n{k}"], F.lit(step)).otherwise(F.lit(-step)))
+                .when(a[f"k{k}"] < b[f"k{k}"], F.lit(-step))
+                .when(a[f"k{k}"] > b[f"k{k}"], F.lit(step))
+                .otherwise(out)
+            )
+        return out
+
+    return compare
+
+
+def array_agg(x: Column, order_by: list[Column] | None = None, descending: bool | list[bool] = False, distinct: bool = False) -> Column:
+    """All values, NULLs too, in the order of the keys; NULL for no rows. Keys sort NULLS LAST (descending: FIRST).
+
+    ``descending``: for all keys, or one flag for each.
+    """
     if order_by is None:
         kept = F.collect_list(F.struct(x.alias("x")))
         listed = F.transform(F.array_distinct(kept) if distinct else kept, lambda e: e.x)
     else:
+        down = [descending] * len(order_by) if isinstance(descending, bool) else list(descending)
+        if len(down) != len(order_by):
+            raise ValueError("one direction for each key, or one for all")
         keys = [part for k, key in enumerate(order_by) for part in (key.isNull().alias(f"n{k}"), key.alias(f"k{k}"))]
-        entries = F.array_sort(F.collect_list(F.struct(*keys, x.alias("x"))))
-        listed = F.transform(F.reverse(entries) if descending else entries, lambda e: e.x)
+        entries = F.collect_list(F.struct(*keys, x.alias("x")))
+        if len(set(down)) > 1:
+            ordered = F.array_sort(entries, _before(down))
+        else:
+            ordered = F.reverse(F.array_sort(entries)) if down[0] else F.array_sort(entries)
+        listed = F.transform(ordered, lambda e: e.x)
     return F.when(F.size(listed) > 0, listed)
 
 
-def string_agg(x: Column, delimiter: str | None, order_by: list[Column] | None = None) -> Column:
+def string_agg(x: Column, delimiter: str | None, order_by: list[Column] | None = None, descending: bool | list[bool] = False) -> Column:
     """Non-NULL strings joined by a constant delimiter (NULL: empty), in the order of the keys; NULL for none."""
-    listed = F.filter(array_agg(x, order_by), lambda e: e.isNotNull())
+    listed = F.filter(array_agg(x, order_by, descending), lambda e: e.isNotNull())
     return F.when(F.size(listed) > 0, F.array_join(listed, delimiter or ""))

@@ -10,10 +10,10 @@ from tarn.operators import relational as R
 from tarn.registry import query, table
 
 
-@query("SELECT c_custkey FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def null_aware_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").withColumn("k", F.nullif("c_custkey", F.lit(5)))
-    return R.null_aware_anti(left, table(spark, sf_dir, "orders"), "k", "o_custkey").select("c_custkey")
+    return R.null_aware_anti(left, table(spark, sf_dir, "orders").where("o_totalprice > 250000"), "k", "o_custkey").select("c_custkey")
 
 
 @query("SELECT s_suppkey, nullif(s_suppkey, 3) IN (SELECT nullif(l_suppkey, 4) FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 7) AS mark FROM supplier")
@@ -50,12 +50,61 @@ def groups_frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.select("o_orderkey", "near")
 
 
-@query("SELECT a.n_nationkey AS point, b.n_nationkey AS low FROM nation a JOIN nation b ON a.n_nationkey BETWEEN b.n_nationkey AND b.n_nationkey + b.n_regionkey")
+@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey BETWEEN l_orderkey AND l_orderkey + l_linenumber * 2 WHERE l_quantity > 45")
 def interval_join_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    left = nation.select(F.col("n_nationkey").alias("point"))
-    right = nation.select(F.col("n_nationkey").alias("low"), (F.col("n_nationkey") + F.col("n_regionkey")).alias("high"))
-    return R.interval_join(left, right, "point", "low", "high", 3).select("point", "low")
+    left = table(spark, sf_dir, "orders").select("o_orderkey")
+    right = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.col("l_linenumber") * 2).alias("high"))
+    return R.interval_join(left, right, "o_orderkey", "l_orderkey", "high", 8).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, rank() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_custkey % 7) AS r FROM orders) t WHERE r <= 25")
+def limit_with_ties_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("s", F.nullif("o_orderstatus", F.lit("F")))
+    return R.limit_with_ties(orders, 25, [F.col("s").desc_nulls_last(), F.col("o_custkey") % 7]).select("o_orderkey", "s")
+
+
+@query("SELECT o_orderkey, s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, rank() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderpriority DESC) AS r FROM orders) t WHERE r <= 10")
+def limit_with_ties_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("s", F.nullif("o_orderstatus", F.lit("F")))
+    return R.limit_with_ties(orders, 10, [F.col("s"), F.col("o_orderpriority").desc()]).select("o_orderkey", "s")
+
+
+@query("SELECT o_orderstatus, string_agg(o_orderkey::VARCHAR, ',' ORDER BY nullif(o_custkey % 4, 1) DESC NULLS FIRST, o_orderkey) AS keys FROM orders GROUP BY o_orderstatus, o_custkey % 50")
+def string_agg_mixed_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = P.string_agg(F.col("o_orderkey").cast("string"), ",", [F.nullif(F.col("o_custkey") % 4, F.lit(1)), F.col("o_orderkey")], [True, False])
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.col("o_custkey") % 50).agg(listed.alias("keys")).select("o_orderstatus", "keys")
+
+
+@query("SELECT o_orderkey FROM orders")
+def table_sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return R.table_sample(orders, 100, 7).unionByName(R.table_sample(orders, 0, 7))
+
+
+@query("SELECT n_name, rtrim(n_name) = rtrim(n_name || '   ') AS same, (n_nationkey > 3) IS NOT DISTINCT FROM TRUE AS t, (n_nationkey > 3) IS NOT DISTINCT FROM FALSE AS f, nullif(n_nationkey, 4) IS NULL AS u FROM nation")
+def truth_tests_and_bpchar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_name", P.bpchar_eq(F.col("n_name"), F.concat("n_name", F.lit("   "))).alias("same"), P.is_true(key > 3).alias("t"), P.is_false(key > 3).alias("f"), P.is_unknown(F.nullif(key, F.lit(4))).alias("u"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.1 + o_custkey, 6) AS charged FROM orders WHERE o_custkey % 3 <> 0")
+def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    P.register_scalar(spark, "tarn_charged", lambda price, key: price * 1.1 + key, "double")
+    orders = table(spark, sf_dir, "orders").withColumn("key", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")))
+    charged = orders.select("o_orderkey", F.call_function("tarn_charged", "o_totalprice", "key").alias("c"))
+    return charged.where(F.col("c").isNotNull()).select("o_orderkey", F.round("c", 6).alias("charged"))
+
+
+@query("SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderstatus")
+def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    P.register_aggregate(spark, "tarn_spread", lambda values: values.max() - values.min(), "double")
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.call_function("tarn_spread", "o_totalprice").alias("spread"))
+
+
+@query("SELECT n_nationkey, upper(w) AS word FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation) t")
+def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    P.register_table(spark, "tarn_words", lambda key, name: ((key, w.upper()) for w in name.split(" ")), "n_nationkey int, word string")
+    return spark.sql("SELECT w.n_nationkey, w.word FROM {nation}, LATERAL tarn_words(CAST(n_nationkey AS INT), n_name) w", nation=table(spark, sf_dir, "nation"))
 
 
 @query("SELECT n_regionkey, string_agg(coalesce(nullif(n_name, 'CHINA'), '-'), ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")

@@ -117,3 +117,118 @@ def connector_parquet_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "parquet")
     write_files(supplier, path, "parquet", "zstd")
     return read_files(spark, path, supplier.schema, "parquet")
+
+
+@query("SELECT n_nationkey + 100 AS n_nationkey, upper(n_name) AS n_name, 'inserted' AS what FROM nation WHERE n_nationkey < 7 UNION ALL SELECT n_nationkey, n_name, 'deleted' FROM nation WHERE n_nationkey % 3 = 0")
+def lake_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    lake = LakeTable.create_as(nation, _scratch(spark, "returning"))
+    gone = lake.delete_returning(F.col("n_nationkey") % 3 == 0)
+    fresh = lake.insert_returning(nation.where("n_nationkey < 7").select((F.col("n_nationkey") + 100).cast(nation.schema[0].dataType).alias("n_nationkey"), F.upper("n_name").alias("n_name")))
+    return fresh.withColumn("what", F.lit("inserted")).unionByName(gone.withColumn("what", F.lit("deleted")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT -1 - o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0")
+def lake_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of one transaction see one another, a rolled-back savepoint leaves nothing, and all is one commit."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lake = LakeTable.create_as(orders, _scratch(spark, "transaction"))
+    with lake.transaction() as tx:
+        tx.insert(orders.where("o_orderkey % 6 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+        mark = tx.savepoint()
+        tx.delete(F.col("o_orderkey") > 0)
+        tx.rollback_to(mark)
+        tx.delete((F.col("o_orderkey") % 4 == 0) & (F.col("o_orderkey") >= 0) | ((-1 - F.col("o_orderkey")) % 4 == 0) & (F.col("o_orderkey") < 0))
+        tx.update((F.col("o_orderkey") % 11 == 0) & (F.col("o_orderkey") >= 0), {"o_orderstatus": F.lit("X")})
+    return lake.scan()
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1 OR o_orderkey % 2 = 0 AND o_orderstatus = 'F'")
+def lake_partition_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two partition specs in one table, pruned each by its own."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    lake = LakeTable.create_as(orders.where("o_orderkey % 2 = 0"), _scratch(spark, "evolving"), partition_by=["year(o_orderdate)"])
+    lake.replace_partition_spec(["o_orderstatus", "bucket(4, o_orderkey)"])
+    lake.insert(orders.where("o_orderkey % 2 = 1"))
+    return lake.scan(["o_orderkey", "o_orderstatus"], [("o_orderstatus", "=", "F")])
+
+
+@query("SELECT count(*) AS n, (SELECT count(*) FROM orders) AS total FROM orders WHERE o_orderkey % 10 <> 0")
+def lake_count_with_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = _orders(spark, sf_dir)
+    before = lake.count()
+    lake.delete(F.col("o_orderkey") % 10 == 0)
+    return spark.createDataFrame([(lake.count(), before)], "n bigint, total bigint")
+
+
+@query(
+    """WITH t AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey END AS n_regionkey FROM nation)
+       SELECT 'n_name' AS "column", avg((n_name IS NULL)::INT) AS null_share, min(n_name) AS low, max(n_name) AS high FROM t
+       UNION ALL SELECT 'n_nationkey', avg((n_nationkey IS NULL)::INT), min(n_nationkey)::VARCHAR, max(n_nationkey)::VARCHAR FROM t
+       UNION ALL SELECT 'n_regionkey', avg((n_regionkey IS NULL)::INT), min(n_regionkey)::VARCHAR, max(n_regionkey)::VARCHAR FROM t"""
+)
+def lake_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.tables.catalog import analyze
+
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_regionkey")).alias("n_regionkey"))
+    return analyze(LakeTable.create_as(nation, _scratch(spark, "analyzed")), fraction=1.0).select("column", "null_share", "low", "high")
+
+
+@query("SELECT n_nationkey, n_name || ';\"' || chr(10) || 'x' AS n_name, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS n_regionkey FROM nation")
+def connector_csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another separator and null string, quotes, separators and line breaks inside quotes, a checked header."""
+    nation = table(spark, sf_dir, "nation")
+    odd = nation.select("n_nationkey", F.concat("n_name", F.lit(';"\nx')).alias("n_name"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_regionkey")).alias("n_regionkey"))
+    path = _scratch(spark, "csv-options")
+    write_files(odd, path, "csv", sep=";", null="~")
+    return read_files(spark, path, odd.schema, "csv", sep=";", null="~", header="match", multiline=True)
+
+
+@query("SELECT * FROM (VALUES ('another type', TRUE), ('malformed record', TRUE), ('missing column', TRUE), ('no such codec', TRUE), ('wrong header', TRUE)) t(what, refused)")
+def connector_admission_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not fit their declaration are refused."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    parquet, csv, json = (_scratch(spark, k) for k in ("parquet", "csv", "json"))
+    write_files(supplier, parquet, "parquet")
+    write_files(supplier, csv, "csv")
+    write_files(supplier.select(F.lit("{bad").alias("value")), json, "text")
+    cases = {
+        "another type": lambda: read_files(spark, parquet, supplier.select(F.col("s_suppkey").cast("string"), "s_name").schema, "parquet"),
+        "missing column": lambda: read_files(spark, parquet, supplier.withColumn("other", F.lit(1)).schema, "parquet"),
+        "wrong header": lambda: read_files(spark, csv, supplier.toDF("a", "b").schema, "csv", header="match"),
+        "malformed record": lambda: read_files(spark, json, supplier.schema, "json", match_suffix=False).count(),
+        "no such codec": lambda: write_files(supplier, parquet, "parquet", "lz4"),
+    }
+
+    def refused(run) -> bool:
+        try:
+            run()
+        except Exception as error:
+            return any(x in str(error) for x in ("declared", "header", "malformed", "no compression"))
+        return False
+
+    return spark.createDataFrame([(what, refused(run)) for what, run in cases.items()], "what string, refused boolean")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0")
+def connector_json_skips_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    path = _scratch(spark, "json-ignore")
+    lines = supplier.select(F.when(F.col("s_suppkey") % 2 == 0, F.to_json(F.struct("s_suppkey", "s_name"))).otherwise(F.lit("{not json")).alias("value"))
+    write_files(lines, path, "text")
+    return read_files(spark, path, supplier.schema, "json", on_error="ignore", match_suffix=False)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_comment_like AS note FROM (SELECT l_orderkey, l_linenumber, l_returnflag || chr(9) || '\\' || l_linestatus AS l_comment_like FROM lineitem) t")
+def connector_copy_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY TO text files and COPY FROM into a table, with escapes; the counts of both must agree."""
+    from pyspark.sql import types as T
+
+    from tarn.sources import export_to, import_from
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit("\t\\"), "l_linestatus").alias("note"))
+    path = _scratch(spark, "copy")
+    lake = LakeTable.create(spark, _scratch(spark, "copied"), T.StructType(rows.schema.fields))
+    if export_to(rows, path, kind="text") != import_from(spark, lake, path, kind="text"):
+        raise RuntimeError("COPY lost rows")
+    return lake.scan()

@@ -36,8 +36,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_semi_exists": "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
     "join_semi_in": "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000)",
     "join_semi_keyless": "SELECT r_regionkey FROM {region} WHERE EXISTS (SELECT 1 FROM {nation} WHERE n_name LIKE 'A%' OR n_nationkey >= 0)",
-    "join_anti_not_exists": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
-    "join_anti_not_in": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL)",
+    "join_anti_not_exists": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
+    "join_anti_not_in": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_custkey IS NOT NULL AND o_totalprice > 250000)",
     "join_anti_not_in_null": "SELECT count(*) AS n FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM {orders} UNION ALL SELECT NULL)",
     "join_anti_not_in_empty": "SELECT count(*) AS n FROM {customer} WHERE nullif(c_custkey, 1) NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice < 0)",
     "join_mark": "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000) OR c_acctbal < 0",
@@ -46,10 +46,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_scalar_count": "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} c",
     "join_uncorrelated_scalar": "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(CAST(o_totalprice AS DECIMAL(18,2))) FROM {orders}) AND o_orderstatus = 'O'",
     "join_lateral": "SELECT n_nationkey, t.n AS n, t.top AS top FROM {nation}, LATERAL (SELECT count(*) AS n, max(c_acctbal) AS top FROM {customer} WHERE c_nationkey = n_nationkey) t",
-    "join_self": "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_self": "SELECT a.c_custkey AS a, b.c_custkey AS b FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey",
     "join_five_way": "SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey WHERE c_nationkey = s_nationkey GROUP BY n_name",
-    "join_theta": "SELECT a.r_name AS a, b.r_name AS b FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey",
-    "join_cross": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation} WHERE n_regionkey <> r_regionkey",
+    "join_theta": "SELECT s_suppkey, c_custkey FROM {supplier} JOIN {customer} ON s_acctbal > c_acctbal + 9500 AND s_nationkey <> c_nationkey",
+    "join_cross": "SELECT r_name, s_suppkey FROM {region} CROSS JOIN {supplier}",
     "join_null_keys": "SELECT count(*) AS n FROM (SELECT nullif(o_custkey, 2) AS k FROM {orders}) a JOIN (SELECT nullif(c_custkey, 2) AS k FROM {customer}) b ON a.k = b.k",
     # -- aggregation
     "agg_counts": "SELECT o_orderstatus, count(*) AS n, count(nullif(o_orderpriority, '5-LOW')) AS not_low, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY o_orderstatus",
@@ -71,9 +71,18 @@ SQL: dict[str, str | tuple[str, str]] = {
     "agg_metadata_count": "SELECT count(*) AS n FROM {lineitem}",
     # -- distinct, sort, limit
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}",
-    "distinct_nan_zero": "SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE -0.0 END AS z FROM {orders}) t",
+    "distinct_nan_zero": (
+        "SELECT count(*) AS n, CAST(sum(CASE WHEN isnan(z) THEN 1 ELSE 0 END) AS BIGINT) AS nans FROM (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D WHEN 2 THEN double('NaN') ELSE double(o_custkey % 3) END AS z FROM {orders}) t",
+        "SELECT count(*) AS n, CAST(sum(CASE WHEN isnan(z) THEN 1 ELSE 0 END) AS BIGINT) AS nans FROM (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN -(0.0::DOUBLE) WHEN 2 THEN 'NaN'::DOUBLE ELSE (o_custkey % 3)::DOUBLE END AS z FROM {orders}) t",
+    ),
+    "filter_nan_comparison": (
+        "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN double('NaN') ELSE o_totalprice END AS z FROM {orders}) t WHERE z > 250000D OR z = double('NaN')",
+        "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS z FROM {orders}) t WHERE z > 250000 OR z = 'NaN'::DOUBLE",
+    ),
+    "agg_sum_avg_float": "SELECT l_returnflag, round(sum(l_quantity), 3) AS s, round(avg(l_quantity), 9) AS m FROM {lineitem} GROUP BY l_returnflag",
+    "agg_group_null_keys": "SELECT nullif(o_orderstatus, 'F') AS s, nullif(o_custkey % 5, 2) AS c, count(*) AS n FROM {orders} GROUP BY nullif(o_orderstatus, 'F'), nullif(o_custkey % 5, 2)",
     "sort_limit_offset": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 10",
-    "sort_null_order": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM {orders} ORDER BY nullif(o_orderstatus, 'F') ASC NULLS FIRST, o_orderkey LIMIT 40",
+    "sort_null_order": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') ASC NULLS FIRST, o_orderkey) AS BIGINT) AS low, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS BIGINT) AS high FROM {orders}",
     "top_k_per_group": "SELECT c_nationkey, c_custkey, CAST(r AS BIGINT) AS r FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM {customer}) t WHERE r <= 3",
     # -- windows
     "window_ranking": "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderkey) AS BIGINT) AS rn, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
@@ -91,7 +100,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "cte_chain": "WITH big AS (SELECT * FROM {orders} WHERE o_totalprice > 200000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT c_name, n FROM per JOIN {customer} ON o_custkey = c_custkey WHERE n > 2",
     "cte_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
     "srf_generate_series": ("SELECT n_nationkey, i FROM {nation} LATERAL VIEW explode(sequence(1, 3)) v AS i", "SELECT n_nationkey, CAST(i AS INTEGER) AS i FROM {nation}, generate_series(1, 3) g(i)"),
-    "srf_unnest": ("SELECT vec_id, p + 1 AS pos, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 4)) v AS p, x", "SELECT vec_id, CAST(p AS INTEGER) AS pos, CAST(embedding[p] AS DOUBLE) AS x FROM {embeddings}, generate_series(1, 4) g(p)"),
+    "srf_unnest": ("SELECT vec_id, p + 1 AS pos, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) v AS p, x", "SELECT vec_id, CAST(p AS INTEGER) AS pos, CAST(embedding[p] AS DOUBLE) AS x FROM {embeddings}, generate_series(1, len(embedding)) g(p)"),
     # -- TPC-H shapes over the driver tables
     "tpch_q3_shape": "SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, o_orderdate FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "tpch_q6_shape": "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,33 @@ def distinct_on(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataF
     return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
+def _sort_key(order: Column) -> tuple[Column, Column]:
+    """(sort expression, its key): a plain column sorts ascending with NULLs last."""
+    node = order._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return order.asc_nulls_last(), order
+    return order, Column(SparkSession.active()._jvm.org.apache.spark.sql.Column(node.child()))
+
+
 def limit_with_ties(df: DataFrame, n: int, order_by: list[Column]) -> DataFrame:
-    """The first ``n`` rows and all that tie with the last: a top-n finds the bound and a filter applies it."""
-    keyed = df.withColumn("_key", F.struct(*order_by))
-    top = keyed.orderBy("_key").limit(n).agg(F.max("_key").alias("_bound"), F.count("*").alias("_n"))
-    return keyed.join(F.broadcast(top)).where((F.col("_n") < n) | (F.col("_key") <= F.col("_bound"))).drop("_key", "_bound", "_n")  # one row
+    """The first ``n`` rows and all that tie with the last, in any order of ``order_by`` (``asc``, ``desc``, NULLs).
+
+    A top-n finds the keys; the rows with one of these keys are the answer, as every tie with an earlier row lies
+    within the top n itself.
+    """
+    orders = [_sort_key(o) for o in order_by]
+    keyed = df.withColumns({f"_key{k}": key for k, (_, key) in enumerate(orders)})
+    names = [f"_key{k}" for k in range(len(orders))]
+    top = keyed.orderBy(*[o for o, _ in orders]).limit(n).select(*[F.col(k).alias(f"_top{k}") for k in names]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_top{k}")) for k in names]
+    return keyed.join(top, same, "left_semi").drop(*names)
+
+
+def table_sample(df: DataFrame, percent: float, seed: int | None = None) -> DataFrame:
+    """TABLESAMPLE BERNOULLI (percent) [REPEATABLE (seed)]: each row with the same chance, decided in its own task."""
+    if not 0 <= percent <= 100:
+        raise ValueError("sample percentage must be between 0 and 100")
+    return df.where(F.rand(seed) < percent / 100) if percent < 100 else df
 
 
 def groups_frame(df: DataFrame, partition_by: list[str], order_by: Column, before: int, after: int, aggregates: dict[str, Column]) -> DataFrame:
@@ -63,12 +85,6 @@ def groups_frame(df: DataFrame, partition_by: list[str], order_by: Column, befor
     return ranked.select(*df.columns, *[e.over(frame).alias(n) for n, e in aggregates.items()])
 
 
-def salted_sum(df: DataFrame, keys: list[str], values: dict[str, Column], salts: int = 16) -> DataFrame:
-    """Two-level aggregation for a hot key whose inputs cannot be combined before the shuffle (DISTINCT, collect)."""
-    first = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*keys, "_salt").agg(*[F.sum(v).alias(n) for n, v in values.items()])
-    return first.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in values])
-
-
 def interval_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: int, how: str = "inner") -> DataFrame:
     """``low <= point <= high`` over integral columns as an equi-join on bins of ``width``, checked exactly.
 

@@ -24,6 +24,12 @@ def by_suffix(path: str) -> tuple[str | None, str]:
     return (SUFFIXES.get(parts[-1]) if len(parts) > 1 else None), compression
 
 
+def file_pattern(kind: str) -> str:
+    """A glob of the file names of a format, compressed or not."""
+    plain = [s for s, k in SUFFIXES.items() if k == kind]
+    return "*.{" + ",".join([*plain, *(f"{s}.{c}" for s in plain for c in COMPRESSIONS)]) + "}"
+
+
 def check_codec(kind: str, codec: str | None) -> str:
     if kind not in CODECS:
         raise ValueError(f"no such format: {kind}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +21,17 @@ def session_counts(events: DataFrame, gap: str, keys: list[str], time: str = "ts
     return grouped.select(F.col("session_window.start").alias("start"), *keys, "n")
 
 
-def drain(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source has now and return the result table, written below ``path``."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source has now and return what it has written as Parquet below ``path``.
+
+    Results go to files of the shared folder, never to driver memory. With ``append`` a window is written once the
+    watermark has passed it; ``complete`` writes the whole result of the last batch.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.outputMode("append").format("parquet").option("path", f"{path}/rows")
+    else:
+        writer = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    writer.start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/rows")

@@ -93,3 +93,46 @@ def test_import_into_a_table(spark, tmp_path):
     assert import_from(spark, table, f"{tmp_path}/in.csv") == 2
     assert export_to(table.scan(), f"{tmp_path}/out", kind="json") == 2
     assert read_files(spark, f"{tmp_path}/out", kind="json").count() == 2
+
+
+def test_csv_of_zstd_keeps_rows_that_look_like_the_header(spark, tmp_path):
+    (tmp_path / "z.csv.zst").write_bytes(zstandard.compress(b'id,s\n1,"a\nb"\nid,s\n2,\n3,""\n'))
+    schema = T.StructType.fromDDL("id string, s string")
+    got = sorted(map(tuple, read_files(spark, f"{tmp_path}/z.csv.zst", schema, header="match").collect()), key=str)
+    assert got == [("1", "a\nb"), ("2", None), ("3", ""), ("id", "s")]
+
+
+def test_csv_is_split_and_line_breaks_are_an_option(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id;s\n1;"a\nb"\n2;~\n')
+    schema = T.StructType.fromDDL("id int, s string")
+    assert sorted(map(tuple, read_files(spark, f"{tmp_path}/m.csv", schema, sep=";", null="~", multiline=True).collect())) == [(1, "a\nb"), (2, None)]
+    (tmp_path / "big.csv").write_text("id,s\n" + "".join(f"{k},{'x' * 90}\n" for k in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        df = read_files(spark, f"{tmp_path}/big.csv", schema)
+        assert df.count() == 40_000 and df.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_copy_text_escapes(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("1\t\\101\\x42\\q\\\\n\\n\n2\t\\N\n\\.\n")
+    got = sorted(map(tuple, read_files(spark, f"{tmp_path}/e.txt", T.StructType.fromDDL("id int, s string")).collect()))
+    assert got == [(1, "ABq\\n\n"), (2, None)]
+
+
+def test_prefixes_read_files_of_their_format_only(spark, tmp_path):
+    (tmp_path / "p/q").mkdir(parents=True)
+    (tmp_path / "p/a.csv").write_text("id\n1\n")
+    (tmp_path / "p/q/b.csv").write_text("id\n2\n")
+    (tmp_path / "p/c.txt").write_text("no such thing")
+    assert sorted(r[0] for r in read_files(spark, f"{tmp_path}/p", T.StructType.fromDDL("id int"), "csv").collect()) == [1, 2]
+
+
+def test_files_near_a_target_size(spark, tmp_path):
+    df = spark.range(0, 400_000, 1, 1).selectExpr("id", "sha2(string(id), 256) AS s")
+    write_files(df, f"{tmp_path}/r", "parquet", "none", target_bytes=8 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "r").glob("*.parquet")]
+    assert len(sizes) > 1 and max(sizes) < 16 << 20
+    write_files(df, f"{tmp_path}/n", "text", max_records=100_000)
+    assert len(list((tmp_path / "n").glob("*.txt"))) == 4
