@@ -152,7 +152,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINI
     picked = labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").cast("int").alias("_quality")).dropna().orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(max_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_label_id"))
     stats = text_statistics(joined).where(~base_failed()).select(F.xxhash64("doc_id").alias("h"), "_quality", *[e.alias(f"f{k}") for k, e in enumerate(features().values())])
-    rows = stats.orderBy("h").limit(max_rows).collect()
+    # Of rows that share an id, and so the hash, the order is that of their labels and features: never chance.
+    rows = stats.orderBy(*stats.columns).limit(max_rows).collect()
     if not rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0, bool)
     table = np.array([tuple(r) for r in rows], dtype=float)
@@ -172,8 +173,6 @@ def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int) -> list[Condition
             cuts = np.flatnonzero(values[1:] > values[:-1])
             if not len(cuts):
                 continue
-            if len(cuts) > 512:
-                cuts = cuts[np.linspace(0, len(cuts) - 1, 512).astype(int)]
             below = np.cumsum(y)[cuts]
             total = cuts + 1
             for above in (True, False):
