@@ -66,7 +66,7 @@ def pre_tokens(path: str) -> Callable[[bytes], Counter]:
 
     def run(raw: bytes) -> Counter:
         text = raw.decode("utf-8", "replace")
-        if _FAST.fullmatch(text) and not (split and "<|" in text):
+        if _FAST.fullmatch(text) and not (split and split.search(text)):
             return Counter({k.encode(): v for k, v in Counter(_PIECES.findall(text.lower())).items()})
         return by_library(text)
 
@@ -96,10 +96,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = piece_counter(path), dict[bytes, int]()
+        pieces, known, now = piece_counter(path), dict[bytes, int](), None
         for batch in batches:
             values = []
-            for data in batch.column(2):
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if bucket != now:  # rows come by bucket, and no pre-token is in two
+                    now, known = bucket, {}
                 types = unpack_types(data.as_py())
                 for t in types:
                     if t not in known:

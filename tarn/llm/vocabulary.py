@@ -133,8 +133,8 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
 
 
 def parts_by_bucket(blocks: DataFrame) -> DataFrame:
-    """The dictionary parts, dealt so that equal buckets meet."""
-    return blocks.where(F.col("kind") == PART).select("bucket", "block", "data").repartition("bucket")
+    """The dictionary parts, dealt so that equal buckets meet, in the order of their buckets."""
+    return blocks.where(F.col("kind") == PART).select("bucket", "block", "data").repartition("bucket").sortWithinPartitions("bucket")
 
 
 def sum_by_document(blocks: DataFrame, values: DataFrame, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], outputs: str, extras: list[str], id_col: str = "doc_id") -> DataFrame:
