@@ -6,7 +6,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,20 +25,28 @@ ORACLE_SQL = None
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: The run that a stage belongs to; stages called by themselves share one.
+_run: ContextVar[str] = ContextVar("run", default="")
 
-def _stage(run: Stage) -> Stage:
-    """A stage, which first deletes what earlier stages wrote for themselves: their results have been written since."""
 
-    @wraps(run)
-    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, "pipeline")
-        with scope("pipeline"):
-            return run(spark, docs, sf_dir)
+def _stage(number: int) -> Callable[[Stage], Stage]:
+    """Stage ``number``, which first deletes what earlier stages of the same run wrote for themselves: their results
+    have been written since. What the last stage writes stays as long as the session, as its result reads it."""
 
-    return wrapped
+    def decorate(run: Stage) -> Stage:
+        @wraps(run)
+        def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for earlier in range(1, number):
+                release(spark, f"pipeline/{_run.get()}/{earlier}")
+            with scope(f"pipeline/{_run.get()}/{number}"):
+                return run(spark, docs, sf_dir)
 
+        return wrapped
 
-@_stage
+    return decorate
+
+
+@_stage(1)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or that a learned rule rejects go."""
     learned = rules.learn_rules(*rules.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -44,34 +54,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.apply_rules(carried, learned).where(F.col("kept")).select("_row.*")
 
 
-@_stage
+@_stage(2)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
     return simhash.keep_one(docs)
 
 
-@_stage
+@_stage(3)
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has, too, are cut out; a document that loses all its text goes.
 
     A cut may split a character; what is left of it goes as well.
     """
-    cut = suffix_dedup.remove_repeats(docs).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
-    text = F.col("kept").cast("string")
-    whole = F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "�", ""))
-    out = cut.withColumn("text", whole)
+    cut = suffix_dedup.remove_repeats(docs, whole_characters=True).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    out = cut.withColumn("text", F.col("kept").cast("string"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-@_stage
+@_stage(4)
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-@_stage
+@_stage(5)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in the training sequences."""
     import public_tokenizers
@@ -89,10 +97,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written as Parquet and read again by the next."""
+    """All stages on ``documents``; each stage's result is written as Parquet and read again by the next.
+
+    Runs do not disturb one another: each has a name of its own for what its stages write.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+    token = _run.set(uuid.uuid4().hex)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = materialize(docs, name.replace(" ", "-"))
+        return docs
+    finally:
+        _run.reset(token)
