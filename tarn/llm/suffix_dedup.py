@@ -6,9 +6,10 @@ equal choose the same content-defined anchors (``windows.anchors``), so only win
 1. Documents are written as compressed blocks of texts, a few blocks to a group; the table is bucketed by group, so
    that later steps read it in place and only hashes and decisions move. Each group sends its distinct anchor classes
    (anchor hash, hash of the whole span of windows that chose the anchor, smallest id) to the anchor's bucket. Equal
-   spans are decided there: every occurrence with an id above the smallest one is repeated as a whole. Each such class
-   then sends its bytes to the group that holds the smallest id, which compares them byte by byte; occurrences within a
-   group are compared there. Should one comparison fail, everything runs again with other hash functions.
+   spans are decided there: every occurrence with an id above the smallest one is repeated as a whole. Equal classes
+   form a chain by their ids; each sends its bytes to the group of the one before it, which compares them byte by byte,
+   so no group is asked by more than one other for a class. Occurrences within a group are compared there. Should one
+   comparison fail, everything runs again with other hash functions.
 2. Anchors with different spans send the bytes of one span for each class. Their window suffixes are sorted by
    mergesort; two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
    hashes. Neighbours that agree in ``WINDOW`` bytes by hash are compared byte by byte before they count as equal.
@@ -182,13 +183,16 @@ def _joined(rows: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, pa.Table]:
     return b"".join(parts), np.concatenate(ends), np.concatenate([unpack(k.as_py()) for k in rows["keys"]]), rows
 
 
+ASKED, ASKS = 4, 8
+
+
 @dataclass
 class Part:
     """What one group sent to a bucket, and what is decided of it.
 
-    ``least``: the smallest id of each class. ``send``: 1 if the class must send its span, 2 its windows; 4 more if a
-    class of another group is repeated for its sake. ``home``, ``there``: of classes that are repeated as a whole, the
-    group that holds the smallest id, and the number of the class among what it sent.
+    ``least``: the smallest id of each class. ``send``: 1 if the class must send its span, 2 its windows; ``ASKED`` more
+    if the next class of its chain compares itself with it, ``ASKS`` more if it has one before it. ``home``, ``there``:
+    the group of the class before it, and the number of that class among what the group sent.
     """
 
     group: int
@@ -213,19 +217,19 @@ def _decide_classes(parts: list[Part], limits: Limits) -> None:
         gram, span, key = (np.concatenate([getattr(p, x)[some] for p, some in zip(parts, slices, strict=True)]) for x in ("gram", "span", "key"))
         if not len(gram):
             continue
-        owner, send = _decide_range(gram, span, key, limits.crowded)
+        first, before, send = _decide_range(gram, span, key, limits.crowded)
         sizes = [some.stop - some.start for some in slices]
         part = np.repeat(np.arange(len(parts)), sizes)
         there = np.concatenate([np.arange(some.start, some.stop) for some in slices])
         at = 0
         for p, some, size in zip(parts, slices, sizes, strict=True):
-            of = owner[at : at + size]
-            p.least[some], p.send[some], p.home[some], p.there[some] = key[of], send[at : at + size], groups[part[of]], there[of]
+            of = before[at : at + size]
+            p.least[some], p.send[some], p.home[some], p.there[some] = key[first[at : at + size]], send[at : at + size], groups[part[of]], there[of]
             at += size
 
 
-def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each class the place of the equal one with the smallest id, and ``Part.send``."""
+def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each class the place of the equal one with the smallest id, of the one before it by id, and ``Part.send``."""
     order = np.lexsort((key, span, gram))
     g, s, k = gram[order], span[order], key[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
@@ -235,13 +239,11 @@ def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded:
     least = k[heads][kind]
     classes = np.add.reduceat(new.astype(np.int64), begin)
     several = np.where((classes > 1) & (np.minimum.reduceat(k, begin) < np.maximum.reduceat(k, begin)), np.where(classes > crowded, 2, 1), 0)
-    owner, send = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
-    owner[order] = order[heads][kind]
+    first, before, send = np.empty(len(order), np.int64), np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
+    first[order], before[order] = order[heads][kind], np.r_[order[:1], order[:-1]]
     # Of each class those with its smallest id send a span; larger ids are repeated as a whole.
-    own = several[group] * (k == least)
-    own[heads] |= 4 * np.logical_or.reduceat(k > least, heads)
-    send[order] = own
-    return owner, send
+    send[order] = several[group] * (k == least) | np.where(new, 0, ASKS) | np.where(np.r_[new[1:], True], 0, ASKED)
+    return first, before, send
 
 
 def suffix_order(segment: np.ndarray, start: np.ndarray, prefix: np.ndarray, data: np.ndarray, length: int = WINDOW) -> np.ndarray:
@@ -443,8 +445,8 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
         some = slice(edges[bucket], edges[bucket + 1])
         least[some] = own[some] - unpack(delta)
         send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
-        repeated = np.flatnonzero(own[some] > least[some]) + edges[bucket]
-        home[repeated], there[repeated] = unpack(homes), unpack(place).astype(np.int64) | bucket << 32
+        asks = np.flatnonzero(send[some] & ASKS) + edges[bucket]
+        home[asks], there[asks] = unpack(homes), unpack(place).astype(np.int64) | bucket << 32
     me = int(rows["group"][0].as_py())
     out: list[tuple[int, int, list[bytes]]] = []
 
@@ -455,13 +457,13 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
     alike[alike] = _equal(data, b.first[more[alike]], b.first[rep[more[alike]]], b.count[more[alike]] + WINDOW - 1)
     if not alike.all():
         out.append((me, FAILED, []))
-    # Bytes of what others decide, in the order of the text: neighbours overlap, and compress for it.
-    asked = np.flatnonzero(own > least)
-    asked = asked[np.lexsort((b.first[b.rep[asked]], home[asked]))]
-    for some in np.split(asked, np.flatnonzero(np.diff(home[asked])) + 1) if len(asked) else []:
+    # Bytes for others to compare, in the order of the text: neighbours overlap, and compress for it.
+    asks = np.flatnonzero(send & ASKS)
+    asks = asks[np.lexsort((b.first[b.rep[asks]], home[asks]))]
+    for some in np.split(asks, np.flatnonzero(np.diff(home[asks])) + 1) if len(asks) else []:
         r = b.rep[some]
         out.append((int(home[some[0]]), CLAIM, [pack(there[some].astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), zstandard.compress(_concatenated(data, b.first[r], b.count[r].astype(np.int64) + WINDOW - 1).tobytes(), 1)]))
-    homes = np.flatnonzero(send & 4)
+    homes = np.flatnonzero(send & ASKED)
     if len(homes):
         bucket = np.searchsorted(edges, homes, side="right") - 1
         r = b.rep[homes]
@@ -524,7 +526,7 @@ def _verify(rows: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"failed": pa.array([True] * failed, pa.bool_())})
 
 
-def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
+def _cut(rows: pa.Table, found: pa.Table, whole_characters: bool) -> pa.Table:
     text, ends, _, rows = _joined(rows)
     carry = rows["carry"].combine_chunks().flatten()
     steps = np.zeros(len(text) + 1, np.int32)
@@ -551,7 +553,8 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         runs = np.flatnonzero(np.diff(np.r_[False, gone[begin:end], False]))
         spans.append([{"start": a, "stop": b} for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True)])
         edges = [0, *runs.tolist(), end - begin]
-        kept.append(b"".join(text[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        pieces = [text[begin + a : begin + b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        kept.append(b"".join(p.decode("utf-8", "ignore").encode() if whole_characters and len(runs) else p for p in pieces))
         begin = end
     sizes = np.diff(np.r_[0, ends])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -560,8 +563,11 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The other columns of ``docs``, n_bytes, spans (array of start, stop: removed bytes) and kept (binary)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), whole_characters: bool = False) -> DataFrame:
+    """The other columns of ``docs``, n_bytes, spans (array of start, stop: removed bytes) and kept (binary).
+
+    ``whole_characters``: kept is without what a cut leaves of a character that it splits.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, id_col, text_col, limits, n)
@@ -592,7 +598,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType().add("carry", texts.schema["carry"].dataType.elementType)
     for f in T.StructType.fromDDL("n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"):
         schema.add(f)
-    final = texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(_cut, schema)
+    final = texts.groupBy("group").cogroup(both.groupBy("group")).applyInArrow(lambda rows, found: _cut(rows, found, whole_characters), schema)
     return final.select("carry.*", "n_bytes", "spans", "kept")
 
 
@@ -620,7 +626,7 @@ def _steps(texts: DataFrame, n: int, n_buckets: int, limits: Limits, seed: int)
             parts = [Part(group, unpack(g), unpack(s), unpack(k)) for group, g, s, k in rows]
             del rows
             _decide_classes(parts, limits)
-            again = [p.key > p.least for p in parts]
+            again = [p.send & ASKS > 0 for p in parts]
             columns = [pa.array([p.group for p in parts]), pa.array([bucket] * len(parts), pa.int32()), pa.array([pack((p.key - p.least).astype("<i8")) for p in parts], pa.binary()), pa.array([zstandard.compress(p.send.tobytes(), 1) for p in parts], pa.binary())]
             columns += [pa.array([pack(getattr(p, x)[some].astype(kind)) for p, some in zip(parts, again, strict=True)], pa.binary()) for x, kind in (("home", "<i8"), ("there", "<i4"))]
             yield pa.RecordBatch.from_arrays(columns, names=["group", "bucket", "least", "send", "home", "there"])
