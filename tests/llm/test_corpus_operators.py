@@ -370,14 +370,39 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark, make_docs):
     assert toxicity.toxicity(make_docs([]), labels).count() == 0
 
 
-def test_label_model_finds_accuracies_and_correlations():
+def planted_votes(rng, y, toxic, clean, abstain):
+    """Votes of voters with the given shares of TOXIC in either class, abstaining at random."""
+    fired = rng.random((len(y), len(toxic))) < np.where(y[:, None], toxic, clean)
+    votes = np.where(fired, toxicity.TOXIC, toxicity.CLEAN)
+    return np.where(rng.random(votes.shape) < abstain, toxicity.ABSTAIN, votes)
+
+
+@pytest.mark.parametrize("known", [0.0, 0.05, 1.0])
+def test_label_model_finds_planted_accuracies(known):
+    """With no, few and all labels (of which one in ten is wrong), beside many rows without."""
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    votes = np.stack([(rng.random(4000) < np.where(y, a, 0.05)) for a in (0.9, 0.7, 0.5)], axis=1).astype(float)
-    votes = np.c_[votes, votes[:, 0]]
-    noisy = y ^ (rng.random(4000) < 0.15)
-    posterior, theta, rho = toxicity.label_model(votes, noisy)
-    assert ((posterior > 0.5) == y).mean() > 0.93 and theta[1, 0] > theta[1, 2] and rho[0, 3] > 0.9
+    y = rng.random(8000) < 0.3
+    toxic, clean = np.array([0.9, 0.85, 0.75, 0.7, 0.6]), np.array([0.05, 0.1, 0.05, 0.15, 0.1])
+    votes = planted_votes(rng, y, toxic, clean, 0.1)
+    labels = np.where(rng.random(8000) < known, (y ^ (rng.random(8000) < 0.1)).astype(int), -1)
+    posterior, model = toxicity.label_model(votes, labels)
+    says = model.theta[:, :, toxicity.TOXIC] / model.theta[:, :, [toxicity.CLEAN, toxicity.TOXIC]].sum(axis=2)
+    assert np.abs(says[1] - toxic).max() < 0.06 and np.abs(says[0] - clean).max() < 0.04
+    assert abs(model.prior - 0.3) < 0.03 and ((posterior > 0.5) == y).mean() > 0.93
+    assert not known or abs(model.accuracy - 0.9) < 0.04
+
+
+def test_label_model_does_not_count_copies_of_a_voter_twice():
+    rng = np.random.default_rng(1)
+    y = rng.random(8000) < 0.3
+    votes = planted_votes(rng, y, np.array([0.8, 0.8, 0.8, 0.7]), np.array([0.1, 0.1, 0.1, 0.2]), 0.0)
+    echo = np.where(rng.random((8000, 6)) < 0.97, votes[:, 3:4], 3 - votes[:, 3:4])
+    labels = np.where(rng.random(8000) < 0.1, y.astype(int), -1)
+    plain, _ = toxicity.label_model(votes, labels)
+    posterior, model = toxicity.label_model(np.c_[votes, echo], labels)
+    assert ((posterior > 0.5) == y).mean() > ((plain > 0.5) == y).mean() - 0.01
+    linked = [j for j in range(10) if model.parent[j] >= 0]
+    assert set(linked) <= set(range(3, 10)) and len(linked) == 6
 
 
 def test_pipeline_stages(spark, tmp_path):
