@@ -1,14 +1,20 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides a block where its length, stop-word density and link
-density are clear, or where it stands in an element that says what it is (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments). Pass two gives each undecided, mostly short, block the label of its nearest decided
+density are clear. Where a block stands is evidence beside these: an element or role that says what it is (menus,
+footers, sidebars, forms) excludes it; words of a class or id only make it suspect, and suspects are kept out if any
+other block is good by its densities, and judged like the rest if none is; containers that hold most of the dense text
+raise the bar for what is outside. Pass two gives each undecided, mostly short, block the label of its nearest decided
 neighbours in the same container: both sides good or both bad decide; where they differ the nearer one does, and inside
 an article element the undecided stay.
 
+Stop words are those of four languages. A page whose long blocks have hardly any of them is of another language: there
+sentence marks take the place of stop words, and a character of a script without spaces counts as three.
+
 Defined results: a null or empty page gives an empty text; pages without markup are one block; unclosed scripts,
 styles and comments run to the end of the page; of other elements without an end only the tag is skipped, self-closed
-ones are empty, and a head without an end tag ends at the body or the first content; character references are decoded after the tags are taken out.
+ones are empty, and a head without an end tag ends at the body or the first content; character references are decoded
+after the tags are taken out.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ BAD_WORDS = frozenset(
     "recommended recommendations trending menu submenu nav navbar navigation breadcrumb breadcrumbs masthead footer copyright legal disclaimer "
     "comment comments commentlist disqus reply replies respond discussion search form pagination pager tagcloud skip".split()
 )
+# Those of them that also name subjects of articles, and say nothing beside a word for the article.
+DOUBTFUL_WORDS = frozenset("legal notice notices discussion search share sharing social side related form alert trending reply replies respond disclaimer copyright promo promotion".split())
 HEADER_WORDS = frozenset("header topbar toolbar".split())
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 # Frequent function words of English, French, German and Spanish.
@@ -61,7 +69,12 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
+_SENTENCE = re.compile(r"[.!?…。！？।؟]")
+_NO_SPACES = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u0e00-\u0eff]")
+
 GOOD, BAD, OPEN = 1, -1, 0
+#: Where a block stands: an element that excludes it, one whose class or id makes it suspect, neither, or an article.
+EXCLUDED, SUSPECT, PLAIN, ARTICLE = -2, -1, 0, 1
 LONG, MIDDLE, HIGH_STOPS, LOW_STOPS, MAX_LINKS = 140, 60, 0.25, 0.12, 0.4
 
 
@@ -74,41 +87,43 @@ class Block:
     label: int = OPEN
 
 
-def _marks(name: str, attr: str, in_article: bool) -> tuple[bool, bool]:
-    """(not of the article, an article container) by an element's name and attributes."""
-    bad = name in BAD_TAGS or (name == "header" and not in_article)
-    good = name in ("article", "main")
+def _marks(name: str, attr: str, in_article: bool) -> tuple[int, bool]:
+    """(EXCLUDED, SUSPECT or PLAIN; whether it is an article container) by an element's name and attributes."""
+    excluded = name in BAD_TAGS or (name == "header" and not in_article)
+    good, suspect = name in ("article", "main"), False
     if attr:
         for key, *values in _ATTR.findall(attr):
             key, value = key.lower(), "".join(values).lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                bad = True
+                excluded = True
             elif key == "role":
-                bad |= value in BAD_ROLES
+                excluded |= value in BAD_ROLES
                 good |= value in ("main", "article")
             elif key in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-                bad |= bool(words & BAD_WORDS) or (not in_article and bool(words & HEADER_WORDS))
-                good |= name in ("div", "section", "td") and bool(words & GOOD_WORDS)
-    return bad, good and not bad
+                article = name in ("div", "section", "td", "article", "main") and bool(words & GOOD_WORDS or name in ("article", "main"))
+                bad = words & BAD_WORDS
+                suspect |= bool(bad - DOUBTFUL_WORDS if article else bad) or (not in_article and bool(words & HEADER_WORDS))
+                good |= article
+    return EXCLUDED if excluded else SUSPECT if suspect else PLAIN, good and not (excluded or suspect)
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # element, bad, in an article, container
+    stack: list[tuple[str, int, bool, int]] = [("", PLAIN, False, 0)]  # element, its worst mark, in an article, container
     text: list[str] = []
-    linked, in_link, own_bad, at, containers = 0, False, False, 0, 0
+    linked, in_link, own, at, containers = 0, False, PLAIN, 0, 0
     head = False
     unclosed: set[str] = set()  # elements that have no end tag from here on
 
     def end_block() -> None:
-        nonlocal text, linked, own_bad
+        nonlocal text, linked, own
         if text:
             whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if whole:
-                _, bad, article, container = stack[-1]
-                out.append(Block(whole, linked, -1 if bad or own_bad else int(article), container))
-        text, linked, own_bad = [], 0, False
+                _, mark, article, container = stack[-1]
+                out.append(Block(whole, linked, min(mark, own) or (ARTICLE if article else PLAIN), container))
+        text, linked, own = [], 0, PLAIN
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -156,16 +171,16 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         break
             elif name in ("p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"):
-                own_bad = _marks(name, tag["attr"], stack[-1][2])[0]
+                own = _marks(name, tag["attr"], stack[-1][2])[0]
             elif not tag["attr"].endswith("/"):
                 if name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == name:
                     stack.pop()
-                _, bad, article, container = stack[-1]
-                own, good = _marks(name, tag["attr"], article)
-                if own or good:
+                _, mark, article, container = stack[-1]
+                new, good = _marks(name, tag["attr"], article)
+                if new or good:
                     containers += 1
                     container = containers
-                stack.append((name, bad or own, article or good, container))
+                stack.append((name, min(mark, new), article or good, container))
     add(page[at:])
     end_block()
     return out
@@ -176,35 +191,60 @@ def _stop_density(text: str) -> float:
     return max(sum(w in stops for w in words) for stops in STOP_WORDS.values()) / len(words) if words else 0.0
 
 
+def _size(text: str) -> int:
+    """Length, with characters of scripts without spaces as three."""
+    return len(text) + (0 if text.isascii() else 2 * len(_NO_SPACES.findall(text)))
+
+
+def _densities(blocks: list[Block]) -> tuple[list[int], list[float]]:
+    """Each block's length and stop-word density; sentence marks instead on pages of other languages."""
+    sizes = [_size(b.text) for b in blocks]
+    stops = [_stop_density(b.text) if b.inside > EXCLUDED and n >= MIDDLE else 0.0 for b, n in zip(blocks, sizes, strict=True)]
+    long = [(n, s) for b, n, s in zip(blocks, sizes, stops, strict=True) if b.inside > EXCLUDED and n >= LONG and b.linked <= MAX_LINKS * len(b.text)]
+    if long and sum(n * s for n, s in long) < LOW_STOPS * sum(n for n, _ in long):
+        stops = [HIGH_STOPS if n >= MIDDLE and _SENTENCE.search(b.text) else s for b, n, s in zip(blocks, sizes, stops, strict=True)]
+    return sizes, stops
+
+
 def classify(blocks: list[Block]) -> None:
+    """Both passes, without suspects; if no block is good without them, with them."""
+    sizes, stops = _densities(blocks)
+    places = [b.inside for b in blocks]
+    _decide(blocks, places, sizes, stops)
+    if SUSPECT in places and not any(b.label == GOOD for b in blocks):
+        for b in blocks:
+            b.label = OPEN
+        _decide(blocks, [PLAIN if p == SUSPECT else p for p in places], sizes, stops)
+
+
+def _decide(blocks: list[Block], places: list[int], sizes: list[int], densities: list[float]) -> None:
     """Pass one by density, length and place; pass two by the nearest decided neighbours."""
-    stops_of = [_stop_density(b.text) if b.inside >= 0 and len(b.text) >= MIDDLE else 0.0 for b in blocks]
     dense = [0, 0]
-    for b, stops in zip(blocks, stops_of, strict=True):
-        if b.inside >= 0 and b.linked / len(b.text) <= MAX_LINKS and stops >= (LOW_STOPS if len(b.text) >= LONG else HIGH_STOPS):
-            dense[b.inside] += len(b.text)
+    for b, place, size, stops in zip(blocks, places, sizes, densities, strict=True):
+        if place >= PLAIN and b.linked <= MAX_LINKS * len(b.text) and stops >= (LOW_STOPS if size >= LONG else HIGH_STOPS):
+            dense[place] += len(b.text)
     # Containers that hold most of the dense text are evidence against what is outside: it must be clearly prose then.
-    has_article = any(b.inside == 1 for b in blocks) and dense[1] >= dense[0]
-    for b, stops in zip(blocks, stops_of, strict=True):
+    has_article = ARTICLE in places and dense[1] >= dense[0]
+    for b, place, size, stops in zip(blocks, places, sizes, densities, strict=True):
         links = b.linked / len(b.text)
-        if b.inside < 0:
+        if place < PLAIN:
             b.label = BAD
-        elif has_article and b.inside == 0:
-            b.label = GOOD if len(b.text) >= LONG and stops >= HIGH_STOPS and links <= MAX_LINKS and "©" not in b.text else BAD
-        elif links > MAX_LINKS and (b.inside == 0 or links > 0.8):
-            b.label = BAD if b.inside == 0 or len(b.text) < LONG else OPEN
-        elif "©" in b.text and len(b.text) < LONG and b.inside == 0:
+        elif has_article and place == PLAIN:
+            b.label = GOOD if size >= LONG and stops >= HIGH_STOPS and links <= MAX_LINKS and "©" not in b.text else BAD
+        elif links > MAX_LINKS and (place == PLAIN or links > 0.8):
+            b.label = BAD if place == PLAIN or size < LONG else OPEN
+        elif "©" in b.text and size < LONG and place == PLAIN:
             b.label = BAD
-        elif len(b.text) >= MIDDLE:
-            if stops >= (LOW_STOPS if len(b.text) >= LONG else HIGH_STOPS):
+        elif size >= MIDDLE:
+            if stops >= (LOW_STOPS if size >= LONG else HIGH_STOPS):
                 b.label = GOOD
-            elif b.inside == 0 and stops < LOW_STOPS / 2:
+            elif place == PLAIN and stops < LOW_STOPS / 2:
                 b.label = BAD
     decided = [b.label for b in blocks]
     before: list[tuple[int, int]] = []
     last = (OPEN, 0)
     for k, b in enumerate(blocks):
-        if k and blocks[k - 1].container != b.container and b.inside == 1:
+        if k and blocks[k - 1].container != b.container and places[k] == ARTICLE:
             last = (OPEN, 0)
         before.append(last)
         if decided[k]:
@@ -212,11 +252,11 @@ def classify(blocks: list[Block]) -> None:
     last = (OPEN, 0)
     for k in range(len(blocks) - 1, -1, -1):
         b = blocks[k]
-        if k + 1 < len(blocks) and blocks[k + 1].container != b.container and b.inside == 1:
+        if k + 1 < len(blocks) and blocks[k + 1].container != b.container and places[k] == ARTICLE:
             last = (OPEN, 0)
         if not decided[k]:
             (left, i), (right, j) = before[k], last
-            if b.inside == 1:
+            if places[k] == ARTICLE:
                 b.label = BAD if left == right == BAD else GOOD
             elif left and right and left != right:
                 b.label = left if k - i < j - k else right

@@ -200,6 +200,63 @@ def test_unclosed_elements_do_not_take_the_page():
     html_extraction.main_text("<svg>" * 50_000 + "<head>" * 50_000)
 
 
+def test_class_words_do_not_take_the_article():
+    for name in ("legal content", "post share", "widget", "discussion-body", "related main-content"):
+        assert html_extraction.main_text(f'<body><div><a href="/">Home</a></div><div class="{name}"><p>{PROSE} A.</p><p>{PROSE} B.</p></div></body>') == f"{PROSE} A.\n\n{PROSE} B.", name
+    page = f'<div class="comments"><p>{PROSE} Reader.</p></div><article><p>{PROSE} Writer.</p></article>'
+    assert html_extraction.main_text(page) == f"{PROSE} Writer."
+
+
+def test_pages_of_other_languages_keep_their_text():
+    polish = "Wczoraj wieczorem na rynku zebrało się kilkaset osób, które przyszły posłuchać koncertu. Orkiestra zagrała utwory znanych kompozytorów, a publiczność długo biła brawo. Na koniec wystąpił chór dziecięcy."
+    italian = "Ieri sera nella piazza principale centinaia di persone hanno ascoltato il concerto dell'orchestra cittadina. Il pubblico ha applaudito a lungo, chiedendo ancora musica. Alla fine cantarono i bambini."
+    japanese = "昨日の夕方、町の広場に何百人もの人々が集まり、市の楽団による演奏を楽しんだ。観客は長い間拍手を送り、最後に子どもたちの合唱団が歌を披露した。来年もまた同じ場所で開かれる予定だという。"
+    for text in (polish, italian, japanese):
+        page = f'<div><a href="/a">Menu</a> <a href="/b">Start</a></div><div><p>{text}</p><p>{text}</p></div><div><a href="/c">Link</a></div>'
+        assert html_extraction.main_text(page) == f"{text}\n\n{text}"
+
+
+def built_page(rng, marked):
+    """(page, main text): paragraphs and short lines of an article between menus, teasers and a footer.
+
+    ``marked``: with article elements and class words; else nothing but div and p tells them apart.
+    """
+    stops = "the of and to in a is that it for on was be with as by this from at are or an not have but they you he we which".split()
+    words = [f"{a}{b}" for a in ("tor", "mel", "gan", "rid", "sul", "ven") for b in ("dex", "lum", "par", "nik", "fos", "bra")]
+    prose = lambda n: " ".join(rng.choice(stops if rng.random() < 0.45 else words) for _ in range(n)).capitalize() + "."
+    link = lambda n: "".join(f'<a href="/{k}">{" ".join(rng.choice(words) for _ in range(3))}</a> ' for k in range(n))
+    tag = (lambda name, body: f"<{name}>{body}</{name}>") if marked else lambda name, body: f"<div>{body}</div>"
+    kept = [prose(rng.randint(35, 90)) if k % 4 else prose(rng.randint(3, 8)) for k in range(1, rng.randint(5, 14))]
+    kept.append(prose(40))
+    kept.insert(0, prose(40))
+    article = "".join(f"<p>{t}</p>" for t in kept)
+    ad = f'<div class="ad">{prose(12)}</div>' if marked else f"<div>{link(3)}</div>"
+    page = tag("nav", f"<ul>{''.join(f'<li>{link(1)}</li>' for _ in range(6))}</ul>") + tag("article", article) + ad
+    page += tag("aside", f"<p>{link(4)}</p>") + tag("footer", f"&copy; {' '.join(rng.choice(words) for _ in range(5))}")
+    return f"<html><body>{page}</body></html>", "\n\n".join(kept)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_built_pages_with_and_without_marks(marked):
+    rng = random.Random(5)
+    for _ in range(60):
+        page, want = built_page(rng, marked)
+        assert html_extraction.main_text(page) == want
+
+
+@pytest.mark.parametrize("rule, value", [("_stop_density", lambda text: 1.0), ("MAX_LINKS", 2.0), ("LONG", 10), ("MIDDLE", 10**6)])
+def test_each_density_rule_decides(monkeypatch, rule, value):
+    """Without any one of stop words, link density and length, pages come out otherwise."""
+    rng = random.Random(6)
+    pages = [built_page(rng, False) for _ in range(20)]
+    menu = '<div><a href="/">Menu of the site</a></div>'
+    # Long, but no prose; prose, but short and thin, between menus.
+    odd = f"{menu}<div>{' '.join(['mel tor ven'] * 30)}</div>{menu}<div>{'mel tor ven sul gan rid the ' * 3}dex lum</div>{menu}"
+    assert all(html_extraction.main_text(p + odd) == want for p, want in pages)
+    monkeypatch.setattr(html_extraction, rule, value)
+    assert any(html_extraction.main_text(p + odd) != want for p, want in pages)
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>The text of the page is that of the article and it is what we want to see."), (5, "u", "<script>never closed <p>The text"), (6, "u", "<<>><a <b"), (None, "u", "<!-- open"), (6, "u", "<p>" * 2000 + "The end of the line is here and it is the one that was there for all of us to see.")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "page_id bigint, url string, html string, text int")
