@@ -7,9 +7,11 @@ within covering radius plus ceil(t/2) of both. Each distinct fingerprint is ther
 that distance (counted block by block: the excess over radius 3 sums to at most ceil(t/2); about 61 anchors for t = 4),
 and fingerprints are compared in full at each anchor. No linked pair is missed and no pair is linked unchecked.
 
-Equal fingerprints are one class before any replication. An anchor with more than ``CAP`` members is dealt out by pairs
-of member blocks, so no task holds more than two blocks. Each group sends on a spanning forest of its links, not all
-pairs, and the links are joined into components without the driver.
+Equal fingerprints are one class before any replication. Members of an anchor with more than ``CAP`` of them meet by
+bands: two fingerprints at t or fewer differing bits agree in one of t + 1 bands of their 64 bits at least, so each
+member goes once to each of its bands' values, and only members of one value are compared. What is still crowded then
+(near copies of one text) is dealt out by pairs of member blocks, so no task holds more than two blocks. Each group
+sends on a spanning forest of its links, not all pairs, and the links are joined into components without the driver.
 
 Defined results: a null text counts as empty, and an empty one has fingerprint 0, linked like any other; a null id is
 never the smallest id of a component unless all ids in it are null; repeated rows are returned as often as they come;
@@ -166,20 +168,20 @@ def forest(run: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray,
 
 
 def _links_of_runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Compares within runs of (anchor, block pair) of a sorted partition; a run has at most two blocks of members."""
+    """Compares within runs of a sorted partition; a run has at most two blocks of members."""
     held: list[np.ndarray] = []
 
     def emit(rows: np.ndarray) -> pa.RecordBatch:
-        key = np.cumsum(np.r_[False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, int)
-        u, v = forest(key, rows[:, 2], threshold)
+        key = np.cumsum(np.r_[False, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, int)
+        u, v = forest(key, rows[:, 1], threshold)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     for batch in batches:
-        held.append(np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1))
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1))
         rows = np.concatenate(held)
         if not len(rows):
             continue
-        last = int(np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[-1])
+        last = int(np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])[-1])
         held = [rows[last:]]
         if last:
             yield emit(rows[:last])
@@ -187,6 +189,37 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterato
         yield emit(np.concatenate(held))
 
 
+def _crowded(members: DataFrame, keys: list[str], cap: int, name: str) -> tuple[DataFrame, bool]:
+    """The groups of more than ``cap`` members, written, and whether there are few enough to broadcast."""
+    crowded = materialize(members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > cap), name)
+    return crowded, crowded.count() <= MAX_BROADCAST
+
+
+def _banded(members: DataFrame, threshold: int, cap: int) -> DataFrame:
+    """anchor, band, fp: the members of crowded anchors once for each band, with the band's number and value."""
+    crowded, few = _crowded(members, ["anchor"], cap, "crowded")
+    if crowded.isEmpty():
+        return members.select("anchor", F.lit(-1).cast("bigint").alias("band"), "fp")
+    n = threshold + 1
+    edges = [64 * k // n for k in range(n + 1)]
+    values = [F.shiftrightunsigned(F.shiftleft("fp", 64 - edges[k + 1]), 64 - (edges[k + 1] - edges[k])) * n + k for k in range(n)]
+    marked = members.join(F.broadcast(crowded) if few else crowded, "anchor", "left")
+    bands = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(*values))
+    return marked.select("anchor", F.explode(bands).alias("band"), "fp")
+
+
+def _dealt(members: DataFrame, cap: int) -> DataFrame:
+    """anchor, band, pair, fp: groups of several blocks as pairs of blocks (i <= j); a member of block b joins every pair with b."""
+    crowded, few = _crowded(members, ["anchor", "band"], cap, "dense")
+    if crowded.isEmpty():
+        return members.select("anchor", "band", F.lit(0).cast("bigint").alias("pair"), "fp")
+    blocks = F.coalesce(F.ceil(F.col("n") / cap), F.lit(1)).cast("bigint")
+    marked = members.join(F.broadcast(crowded) if few else crowded, ["anchor", "band"], "left").withColumn("s", blocks).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("s")))
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("o")
+    pair = (F.least("b", "o") * F.col("s") + F.greatest("b", "o")).alias("pair")
+    return marked.select("anchor", "band", "fp", "s", "b", others).select("anchor", "band", pair, "fp")
+
+
 def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) -> DataFrame:
     """(u, v): links that span the components of the distinct fingerprints of column fp."""
 
@@ -198,18 +231,13 @@ def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: in
                 i, a = anchors(fps[at : at + 4096], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fps[at : at + 4096][i])], names=["anchor", "fp"])
 
-    members = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint")
-    # An anchor of several blocks is compared as pairs of blocks (i <= j); a member of block b joins every pair with b.
-    crowded = materialize(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > cap), "crowded")
-    if crowded.isEmpty():
-        keyed = members.withColumn("pair", F.lit(0).cast("bigint"))
-    else:
-        few = crowded.count() <= MAX_BROADCAST
-        dealt = members.join(F.broadcast(crowded) if few else crowded, "anchor", "left").withColumn("s", F.coalesce(F.ceil(F.col("n") / cap), F.lit(1)).cast("bigint")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("s")))
-        pairs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s") - 1)).alias("o")
-        keyed = dealt.select("anchor", "fp", "s", "b", pairs).select("anchor", "fp", (F.least("b", "o") * F.col("s") + F.greatest("b", "o")).alias("pair"))
-    keyed = keyed.select("anchor", "pair", "fp")
-    grouped = keyed.repartition(F.col("anchor"), F.col("pair")).sortWithinPartitions("anchor", "pair")
+    # Fingerprints are small and make many rows each: dealt out by number of partitions, not by bytes.
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    members = spread.mapInArrow(replicate, "anchor bigint, fp bigint")
+    keyed = _dealt(_banded(members, threshold, cap), cap)
+    run = F.xxhash64("anchor", "band", "pair").alias("run")
+    # Runs of one hash are compared together: more pairs than need be in the rare case that two groups share it.
+    grouped = keyed.select(run, "fp").repartition("run").sortWithinPartitions("run")
     return grouped.mapInArrow(lambda it: _links_of_runs(it, threshold), "u bigint, v bigint").distinct()
 
 
@@ -224,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
     rooted = _roots(classes, threshold)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # Written, so that the join has a shuffle of its own, which adaptive execution splits where a component is large.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
     found = rooted.join(least, "root").select("fp", "component")
     return rows.join(found, "fp").select(id_col, "fp", "component")
 
