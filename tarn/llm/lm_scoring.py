@@ -1,29 +1,37 @@
 """Language-model scores by online logistic context mixing.
 
-A document is coded as its lower-cased words, each followed by a space, and one end. Words are coded bit by bit.
-Hashed contexts (the word's last bytes, its beginning, and the document's kind) index tables of bit counts gathered
-from all training documents; each gives a prediction, the predictions are combined in the logistic domain by weights
-that a gate chooses (bit position and evidence), and an adaptive probability map refines the result. Weights and map
-are learned online, one mini-batch after another, on all training words, each taken out of the tables for its own bits;
-every partition learns its own and the means by use are taken.
-A word's probability starts from its frequency in the document's kind; what absolute discounting takes from seen words
-is shared between its frequency over all documents and its spelling, as words seen once in a kind tell. This is mixed
-with a model without kinds by the share that best predicts training words left out one at a time. Within a document frequencies
-adapt: its words are drawn as from an urn to which each drawn word is returned twice (``ALPHA`` weighs the model).
+A document is coded as its class, its lower-cased words and one end. Each token is coded bit by bit, and each bit's
+probability is a gated logistic mix of predictions from several contexts, refined by an adaptive map:
+
+- A bit tells known words from new ones. A known word is a path of bits of its hash (``lm_paths``), predicted by the
+  counts of training tokens below the node in all documents, in documents of the kind and of the class, and after words
+  of the previous word's class in documents of the kind. So the order of words matters.
+- A new word is spelled: its bytes' bits are predicted by hashed contexts (the word's last bytes, its beginning, the
+  document's kind) from the spellings of all known words.
+
+While a document is scored, what it has said adapts the model: after words of one class, the words that the document
+has used there before gain on the model, which weighs as much as ``ALPHA`` words. A document whose class misleads is
+told by its own words, too: its probability is the mean of this model's and of plain word frequencies'.
+
+Weights and maps are learned online, one mini-batch after another, on all training words, each taken out of the counts
+for its own bits; every partition learns its own and the means by use are taken.
 
 A document's class is its commonest word, hashed to 6 bits; classes with like frequent words are one kind (``KINDS``,
-mostly one for each language). The kind is coded with the document, so the score is the log10 probability of a complete
+mostly one for each language). The class is coded with the document, so the score is the log10 probability of a complete
 code.
 
-A word's probability depends only on the word and the class. It is computed once for each distinct pair and summed
-over documents by ``vocabulary``; counts of all training tokens meet there by hash.
+Without that, a token's probability depends only on the word, the class and the previous word's class (a hash of it).
+It is computed once for each distinct triple and brought to the documents by ``vocabulary``; counts of all training
+tokens meet there by hash.
 
-Bounds: each table has an entry for each distinct training word, ``SLOTS`` at least, in powers of two (a broadcast
-state is 2 bytes, for training 4). Counts have no end; states hold their odds and evidence.
+Bounds: counts of words grow with the corpus, in tasks. What all tasks hold is bounded: the counts of the first
+``lm_paths.TOP`` bits by context (some 10 MB) and the spelling tables, which have an entry for each distinct training
+word, ``SLOTS`` at least and ``MAX_SLOTS`` at most, in powers of two (2 bytes in each of six tables, 4 while they are
+learned: 200 MB at most). Counts have no end; states hold their odds and evidence.
 
 Defined results: a null text counts as empty and scores its end alone; a null id is hashed as the empty text and so
-belongs to the training rows; repeated rows are scored one by one; without training rows every probability falls back
-to the untrained model.
+falls into training or not; repeated rows are scored one by one; without training rows every probability falls back
+to the untrained model; bits_per_byte is null for an empty text.
 """
 
 from __future__ import annotations
@@ -39,18 +47,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.memory import lean
-from tarn.llm import vocabulary
+from tarn.llm import lm_paths, vocabulary
+from tarn.llm.lm_paths import CLASSES, KINDS, PREVIOUS, TOP, PathMixer, codes_of, context_ids, path_ends, word_hash
+from tarn.llm.memory import give_back, lean
 from tarn.llm.vocabulary import PART, count_blocks, sum_by_document, unpack_ints, unpack_types
 from tarn.plans.materialize import materialize
 
-CLASSES, KINDS = 64, 8
 #: Frequent types that classes are compared by, at most.
 FREQUENT = 4000
-#: How many drawn words of a document weigh as much as the model.
-ALPHA = 3000.0
-#: Entries of each context's table, at least.
-SLOTS = 1 << 20
+#: How many words that a document has used weigh as much as the model.
+ALPHA = 1000.0
+#: Entries of each spelling context's table, at least and at most.
+SLOTS, MAX_SLOTS = 1 << 20, 1 << 23
 ORDERS = 6
 END = b"\xff"
 #: Table entries in one row of the shuffled tables.
@@ -64,15 +72,34 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2
 
 
+class _Marks(dict):
+    """The mark of a word for the one after it; forgets all when it holds too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = self[word] = bytes([48 + zlib.crc32(word) % PREVIOUS])
+        return found
+
+
+_marks = _Marks()
+
+
 def analyse(raw: bytes) -> tuple[dict[bytes, int], tuple[int, ...]]:
-    """Type frequencies of a text: a class byte and a word, or a class byte and ``END``."""
+    """Type frequencies of a text: a class byte, the previous word's byte, and a word or ``END``."""
     words = raw.lower().split()
-    counts = Counter(words)
-    kind = zlib.crc32(counts.most_common(1)[0][0]) % CLASSES if counts else 0
+    marks = [b"0", *map(_marks.__getitem__, words)]
+    counts = Counter(map(bytes.__add__, marks, words))
+    of_words: Counter = Counter()
+    for t, n in counts.items():
+        of_words[t[1:]] += n
+    # Of the commonest words the first by its bytes: ties are not left to the order of words.
+    top = max(of_words.values(), default=0)
+    kind = zlib.crc32(min(w for w, n in of_words.items() if n == top)) % CLASSES if words else 0
     mark = bytes([48 + kind])
-    found = {mark + w: n for w, n in counts.items()}
-    found[mark + END] = 1
-    return found, (len(words) + 1,)
+    found = {mark + t: n for t, n in counts.items()}
+    found[mark + marks[-1] + END] = 1
+    return found, (len(words) + 1, len(raw))
 
 
 def cluster_classes(rows: list[tuple[bytes, int]]) -> np.ndarray:
@@ -86,16 +113,16 @@ def cluster_classes(rows: list[tuple[bytes, int]]) -> np.ndarray:
     size = counts.sum(axis=1)
     points = np.sqrt(counts / np.maximum(1, size)[:, None])
     centers = points[[int(np.argmax(size))]]
-    for _ in range(KINDS - 1):
+    for _ in range(KINDS - 2):
         away = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).min(axis=1)
         centers = np.concatenate([centers, points[[int(np.argmax(away * size))]]])
     kind = np.zeros(CLASSES, np.int64)
     for _ in range(20):
         kind = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-        for k in range(KINDS):
+        for k in range(KINDS - 1):
             if size[kind == k].sum():
                 centers[k] = (points * size[:, None])[kind == k].sum(axis=0) / size[kind == k].sum()
-    return kind
+    return np.where(size > 0, kind, KINDS - 1)
 
 
 def contexts(types: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +158,8 @@ def contexts(types: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def table_slots(distinct: int) -> int:
-    """Entries of each table for so many distinct training words, a power of two."""
-    return max(SLOTS, 1 << max(0, distinct - 1).bit_length())
+    """Entries of each spelling table for so many distinct training words, a power of two."""
+    return min(MAX_SLOTS, max(SLOTS, 1 << max(0, distinct - 1).bit_length()))
 
 
 def bit_slots(hashes: np.ndarray, data: np.ndarray, size: int = SLOTS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -241,27 +268,29 @@ class Mixer:
         self.used[bit * 4 : bit * 4 + 4] += met
         weights += rate * (((g == np.arange(4)[:, None]) * (target - mixed)) @ x.T) / np.maximum(1, met)[:, None]
         where, flat = node * LEVELS + near, self.map.reshape(-1)
-        self.hits += np.bincount(where, minlength=flat.size).reshape(self.map.shape)
-        flat += np.bincount(where, weights=0.02 * (target - flat[where]), minlength=flat.size)
+        hits = np.bincount(where, minlength=flat.size)
+        self.hits += hits.reshape(self.map.shape)
+        mean = np.bincount(where, weights=target, minlength=flat.size) / np.maximum(1, hits)
+        flat += (mean - flat) * np.minimum(0.2, 0.02 * hits)
         np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
 
 
-def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 256, own_weights: np.ndarray | None = None, mixer: Mixer | None = None) -> Mixer:
+def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 1024, mixer: Mixer | None = None) -> Mixer:
     """Online, over mini-batches of words; each word's own counts are taken out of the tables for its own bits.
 
-    ``own_weights``: by order and word, what the tables hold of the word. ``mixer`` learns on, if given.
+    ``mixer`` learns on, if given.
     """
     mixer = Mixer() if mixer is None else mixer
-    every = np.broadcast_to(_weight(n), (ORDERS, len(types))) if own_weights is None else own_weights
+    every = _weight(n)
     for at in range(0, len(types), batch):
         hashes, data, of = contexts(types[at : at + batch], kinds)
-        own = every[:, at : at + batch][:, of].astype(np.float32)
+        own = every[at : at + batch][of].astype(np.float32)
         for bit, slots, target in bit_slots(hashes, data, n0.shape[1]):
             c0 = plain_counts(np.stack([n0[o][slots[o]] for o in range(ORDERS)]))
             c1 = plain_counts(np.stack([n1[o][slots[o]] for o in range(ORDERS)]))
             c0, c1 = np.maximum(0, c0 - own * (1 - target)), np.maximum(0, c1 - own * target)
             states = quantize(c0, c1)
-            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.4 / (1 + mixer.steps / 20))
+            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.2 / (1 + mixer.steps / 100))
         mixer.steps += 1
     return mixer
 
@@ -287,71 +316,94 @@ def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer, kinds: n
     return out
 
 
-def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training counts of each type of the partition's buckets, and of its word over all classes."""
-    counts: dict[bytes, int] = {}
-    bucket: dict[bytes, int] = {}
-    for batch in batches:
-        for b, data, n in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            for t, k in zip(unpack_types(data.as_py()), unpack_ints(n.as_py()).tolist(), strict=True):
-                counts[t] = counts.get(t, 0) + k
-                bucket[t] = b
-    words: Counter = Counter()
-    shares: dict[bytes, list[int]] = {}
-    for t, k in counts.items():
-        words[t[1:]] += k
-        if k:
-            shares.setdefault(t[1:], []).append((t[0] - 48) << 48 | k)
-    fresh = dict.fromkeys((w for w, k in words.items() if k), True)
-    types = list(counts)
-    # In an order that arrival does not change: mixers learn in it.
-    mixed = np.fromiter((zlib.crc32(t) << 32 | zlib.adler32(t) for t in types), np.uint64, len(types))
-    types = [types[k] for k in np.argsort(mixed).tolist()]
-    for at in range(0, len(types), 20_000):
-        some = types[at : at + 20_000]
-        columns = [pa.array([bucket[t] for t in some], pa.int32()), pa.array(some, pa.binary()), pa.array([counts[t] for t in some], pa.int64()), pa.array([words[t[1:]] for t in some], pa.int64())]
-        columns.append(pa.array([fresh.pop(t[1:], False) for t in some], pa.bool_()))
-        columns.append(pa.array([np.array(shares.get(t[1:], []), "<u8").tobytes() for t in some], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "type", "n", "c", "fresh", "shares"])
-
-
-def in_kind(types: list[bytes], shares: list[bytes], kinds: np.ndarray) -> np.ndarray:
-    """Training tokens of each type's word in documents of the type's kind."""
-    of = np.repeat(np.arange(len(types)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
-    flat = np.frombuffer(b"".join(shares), "<u8")
-    own = kinds[np.frombuffer(b"".join(t[:1] for t in types), np.uint8).astype(np.int64) - 48]
-    same = kinds[(flat >> np.uint64(48)).astype(np.int64)] == own[of]
-    return np.bincount(of, weights=np.where(same, flat & np.uint64((1 << 48) - 1), 0), minlength=len(types))
-
-
-def own_weights(types: list[bytes], shares: list[bytes], kinds: np.ndarray) -> np.ndarray:
-    """By order and type: the weight that the type's word has in the tables, over all its classes that share the context."""
-    of = np.repeat(np.arange(len(types)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
-    flat = np.frombuffer(b"".join(shares), "<u8")
-    weight = _weight(flat & np.uint64((1 << 48) - 1))
-    same = kinds[(flat >> np.uint64(48)).astype(np.int64)] == kinds_of(types, kinds)[of]
-    out = np.empty((ORDERS, len(types)))
-    out[:2] = np.bincount(of, weights=np.where(same, weight, 0), minlength=len(types))  # contexts with the kind
-    out[2:] = np.bincount(of, weights=weight, minlength=len(types))
-    return out
+def pack_longs(values: np.ndarray) -> bytes:
+    """Integers of 64 bits, bytes transposed so that small values compress."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _words_by_kind(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """By kind: distinct training words, those seen once and twice there, and those seen once there and elsewhere, too."""
-    held = np.zeros((4, KINDS), np.int64)
+def unpack_longs(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view("<i8").ravel()
+
+
+class Bucket:
+    """The types of a bucket, sorted, with their training tokens: the entries of ``lm_paths``."""
+
+    def __init__(self, types: list[bytes], n: np.ndarray) -> None:
+        self.types, self.n = types, n
+        marks = np.frombuffer(b"".join(t[:2] for t in types), np.uint8).reshape(-1, 2).astype(np.int64) - 48
+        self.classes, self.previous = marks[:, 0], marks[:, 1]
+        number: dict[bytes, int] = {}
+        self.word = np.fromiter((number.setdefault(t[2:], len(number)) for t in types), np.int64, len(types))
+        self.words = list(number)
+        #: Training tokens of each distinct word, and the words' codes.
+        self.c = np.bincount(self.word, weights=n, minlength=len(self.words)).astype(np.int64)
+        self.codes = codes_of(self.words)
+
+    def by_kind(self, kinds: np.ndarray) -> np.ndarray:
+        """Training tokens of each word in each kind."""
+        flat = np.bincount(self.word * KINDS + kinds[self.classes], weights=self.n, minlength=len(self.words) * KINDS)
+        return flat.reshape(-1, KINDS)
+
+    def entries(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """codes, n, contexts and path ends, as ``lm_paths.nodes`` takes them."""
+        return self.codes[self.word], self.n, context_ids(self.classes, self.previous, kinds), path_ends(self.codes, self.c > 0)[self.word]
+
+
+TYPES = "bucket int, types binary, n binary, top array<struct<t: binary, n: bigint>>, first bigint, sums binary, tokens binary, once binary, distinct bigint"
+
+
+def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of a partition sorted by buckets: its types, and what they add to the corpus's facts."""
+    for b, parts in _by_first(batches):
+        counts: dict[bytes, int] = {}
+        for data, n in parts:
+            for t, k in zip(unpack_types(data), unpack_ints(n).tolist(), strict=True):
+                counts[t] = counts.get(t, 0) + k
+        types = sorted(counts)
+        own = Bucket(types, np.fromiter(map(counts.__getitem__, types), np.int64, len(types)))
+        frequent: Counter = Counter()
+        for t, k in zip(types, own.n.tolist(), strict=True):
+            if k:
+                frequent[t[:1] + t[2:]] += k
+        top = sorted(frequent.items(), key=lambda e: (-e[1], e[0]))[:FREQUENT]
+        prefix = (own.codes >> np.uint64(64 - TOP)).astype(np.int64)[own.word]
+        first, width = int(prefix.min()), int(prefix.max() - prefix.min()) + 1
+        where = (own.classes * PREVIOUS + own.previous) * width + prefix - first
+        sums = np.bincount(where, weights=own.n, minlength=CLASSES * PREVIOUS * width).astype(np.int64)
+        tokens = np.bincount(own.classes, weights=own.n, minlength=CLASSES).astype(np.int64)
+        once = np.bincount(own.classes, weights=own.n * (own.c[own.word] == 1), minlength=CLASSES).astype(np.int64)
+        columns = [pa.array([b], pa.int32()), pa.array([vocabulary.pack_types(types)], pa.binary()), pa.array([pack_longs(own.n)], pa.binary())]
+        columns.append(pa.array([[{"t": t, "n": k} for t, k in top]], pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())]))))
+        columns += [pa.array([first]), *[pa.array([pack_longs(x)], pa.binary()) for x in (sums, tokens, once)], pa.array([int((own.c > 0).sum())])]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "types", "n", "top", "first", "sums", "tokens", "once", "distinct"])
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of a partition sorted by its first column, one list for each of its values."""
+    now, held = None, []
     for batch in batches:
-        shares, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        of = np.repeat(np.arange(len(shares)), np.fromiter((len(x) // 8 for x in shares), np.int64, len(shares)))
-        flat = np.frombuffer(b"".join(shares), "<u8")
-        where, at = np.unique(of * KINDS + kinds[(flat >> np.uint64(48)).astype(np.int64)], return_inverse=True)
-        n = np.bincount(at, weights=flat & np.uint64((1 << 48) - 1), minlength=len(where))
-        for k, which in enumerate((n > 0, n == 1, n == 2, (n == 1) & (c[where // KINDS] > 1))):
-            held[k] += np.bincount(where[which] % KINDS, minlength=KINDS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS)), *[pa.array(h) for h in held]], names=["k", "words", "once", "twice", "elsewhere"])
-
-
-def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """Bit counts of the partition's training types, by order and slice of the table."""
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held
+
+
+def spelled_words(bucket: Bucket, kinds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The known words of a bucket, each with a class byte of the kind that has most of its tokens, and their tokens."""
+    byte_of = np.zeros(KINDS, np.int64)
+    byte_of[kinds[::-1]] = np.arange(CLASSES)[::-1]
+    most = byte_of[bucket.by_kind(kinds).argmax(axis=1)].tolist()
+    known = np.flatnonzero(bucket.c > 0).tolist()
+    return [bytes([48 + most[k]]) + bucket.words[k] for k in known], bucket.c[known]
+
+
+def _fill_tables(buckets: Iterator[Bucket], kinds: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Bit counts of the partition's known words, by order and slice of the table."""
     tables = np.zeros((2, ORDERS, size), np.float32)
     flat, added = tables.reshape(-1), 0.0
 
@@ -363,17 +415,19 @@ def _fill_tables(batches: Iterator[pa.RecordBatch], kinds: np.ndarray, size: int
                     yield _slice(o, s, part)
         tables.fill(0)
 
-    for batch in batches:
-        types, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        hashes, data, of = contexts(types, kinds)
-        weight = _weight(n)[of].astype(np.float32)
-        added += float(weight.sum())
-        if added > EXACT:
-            yield from flush()
-            added = float(weight.sum())
-        for _, slots, target in bit_slots(hashes, data, size):
-            for o in range(ORDERS):
-                np.add.at(flat, (target * ORDERS + o) * size + slots[o], weight)
+    for bucket in buckets:
+        every, counts = spelled_words(bucket, kinds)
+        for k in range(0, len(every), 20_000):
+            types, n = every[k : k + 20_000], counts[k : k + 20_000]
+            hashes, data, of = contexts(types, kinds)
+            weight = _weight(n)[of].astype(np.float32)
+            added += float(weight.sum())
+            if added > EXACT:
+                yield from flush()
+                added = float(weight.sum())
+            for _, slots, target in bit_slots(hashes, data, size):
+                for o in range(ORDERS):
+                    np.add.at(flat, (target * ORDERS + o) * size + slots[o], weight)
     yield from flush()
 
 
@@ -401,71 +455,43 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Frequencies:
-    """Training tokens and distinct words overall and by kind; the discount of seen words, how much of it goes to words
-    of other kinds, and the share of the model with kinds."""
-
-    total: int
-    distinct: int
-    tokens: np.ndarray
-    words: np.ndarray
-    discount: float
-    elsewhere: float
-    share: float = 0.9
-
-
-def _models(n_kind: np.ndarray, c: np.ndarray, kind: np.ndarray, f: Frequencies, out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Seen mass and mass of new words, of the model with kinds and of that without; ``out`` tokens are left out."""
-    tokens, words = f.tokens[kind] - out, f.words[kind]
-    own = np.where(tokens > 0, np.maximum(0, n_kind - out - f.discount) / np.maximum(1, tokens), 0)
-    rest = np.where(tokens > 0, f.discount * np.minimum(words, np.maximum(1, tokens)) / np.maximum(1, tokens), 1)
-    total = max(1, f.total - out)
-    plain = np.maximum(0, c - out - f.discount) / total
-    return own + rest * f.elsewhere * (c - out) / total, rest * (1 - f.elsewhere), plain, np.full(len(c), f.discount * min(f.distinct, total) / total)
-
-
-#: Weights of the model with kinds that are compared.
-GRID = np.linspace(0.02, 0.98, 49)
+class Model:
+    """Kinds of classes, counts of the first bits by context, and the chance of a new word in each kind."""
 
+    kinds: np.ndarray
+    tops: list[list[np.ndarray]]
+    new: np.ndarray
 
-def kind_worth(n: np.ndarray, c: np.ndarray, n_kind: np.ndarray, kind: np.ndarray, f: Frequencies) -> np.ndarray:
-    """For each weight of ``GRID``: how well it predicts words seen again, each token left out in turn (sums of logs)."""
-    again = c > 1
-    with_kinds, _, without, _ = _models(n_kind[again], c[again], kind[again], f, 1)
-    return np.array([(n[again] * np.log(g * with_kinds + (1 - g) * without + 1e-12)).sum() for g in GRID])
 
+def chance_of_new(tokens: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """The share of training tokens whose word occurs nowhere else, which is new if they are left out; 1 without any."""
+    return np.where(tokens > 0, (once + 0.5) / (tokens + 1), 1.0 if not tokens.any() else (once.sum() + 0.5) / (tokens.sum() + 1))
 
-def kind_share(worth: np.ndarray) -> float:
-    """The weight of the model with kinds that is worth most, a half where nothing is seen again."""
-    return float(GRID[int(np.argmax(worth))]) if worth.any() else 0.5
 
-
-def _learn(batches: Iterator[pa.RecordBatch], n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, f: Frequencies) -> Iterator[pa.RecordBatch]:
-    """Sums over the partition's training types: ``kind_worth``, then those of a mixer that learned from all of them."""
-    worth, mixer = np.zeros(len(GRID)), Mixer()
-    for batch in batches:
-        types, n, c, shares = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy().astype(float), batch.column(3).to_pylist()
-        worth += kind_worth(n, c, in_kind(types, shares, kinds), kinds_of(types, kinds), f)
-        train_mixer(types, n, n0, n1, kinds, own_weights=own_weights(types, shares, kinds), mixer=mixer)
-    sums, use = mixer.sums()
-    sums, use = np.r_[worth, sums], np.r_[np.ones(len(GRID)), use]
+def _learn(buckets: Iterator[Bucket], n0: np.ndarray, n1: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
+    """Sums over the partition's training words: of a mixer of paths and one of spellings that learned from all of them."""
+    paths, spelling = PathMixer(), Mixer()
+    for bucket in buckets:
+        codes, n, ids, ends = bucket.entries(model.kinds)
+        lm_paths.train(paths, codes, n, bucket.c[bucket.word], ids, ends, model.tops)
+        types, counts = spelled_words(bucket, model.kinds)
+        order = np.random.default_rng(1).permutation(len(types))
+        train_mixer([types[k] for k in order.tolist()], counts[order], n0, n1, model.kinds, mixer=spelling)
+    sums, use = (np.concatenate(x) for x in zip(paths.sums(), spelling.sums(), strict=True))
     some = np.flatnonzero(use)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some]), pa.array(use[some])], names=["i", "sum", "use"])
 
 
-def kinds_of(types: list[bytes], kinds: np.ndarray) -> np.ndarray:
-    return kinds[np.array([t[0] - 48 for t in types], np.int64)]
-
-
-def word_log10(types: list[bytes], c: np.ndarray, n_kind: np.ndarray, spelled: np.ndarray, kinds: np.ndarray, f: Frequencies) -> np.ndarray:
-    """log10 of a word's probability: frequencies in its kind and overall, and its spelling."""
-    if not f.total:
-        return spelled
-    with_kinds, new_with, without, new_without = _models(n_kind, c, kinds_of(types, kinds), f)
+def token_log10(bucket: Bucket, model: Model, paths: PathMixer, table: np.ndarray, spelling: Mixer) -> np.ndarray:
+    """log10 of each type's probability, given its class and previous word's class."""
+    codes, n, ids, ends = bucket.entries(model.kinds)
+    known = bucket.c[bucket.word] > 0
     with np.errstate(divide="ignore"):
-        seen = np.log(f.share * with_kinds + (1 - f.share) * without)
-        new = np.log(f.share * new_with + (1 - f.share) * new_without) + spelled * np.log(10)
-        return np.logaddexp(seen, new) / np.log(10)
+        out = np.where(known, np.log10(1 - model.new)[ids[1]] + lm_paths.path_log10(paths, codes, n, ids, ends, model.tops), np.log10(model.new)[ids[1]])
+    new = np.flatnonzero(~known)
+    if len(new):
+        out[new] += spelling_log10([bucket.types[k][:1] + bucket.types[k][2:] for k in new.tolist()], table, spelling, model.kinds)
+    return out
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -477,110 +503,108 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
-def urn_log10(p_log10: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """By pairs of document and type: log10 of drawing the type so often; the document's term comes with its first pair."""
-    a_log = p_log10 * np.log(10) + np.log(ALPHA)
-    out = a_log.copy()
+def adapted_log10(p_log10: np.ndarray, counts: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """By pairs of document and type: log10 of coding the type so often, each time with what the document has used before.
+
+    ``history``: what each pair's words are added up in, numbered from 0; its own term comes with its first pair. In any
+    order of the words the product is the same: (ALPHA p + used) / (ALPHA + all used) for each.
+    """
+    log = p_log10 * np.log(10) + np.log(ALPHA)
+    out = log.copy()
     more = counts > 1
-    a = np.exp(a_log[more])
+    a = np.exp(log[more])
     # Gamma(a + n) / Gamma(a) = a (a + 1) ... (a + n - 1); the first factor stays in the log domain.
     out[more] += log_gamma(a + counts[more]) - log_gamma(a + 1)
-    n = np.bincount(of, weights=counts)
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    size = n[of[first]]
-    out[first] -= log_gamma(ALPHA + size) - log_gamma(np.full(len(size), ALPHA))
+    size = np.bincount(history, weights=counts)
+    first = np.full(len(size), -1)
+    first[history[::-1]] = np.arange(len(history))[::-1]
+    some = first >= 0
+    out[first[some]] -= log_gamma(ALPHA + size[some]) - log_gamma(np.full(int(some.sum()), ALPHA))
     return out / np.log(10)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
+    for batch in batches:
+        for types, n in zip(batch.column(0), batch.column(1), strict=True):
+            yield Bucket(unpack_types(types.as_py()), unpack_longs(n.as_py()))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, block_bytes: int = vocabulary.BLOCK_BYTES) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
+    """(id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs``.
 
     ``training``: the rows to learn from; by default those that are not held out by the crc32 of the id.
     """
     spark = docs.sparkSession
     training = ~held_out(id_col) if training is None else training
-    blocks = count_blocks(docs, lambda: analyse, ["n_tokens"], id_col, text_col, bucket_of=_word, train=training, block_bytes=block_bytes)
+    blocks = count_blocks(docs, lambda: analyse, ["n_tokens", "n_bytes"], id_col, text_col, hash_of=lambda t: word_hash(t[2:]), hash_bits=TOP, train=training, block_bytes=block_bytes)
     parts = blocks.where(F.col("kind") == PART).select("bucket", "block", "data", "counts")
-    types = materialize(parts.repartition("bucket").mapInArrow(_count_types, "bucket int, type binary, n bigint, c bigint, fresh boolean, shares binary"), "types")
-
-    frequent = types.where("n > 0").orderBy(F.desc("n"), "type").limit(FREQUENT).collect()
-    kinds = cluster_classes([(bytes(r["type"]), r["n"]) for r in frequent])
-    by_class = types.groupBy((F.ascii(F.substring("type", 1, 1).cast("string")) - 48).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("fresh").cast("int")).alias("v")).collect()
-    per_kind = np.zeros(KINDS)
-    for row in by_class:
-        per_kind[kinds[row["k"]]] += row["n"]
-    total, distinct = int(per_kind.sum()), int(sum(r["v"] for r in by_class))
-    facts = ("words", "once", "twice", "elsewhere")
-    by_kind = types.where("fresh").select("shares", "c").mapInArrow(lambda it: _words_by_kind(it, kinds), "k bigint, " + ", ".join(f"{x} bigint" for x in facts)).groupBy("k").agg(*[F.sum(x).alias(x) for x in facts]).collect()
-    held = np.zeros((len(facts), KINDS))
-    for row in by_kind:
-        held[:, row["k"]] = [row[x] for x in facts]
-    words, once, twice, elsewhere = held[0], *held[1:].sum(axis=1)
-    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    frequencies = Frequencies(total, distinct, per_kind, words, discount, min(0.9, max(0.02, elsewhere / max(1, once))))
+    grouped = parts.select("bucket", "data", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    types = materialize(grouped.mapInArrow(lean(_count_types), TYPES), "types")
+
+    # Facts of a fixed number: frequent types, counts by class, and by class and first bits.
+    frequent = types.select(F.inline("top")).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
+    kinds = cluster_classes([(bytes(r["t"]), r["n"]) for r in frequent])
+    tokens, once, distinct = np.zeros(KINDS), np.zeros(KINDS), 0
+    first_bits = np.zeros((CLASSES, PREVIOUS, 1 << TOP))
+    for row in types.select("first", "sums", "tokens", "once", "distinct").toLocalIterator():
+        sums = unpack_longs(row["sums"]).reshape(CLASSES, PREVIOUS, -1)
+        first_bits[:, :, row["first"] : row["first"] + sums.shape[2]] += sums
+        np.add.at(tokens, kinds, unpack_longs(row["tokens"]))
+        np.add.at(once, kinds, unpack_longs(row["once"]))
+        distinct += row["distinct"]
+    total = int(tokens.sum())
+    facts = spark.sparkContext.broadcast(Model(kinds, lm_paths.top_tables(first_bits, kinds), chance_of_new(tokens, once)))
 
     size = table_slots(distinct)
-    seen = types.where("n > 0").select("type", "n", "c", "shares")
-    slices = seen.select("type", "n").mapInArrow(lambda it: _fill_tables(it, kinds, size), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
+    seen = types.select("types", "n")
+    slices = seen.mapInArrow(lean(lambda it: _fill_tables(_buckets(it), kinds, size)), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
     tables = np.zeros((ORDERS, size, 2), np.uint16)  # both counts of an entry side by side: one look into memory
     n0, n1 = tables[..., 0], tables[..., 1]
-    for row in slices.collect():  # 4 bytes an entry; entries are as many as distinct training words, about
+    for row in slices.toLocalIterator():  # at most 4 bytes for each of MAX_SLOTS entries in each table
         part = np.frombuffer(zstandard.decompress(bytes(row["data"])), np.uint16).reshape(2, -1)
         n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
     counted = spark.sparkContext.broadcast(tables)
 
     @lean
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _learn(batches, counted.value[..., 0], counted.value[..., 1], kinds, frequencies)
+        yield from _learn(_buckets(batches), counted.value[..., 0], counted.value[..., 1], facts.value)
 
-    facts = seen.mapInArrow(learn, "i bigint, sum double, use double").groupBy("i").agg(F.sum("sum").alias("sum"), F.sum("use").alias("use")).collect()
-    sums, use = np.zeros((2, len(GRID) + Mixer().sums()[0].size))
-    for row in facts:  # one for each weight and place of the map
+    learned = seen.mapInArrow(learn, "i bigint, sum double, use double").groupBy("i").agg(F.sum("sum").alias("sum"), F.sum("use").alias("use")).collect()
+    border = PathMixer().sums()[0].size
+    sums, use = np.zeros((2, border + Mixer().sums()[0].size))
+    for row in learned:  # one for each weight and place of the maps
         sums[row["i"]], use[row["i"]] = row["sum"], row["use"]
-    frequencies.share = kind_share(sums[: len(GRID)])
-    mixer = Mixer.averaged(sums[len(GRID) :], use[len(GRID) :])
+    paths, spelling = PathMixer.averaged(sums[:border], use[:border]), Mixer.averaged(sums[border:], use[border:])
+    states = states_of(n0, n1)
     counted.unpersist()
-    model = spark.sparkContext.broadcast((states_of(n0, n1), mixer))
-
-    @lean
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, trained = model.value
-        for batch in batches:
-            names, c = batch.column(1).to_pylist(), batch.column(3).to_numpy()
-            spelled = spelling_log10(names, table, trained, kinds)
-            p = word_log10(names, c, in_kind(names, batch.column(5).to_pylist(), kinds), spelled, kinds, frequencies)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(p)], names=["bucket", "type", "c", "p"])
-
-    scored = types.mapInArrow(score, "bucket int, type binary, c bigint, p double")
-    both = scored.select("bucket", F.lit(-1).cast("bigint").alias("block"), F.col("type").alias("data"), "c", "p").unionByName(
-        parts.select("bucket", "block", "data", F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("p"))
-    )
-
-    @lean
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, dict[bytes, tuple[float, float]]()
-        for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for b, block, data, c, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if b != now:
-                    now, found = b, {}
-                if block < 0:
-                    found[data] = (c, p)
-                else:
-                    rows = np.array([found[t] for t in unpack_types(data)], "<f8")
-                    out.append((block, b, zstandard.compress(rows.tobytes(), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["block", "bucket", "value"])
-
-    values = both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(look_up, "block bigint, bucket int, value binary")
+    model = spark.sparkContext.broadcast((states, paths, spelling))
+
+    def score(found: pa.Table, asked: pa.Table) -> pa.Table:
+        """A bucket's types are scored once and looked up for each block."""
+        table, path_mixer, spelling_mixer = model.value
+        bucket = Bucket(unpack_types(found["types"][0].as_py()), unpack_longs(found["n"][0].as_py()))
+        p = token_log10(bucket, facts.value, path_mixer, table, spelling_mixer)
+        # Single precision of p is enough, and compresses.
+        rows = np.stack([bucket.c[bucket.word].astype("<f8"), p.astype(np.float32).astype("<f8"), bucket.previous.astype("<f8")], axis=1)
+        number = {t: k for k, t in enumerate(bucket.types)}
+        values = [zstandard.compress(rows[np.fromiter(map(number.__getitem__, unpack_types(d.as_py())), np.int64)].tobytes(), 1) for d in asked["data"]]
+        out = pa.table([asked["block"], asked["bucket"], pa.array(values, pa.binary())], names=["block", "bucket", "value"])
+        give_back()
+        return out
+
+    by_bucket = types.select("bucket", "types", "n").groupBy("bucket").cogroup(parts.select("bucket", "block", "data").groupBy("bucket"))
+    values = by_bucket.applyInArrow(score, "block bigint, bucket int, value binary")
+
+    known = float(1 - chance_of_new(tokens.sum(keepdims=True), once.sum(keepdims=True))[0])
+    often = float(np.log10(known / total)) if known > 0 else 0.0  # of a word that occurs once
 
     def combine(pairs: np.ndarray, counts: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
-        c, p = pairs.T if pairs.shape[1] > 1 else (np.zeros(0), np.zeros(0))
-        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, urn_log10(p, counts, of)]
-
-    summed = sum_by_document(blocks, values, combine, "n_known bigint, base_score double, score double", ["n_tokens"], id_col)
-    side = float(np.log10(KINDS))
-    return summed.select(id_col, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", (F.col("score") - side).alias("score"))
-
-
-def _word(kind_and_word: bytes) -> bytes:
-    return kind_and_word[1:]
+        c, p, previous = pairs.T if pairs.shape[1] > 1 else np.zeros((3, 0))
+        plain = np.where(c > 0, np.log10(np.maximum(c, 1)) + often, p)
+        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, adapted_log10(p, counts, of * PREVIOUS + previous.astype(np.int64)), adapted_log10(plain, counts, of)]
+
+    summed = sum_by_document(blocks, values, combine, "n_known bigint, base_score double, score double, plain double", ["n_tokens", "n_bytes"], id_col)
+    best, gap = F.greatest("score", "plain"), -F.abs(F.col("score") - F.col("plain"))
+    score_with_class = best + F.log10(1 + F.pow(F.lit(10.0), gap)) - float(np.log10(2 * CLASSES))
+    bits = F.when(F.col("n_bytes") > 0, -score_with_class * float(np.log2(10)) / F.col("n_bytes"))
+    return summed.select(id_col, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", score_with_class.alias("score"), bits.alias("bits_per_byte"))

@@ -30,7 +30,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lm_scoring.lm_scores(docs).withColumn("held_out", lm_scoring.held_out())
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,11 +48,12 @@ def unpack_types(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b"\n")
 
 
-def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[str], id_col: str = "doc_id", text_col: str = "text", bucket_of: Callable[[bytes], bytes] = bytes, train: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[str], id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[bytes], int] = zlib.crc32, hash_bits: int = 32, train: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The written block table: block, kind, bucket, data, counts, ends, ids and one array for each of ``extras``.
 
     ``analyse()`` is called once in each task and gives a function from a text's bytes to (type frequencies, extras).
-    ``bucket_of``: the part of a type that chooses its bucket. ``train``: the rows whose type frequencies the counts of
+    ``hash_of``: a 32-bit hash of a type, whose first ``hash_bits`` bits choose the bucket; a bucket is a range of them.
+    ``train``: the rows whose type frequencies the counts of
     a dictionary part sum up (all, if not given).
     """
     spark = docs.sparkSession
@@ -75,7 +76,7 @@ def count_blocks(docs: DataFrame, analyse: Callable[[], Analyse], extras: list[s
             nonlocal held, known, size, serial
             block = task << 24 | serial
             types = list(known)
-            bucket = np.fromiter((zlib.crc32(bucket_of(t)) % n_buckets for t in types), np.int64, len(types))
+            bucket = (np.fromiter(map(hash_of, types), np.int64, len(types)) >> 32 - hash_bits) * n_buckets >> hash_bits
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(types), np.int64)
             place[order] = np.arange(len(types))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tarn.llm import components, decontamination, lm_scoring, simhash, suffix_dedup, toxicity, windows
+from tarn.llm import components, decontamination, lm_paths, lm_scoring, simhash, suffix_dedup, toxicity, windows
 from tests.llm.conftest import EDGES, WORDS, prose
 
 
@@ -289,7 +289,7 @@ def test_lm_base_scores_and_codes(spark, make_docs):
     total, distinct = sum(counts.values()), len(counts)
     want = sorted(((i, len(ws), sum(counts[w] > 0 for w in ws), total, round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws), 6)) for i, ws in tokens), key=str)
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == want
-    assert all(r["score"] < 0 for r in got)
+    assert all(r["score"] < 0 and r["bits_per_byte"] == (None if not t else pytest.approx(-r["score"] * math.log2(10) / len(t.encode()))) for r, t in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["n_tokens"])), [t for _, t in sorted(rows, key=lambda r: (str(r[0]), len((r[1] or "").split())))]))
     tested = [r for r in got if r["doc_id"] is not None and held(r["doc_id"]) and r["n_tokens"] > 30 and r["doc_id"] < 80 and r["doc_id"] % 2 == 0]
     assert tested and sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
     assert lm_scoring.lm_scores(make_docs([])).count() == 0
@@ -321,27 +321,98 @@ def test_states_keep_the_odds_of_large_counts():
     packed = lm_scoring._slice(0, 0, np.array([[3e9, 0.5], [1e12, 7.0]]))
     assert lm_scoring._unpack_table(packed.column(2)[0].as_py()).tolist() == [[3e9, 0.5], [1e12, 7.0]]
     assert np.allclose(lm_scoring.plain_counts(lm_scoring.log_counts(n1)), n1, rtol=1e-3)
-    assert lm_scoring.table_slots(10) == lm_scoring.SLOTS and lm_scoring.table_slots(5_000_000) == 1 << 23
-
-
-def test_weights_and_share_learn_from_every_training_word(spark, make_docs, monkeypatch):
-    from collections import Counter
-
+    assert lm_scoring.table_slots(10) == lm_scoring.SLOTS and lm_scoring.table_slots(5_000_000) == 1 << 23 and lm_scoring.table_slots(10**9) == lm_scoring.MAX_SLOTS
+
+
+def buckets_of(texts):
+    """All types of training texts as one bucket, its model, and trained mixers."""
+    counts = Counter()
+    for t in texts:
+        counts.update(lm_scoring.analyse(t.encode())[0])
+    types = sorted(counts)
+    bucket = lm_scoring.Bucket(types, np.array([counts[t] for t in types]))
+    kinds = np.arange(lm_scoring.CLASSES) % lm_scoring.KINDS
+    first = np.zeros((lm_scoring.CLASSES, lm_scoring.PREVIOUS, 1 << lm_paths.TOP))
+    np.add.at(first, (bucket.classes, bucket.previous, (bucket.codes >> np.uint64(64 - lm_paths.TOP)).astype(int)[bucket.word]), bucket.n)
+    tokens = np.bincount(kinds[bucket.classes], weights=bucket.n, minlength=lm_scoring.KINDS)
+    once = np.bincount(kinds[bucket.classes], weights=bucket.n * (bucket.c[bucket.word] == 1), minlength=lm_scoring.KINDS)
+    model = lm_scoring.Model(kinds, lm_paths.top_tables(first, kinds), lm_scoring.chance_of_new(tokens, once))
+    paths = lm_paths.PathMixer()
+    codes, n, ids, ends = bucket.entries(kinds)
+    lm_paths.train(paths, codes, n, bucket.c[bucket.word], ids, ends, model.tops)
+    return bucket, model, paths
+
+
+def test_known_words_have_probabilities_that_sum_to_one():
+    """In any class and after any word: over all known words, beside the chance of a new one."""
+    bucket, model, paths = buckets_of([prose(k, 80) for k in range(60)])
+    for mark in (b"0", b"3"):
+        whole = sorted({*bucket.types, *(bucket.types[5][:1] + mark + w for w in bucket.words)})
+        place = {t: k for k, t in enumerate(bucket.types)}
+        both = lm_scoring.Bucket(whole, np.array([bucket.n[place[t]] if t in place else 0 for t in whole]))
+        p = lm_scoring.token_log10(both, model, paths, np.zeros((lm_scoring.ORDERS, lm_scoring.SLOTS), np.uint16), lm_scoring.Mixer())
+        mine = [k for k, t in enumerate(whole) if t[:2] == bucket.types[5][:1] + mark]
+        kind = model.kinds[bucket.types[5][0] - 48]
+        assert len(mine) == len(bucket.words) and abs((10 ** p[mine]).sum() + model.new[kind] - 1) < 1e-9
+
+
+def test_nodes_have_the_counts_of_all_their_words():
+    bucket, model, _ = buckets_of([prose(k, 40) for k in range(20)])
+    codes, n, ids, ends = bucket.entries(model.kinds)
+    k = int(np.argmax(bucket.n))
+    got = {}
+    for d, some, bit, same, other in lm_paths.nodes(codes, n, ids, ends, model.tops):
+        for at in np.flatnonzero(some == k):
+            got[d] = (int(bit[at]), same[:, at].tolist(), other[:, at].tolist())
+    for d in range(64):
+        shared = [j for j in range(len(codes)) if int(codes[j]) >> (64 - d) == int(codes[k]) >> (64 - d)]
+        side = [j for j in shared if int(codes[j]) >> (63 - d) == int(codes[k]) >> (63 - d)]
+        count = lambda js: [float(sum(n[j] for j in js if i[j] == i[k])) for i in ids]
+        far = [j for j in shared if j not in set(side)]
+        assert (d in got) == bool(far)
+        if far:
+            assert got[d] == (int(codes[k]) >> (63 - d) & 1, count(side), count(far))
+
+
+def test_the_order_of_words_matters(spark, make_docs):
+    text = lambda k: " ".join(f"{a} {a}after" for a in random.Random(k).sample(WORDS, 12))
+    rows = [(k, text(k)) for k in range(300)]
+    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 7 == 2]
+    mixed = [(k, " ".join(reversed(t.split())) if k in held else t) for k, t in rows]
+    plain = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(make_docs(rows)).collect()}
+    other = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(make_docs(mixed)).collect()}
+    assert sum(plain[k] for k in held) > sum(other[k] for k in held) + len(held)
+
+
+def test_mixers_learn_from_every_training_word(spark, make_docs, monkeypatch):
     rows = [(k, " ".join(f"w{(k * 7 + j) % 300}x" for j in range(60))) for k in range(80)]
     seen, averaged = {}, lm_scoring.Mixer.averaged
     monkeypatch.setattr(lm_scoring.Mixer, "averaged", classmethod(lambda cls, sums, use: seen.update(use=use) or averaged(sums, use)))
     lm_scoring.lm_scores(make_docs(rows), block_bytes=4000).collect()
-    types = Counter()
-    for i, text in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            types.update(lm_scoring.analyse(text.encode())[0])
-    bits = sum(8 * (1 if t[1:] == lm_scoring.END else len(t)) for t in types)
-    assert max(types.values()) > 2 and seen["use"][: 32 * lm_scoring.ORDERS].sum() == bits * lm_scoring.ORDERS
-
-    a, b = lm_scoring.Mixer(), lm_scoring.Mixer()
-    a.weights[0], a.used[0], b.weights[0], b.used[0] = 1.0, 1, 4.0, 2
-    mean = lm_scoring.Mixer.averaged(*(x + y for x, y in zip(a.sums(), b.sums(), strict=True)))
-    assert np.allclose(mean.weights[0], 3.0) and np.allclose(mean.weights[1], 0.35) and np.allclose(mean.map, a.map)
+    words = {t[2:] for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for t in lm_scoring.analyse(text.encode())[0]}
+    bits = sum(8 * (1 if w == lm_scoring.END else len(w) + 1) for w in words)
+    assert seen["use"][: 32 * lm_scoring.ORDERS].sum() == bits * lm_scoring.ORDERS
+
+    for kind in (lm_scoring.Mixer, lm_paths.PathMixer):
+        a, b = kind(), kind()
+        start = a.weights[1].copy()
+        a.weights[0], a.used[0], b.weights[0], b.used[0] = 1.0, 1, 4.0, 2
+        mean = kind.averaged(*(x + y for x, y in zip(a.sums(), b.sums(), strict=True)))
+        assert np.allclose(mean.weights[0], 3.0) and np.allclose(mean.weights[1], start) and np.allclose(mean.map, a.map)
+
+
+def test_adaptation_is_a_sequential_code():
+    """Equal to adding one word after another, each with the document's own counts after words of its class."""
+    rng = random.Random(4)
+    p = {(m, w): rng.random() for m in range(2) for w in range(5)}
+    used, log = Counter(), 0.0
+    for _ in range(200):
+        m, w = rng.randrange(2), rng.randrange(5)
+        log += math.log10((lm_scoring.ALPHA * p[m, w] + used[m, w]) / (lm_scoring.ALPHA + sum(v for (k, _), v in used.items() if k == m)))
+        used[m, w] += 1
+    pairs = sorted(used)
+    got = lm_scoring.adapted_log10(np.log10([p[k] for k in pairs]), np.array([used[k] for k in pairs], float), np.array([m for m, _ in pairs]))
+    assert abs(got.sum() - log) < 1e-6
 
 
 def test_log_gamma():
