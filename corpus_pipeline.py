@@ -66,11 +66,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A cut may split a character; what is left of it goes as well.
     """
-    cut = suffix_dedup.remove_repeats(docs, whole_characters=True).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
-    out = cut.withColumn("text", F.col("kept").cast("string"))
+    # The other columns travel as one, so that none can clash with the operator's own.
+    rest = [c for c in docs.columns if c != "text"]
+    carried = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    cut = suffix_dedup.remove_repeats(carried, whole_characters=True).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    text = F.col("kept").cast("string")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 @_stage(4)
