@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarn.plans.materialize import shared_dir
 from tarn.registry import query, table
 from tarn.sources import read_files, write_files
-from tarn.tables import LakeTable
+from tarn.tables import IcebergTable, LakeTable
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -232,3 +232,34 @@ def connector_copy_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     if export_to(rows, path, kind="text") != import_from(spark, lake, path, kind="text"):
         raise RuntimeError("COPY lost rows")
     return lake.scan()
+
+
+def _iceberg(spark: SparkSession, sf_dir: str) -> IcebergTable:
+    """orders in the Apache Iceberg format, appended in two halves by key."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    made = IcebergTable.create(spark, _scratch(spark, "iceberg"), orders.schema)
+    middle = orders.agg(F.max("o_orderkey")).first()[0] // 2
+    made.append(orders.where(F.col("o_orderkey") <= middle))
+    made.append(orders.where(F.col("o_orderkey") > middle))
+    return made
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderstatus = 'O'")
+def iceberg_position_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _iceberg(spark, sf_dir)
+    made.delete_where((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderstatus") != "O"))
+    return made.scan()
+
+
+@query("SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 2000 GROUP BY o_orderstatus")
+def iceberg_pruned_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _iceberg(spark, sf_dir)
+    before = made.snapshot()["snapshot-id"]
+    made.overwrite(table(spark, sf_dir, "orders").limit(0).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+    found = made.scan(["o_orderstatus", "o_orderkey"], [("o_orderkey", ">", 100), ("o_orderkey", "<=", 2000)], snapshot_id=before)
+    return found.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def iceberg_metadata_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_iceberg(spark, sf_dir).count(),)], "n bigint")

@@ -62,7 +62,10 @@ def _inflate(codec: str, data: bytes) -> bytes:
             if data[k - 1] < 128:
                 break
             shift += 7
-        return pa.Codec("snappy").decompress(data[:-4], size).to_pybytes()
+        out = pa.Codec("snappy").decompress(data[:-4], size).to_pybytes()
+        if zlib.crc32(out) != struct.unpack(">I", data[-4:])[0]:
+            raise ValueError("corrupt Avro block")
+        return out
     return zstandard.ZstdDecompressor().decompressobj().decompress(data) if codec in ("zstandard", "zstd") else data
 
 
@@ -155,6 +158,31 @@ def decode_file(data: bytes, names: list[str]) -> Iterator[list[object]]:
             raise ValueError("corrupt Avro block")
 
 
+def _value_encoder(schema: object) -> Callable[[object], bytes]:
+    """A function that encodes one value of a schema of records, arrays, optional and plain types."""
+    if isinstance(schema, list):  # ["null", kind]
+        inner = _value_encoder(schema[1])
+        return lambda v: _zigzag(0) if v is None else _zigzag(1) + inner(v)
+    if isinstance(schema, dict) and schema["type"] == "record":
+        fields = [(f["name"], _value_encoder(f["type"])) for f in schema["fields"]]
+        return lambda v: b"".join(encode(v[name]) for name, encode in fields)
+    if isinstance(schema, dict) and schema["type"] == "array":
+        item = _value_encoder(schema["items"])
+        return lambda v: (_zigzag(len(v)) + b"".join(map(item, v)) if v else b"") + _zigzag(0)
+    plain = {"boolean": lambda v: bytes([v]), "int": _zigzag, "long": _zigzag, "string": lambda v: _zigzag(len(b := v.encode())) + b, "bytes": lambda v: _zigzag(len(v)) + bytes(v)}
+    return plain[schema]
+
+
+def encode_file(schema: dict, records: list[dict], extra: dict[str, str] | None = None) -> bytes:
+    """A container file of one deflated block; for small files of metadata."""
+    meta = {"avro.schema": json.dumps(schema), "avro.codec": "deflate", **(extra or {})}
+    sync, encode = os.urandom(16), _value_encoder(schema)
+    head = b"".join(_zigzag(len(k.encode())) + k.encode() + _zigzag(len(v.encode())) + v.encode() for k, v in meta.items())
+    data = _deflate("deflate", b"".join(map(encode, records)))
+    block = _zigzag(len(records)) + _zigzag(len(data)) + data + sync if records else b""
+    return MAGIC + _zigzag(len(meta)) + head + b"\0" + sync + block
+
+
 def read_avro(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.avro").load(path).select("content")
 

@@ -1,6 +1,7 @@
 """Versioned lake tables: transactional, partitioned by transforms, with row deletes and schema evolution."""
 
 from tarn.tables.catalog import LakeCatalog, analyze
+from tarn.tables.iceberg import IcebergTable
 from tarn.tables.lake import CommitConflict, LakeTable
 
-__all__ = ["CommitConflict", "LakeCatalog", "LakeTable", "analyze"]
+__all__ = ["CommitConflict", "IcebergTable", "LakeCatalog", "LakeTable", "analyze"]

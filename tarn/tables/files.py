@@ -30,6 +30,27 @@ class Store:
         finally:
             stream.close()
 
+    def read_bytes(self, name: str, absolute: bool = False) -> bytes:
+        path = self.jvm.org.apache.hadoop.fs.Path(name) if absolute else self._path(name)
+        fs = path.getFileSystem(self.fs.getConf()) if absolute else self.fs
+        stream = fs.open(path)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, name: str, data: bytes) -> None:
+        """Write a new file under a name that nobody else uses."""
+        stream = self.fs.create(self._path(name), False)
+        stream.write(bytearray(data))
+        stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Write a file, over an older one if there is one; for hints only, as readers may see it half written."""
+        stream = self.fs.create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def create(self, name: str, text: str) -> bool:
         """Write a new file whole; False if it exists already. Of several writers at once exactly one succeeds.
 
