@@ -244,11 +244,11 @@ def _iceberg(spark: SparkSession, sf_dir: str) -> IcebergTable:
     return made
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderstatus = 'O'")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderstatus = 'O'")
 def iceberg_position_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _iceberg(spark, sf_dir)
     made.delete_where((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderstatus") != "O"))
-    return made.scan()
+    return made.scan().withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 2000 GROUP BY o_orderstatus")
