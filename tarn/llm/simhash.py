@@ -232,7 +232,7 @@ def linked_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, cap: in
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fps[at : at + 4096][i])], names=["anchor", "fp"])
 
     # Fingerprints are small and make many rows each: dealt out by number of partitions, not by bytes.
-    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     members = spread.mapInArrow(replicate, "anchor bigint, fp bigint")
     keyed = _dealt(_banded(members, threshold, cap), cap)
     run = F.xxhash64("anchor", "band", "pair").alias("run")
