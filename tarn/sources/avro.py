@@ -1,8 +1,10 @@
 """Avro object container files without a JVM package.
 
-Files are read by Spark's binary reader, so any store works that Spark reads, and decoded by Arrow batches; only bound
-fields are decoded, the rest is skipped by the writer's schema. Writing goes through a data source whose tasks write
-through Arrow's file systems.
+Files are cut into splits of ``SPLIT`` bytes; a task finds the first sync marker of its split and decodes the blocks
+from there on, one at a time, so neither a large file nor many small ones weigh on one task. Stores that Arrow's file
+systems do not open are read whole by Spark's binary reader instead (2 GB a file at most). Only bound fields are decoded,
+the others are skipped by the writer's schema. Writing goes through a data source whose tasks write through Arrow's file
+systems.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _decoder(schema: object, named: dict[str, object]) -> Callable[[io.BytesIO],
     if kind in ("record", "error"):
         fields: list[tuple[str, Callable]] = []
         read = lambda f: {n: d(f) for n, d in fields}
-        named[schema["name"]] = read
+        _name(schema, named, read)
         fields += [(x["name"], _decoder(x["type"], named)) for x in schema["fields"]]
         return read
     if kind in ("array", "map"):
@@ -107,17 +109,24 @@ def _decoder(schema: object, named: dict[str, object]) -> Callable[[io.BytesIO],
         return blocks
     if kind == "enum":
         symbols = schema["symbols"]
-        named[schema["name"]] = read = lambda f: symbols[_long(f)]
+        read = lambda f: symbols[_long(f)]
+        _name(schema, named, read)
         return read
     logical = schema.get("logicalType") if isinstance(schema, dict) else None
     if kind == "fixed":
         size = schema["size"]
-        named[schema["name"]] = read = lambda f: f.read(size)
+        read = lambda f: f.read(size)
+        if logical == "decimal":
+            scale = schema.get("scale", 0)
+            read = lambda f: decimal.Decimal(int.from_bytes(f.read(size), "big", signed=True)).scaleb(-scale)
+        _name(schema, named, read)
         return read
     if logical == "decimal":
         return lambda f: decimal.Decimal(int.from_bytes(_blob(f), "big", signed=True)).scaleb(-schema.get("scale", 0))
     if logical == "date":
         return lambda f: dt.date(1970, 1, 1) + dt.timedelta(days=_long(f))
+    if logical in ("timestamp-millis", "local-timestamp-millis"):
+        return lambda f: EPOCH + dt.timedelta(milliseconds=_long(f))
     if logical in ("timestamp-micros", "local-timestamp-micros"):
         return lambda f: EPOCH + dt.timedelta(microseconds=_long(f))
     plain = {
@@ -133,29 +142,129 @@ def _decoder(schema: object, named: dict[str, object]) -> Callable[[io.BytesIO],
     return plain[kind] if kind in plain else (lambda f: named[kind](f))
 
 
+def _name(schema: dict, named: dict[str, object], value: object) -> None:
+    """Make a named type known by its short and its full name."""
+    named[schema["name"].rsplit(".", 1)[-1]] = named[schema["name"]] = value
+    if schema.get("namespace"):
+        named[f"{schema['namespace']}.{schema['name']}"] = value
+
+
+def _skipper(schema: object, named: dict[str, object]) -> Callable[[io.BytesIO], None]:
+    """A function that passes over one value of a writer's schema."""
+    if isinstance(schema, list):
+        branches = [_skipper(s, named) for s in schema]
+        return lambda f: branches[_long(f)](f)
+    kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(schema, dict) and isinstance(kind, dict | list):
+        return _skipper(kind, named)
+    if kind in ("record", "error"):
+        parts: list[Callable] = []
+
+        def skip(f: io.BytesIO) -> None:
+            for part in parts:
+                part(f)
+
+        _name(schema, named, skip)
+        parts += [_skipper(x["type"], named) for x in schema["fields"]]
+        return skip
+    if kind in ("array", "map"):
+        item = _skipper(schema["items" if kind == "array" else "values"], named)
+
+        def blocks(f: io.BytesIO) -> None:
+            while n := _long(f):
+                if n < 0:  # the block's bytes are told
+                    f.seek(_long(f), 1)
+                    continue
+                for _ in range(n):
+                    if kind == "map":
+                        f.seek(_long(f), 1)
+                    item(f)
+
+        return blocks
+    sizes = {"null": 0, "boolean": 1, "float": 4, "double": 8}
+    if kind == "fixed" or kind in sizes:
+        size = schema["size"] if kind == "fixed" else sizes[kind]
+        skip = lambda f: f.seek(size, 1)
+        if kind == "fixed":
+            _name(schema, named, skip)
+        return skip
+    if kind in ("string", "bytes"):
+        return lambda f: f.seek(_long(f), 1)
+    if kind == "enum":
+        _name(schema, named, _long)
+        return _long
+    return _long if kind in ("int", "long") else (lambda f: named[kind](f))
+
+
+class Container:
+    """The header of a container file, and its rows of the named top-level fields; missing fields are None."""
+
+    def __init__(self, f: io.BufferedIOBase, names: list[str]) -> None:
+        if f.read(4) != MAGIC:
+            raise ValueError("not an Avro object container file")
+        meta: dict[str, bytes] = {}
+        while n := _long(f):
+            if n < 0:
+                n = -n
+                _long(f)
+            for _ in range(n):
+                key = _blob(f).decode()
+                meta[key] = _blob(f)
+        self.sync, self.codec, self.start = f.read(16), meta.get("avro.codec", b"null").decode(), f.tell()
+        record = json.loads(meta["avro.schema"])
+        wanted, skipped = {}, {}
+        _decoder(record, wanted)  # both know every named type, wherever it stands
+        _skipper(record, skipped)
+        place = {n: k for k, n in enumerate(names)}
+        self.fields = [(place[x["name"]], _decoder(x["type"], wanted)) if x["name"] in place else (-1, _skipper(x["type"], skipped)) for x in record["fields"]]
+        self.width = len(names)
+
+    def block(self, f: io.BufferedIOBase) -> Iterator[list[object]]:
+        """The rows of the block that begins here; afterwards the next one begins."""
+        n = _long(f)
+        data = io.BytesIO(_inflate(self.codec, _blob(f)))
+        if f.read(16) != self.sync:
+            raise ValueError("corrupt Avro block")
+        for _ in range(n):
+            row: list[object] = [None] * self.width
+            for k, read in self.fields:
+                if k < 0:
+                    read(data)
+                else:
+                    row[k] = read(data)
+            yield row
+
+    def rows(self, f: io.BufferedIOBase, begin: int, end: int) -> Iterator[list[object]]:
+        """The rows of all blocks whose sync marker before them begins from ``begin`` on and before ``end``."""
+        at = self.start - 16
+        if at < begin:
+            at = self._marker(f, begin)
+        while 0 <= at < end:
+            f.seek(at + 16)
+            if not f.read(1):
+                return
+            f.seek(at + 16)
+            yield from self.block(f)
+            at = f.tell() - 16
+
+    def _marker(self, f: io.BufferedIOBase, begin: int, step: int = 1 << 20) -> int:
+        """Where the first marker from ``begin`` on begins, -1 without one."""
+        f.seek(begin)
+        held, offset = b"", begin
+        while data := f.read(step):
+            held += data
+            found = held.find(self.sync)
+            if found >= 0:
+                return offset + found
+            offset += max(0, len(held) - 15)
+            held = held[-15:]
+        return -1
+
+
 def decode_file(data: bytes, names: list[str]) -> Iterator[list[object]]:
     """Rows of the named top-level fields of a container file; missing fields are None."""
     f = io.BytesIO(data)
-    if f.read(4) != MAGIC:
-        raise ValueError("not an Avro object container file")
-    meta: dict[str, bytes] = {}
-    while n := _long(f):
-        if n < 0:
-            n = -n
-            _long(f)
-        for _ in range(n):
-            key = _blob(f).decode()
-            meta[key] = _blob(f)
-    sync, codec = f.read(16), meta.get("avro.codec", b"null").decode()
-    read = _decoder(json.loads(meta["avro.schema"]), {})
-    while f.tell() < len(data):
-        n = _long(f)
-        block = io.BytesIO(_inflate(codec, _blob(f)))
-        for _ in range(n):
-            record = read(block)
-            yield [record.get(x) for x in names]
-        if f.read(16) != sync:
-            raise ValueError("corrupt Avro block")
+    return Container(f, names).rows(f, 0, len(data))
 
 
 def _value_encoder(schema: object) -> Callable[[object], bytes]:
@@ -183,25 +292,52 @@ def encode_file(schema: dict, records: list[dict], extra: dict[str, str] | None
     return MAGIC + _zigzag(len(meta)) + head + b"\0" + sync + block
 
 
-def read_avro(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.avro").load(path).select("content")
+#: Bytes of a file that one task reads.
+SPLIT = 32 << 20
+# Schemes that Arrow's file systems open.
+_ARROW_SCHEMES = frozenset("file s3 gs".split())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_avro(spark: SparkSession, path: str, schema: T.StructType, split: int = SPLIT) -> DataFrame:
+    """Rows of the fields of ``schema`` of a file, or of all ``.avro`` files below a prefix."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.avro").load(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    in_splits = where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() in _ARROW_SCHEMES
+
+    def batches_of(rows: Iterator[list[object]]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(schema)
+        target, held = to_arrow_schema(schema), []
+        for row in rows:
+            held.append(row)
+            if len(held) == 8192:
+                yield _batch(held, target)
+                held = []
+        if held:
+            yield _batch(held, target)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                held: list[list] = []
-                for row in decode_file(content.as_py(), schema.names):
-                    held.append(row)
-                    if len(held) == 8192:
-                        yield _batch(held, target)
-                        held = []
-                if held:
-                    yield _batch(held, target)
-
-    return files.mapInArrow(run, schema)
+                yield from batches_of(decode_file(content.as_py(), schema.names))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(file)
+                with store.open_input_file(name) as opened, io.BufferedReader(opened, 1 << 20) as f:
+                    yield from batches_of(Container(f, schema.names).rows(f, begin, begin + split))
+
+    if not in_splits:
+        return files.select("content").mapInArrow(whole, schema)
+    # Only names and sizes are read here, not contents.
+    begins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split).cast("bigint"))).alias("begin")
+    splits = files.where("length > 0").select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), begins)
+    return splits.repartition("path", "begin").mapInArrow(parts, schema)
 
 
 def _batch(rows: list[list], target: pa.Schema) -> pa.RecordBatch:

@@ -136,3 +136,36 @@ def test_files_near_a_target_size(spark, tmp_path):
     assert len(sizes) > 1 and max(sizes) < 16 << 20
     write_files(df, f"{tmp_path}/n", "text", max_records=100_000)
     assert len(list((tmp_path / "n").glob("*.txt"))) == 4
+
+
+def test_avro_splits_meet_at_sync_markers(spark, tmp_path):
+    from tarn.sources.avro import read_avro
+
+    df = spark.range(0, 60_000, 1, 2).selectExpr("id", "sha2(string(id), 256) AS s", "id % 7 AS k")
+    write_files(df, f"{tmp_path}/a", "avro", "deflate")
+    for split in (32 << 20, 200_000, 70_000):
+        back = read_avro(spark, f"file://{tmp_path}/a", T.StructType.fromDDL("id bigint, k bigint"), split)
+        assert back.selectExpr("count(*)", "count(DISTINCT id)", "sum(id)", "sum(k)").first() == (60_000, 60_000, 60_000 * 59_999 // 2, sum(k % 7 for k in range(60_000)))
+
+
+def test_avro_skips_nested_fields_and_resolves_names():
+    import io
+    import json
+    import os
+
+    from tarn.sources import avro
+
+    point = {"type": "record", "name": "Point", "namespace": "a.b", "fields": [{"name": "x", "type": "int"}, {"name": "tags", "type": {"type": "map", "values": "string"}}]}
+    schema = {"type": "record", "name": "r", "fields": [{"name": "p", "type": point}, {"name": "list", "type": {"type": "array", "items": "a.b.Point"}}, {"name": "f", "type": {"type": "fixed", "name": "F", "size": 3}}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["u", "v"]}}, {"name": "q", "type": ["null", "Point"]}, {"name": "n", "type": "long"}]}
+    z, s = avro._zigzag, lambda t: avro._zigzag(len(t)) + t.encode()
+    p = z(5) + z(1) + s("k") + s("value") + z(0)
+    row = p + z(-1) + z(len(p)) + p + z(0) + b"abc" + z(1) + z(1) + p + z(42)
+    sync = os.urandom(16)
+    head = {"avro.schema": json.dumps(schema), "avro.codec": "null"}
+    data = avro.MAGIC + z(2) + b"".join(s(k) + s(v) for k, v in head.items()) + b"\0" + sync + z(2) + z(2 * len(row)) + row * 2 + sync
+    assert list(avro.decode_file(data, ["n", "missing"])) == [[42, None]] * 2
+    want = {"x": 5, "tags": {"k": "value"}}
+    assert list(avro.decode_file(data, ["q", "e", "list", "f", "p"])) == [[want, "v", [want], b"abc", want]] * 2
+    with pytest.raises(ValueError, match="corrupt"):
+        list(avro.decode_file(data[:-1] + b"?", ["n"]))
+    assert avro.Container(io.BytesIO(data), ["n"]).codec == "null"
