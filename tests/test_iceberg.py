@@ -116,9 +116,7 @@ def test_writers_at_the_same_time(spark, table):
     table.refresh()
     assert ids(table.scan()) == [1, 2, 3, 10, 11, *range(100, 105)]
     stale = IcebergTable(spark, table.path)
-    base = stale.meta
     table.append(rows(spark, 200))
-    stale.meta = base
     with pytest.raises(CommitConflict):
         stale.delete_where(F.col("id") == 1)
 
@@ -143,3 +141,94 @@ def test_bounds_and_container_files():
     records = [{"status": 1, "snapshot_id": None, "sequence_number": 5, "file_sequence_number": None, "data_file": {"content": 0, "file_path": "p", "file_format": "PARQUET", "partition": {}, "record_count": 3, "file_size_in_bytes": 9, "null_value_counts": [{"key": 1, "value": 0}], "lower_bounds": [], "upper_bounds": None, "equality_ids": [1, 2]}}]
     back = list(decode_file(encode_file(I.MANIFEST, records), ["status", "snapshot_id", "sequence_number", "data_file"]))
     assert back == [[1, None, 5, records[0]["data_file"]]]
+
+
+def test_sqlite_catalog(spark, tmp_path):
+    from tarn.tables import SqliteCatalog
+
+    catalog = SqliteCatalog(spark, f"{tmp_path}/catalog.db", "main", f"file://{tmp_path}/warehouse")
+    made = catalog.create("sales.eu", "t", SCHEMA)
+    made.append(rows(spark, 1, 2, 3))
+    other = SqliteCatalog(spark, f"{tmp_path}/catalog.db", "main", f"file://{tmp_path}/warehouse").load("sales.eu", "t")
+    other.append(rows(spark, 4))
+    made.append(rows(spark, 5))  # rebases on the other's commit
+    other.refresh()
+    assert ids(made.scan()) == [1, 2, 3, 4, 5] == ids(other.scan())
+    made.delete_where(F.col("id") == 2)
+    with pytest.raises(CommitConflict):
+        other.delete_where(F.col("id") == 3)
+    assert ids(catalog.load("sales.eu", "t").scan()) == [1, 3, 4, 5]
+    assert catalog.namespaces() == ["sales.eu"] and catalog.tables("sales.eu") == ["t"] and catalog.tables("none") == []
+    with pytest.raises(ValueError, match="exists"):
+        catalog.create("sales.eu", "t", SCHEMA)
+    catalog.rename("sales.eu", "t", "sales.us", "u")
+    views = catalog.import_schema("sales.us")
+    assert set(views) == {"u"} and spark.sql("SELECT count(*) FROM u").first()[0] == 4
+    catalog.drop("sales.us", "u")
+    with pytest.raises(ValueError, match="no table"):
+        catalog.load("sales.us", "u")
+
+
+class Rest:
+    """A REST catalog over one in-memory table, by the published protocol."""
+
+    def __init__(self, meta):
+        import http.server
+        import threading
+
+        rest = self
+        self.meta, self.seen = meta, []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def answer(self, code, body):
+                data = json.dumps(body).encode()
+                self.send_response(code)
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+
+            def do_GET(self):
+                rest.seen.append((self.path, self.headers.get("Authorization")))
+                if self.path.startswith("/v1/config"):
+                    return self.answer(200, {"defaults": {}, "overrides": {"prefix": "w"}})
+                known = {"/v1/w/namespaces": {"namespaces": [["a", "b"]]}, "/v1/w/namespaces/a%1Fb/tables": {"identifiers": [{"namespace": ["a", "b"], "name": "t"}]}, "/v1/w/namespaces/a%1Fb/tables/t": {"metadata-location": "m", "metadata": rest.meta}}
+                return self.answer(200, known[self.path]) if self.path in known else self.answer(404, {"error": {"message": "no such table"}})
+
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                wanted = next(r["snapshot-id"] for r in body["requirements"] if r["type"] == "assert-ref-snapshot-id")
+                if wanted != rest.meta["refs"].get("main", {}).get("snapshot-id"):
+                    return self.answer(409, {"error": {"message": "changed"}})
+                snapshot = next(u["snapshot"] for u in body["updates"] if u["action"] == "add-snapshot")
+                rest.meta = rest.meta | {"snapshots": [*rest.meta["snapshots"], snapshot], "current-snapshot-id": snapshot["snapshot-id"], "last-sequence-number": snapshot["sequence-number"], "refs": {"main": {"snapshot-id": snapshot["snapshot-id"], "type": "branch"}}}
+                return self.answer(200, {"metadata-location": "m", "metadata": rest.meta})
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.uri = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def test_rest_catalog(spark, tmp_path):
+    from tarn.tables import RestCatalog
+
+    rest = Rest(I.new_metadata(f"file://{tmp_path}/r", SCHEMA))
+    try:
+        catalog = RestCatalog(spark, rest.uri, warehouse="w", token="secret")
+        assert catalog.namespaces() == ["a.b"] and catalog.tables("a.b") == ["t"]
+        first, second = catalog.load("a.b", "t"), catalog.load("a.b", "t")
+        first.append(rows(spark, 1, 2))
+        second.append(rows(spark, 3))
+        first.refresh()
+        assert ids(first.scan()) == [1, 2, 3] and all(token == "Bearer secret" for _, token in rest.seen)
+        first.delete_where(F.col("id") == 1)
+        with pytest.raises(CommitConflict):
+            second.delete_where(F.col("id") == 2)
+        with pytest.raises(ValueError, match="no such table"):
+            catalog.load("a.b", "none")
+        with pytest.raises(ValueError, match="options"):
+            RestCatalog(spark, rest.uri, wharehouse="w")
+    finally:
+        rest.server.shutdown()
