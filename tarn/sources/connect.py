@@ -290,6 +290,24 @@ def export_to(df: DataFrame, path: str, **options) -> int:
     return counted.get["n"]
 
 
+def analyze_files(spark: SparkSession, path: str, fraction: float = 0.1, seed: int = 1, **options) -> DataFrame:
+    """ANALYZE of files: statistics of each column from a sample of the records."""
+    from tarn.tables.catalog import column_statistics
+
+    rows = read_files(spark, path, **options)
+    return column_statistics(rows.sample(fraction, seed) if fraction < 1 else rows)
+
+
+def truncate_files(spark: SparkSession, path: str, kind: str) -> int:
+    """TRUNCATE of a prefix: its files with a suffix of the format go, others stay; returns how many."""
+    files = _reader(spark, path, kind, True).format("binaryFile").load(path).select("path")
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for row in files.toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(row["path"])
+        n += bool(where.getFileSystem(conf).delete(where, False))
+    return n
+
+
 def import_from(spark: SparkSession, table, path: str, **options) -> int:
     """COPY table FROM path with assignment casts to the table's types; all rows or none. Returns the rows."""
     rows = read_files(spark, path, **({"schema": table.schema} | options))

@@ -28,7 +28,7 @@ from tarn.tables.files import Store
 from tarn.tables.transforms import Transform
 
 MAX_RETRIES = 100
-DEFAULTS = {"format-version": "2", "write.parquet.compression-codec": "zstd", "write.target-file-size-bytes": str(512 << 20), "history.expire.max-snapshot-age-ms": str(5 * 86_400_000), "history.expire.min-snapshots-to-keep": "1", "write.isolation-level": "serializable"}
+DEFAULTS = {"format-version": "2", "write.parquet.compression-codec": "zstd", "write.target-file-size-bytes": str(512 << 20), "history.expire.max-snapshot-age-ms": str(5 * 86_400_000), "history.expire.min-snapshots-to-keep": "1", "write.isolation-level": "serializable", "maintenance.enabled": "true"}
 
 #: (column, operator, value): =, <>, <, <=, >, >=, in, is null, is not null.
 Predicate = tuple[str, str, object]

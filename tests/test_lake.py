@@ -253,3 +253,21 @@ def test_void_transform(spark, tmp_path):
     t = LakeTable.create(spark, f"file://{tmp_path}/v", SCHEMA, ["void(id)"])
     t.insert(rows(spark, (1, "a", 1), (2, "b", 2)))
     assert content(t) == [(1, "a"), (2, "b")] and len(t.plan_files([("id", "=", 1)])) >= 1
+
+
+def test_maintenance_of_a_catalog(spark, tmp_path):
+    from tarn.tables import LakeCatalog, Policy, maintain
+
+    catalog = LakeCatalog(spark, f"file://{tmp_path}/c")
+    busy, off = catalog.create("a", "busy", SCHEMA), catalog.create("a", "off", SCHEMA, properties={"maintenance.enabled": "false"})
+    for k in range(6):
+        busy.insert(rows(spark, (k, "x", 1)))
+        off.insert(rows(spark, (k, "x", 1)))
+    report = {r["name"]: r for r in maintain(catalog, Policy(expire_ms=0)).collect()}
+    assert report["busy"]["compacted"] == 6 and report["busy"]["expired"] == 7 and report["busy"]["removed"] == 0 and report["busy"]["problem"] is None
+    assert report["off"]["compacted"] is None
+    assert [i for i, _ in content(busy)] == list(range(6)) and len(busy.state.current["files"]) == 1 and len(LakeTable(spark, off.path).state.current["files"]) == 6
+
+
+def test_other_spellings_of_transforms():
+    assert str(Transform.parse("date_trunc('month', day)")) == "month(day)" and str(Transform.parse("hash(4, id)")) == "bucket(4, id)"

@@ -169,3 +169,15 @@ def test_avro_skips_nested_fields_and_resolves_names():
     with pytest.raises(ValueError, match="corrupt"):
         list(avro.decode_file(data[:-1] + b"?", ["n"]))
     assert avro.Container(io.BytesIO(data), ["n"]).codec == "null"
+
+
+def test_analyze_and_truncate_files(spark, tmp_path):
+    from tarn.sources import analyze_files, truncate_files
+
+    write_files(spark.range(10).selectExpr("id", "CASE WHEN id < 5 THEN 'x' END AS s"), f"{tmp_path}/f", "csv")
+    (tmp_path / "f/keep.txt").write_text("x")
+    schema = T.StructType.fromDDL("id bigint, s string")
+    got = {r["column"]: r for r in analyze_files(spark, f"{tmp_path}/f", fraction=1.0, schema=schema, kind="csv").collect()}
+    assert (got["id"]["low"], got["id"]["high"], got["s"]["null_share"], got["s"]["distinct_values"]) == ("0", "9", 0.5, 1)
+    assert truncate_files(spark, f"{tmp_path}/f", "csv") > 0 and (tmp_path / "f/keep.txt").exists()
+    assert not list((tmp_path / "f").glob("*.csv"))
