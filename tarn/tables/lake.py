@@ -1,7 +1,8 @@
 """Lake tables over Parquet files and a log of immutable metadata versions.
 
-``metadata/v<N>.json`` is the whole state of version N: schema with field ids, partition specs, snapshots with their
-file lists. A commit publishes the next version under a name that must not exist yet; a writer that loses the race
+``metadata/v<N>.json`` is the state of version N: schema with field ids, partition specs, snapshots. A snapshot names its
+manifests, immutable lists of the files that one commit added, and which of their files are gone since, so a commit
+writes what it adds and not what was there before. A commit publishes the next version under a name that must not exist yet; a writer that loses the race
 rebases on the winner's version and checks for conflicts first. Data files store columns under their field ids, so
 renames, drops and additions touch metadata only, and old files read with the current schema.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -53,11 +55,59 @@ class State:
         return self.snapshots[-1]
 
 
+class Snapshot(dict):
+    """A snapshot as it is written, whose ``files`` are read from its manifests when they are asked for."""
+
+    def __init__(self, written: dict, table: LakeTable) -> None:
+        super().__init__(written)
+        self.table = table
+        self.known: list[dict] | None = None
+
+    def __getitem__(self, key: str) -> object:
+        if key != "files":
+            return super().__getitem__(key)
+        if self.known is None:
+            self.known = [f for m in self["manifests"] for k, f in enumerate(self.table._manifest(m["name"])) if k not in set(m["gone"])]
+        return self.known
+
+
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark, path)
+        self._manifests: dict[str, list[dict]] = {}
         self.refresh()
 
+    def _manifest(self, name: str) -> list[dict]:
+        """The files of a manifest, which never changes."""
+        if name not in self._manifests:
+            self._manifests[name] = json.loads(self.store.read(f"metadata/{name}"))
+        return self._manifests[name]
+
+    def _new_manifest(self, files: list[dict]) -> list[dict]:
+        """The entry of a new manifest, none for no files."""
+        if not files:
+            return []
+        name = f"m-{uuid.uuid4().hex}.json"
+        self.store.write_bytes(f"metadata/{name}", json.dumps(files).encode())
+        self._manifests[name] = files
+        return [{"name": name, "files": len(files), "rows": sum(f["rows"] for f in files), "gone": []}]
+
+    def _without(self, manifests: list[dict], paths: set[str]) -> list[dict]:
+        """Entries of manifests, with the files of ``paths`` marked as gone; those with no file left are dropped."""
+        if not paths:
+            return manifests
+        out = []
+        for m in manifests:
+            gone = sorted({*m["gone"], *(k for k, f in enumerate(self._manifest(m["name"])) if f["path"] in paths)})
+            if len(gone) < m["files"]:
+                out.append(m | {"gone": gone})
+        return out
+
+    def _parsed(self, text: str) -> State:
+        state = State(**json.loads(text))
+        state.snapshots = [Snapshot(x, self) for x in state.snapshots]
+        return state
+
     # -- life cycle
 
     @classmethod
@@ -78,7 +128,7 @@ class LakeTable:
         options = DEFAULTS | (properties or {})
         if unknown := set(options) - set(DEFAULTS):
             raise ValueError(f"unknown table options: {sorted(unknown)}")
-        first = {"id": 0, "time": time.time(), "operation": "create", "files": [], "deletes": []}
+        first = {"id": 0, "time": time.time(), "operation": "create", "manifests": [], "deletes": []}
         state = State(1, fields, len(fields), [spec], [first], options)
         if not store.create("metadata/v1.json", json.dumps(state.__dict__)):
             raise CommitConflict("another writer created the table")
@@ -92,10 +142,10 @@ class LakeTable:
         return table
 
     def refresh(self) -> None:
-        versions = [int(p.rsplit("/v", 1)[1][:-5]) for p, _, _ in self.store.list("metadata") if p.endswith(".json") and "/v" in p]
+        versions = [int(found[1]) for p, _, _ in self.store.list("metadata") if (found := re.search(r"/v(\d+)\.json$", p))]
         if not versions:
             raise ValueError(f"no table at {self.path}")
-        self.state = State(**json.loads(self.store.read(f"metadata/v{max(versions)}.json")))
+        self.state = self._parsed(self.store.read(f"metadata/v{max(versions)}.json"))
 
     def drop(self) -> None:
         self.store.delete("")
@@ -291,8 +341,9 @@ class LakeTable:
         base = base or self.state.current
         base_files, base_deletes = {f["path"] for f in base["files"]}, {d["path"] for d in base["deletes"]}
         touched = {t for d in deletes for t in d["targets"]} | set(remove)
+        added = self._new_manifest(add)  # whatever version it will belong to
         for _ in range(MAX_RETRIES):
-            state = State(**json.loads(json.dumps(self.state.__dict__)))
+            state = self._parsed(json.dumps(self.state.__dict__))
             now = state.current
             if now["id"] != base["id"]:
                 files = {f["path"] for f in now["files"]}
@@ -308,7 +359,8 @@ class LakeTable:
                 change(state)
             if operation != "schema":
                 kept = [d for d in now["deletes"] if set(d["targets"]) - set(remove)]
-                state.snapshots.append({"id": now["id"] + 1, "time": time.time(), "operation": operation, "files": [f for f in now["files"] if f["path"] not in set(remove)] + add, "deletes": kept + deletes})
+                manifests = self._without(now["manifests"], set(remove)) + added
+                state.snapshots.append(Snapshot({"id": now["id"] + 1, "time": time.time(), "operation": operation, "manifests": manifests, "deletes": kept + deletes}, self))
             state.version += 1
             if self.store.create(f"metadata/v{state.version}.json", json.dumps(state.__dict__)):
                 self.state = state
@@ -455,11 +507,17 @@ class LakeTable:
             raise ValueError("orphans must be at least one day old")
         bound, n = time.time() * 1000 - older_than_ms, 0
         found = [_plain(path) for path, _, modified in self.store.list("data") if modified < bound]
+        lists = self.store.list("metadata")
         live, folders = self._live()
         for own in found:
             if own not in live and own.rsplit("/", 1)[0] not in folders:
                 self.store.delete(own.removeprefix(_plain(self.path) + "/"))
                 n += 1
+        named = {m["name"] for s in self.state.snapshots for m in s["manifests"]}
+        for path, _, modified in lists:
+            name = path.rsplit("/", 1)[1]
+            if modified < bound and name.startswith("m-") and name not in named:
+                self.store.delete(f"metadata/{name}")
         return n
 
     def files(self, snapshot_id: int | None = None) -> DataFrame:
@@ -467,7 +525,7 @@ class LakeTable:
         return self.spark.createDataFrame(rows, "path string, record_count bigint, size_bytes bigint, spec_id int, partition array<string>")
 
     def snapshots(self) -> DataFrame:
-        rows = [(s["id"], s["time"], s["operation"], len(s["files"])) for s in self.state.snapshots]
+        rows = [(s["id"], s["time"], s["operation"], sum(m["files"] - len(m["gone"]) for m in s["manifests"])) for s in self.state.snapshots]
         return self.spark.createDataFrame(rows, "snapshot_id bigint, committed double, operation string, files int")
 
     def partition_spec(self) -> DataFrame:

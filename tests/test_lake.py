@@ -271,3 +271,24 @@ def test_maintenance_of_a_catalog(spark, tmp_path):
 
 def test_other_spellings_of_transforms():
     assert str(Transform.parse("date_trunc('month', day)")) == "month(day)" and str(Transform.parse("hash(4, id)")) == "bucket(4, id)"
+
+
+def test_a_commit_writes_what_it_adds(spark, table, tmp_path):
+    for k in range(4):
+        table.insert(rows(spark, (40 + k, "m", 3)))
+    written = table.store.read(f"metadata/v{table.state.version}.json")
+    assert "data/" not in written and [len(s["manifests"]) for s in table.state.snapshots] == list(range(6))
+    before = table.state.current["id"]
+    table.compact(min_inputs=3)
+    assert len(table.state.current["manifests"]) == 2 and len(table.state.current["files"]) == 3
+    fresh = LakeTable(spark, table.path)
+    assert [i for i, _ in content(fresh)] == [1, 2, 3, 40, 41, 42, 43] and fresh.scan(snapshot_id=before).count() == 7
+    assert fresh.snapshots().orderBy("snapshot_id").collect()[-1]["files"] == 3
+    fresh.expire_snapshots(0)
+    old = time.time() - 5 * 86_400
+    for path in (tmp_path / "t").rglob("*"):
+        if path.is_file():
+            os.utime(path, (old, old))
+    assert fresh.remove_orphans() > 0 and [i for i, _ in content(table)] == [1, 2, 3, 40, 41, 42, 43]
+    assert len(list((tmp_path / "t/data").rglob("*.parquet"))) == 3
+    assert len(list((tmp_path / "t/metadata").glob("m-*.json"))) == 2
