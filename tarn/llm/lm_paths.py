@@ -24,8 +24,8 @@ CLASSES, KINDS, PREVIOUS = 64, 9, 8
 #: Bits of the code by which words are dealt out.
 TOP = 12
 LEVELS = 24
-#: Contexts: all tokens; the document's kind; its class; its kind with the word before.
-SIZES = (1, KINDS, CLASSES, KINDS * PREVIOUS)
+#: Contexts: all tokens; the document's kind; its kind with the class of the word before.
+SIZES = (1, KINDS, KINDS * PREVIOUS)
 GATES, DEPTHS = 4 * 4 * 2, 4
 
 
@@ -42,14 +42,14 @@ def codes_of(words: list[bytes]) -> np.ndarray:
 
 def context_ids(classes: np.ndarray, previous: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
     kind = kinds[classes]
-    return [np.zeros(len(classes), np.int64), kind, classes, kind * PREVIOUS + previous]
+    return [np.zeros(len(classes), np.int64), kind, kind * PREVIOUS + previous]
 
 
 def top_tables(counts: np.ndarray, kinds: np.ndarray) -> list[list[np.ndarray]]:
     """By context and depth 0 to ``TOP``: training tokens below each node, from counts [class, previous, first bits]."""
     by_kind = np.zeros((KINDS, PREVIOUS, counts.shape[2]))
     np.add.at(by_kind, kinds, counts)
-    wide = [counts.sum(axis=(0, 1))[None], by_kind.sum(axis=1), counts.sum(axis=1), by_kind.reshape(KINDS * PREVIOUS, -1)]
+    wide = [counts.sum(axis=(0, 1))[None], by_kind.sum(axis=1), by_kind.reshape(KINDS * PREVIOUS, -1)]
     return [[w.reshape(len(w), 1 << d, -1).sum(axis=2, dtype=np.float64) for d in range(TOP + 1)] for w in wide]
 
 
@@ -72,7 +72,6 @@ def nodes(codes: np.ndarray, n: np.ndarray, ids: list[np.ndarray], ends: np.ndar
     ``codes``, ``n``, ``ids``, ``ends``: by entry (a word in its contexts) its code, training tokens, contexts and the
     end of its path. All entries of words that share the first ``TOP`` bits must be given.
     """
-    one = np.uint64(1)
     coded = np.flatnonzero(ends > 0)
     here = [t[0][i[coded], 0] for t, i in zip(tables, ids, strict=True)]
     for d in range(TOP):
@@ -81,25 +80,34 @@ def nodes(codes: np.ndarray, n: np.ndarray, ids: list[np.ndarray], ends: np.ndar
         some = np.flatnonzero(here[0] - below[0] > 0)
         yield d, coded[some], node[some] & 1, np.stack([b[some] for b in below]), np.stack([(h - b)[some] for h, b in zip(here, below, strict=True)])
         here = below
-    full = [np.zeros(len(codes)) for _ in ids]
-    for f, h in zip(full, here, strict=True):
-        f[coded] = h
-    orders = [np.lexsort((codes, i)) for i in ids]
+    # Below the first bits only entries whose path goes on are kept at hand; ``place``: their numbers.
+    place = coded[ends[coded] > TOP]
+    kept = np.zeros(len(codes), bool)
+    kept[place] = True
+    full = [h[kept[coded]] for h in here]
+    code, end, n = codes[place], ends[place], n[place].astype(float)
+    ids = [i[place] for i in ids]
+    orders = [np.lexsort((code, i)) for i in ids]
     for d in range(TOP, 64):
-        live = ends > d
-        if not live.any():
+        live = end > d
+        left = int(live.sum())
+        if not left:
             return
-        orders = [o[live[o]] for o in orders]
+        if left < 0.8 * len(live):
+            number = np.cumsum(live) - 1
+            orders = [number[o[live[o]]] for o in orders]
+            place, code, end, n = place[live], code[live], end[live], n[live]
+            ids, full, live = [i[live] for i in ids], [f[live] for f in full], live[live]
+        node = (code >> np.uint64(63 - d)).astype(np.int64)
         same = []
         for o, i in zip(orders, ids, strict=True):
-            node, context = codes[o] >> np.uint64(63 - d), i[o]
-            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (context[1:] != context[:-1])])
-            sums = np.add.reduceat(n[o], starts).astype(float)
-            out = np.zeros(len(codes))
-            out[o] = np.repeat(sums, np.diff(np.r_[starts, len(o)]))
+            at, context = node[o], i[o]
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (context[1:] != context[:-1])])
+            out = np.empty(len(o))
+            out[o] = np.repeat(np.add.reduceat(n[o], starts), np.diff(np.r_[starts, len(o)]))
             same.append(out)
-        some = np.flatnonzero(live & (full[0] - same[0] > 0))
-        yield d, some, (codes[some] >> np.uint64(63 - d) & one).astype(np.int64), np.stack([s[some] for s in same]), np.stack([(f - s)[some] for f, s in zip(full, same, strict=True)])
+        some = np.flatnonzero(live & (full[0] > same[0]))
+        yield d, place[some], node[some] & 1, np.stack([s[some] for s in same]), np.stack([(f - s)[some] for f, s in zip(full, same, strict=True)])
         full = same
 
 
@@ -175,14 +183,14 @@ class PathMixer:
 def train(mixer: PathMixer, codes: np.ndarray, n: np.ndarray, c: np.ndarray, ids: list[np.ndarray], ends: np.ndarray, tables: list[list[np.ndarray]], batch: int = 4096) -> None:
     """Learn from all training tokens of words that occur again, each token left out of the counts for its own bits."""
     shuffled = np.random.default_rng(1).permutation(len(codes))
-    place = np.empty(len(codes), np.int64)
-    place[shuffled] = np.arange(len(codes))
-    for d, some, bit, same, other in nodes(codes, n, ids, ends, tables):
-        keep = np.flatnonzero((n[some] > 0) & (c[some] > 1))
-        keep = keep[np.argsort(place[some[keep]])]
-        for k in range(0, len(keep), batch):
-            part = keep[k : k + batch]
-            mixer.learn(d, bit[part], np.maximum(0, same[:, part] - 1), other[:, part], n[some[part]].astype(float))
+    codes, n, c, ends = codes[shuffled], n[shuffled], c[shuffled], ends[shuffled]
+    learns = (n > 0) & (c > 1)
+    for d, some, bit, same, other in nodes(codes, n, [i[shuffled] for i in ids], ends, tables):
+        keep = learns[some]
+        some, bit, same, other = some[keep], bit[keep], np.maximum(0, same[:, keep] - 1), other[:, keep]
+        for k in range(0, len(some), batch):
+            part = slice(k, k + batch)
+            mixer.learn(d, bit[part], same[:, part], other[:, part], n[some[part]].astype(float))
 
 
 def path_log10(mixer: PathMixer, codes: np.ndarray, n: np.ndarray, ids: list[np.ndarray], ends: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:

@@ -4,8 +4,8 @@ A document is coded as its class, its lower-cased words and one end. Each token
 probability is a gated logistic mix of predictions from several contexts, refined by an adaptive map:
 
 - A bit tells known words from new ones. A known word is a path of bits of its hash (``lm_paths``), predicted by the
-  counts of training tokens below the node in all documents, in documents of the kind and of the class, and after words
-  of the previous word's class in documents of the kind. So the order of words matters.
+  counts of training tokens below the node in all documents, in documents of the kind, and there after words of the
+  previous word's class. So the order of words matters.
 - A new word is spelled: its bytes' bits are predicted by hashed contexts (the word's last bytes, its beginning, the
   document's kind) from the spellings of all known words.
 
@@ -26,8 +26,8 @@ tokens meet there by hash.
 
 Bounds: counts of words grow with the corpus, in tasks. What all tasks hold is bounded: the counts of the first
 ``lm_paths.TOP`` bits by context (some 10 MB) and the spelling tables, which have an entry for each distinct training
-word, ``SLOTS`` at least and ``MAX_SLOTS`` at most, in powers of two (2 bytes in each of six tables, 4 while they are
-learned: 200 MB at most). Counts have no end; states hold their odds and evidence.
+word, ``SLOTS`` at least and ``MAX_SLOTS`` at most, in powers of two (2 bytes in each of five tables, 4 while they are
+learned: 170 MB at most). Counts have no end; states hold their odds and evidence.
 
 Defined results: a null text counts as empty and scores its end alone; a null id is hashed as the empty text and so
 falls into training or not; repeated rows are scored one by one; without training rows every probability falls back
@@ -36,7 +36,6 @@ to the untrained model; bits_per_byte is null for an empty text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,16 +49,14 @@ from pyspark.sql import functions as F
 from tarn.llm import lm_paths, vocabulary
 from tarn.llm.lm_paths import CLASSES, KINDS, PREVIOUS, TOP, PathMixer, codes_of, context_ids, path_ends, word_hash
 from tarn.llm.memory import give_back, lean
-from tarn.llm.vocabulary import PART, count_blocks, sum_by_document, unpack_ints, unpack_types
+from tarn.llm.vocabulary import DOCS, PART, sum_by_document, unpack_ints, unpack_types
 from tarn.plans.materialize import materialize
 
-#: Frequent types that classes are compared by, at most.
-FREQUENT = 4000
 #: How many words that a document has used weigh as much as the model.
 ALPHA = 1000.0
 #: Entries of each spelling context's table, at least and at most.
 SLOTS, MAX_SLOTS = 1 << 20, 1 << 23
-ORDERS = 6
+ORDERS = 5
 END = b"\xff"
 #: Table entries in one row of the shuffled tables.
 SLICE = 1 << 16
@@ -72,44 +69,132 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2
 
 
-class _Marks(dict):
-    """The mark of a word for the one after it; forgets all when it holds too many."""
+class Words(dict):
+    """Numbers of words, from 1 on (0 is the end); ``marks``: the class that each word gives to the one after it."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 1 << 18:
-            self.clear()
-        found = self[word] = bytes([48 + zlib.crc32(word) % PREVIOUS])
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+        self.every, self.marks = [END], np.zeros(1 << 10, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.every)
+        if found == len(self.marks):
+            self.marks = np.concatenate([self.marks, np.zeros(found, np.int64)])
+        self.marks[found] = zlib.crc32(word) % PREVIOUS
+        self.every.append(word)
         return found
 
 
-_marks = _Marks()
-
-
-def analyse(raw: bytes) -> tuple[dict[bytes, int], tuple[int, ...]]:
-    """Type frequencies of a text: a class byte, the previous word's byte, and a word or ``END``."""
+def analyse(raw: bytes, known: Words) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """(class, words with the class of the word before, how often, tokens) of a text; each word as its number times
+    ``PREVIOUS`` and that class."""
     words = raw.lower().split()
-    marks = [b"0", *map(_marks.__getitem__, words)]
-    counts = Counter(map(bytes.__add__, marks, words))
-    of_words: Counter = Counter()
-    for t, n in counts.items():
-        of_words[t[1:]] += n
-    # Of the commonest words the first by its bytes: ties are not left to the order of words.
-    top = max(of_words.values(), default=0)
-    kind = zlib.crc32(min(w for w, n in of_words.items() if n == top)) % CLASSES if words else 0
-    mark = bytes([48 + kind])
-    found = {mark + t: n for t, n in counts.items()}
-    found[mark + marks[-1] + END] = 1
-    return found, (len(words) + 1, len(raw))
-
-
-def cluster_classes(rows: list[tuple[bytes, int]]) -> np.ndarray:
-    """The kind of each class, from the counts of frequent types: k-means of the classes' word shares (square roots)."""
-    words: dict[bytes, int] = {}
-    for t, _ in rows:
-        words.setdefault(t[1:], len(words))
-    counts = np.zeros((CLASSES, len(words)))
-    for t, n in rows:
-        counts[t[0] - 48, words[t[1:]]] += n
+    numbers = np.zeros(len(words) + 1, np.int64)
+    numbers[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    before = np.zeros(len(words) + 1, np.int64)
+    before[1:] = known.marks[numbers[:-1]]
+    keys, counts = np.unique(numbers * PREVIOUS + before, return_counts=True)
+    kind = 0
+    if words:
+        own = keys[1:] // PREVIOUS if keys[0] < PREVIOUS else keys // PREVIOUS
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        times = np.add.reduceat(counts[len(keys) - len(own) :], starts)
+        # Of the commonest words the first by its bytes: ties are not left to the order of words.
+        top = min(known.every[k] for k in own[starts[times == times.max()]].tolist())
+        kind = zlib.crc32(top) % CLASSES
+    return kind, keys, counts, len(words) + 1
+
+
+#: Codes of a class and the class of the word before.
+CODES = CLASSES * PREVIOUS
+
+
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, block_bytes: int) -> DataFrame:
+    """The written block table as ``vocabulary`` lays it out, of types that are words in their contexts.
+
+    A part has the words of its bucket in ``data``, its types (place among these words times ``CODES`` and their code)
+    in ``entries`` and their training tokens in ``counts``.
+    """
+    n_buckets = min(1 << TOP, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
+    id_type = rows.schema[id_col].dataType.simpleString()
+    extras = ["n_tokens", "n_bytes"]
+    schema = f"block bigint, kind int, bucket int, data binary, counts binary, entries binary, ends binary, ids array<{id_type}>" + "".join(f", {e} array<bigint>" for e in extras)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, serial, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        known = Words()
+
+        def flush(id_arrow: pa.DataType) -> pa.RecordBatch:
+            nonlocal held, known, size, serial
+            block = task << 24 | serial
+            lengths = np.array([len(h[2]) for h in held])
+            of = np.repeat(np.arange(len(held)), lengths)
+            # A type: word, class, class of the word before.
+            keys = np.concatenate([h[2] // PREVIOUS * CODES + h[1] * PREVIOUS + h[2] % PREVIOUS for h in held])
+            counts = np.concatenate([h[3] for h in held])
+            types, at = np.unique(keys, return_inverse=True)
+            learned = np.bincount(at, weights=counts * np.repeat([h[5] for h in held], lengths), minlength=len(types)).astype(np.int64)
+            bucket_of = (np.fromiter(map(word_hash, known.every), np.int64, len(known.every)) >> 32 - TOP) * n_buckets >> TOP
+            word = types // CODES
+            bucket = bucket_of[word]
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(types), np.int64)
+            place[order] = np.arange(len(types))
+            parts = []
+            for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                own, local = np.unique(word[mine], return_inverse=True)
+                parts.append((int(bucket[mine[0]]), vocabulary.pack_types([known.every[k] for k in own.tolist()]), vocabulary.pack_ints(learned[mine]), vocabulary.pack_ints(local * CODES + types[mine] % CODES)))
+            # Of each document its types' places in order, as steps.
+            where = place[at]
+            by_place = np.argsort(of * len(types) + where)
+            steps = np.diff(where[by_place], prepend=0)
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            steps[starts] = where[by_place][starts]
+            n = len(parts)
+            listed = lambda values, kind: pa.array([None] * n + [values], pa.list_(kind))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block] * (n + 1), pa.int64()),
+                    pa.array([PART] * n + [DOCS], pa.int32()),
+                    pa.array([p[0] for p in parts] + [-1], pa.int32()),
+                    pa.array([p[1] for p in parts] + [vocabulary.pack_ints(steps)], pa.binary()),
+                    pa.array([p[2] for p in parts] + [vocabulary.pack_ints(counts[by_place])], pa.binary()),
+                    pa.array([p[3] for p in parts] + [None], pa.binary()),
+                    pa.array([None] * n + [vocabulary.pack_ints(ends)], pa.binary()),
+                    listed([h[0] for h in held], id_arrow),
+                    listed([h[4] for h in held], pa.int64()),
+                    listed([h[6] for h in held], pa.int64()),
+                ],
+                names=["block", "kind", "bucket", "data", "counts", "entries", "ends", "ids", *extras],
+            )
+            held, known, size, serial = [], Words(), 0, serial + 1
+            return out
+
+        id_arrow = None
+        for batch in batches:
+            id_arrow = batch.schema.field(0).type
+            for doc, value, trains in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = value.as_py()
+                kind, keys, counts, tokens = analyse(text, known)
+                held.append((doc, kind, keys, counts, tokens, trains, len(text)))
+                size += len(text) + 64
+                if size >= block_bytes:
+                    yield flush(id_arrow)
+        if held:
+            yield flush(id_arrow)
+
+    return materialize(rows.mapInArrow(run, schema), "blocks")
+
+
+def cluster_classes(counts: np.ndarray) -> np.ndarray:
+    """The kind of each class, from the training tokens of its words by their first bits: k-means of the shares (square
+    roots), so that the commonest words, which tell languages, count most."""
     size = counts.sum(axis=1)
     points = np.sqrt(counts / np.maximum(1, size)[:, None])
     centers = points[[int(np.argmax(size))]]
@@ -149,10 +234,9 @@ def contexts(types: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndar
             h ^= h >> np.uint64(29)
             depth.append(h)
         place = np.minimum(within, 12).astype(np.uint64)
-        out[0] = (kind + np.uint64(977)) * mul
-        out[1] = depth[1] * mul ^ (kind + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        out[2] = depth[2] ^ place
-        out[3], out[4], out[5] = depth[3], depth[4], depth[6] + np.minimum(within, 7).astype(np.uint64)
+        out[0] = depth[1] * mul ^ (kind + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        out[1] = depth[2] ^ place
+        out[2], out[3], out[4] = depth[3], depth[4], depth[6] + np.minimum(within, 7).astype(np.uint64)
         out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return out, data.astype(np.int64), of
 
@@ -195,8 +279,8 @@ def quantize(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 #: Stretched prediction and evidence of each state.
-STRETCH = np.arange(1 << 16) // 64 * (18 / 1022) - 9
-EVIDENCE = 2.0 ** (np.arange(1 << 16) % 64 / 4) - 1
+STRETCH = (np.arange(1 << 16) // 64 * (18 / 1022) - 9).astype(np.float32)
+EVIDENCE = (2.0 ** (np.arange(1 << 16) % 64 / 4) - 1).astype(np.float32)
 
 
 def log_counts(n: np.ndarray) -> np.ndarray:
@@ -211,12 +295,18 @@ def plain_counts(n: np.ndarray) -> np.ndarray:
     return _PLAIN[n] if n.dtype == np.uint16 else n
 
 
-def states_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The states of whole tables, a slice at a time."""
-    out = np.empty(n0.shape, np.uint16)
+def side_by_side(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Both counts of each entry as one number: one look into memory finds them."""
+    return log_counts(n0).astype(np.uint32) | log_counts(n1).astype(np.uint32) << np.uint32(16)
+
+
+def states_of(both: np.ndarray) -> np.ndarray:
+    """The states of whole tables of ``side_by_side``, a slice at a time."""
+    out = np.empty(both.shape, np.uint16)
     for o in range(len(out)):
         for s in range(0, out.shape[1], SLICE):
-            out[o, s : s + SLICE] = quantize(plain_counts(n0[o, s : s + SLICE]), plain_counts(n1[o, s : s + SLICE]))
+            part = both[o, s : s + SLICE]
+            out[o, s : s + SLICE] = quantize(_PLAIN[part & np.uint32(0xFFFF)], _PLAIN[part >> np.uint32(16)])
     return out
 
 
@@ -245,7 +335,7 @@ class Mixer:
         return mixer
 
     def gate(self, bit: int, total: np.ndarray) -> np.ndarray:
-        evidence = np.searchsorted([0.5, 4.0, 40.0], total[3])
+        evidence = np.searchsorted([0.5, 4.0, 40.0], total[2])
         return bit * 4 + evidence
 
     def refine(self, dot: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,10 +353,10 @@ class Mixer:
     def learn(self, bit: int, x: np.ndarray, total: np.ndarray, node: np.ndarray, target: np.ndarray, rate: float) -> None:
         g = self.gate(bit, total) - bit * 4
         weights = self.weights[bit * 4 : bit * 4 + 4]
-        _, mixed, near = self.refine((weights @ x)[g, np.arange(len(g))], node)
+        _, mixed, near = self.refine((weights.astype(np.float32) @ x)[g, np.arange(len(g))], node)
         met = np.bincount(g, minlength=4)
         self.used[bit * 4 : bit * 4 + 4] += met
-        weights += rate * (((g == np.arange(4)[:, None]) * (target - mixed)) @ x.T) / np.maximum(1, met)[:, None]
+        weights += rate * (((g == np.arange(4)[:, None]) * (target - mixed).astype(np.float32)) @ x.T) / np.maximum(1, met)[:, None]
         where, flat = node * LEVELS + near, self.map.reshape(-1)
         hits = np.bincount(where, minlength=flat.size)
         self.hits += hits.reshape(self.map.shape)
@@ -275,22 +365,22 @@ class Mixer:
         np.clip(flat, 1e-4, 1 - 1e-4, out=flat)
 
 
-def train_mixer(types: list[bytes], n: np.ndarray, n0: np.ndarray, n1: np.ndarray, kinds: np.ndarray, batch: int = 1024, mixer: Mixer | None = None) -> Mixer:
+def train_mixer(types: list[bytes], n: np.ndarray, both: np.ndarray, kinds: np.ndarray, batch: int = 1024, mixer: Mixer | None = None) -> Mixer:
     """Online, over mini-batches of words; each word's own counts are taken out of the tables for its own bits.
 
-    ``mixer`` learns on, if given.
+    ``both``: tables of ``side_by_side``. ``mixer`` learns on, if given.
     """
     mixer = Mixer() if mixer is None else mixer
-    every = _weight(n)
+    every = _weight(n).astype(np.float32)
     for at in range(0, len(types), batch):
         hashes, data, of = contexts(types[at : at + batch], kinds)
-        own = every[at : at + batch][of].astype(np.float32)
-        for bit, slots, target in bit_slots(hashes, data, n0.shape[1]):
-            c0 = plain_counts(np.stack([n0[o][slots[o]] for o in range(ORDERS)]))
-            c1 = plain_counts(np.stack([n1[o][slots[o]] for o in range(ORDERS)]))
-            c0, c1 = np.maximum(0, c0 - own * (1 - target)), np.maximum(0, c1 - own * target)
+        own = every[at : at + batch][of]
+        for bit, slots, target in bit_slots(hashes, data, both.shape[1]):
+            found = np.stack([both[o].take(slots[o]) for o in range(ORDERS)])
+            c0 = np.maximum(0, _PLAIN.take(found & np.uint32(0xFFFF)) - own * (1 - target))
+            c1 = np.maximum(0, _PLAIN.take(found >> np.uint32(16)) - own * target)
             states = quantize(c0, c1)
-            mixer.learn(bit, STRETCH[states], EVIDENCE[states], (1 << bit) | data >> (8 - bit), target, 0.2 / (1 + mixer.steps / 100))
+            mixer.learn(bit, STRETCH.take(states), EVIDENCE.take(states), (1 << bit) | data >> (8 - bit), target, 0.2 / (1 + mixer.steps / 100))
         mixer.steps += 1
     return mixer
 
@@ -305,11 +395,11 @@ def spelling_log10(types: list[bytes], table: np.ndarray, mixer: Mixer, kinds: n
         hashes, data, of = contexts(types[at : at + 4096], kinds)
         bits = np.zeros(len(data))
         for bit, slots, target in bit_slots(hashes, data, table.shape[1]):
-            states = [table[o][slots[o]] for o in range(ORDERS)]
-            g = bit * 4 + gates[states[3]]
-            dot = stretch[states[0]] * weights[0][g]
+            states = [table[o].take(slots[o]) for o in range(ORDERS)]
+            g = bit * 4 + gates.take(states[2])
+            dot = stretch.take(states[0]) * weights[0].take(g)
             for o in range(1, ORDERS):
-                dot += stretch[states[o]] * weights[o][g]
+                dot += stretch.take(states[o]) * weights[o].take(g)
             p = mixer.refine(dot, (1 << bit) | data >> (8 - bit))[0]
             bits += np.log10(np.where(target == 1, p, 1 - p))
         out[at : at + 4096] = np.bincount(of, weights=bits, minlength=len(types[at : at + 4096]))
@@ -327,18 +417,27 @@ def unpack_longs(data: bytes) -> np.ndarray:
 
 
 class Bucket:
-    """The types of a bucket, sorted, with their training tokens: the entries of ``lm_paths``."""
-
-    def __init__(self, types: list[bytes], n: np.ndarray) -> None:
-        self.types, self.n = types, n
-        marks = np.frombuffer(b"".join(t[:2] for t in types), np.uint8).reshape(-1, 2).astype(np.int64) - 48
-        self.classes, self.previous = marks[:, 0], marks[:, 1]
-        number: dict[bytes, int] = {}
-        self.word = np.fromiter((number.setdefault(t[2:], len(number)) for t in types), np.int64, len(types))
-        self.words = list(number)
-        #: Training tokens of each distinct word, and the words' codes.
-        self.c = np.bincount(self.word, weights=n, minlength=len(self.words)).astype(np.int64)
-        self.codes = codes_of(self.words)
+    """The types of a bucket with their training tokens: the entries of ``lm_paths``.
+
+    ``words`` are sorted; ``keys``, ascending, are a word's number times ``CODES`` and a code.
+    """
+
+    def __init__(self, words: list[bytes], keys: np.ndarray, n: np.ndarray) -> None:
+        self.words, self.keys, self.n = words, keys, n
+        self.word, code = keys // CODES, keys % CODES
+        self.classes, self.previous = code // PREVIOUS, code % PREVIOUS
+        #: Training tokens of each word, and the words' codes.
+        self.c = np.bincount(self.word, weights=n, minlength=len(words)).astype(np.int64)
+        self.codes = codes_of(words)
+
+    @classmethod
+    def gathered(cls, parts: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> Bucket:
+        """The bucket of parts (words, entries, training tokens) of many blocks."""
+        words = sorted(set().union(*(p[0] for p in parts)))
+        number = {w: k for k, w in enumerate(words)}
+        keys = np.concatenate([renumbered(own, entries, number) for own, entries, _ in parts])
+        types, at = np.unique(keys, return_inverse=True)
+        return cls(words, types, np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(types)).astype(np.int64))
 
     def by_kind(self, kinds: np.ndarray) -> np.ndarray:
         """Training tokens of each word in each kind."""
@@ -350,33 +449,27 @@ class Bucket:
         return self.codes[self.word], self.n, context_ids(self.classes, self.previous, kinds), path_ends(self.codes, self.c > 0)[self.word]
 
 
-TYPES = "bucket int, types binary, n binary, top array<struct<t: binary, n: bigint>>, first bigint, sums binary, tokens binary, once binary, distinct bigint"
+def renumbered(words: list[bytes], entries: np.ndarray, number: dict[bytes, int]) -> np.ndarray:
+    """A part's types with the numbers of a bucket's words."""
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))[entries // CODES] * CODES + entries % CODES
+
+
+TYPES = "bucket int, words binary, keys binary, n binary, first bigint, sums binary, tokens binary, once binary, distinct bigint"
 
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each bucket of a partition sorted by buckets: its types, and what they add to the corpus's facts."""
     for b, parts in _by_first(batches):
-        counts: dict[bytes, int] = {}
-        for data, n in parts:
-            for t, k in zip(unpack_types(data), unpack_ints(n).tolist(), strict=True):
-                counts[t] = counts.get(t, 0) + k
-        types = sorted(counts)
-        own = Bucket(types, np.fromiter(map(counts.__getitem__, types), np.int64, len(types)))
-        frequent: Counter = Counter()
-        for t, k in zip(types, own.n.tolist(), strict=True):
-            if k:
-                frequent[t[:1] + t[2:]] += k
-        top = sorted(frequent.items(), key=lambda e: (-e[1], e[0]))[:FREQUENT]
+        own = Bucket.gathered([(unpack_types(d), unpack_ints(e), unpack_ints(n)) for d, e, n in parts])
         prefix = (own.codes >> np.uint64(64 - TOP)).astype(np.int64)[own.word]
         first, width = int(prefix.min()), int(prefix.max() - prefix.min()) + 1
-        where = (own.classes * PREVIOUS + own.previous) * width + prefix - first
-        sums = np.bincount(where, weights=own.n, minlength=CLASSES * PREVIOUS * width).astype(np.int64)
+        where = own.keys % CODES * width + prefix - first
+        sums = np.bincount(where, weights=own.n, minlength=CODES * width).astype(np.int64)
         tokens = np.bincount(own.classes, weights=own.n, minlength=CLASSES).astype(np.int64)
         once = np.bincount(own.classes, weights=own.n * (own.c[own.word] == 1), minlength=CLASSES).astype(np.int64)
-        columns = [pa.array([b], pa.int32()), pa.array([vocabulary.pack_types(types)], pa.binary()), pa.array([pack_longs(own.n)], pa.binary())]
-        columns.append(pa.array([[{"t": t, "n": k} for t, k in top]], pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())]))))
+        columns = [pa.array([b], pa.int32()), pa.array([vocabulary.pack_types(own.words)], pa.binary()), *[pa.array([pack_longs(x)], pa.binary()) for x in (np.diff(own.keys, prepend=0), own.n)]]
         columns += [pa.array([first]), *[pa.array([pack_longs(x)], pa.binary()) for x in (sums, tokens, once)], pa.array([int((own.c > 0).sum())])]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "types", "n", "top", "first", "sums", "tokens", "once", "distinct"])
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "words", "keys", "n", "first", "sums", "tokens", "once", "distinct"])
 
 
 def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -468,7 +561,7 @@ def chance_of_new(tokens: np.ndarray, once: np.ndarray) -> np.ndarray:
     return np.where(tokens > 0, (once + 0.5) / (tokens + 1), 1.0 if not tokens.any() else (once.sum() + 0.5) / (tokens.sum() + 1))
 
 
-def _learn(buckets: Iterator[Bucket], n0: np.ndarray, n1: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
+def _learn(buckets: Iterator[Bucket], both: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
     """Sums over the partition's training words: of a mixer of paths and one of spellings that learned from all of them."""
     paths, spelling = PathMixer(), Mixer()
     for bucket in buckets:
@@ -476,7 +569,7 @@ def _learn(buckets: Iterator[Bucket], n0: np.ndarray, n1: np.ndarray, model: Mod
         lm_paths.train(paths, codes, n, bucket.c[bucket.word], ids, ends, model.tops)
         types, counts = spelled_words(bucket, model.kinds)
         order = np.random.default_rng(1).permutation(len(types))
-        train_mixer([types[k] for k in order.tolist()], counts[order], n0, n1, model.kinds, mixer=spelling)
+        train_mixer([types[k] for k in order.tolist()], counts[order], both, model.kinds, mixer=spelling)
     sums, use = (np.concatenate(x) for x in zip(paths.sums(), spelling.sums(), strict=True))
     some = np.flatnonzero(use)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some]), pa.array(use[some])], names=["i", "sum", "use"])
@@ -490,7 +583,11 @@ def token_log10(bucket: Bucket, model: Model, paths: PathMixer, table: np.ndarra
         out = np.where(known, np.log10(1 - model.new)[ids[1]] + lm_paths.path_log10(paths, codes, n, ids, ends, model.tops), np.log10(model.new)[ids[1]])
     new = np.flatnonzero(~known)
     if len(new):
-        out[new] += spelling_log10([bucket.types[k][:1] + bucket.types[k][2:] for k in new.tolist()], table, spelling, model.kinds)
+        # A spelling depends on the word and the kind only.
+        pairs, first, at = np.unique(bucket.word[new] * KINDS + ids[1][new], return_index=True, return_inverse=True)
+        marks = bucket.classes[new[first]].tolist()
+        spelled = spelling_log10([bytes([48 + m]) + bucket.words[w] for m, w in zip(marks, (pairs // KINDS).tolist(), strict=True)], table, spelling, model.kinds)
+        out[new] += spelled[at]
     return out
 
 
@@ -523,10 +620,14 @@ def adapted_log10(p_log10: np.ndarray, counts: np.ndarray, history: np.ndarray)
     return out / np.log(10)
 
 
+def _unpacked(words: bytes, keys: bytes, n: bytes) -> Bucket:
+    return Bucket(unpack_types(words), np.cumsum(unpack_longs(keys)), unpack_longs(n))
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
     for batch in batches:
-        for types, n in zip(batch.column(0), batch.column(1), strict=True):
-            yield Bucket(unpack_types(types.as_py()), unpack_longs(n.as_py()))
+        for row in zip(*batch.columns, strict=True):
+            yield _unpacked(*(x.as_py() for x in row))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, block_bytes: int = vocabulary.BLOCK_BYTES) -> DataFrame:
@@ -536,38 +637,36 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     spark = docs.sparkSession
     training = ~held_out(id_col) if training is None else training
-    blocks = count_blocks(docs, lambda: analyse, ["n_tokens", "n_bytes"], id_col, text_col, hash_of=lambda t: word_hash(t[2:]), hash_bits=TOP, train=training, block_bytes=block_bytes)
-    parts = blocks.where(F.col("kind") == PART).select("bucket", "block", "data", "counts")
-    grouped = parts.select("bucket", "data", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    blocks = text_blocks(docs, id_col, text_col, training, block_bytes)
+    parts = blocks.where(F.col("kind") == PART)
+    grouped = parts.select("bucket", "data", "entries", "counts").repartition("bucket").sortWithinPartitions("bucket")
     types = materialize(grouped.mapInArrow(lean(_count_types), TYPES), "types")
 
-    # Facts of a fixed number: frequent types, counts by class, and by class and first bits.
-    frequent = types.select(F.inline("top")).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
-    kinds = cluster_classes([(bytes(r["t"]), r["n"]) for r in frequent])
-    tokens, once, distinct = np.zeros(KINDS), np.zeros(KINDS), 0
+    # Facts of a fixed number: counts by class, and by class, class of the word before and first bits.
+    by_class, distinct = np.zeros((2, CLASSES)), 0
     first_bits = np.zeros((CLASSES, PREVIOUS, 1 << TOP))
     for row in types.select("first", "sums", "tokens", "once", "distinct").toLocalIterator():
         sums = unpack_longs(row["sums"]).reshape(CLASSES, PREVIOUS, -1)
         first_bits[:, :, row["first"] : row["first"] + sums.shape[2]] += sums
-        np.add.at(tokens, kinds, unpack_longs(row["tokens"]))
-        np.add.at(once, kinds, unpack_longs(row["once"]))
+        by_class += [unpack_longs(row["tokens"]), unpack_longs(row["once"])]
         distinct += row["distinct"]
+    kinds = cluster_classes(first_bits.sum(axis=1))
+    tokens, once = (np.bincount(kinds, weights=x, minlength=KINDS) for x in by_class)
     total = int(tokens.sum())
     facts = spark.sparkContext.broadcast(Model(kinds, lm_paths.top_tables(first_bits, kinds), chance_of_new(tokens, once)))
 
     size = table_slots(distinct)
-    seen = types.select("types", "n")
+    seen = types.select("words", "keys", "n")
     slices = seen.mapInArrow(lean(lambda it: _fill_tables(_buckets(it), kinds, size)), "o int, s int, data binary").repartition("o", "s").mapInArrow(_add_slices, "o int, s int, data binary")
-    tables = np.zeros((ORDERS, size, 2), np.uint16)  # both counts of an entry side by side: one look into memory
-    n0, n1 = tables[..., 0], tables[..., 1]
+    both = np.zeros((ORDERS, size), np.uint32)
     for row in slices.toLocalIterator():  # at most 4 bytes for each of MAX_SLOTS entries in each table
-        part = np.frombuffer(zstandard.decompress(bytes(row["data"])), np.uint16).reshape(2, -1)
-        n0[row["o"], row["s"] : row["s"] + SLICE], n1[row["o"], row["s"] : row["s"] + SLICE] = part
-    counted = spark.sparkContext.broadcast(tables)
+        n0, n1 = np.frombuffer(zstandard.decompress(bytes(row["data"])), np.uint16).reshape(2, -1).astype(np.uint32)
+        both[row["o"], row["s"] : row["s"] + SLICE] = n0 | n1 << np.uint32(16)
+    counted = spark.sparkContext.broadcast(both)
 
     @lean
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _learn(_buckets(batches), counted.value[..., 0], counted.value[..., 1], facts.value)
+        yield from _learn(_buckets(batches), counted.value, facts.value)
 
     learned = seen.mapInArrow(learn, "i bigint, sum double, use double").groupBy("i").agg(F.sum("sum").alias("sum"), F.sum("use").alias("use")).collect()
     border = PathMixer().sums()[0].size
@@ -575,24 +674,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     for row in learned:  # one for each weight and place of the maps
         sums[row["i"]], use[row["i"]] = row["sum"], row["use"]
     paths, spelling = PathMixer.averaged(sums[:border], use[:border]), Mixer.averaged(sums[border:], use[border:])
-    states = states_of(n0, n1)
+    states = states_of(both)
     counted.unpersist()
     model = spark.sparkContext.broadcast((states, paths, spelling))
 
     def score(found: pa.Table, asked: pa.Table) -> pa.Table:
         """A bucket's types are scored once and looked up for each block."""
         table, path_mixer, spelling_mixer = model.value
-        bucket = Bucket(unpack_types(found["types"][0].as_py()), unpack_longs(found["n"][0].as_py()))
+        bucket = _unpacked(*(found[c][0].as_py() for c in ("words", "keys", "n")))
         p = token_log10(bucket, facts.value, path_mixer, table, spelling_mixer)
         # Single precision of p is enough, and compresses.
         rows = np.stack([bucket.c[bucket.word].astype("<f8"), p.astype(np.float32).astype("<f8"), bucket.previous.astype("<f8")], axis=1)
-        number = {t: k for k, t in enumerate(bucket.types)}
-        values = [zstandard.compress(rows[np.fromiter(map(number.__getitem__, unpack_types(d.as_py())), np.int64)].tobytes(), 1) for d in asked["data"]]
+        number, values = {w: k for k, w in enumerate(bucket.words)}, []
+        for data, entries in zip(asked["data"], asked["entries"], strict=True):
+            keys = renumbered(unpack_types(data.as_py()), unpack_ints(entries.as_py()), number)
+            values.append(zstandard.compress(rows[np.searchsorted(bucket.keys, keys)].tobytes(), 1))
         out = pa.table([asked["block"], asked["bucket"], pa.array(values, pa.binary())], names=["block", "bucket", "value"])
         give_back()
         return out
 
-    by_bucket = types.select("bucket", "types", "n").groupBy("bucket").cogroup(parts.select("bucket", "block", "data").groupBy("bucket"))
+    by_bucket = types.select("bucket", "words", "keys", "n").groupBy("bucket").cogroup(parts.select("bucket", "block", "data", "entries").groupBy("bucket"))
     values = by_bucket.applyInArrow(score, "block bigint, bucket int, value binary")
 
     known = float(1 - chance_of_new(tokens.sum(keepdims=True), once.sum(keepdims=True))[0])
@@ -601,7 +702,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     def combine(pairs: np.ndarray, counts: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
         c, p, previous = pairs.T if pairs.shape[1] > 1 else np.zeros((3, 0))
         plain = np.where(c > 0, np.log10(np.maximum(c, 1)) + often, p)
-        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, adapted_log10(p, counts, of * PREVIOUS + previous.astype(np.int64)), adapted_log10(plain, counts, of)]
+        return [(c > 0) * counts, np.log10((c + 1) / (total + distinct + 1)) * counts, adapted_log10(p, counts, of * PREVIOUS + previous.astype(np.int64)), plain * counts]
 
     summed = sum_by_document(blocks, values, combine, "n_known bigint, base_score double, score double, plain double", ["n_tokens", "n_bytes"], id_col)
     best, gap = F.greatest("score", "plain"), -F.abs(F.col("score") - F.col("plain"))

@@ -298,15 +298,14 @@ def test_lm_base_scores_and_codes(spark, make_docs):
 
 
 def test_spelling_is_a_probability():
-    """Over all one-byte continuations of a prefix the mixed probabilities sum to one."""
-    types = [b"0" + bytes([b]) for b in range(1, 256) if b not in (9, 10, 11, 12, 13, 32)]
+    """Over all one-byte continuations of a prefix the mixed probabilities sum to less than one, as longer words remain."""
     n0, n1 = (np.random.default_rng(k).integers(0, 50, (lm_scoring.ORDERS, lm_scoring.SLOTS)).astype(np.float32) for k in (0, 1))
     kinds = np.zeros(lm_scoring.CLASSES, np.int64)
-    mixer = lm_scoring.train_mixer([b"0abc", b"0abd", b"0xyz"] * 50, np.ones(150), n0, n1, kinds)
-    table = lm_scoring.quantize(n0, n1)
+    both = lm_scoring.side_by_side(n0, n1)
+    mixer = lm_scoring.train_mixer([b"0abc", b"0abd", b"0xyz"] * 50, np.ones(150), both, kinds)
+    table = lm_scoring.states_of(both)
     every = [b"0a" + bytes([b]) for b in range(256)]
-    first = lm_scoring.spelling_log10([b"0" + lm_scoring.END], table, mixer, kinds)
-    assert first[0] < 0 and len(types) == 249
+    assert lm_scoring.spelling_log10([b"0" + lm_scoring.END], table, mixer, kinds)[0] < 0
     hashes, data, _ = lm_scoring.contexts(every, kinds)
     assert hashes.shape == (lm_scoring.ORDERS, len(data))
     leaves = lm_scoring.spelling_log10(every, table, mixer, kinds)
@@ -325,13 +324,14 @@ def test_states_keep_the_odds_of_large_counts():
 
 
 def buckets_of(texts):
-    """All types of training texts as one bucket, its model, and trained mixers."""
-    counts = Counter()
+    """All types of training texts as one bucket, its model, and a trained mixer."""
+    known, keys, counts = lm_scoring.Words(), [], []
     for t in texts:
-        counts.update(lm_scoring.analyse(t.encode())[0])
-    types = sorted(counts)
-    bucket = lm_scoring.Bucket(types, np.array([counts[t] for t in types]))
-    kinds = np.arange(lm_scoring.CLASSES) % lm_scoring.KINDS
+        kind, own, times, _ = lm_scoring.analyse(t.encode(), known)
+        keys.append(own // lm_scoring.PREVIOUS * lm_scoring.CODES + kind * lm_scoring.PREVIOUS + own % lm_scoring.PREVIOUS)
+        counts.append(times)
+    bucket = lm_scoring.Bucket.gathered([(known.every, np.concatenate(keys), np.concatenate(counts))])
+    kinds = np.arange(lm_scoring.CLASSES) % (lm_scoring.KINDS - 1)
     first = np.zeros((lm_scoring.CLASSES, lm_scoring.PREVIOUS, 1 << lm_paths.TOP))
     np.add.at(first, (bucket.classes, bucket.previous, (bucket.codes >> np.uint64(64 - lm_paths.TOP)).astype(int)[bucket.word]), bucket.n)
     tokens = np.bincount(kinds[bucket.classes], weights=bucket.n, minlength=lm_scoring.KINDS)
@@ -346,14 +346,30 @@ def buckets_of(texts):
 def test_known_words_have_probabilities_that_sum_to_one():
     """In any class and after any word: over all known words, beside the chance of a new one."""
     bucket, model, paths = buckets_of([prose(k, 80) for k in range(60)])
-    for mark in (b"0", b"3"):
-        whole = sorted({*bucket.types, *(bucket.types[5][:1] + mark + w for w in bucket.words)})
-        place = {t: k for k, t in enumerate(bucket.types)}
-        both = lm_scoring.Bucket(whole, np.array([bucket.n[place[t]] if t in place else 0 for t in whole]))
+    for code in (int(bucket.keys[5] % lm_scoring.CODES), int(bucket.keys[5] % lm_scoring.CODES) ^ 3, 77):
+        every = np.arange(len(bucket.words)) * lm_scoring.CODES + code
+        keys = np.union1d(bucket.keys, every)
+        n = np.zeros(len(keys), np.int64)
+        n[np.searchsorted(keys, bucket.keys)] = bucket.n
+        both = lm_scoring.Bucket(bucket.words, keys, n)
         p = lm_scoring.token_log10(both, model, paths, np.zeros((lm_scoring.ORDERS, lm_scoring.SLOTS), np.uint16), lm_scoring.Mixer())
-        mine = [k for k, t in enumerate(whole) if t[:2] == bucket.types[5][:1] + mark]
-        kind = model.kinds[bucket.types[5][0] - 48]
-        assert len(mine) == len(bucket.words) and abs((10 ** p[mine]).sum() + model.new[kind] - 1) < 1e-9
+        kind = model.kinds[code // lm_scoring.PREVIOUS]
+        assert abs((10 ** p[np.searchsorted(keys, every)]).sum() + model.new[kind] - 1) < 1e-9
+
+
+def test_types_of_texts():
+    """Each word with the class of the word before and the text's class, whatever the order of its commonest words."""
+    known = lm_scoring.Words()
+    text = "B a b  A\tc a b"
+    kind, keys, counts, tokens = lm_scoring.analyse(text.encode(), known)
+    words = text.lower().split()
+    mark = lambda w: zlib.crc32(w.encode()) % lm_scoring.PREVIOUS
+    want = Counter([(words[0], 0), *((w, mark(v)) for v, w in zip(words, words[1:])), ("end", mark("b"))])
+    name = lambda k: "end" if k == 0 else known.every[k].decode()
+    assert {(name(k // lm_scoring.PREVIOUS), k % lm_scoring.PREVIOUS): n for k, n in zip(keys.tolist(), counts.tolist())} == want
+    assert kind == zlib.crc32(b"a") % lm_scoring.CLASSES and tokens == 8
+    assert lm_scoring.analyse(b"a b", known)[0] == lm_scoring.analyse(b"b a", known)[0] == zlib.crc32(b"a") % lm_scoring.CLASSES
+    assert [x.tolist() if isinstance(x, np.ndarray) else x for x in lm_scoring.analyse(b" ", known)] == [0, [0], [1], 1]
 
 
 def test_nodes_have_the_counts_of_all_their_words():
@@ -389,8 +405,8 @@ def test_mixers_learn_from_every_training_word(spark, make_docs, monkeypatch):
     seen, averaged = {}, lm_scoring.Mixer.averaged
     monkeypatch.setattr(lm_scoring.Mixer, "averaged", classmethod(lambda cls, sums, use: seen.update(use=use) or averaged(sums, use)))
     lm_scoring.lm_scores(make_docs(rows), block_bytes=4000).collect()
-    words = {t[2:] for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for t in lm_scoring.analyse(text.encode())[0]}
-    bits = sum(8 * (1 if w == lm_scoring.END else len(w) + 1) for w in words)
+    words = {w for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in text.split()}
+    bits = 8 + sum(8 * (len(w) + 1) for w in words)
     assert seen["use"][: 32 * lm_scoring.ORDERS].sum() == bits * lm_scoring.ORDERS
 
     for kind in (lm_scoring.Mixer, lm_paths.PathMixer):
