@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.registry import query, table
-from tarn.streaming import session_counts, sliding_counts, tumbling_counts
+from tarn.operators.catalogue.lake import _scratch
+from tarn.streaming import drain, session_counts, sliding_counts, tumbling_counts
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -31,3 +32,11 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, count(*) AS n FROM events GROUP BY user_id")
 def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum((F.col("event_type") == "click").cast("int")).alias("clicks"), F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream of files, counted with a watermark, all that is there drained."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return drain(tumbling_counts(stream, "6 hours", ["event_type"], late="10 days"), _scratch(spark, "stream"), "complete")

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _counted(events: DataFrame, window: Column, kind: str, keys: list[str], time: str, late: str) -> DataFrame:
+    """start, keys, n. A stream's event time must be of an instant, so times without a zone become instants of the
+    session's zone, and the starts times again."""
+    zoneless = isinstance(events.schema[time].dataType, T.TimestampNTZType)
+    timed = events.withColumn(time, F.col(time).cast("timestamp")) if zoneless and events.isStreaming else events
+    grouped = timed.withWatermark(time, late).groupBy(window, *keys).agg(F.count("*").alias("n"))
+    start = F.col(f"{kind}.start")
+    return grouped.select((start.cast("timestamp_ntz") if zoneless else start).alias("start"), *keys, "n")
 
 
 def tumbling_counts(events: DataFrame, size: str, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
-    return grouped.select(F.col("window.start").alias("start"), *keys, "n")
+    return _counted(events, F.window(time, size), "window", keys, time, late)
 
 
 def sliding_counts(events: DataFrame, size: str, step: str, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, size, step), *keys).agg(F.count("*").alias("n"))
-    return grouped.select(F.col("window.start").alias("start"), *keys, "n")
+    return _counted(events, F.window(time, size, step), "window", keys, time, late)
 
 
 def session_counts(events: DataFrame, gap: str, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    grouped = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
-    return grouped.select(F.col("session_window.start").alias("start"), *keys, "n")
+    return _counted(events, F.session_window(time, gap), "session_window", keys, time, late)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
