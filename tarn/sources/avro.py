@@ -14,6 +14,7 @@ import decimal
 import io
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -400,7 +401,8 @@ class AvroWriter(DataSourceWriter):
         sync, encoders = os.urandom(16), [_encoder(f.dataType) for f in self.schema]
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(self.path)
+        # Hadoop writes file:/x where Arrow wants file:///x.
+        store, folder = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", self.path))
         store.create_dir(folder, recursive=True)
         target = f"{folder}/part-{uuid.uuid4().hex}.avro"
         with store.open_output_stream(target) as out:

@@ -250,6 +250,12 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: the default file system's where none is given."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def write_files(
     df: DataFrame, path: str, kind: str | None = None, compression: str | None = None, header: bool = True, sep: str | None = None, null: str | None = None, mode: str = "append", max_records: int = 0, target_bytes: int = 0
 ) -> None:
@@ -266,7 +272,7 @@ def write_files(
     codec = check_codec(kind, compression or (packed if packed != "none" else None))
     if kind == "avro":
         df.sparkSession.dataSource.register(AvroSource)
-        df.write.format("tarn_avro").option("path", path if "://" in path else f"file://{path}").option("compression", codec).mode("append").save()
+        df.write.format("tarn_avro").option("path", _qualified(df.sparkSession, path)).option("compression", codec).mode("append").save()
         return
     writer = df.write.mode(mode).option("compression", codec)
     if max_records:
