@@ -182,9 +182,10 @@ class PathMixer:
 
 def train(mixer: PathMixer, codes: np.ndarray, n: np.ndarray, c: np.ndarray, ids: list[np.ndarray], ends: np.ndarray, tables: list[list[np.ndarray]], batch: int = 4096) -> None:
     """Learn from all training tokens of words that occur again, each token left out of the counts for its own bits."""
-    shuffled = np.random.default_rng(1).permutation(len(codes))
+    # Entries without training tokens add nothing to any count.
+    shuffled = np.random.default_rng(1).permutation(np.flatnonzero(n > 0))
     codes, n, c, ends = codes[shuffled], n[shuffled], c[shuffled], ends[shuffled]
-    learns = (n > 0) & (c > 1)
+    learns = c > 1
     for d, some, bit, same, other in nodes(codes, n, [i[shuffled] for i in ids], ends, tables):
         keep = learns[some]
         some, bit, same, other = some[keep], bit[keep], np.maximum(0, same[:, keep] - 1), other[:, keep]

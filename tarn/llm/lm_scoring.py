@@ -74,16 +74,23 @@ class Words(dict):
 
     def __init__(self) -> None:
         super().__init__({END: 0})
-        self.every, self.marks = [END], np.zeros(1 << 10, np.int64)
+        self.every, self._marks, self._marked = [END], np.zeros(1 << 12, np.int64), 1
 
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self.every)
-        if found == len(self.marks):
-            self.marks = np.concatenate([self.marks, np.zeros(found, np.int64)])
-        self.marks[found] = zlib.crc32(word) % PREVIOUS
         self.every.append(word)
         return found
 
+    @property
+    def marks(self) -> np.ndarray:
+        n = len(self.every)
+        if n > len(self._marks):
+            self._marks = np.concatenate([self._marks, np.zeros(n, np.int64)])
+        if n > self._marked:
+            self._marks[self._marked : n] = np.fromiter(map(zlib.crc32, self.every[self._marked : n]), np.int64, n - self._marked) % PREVIOUS
+            self._marked = n
+        return self._marks
+
 
 def analyse(raw: bytes, known: Words) -> tuple[int, np.ndarray, np.ndarray, int]:
     """(class, words with the class of the word before, how often, tokens) of a text; each word as its number times
