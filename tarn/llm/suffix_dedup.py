@@ -20,7 +20,8 @@ equal choose the same content-defined anchors (``windows.anchors``), so only win
 
 A class comes at most once from each group and a span once for each class, so copies in any number stay cheap, and no
 window is sampled away. Buckets are ranges of a hash of the anchor that is independent of its choice, and as many as
-keep ``Limits.bucket`` bytes of text in each on average.
+keep ``Limits.bucket`` bytes of text in each on average. Groups and buckets both grow with the text, pairs of them by
+its square: a pair gets one packed string and costs nothing but that.
 
 Ids must be of an integer type (a ``TypeError`` says so otherwise); they are ordered as integers, nulls last. Defined
 results: a null text counts as empty; texts shorter than ``WINDOW`` lose nothing; equal ids do not remove one another's
@@ -29,7 +30,7 @@ bytes, so repeated rows are all kept or cut alike; the other columns are carried
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,11 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.memory import give_back, lean
-from tarn.llm.windows import anchors, mix, prefix_hashes, substring_hashes
+from tarn.llm.windows import anchors, mix, powers, prefix_hashes, substring_hashes
 from tarn.plans.materialize import materialize
 
 WINDOW, GRAM = 50, 24
 LAST = np.iinfo(np.int64).max
+#: So many buckets are used, if there are partitions for them, however little text there is.
+BUCKETS = 48
 
 
 @dataclass(frozen=True)
@@ -66,16 +69,29 @@ class Limits:
     bucket: int = 32 << 20
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers with their bytes transposed, compressed."""
-    size = values.dtype.itemsize
-    return values.dtype.str.encode() + zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T.tobytes(), 1)
+def pack(*columns: np.ndarray, level: int = 1) -> bytes:
+    """Integers with their bytes transposed, all columns compressed as one: most strings of this operator are short, and
+    there is one for each pair of a group and a bucket, so that each call counts."""
+    head = np.array([len(columns), *(len(c) for c in columns)], "<i8").tobytes() + "".join(c.dtype.str for c in columns).encode()
+    return zstandard.compress(head + b"".join(c.tobytes() if c.dtype.itemsize == 1 else np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns), level)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    kind = np.dtype(data[:3].decode())
-    raw = np.frombuffer(zstandard.decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 + 11 * n, []
+    for k, size in enumerate(np.frombuffer(raw, "<i8", n, 8).tolist()):
+        kind = np.dtype(raw[8 + 8 * n + 3 * k : 11 + 8 * n + 3 * k].decode())
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        out.append(planes.view(kind) if kind.itemsize == 1 else np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out
+
+
+def unpack_all(data: Iterable[bytes], empty: Sequence[str]) -> list[np.ndarray]:
+    """The columns of several packed strings, one after another; of none, empty columns of the types ``empty``."""
+    found = [unpack(x) for x in data]
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in empty]
 
 
 class Group:
@@ -178,54 +194,47 @@ def _joined(rows: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, pa.Table]:
     parts, ends, at = [], [], 0
     for data, own in zip(rows["data"], rows["ends"], strict=True):
         parts.append(zstandard.decompress(data.as_py()))
-        ends.append(unpack(own.as_py()) + at)
+        ends.append(unpack(own.as_py())[0] + at)
         at += len(parts[-1])
-    return b"".join(parts), np.concatenate(ends), np.concatenate([unpack(k.as_py()) for k in rows["keys"]]), rows
+    return b"".join(parts), np.concatenate(ends), unpack_all((k.as_py() for k in rows["keys"]), ["<i8"])[0], rows
 
 
 ASKED, ASKS = 4, 8
 
 
 @dataclass
-class Part:
-    """What one group sent to a bucket, and what is decided of it.
+class Decided:
+    """What is decided of each class of a bucket.
 
-    ``least``: the smallest id of each class. ``send``: 1 if the class must send its span, 2 its windows; ``ASKED`` more
-    if the next class of its chain compares itself with it, ``ASKS`` more if it has one before it. ``home``, ``there``:
-    the group of the class before it, and the number of that class among what the group sent.
+    ``least``: the smallest id of the class. ``send``: 1 if it must send its span, 2 its windows; ``ASKED`` more if the
+    next class of its chain compares itself with it, ``ASKS`` more if it has one before it. ``home``, ``there``: the
+    group of the class before it, and the number of that class among what the group sent.
     """
 
-    group: int
-    gram: np.ndarray
-    span: np.ndarray
-    key: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.least, self.send = self.key.copy(), np.zeros(len(self.key), np.uint8)
-        self.home, self.there = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), np.int32)
-
-
-def _decide_classes(parts: list[Part], limits: Limits) -> None:
-    """One bucket's classes. The anchors' hashes are taken in ranges of about ``limits.decided`` classes."""
-    n = max(1, sum(len(p.gram) for p in parts) // limits.decided)
-    low, high = min(int(p.gram[0]) for p in parts), max(int(p.gram[-1]) for p in parts) + 1
-    edges = np.linspace(low, high, n + 1).astype(np.int64)
-    cuts = [np.searchsorted(p.gram.astype(np.int64), edges) for p in parts]
-    groups = np.array([p.group for p in parts])
-    for k in range(n):
-        slices = [slice(c[k], c[k + 1]) for c in cuts]
-        gram, span, key = (np.concatenate([getattr(p, x)[some] for p, some in zip(parts, slices, strict=True)]) for x in ("gram", "span", "key"))
-        if not len(gram):
+    least: np.ndarray
+    send: np.ndarray
+    home: np.ndarray
+    there: np.ndarray
+
+
+def _decide_classes(groups: np.ndarray, sizes: np.ndarray, gram: np.ndarray, span: np.ndarray, key: np.ndarray, limits: Limits) -> Decided:
+    """One bucket's classes, of each group in turn. The anchors' hashes are taken in ranges of about ``limits.decided``
+    classes; no step is taken for each group, as there are ever more of them."""
+    part = np.repeat(np.arange(len(groups), dtype=np.int32), sizes)
+    place = (np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    out = Decided(np.empty(len(gram), np.int64), np.empty(len(gram), np.uint8), np.empty(len(gram), np.int64), np.empty(len(gram), np.int32))
+    low, width = int(gram.min()), int(gram.max()) - int(gram.min()) + 1
+    n = min(1 << 16, max(1, len(gram) // limits.decided))
+    ranges = ((gram - np.uint32(low)).astype(np.uint64) * np.uint64(n) // np.uint64(width)).astype(np.uint16)
+    order = np.argsort(ranges, kind="stable")
+    for some in np.split(order, np.cumsum(np.bincount(ranges, minlength=n))[:-1]):
+        if not len(some):
             continue
-        first, before, send = _decide_range(gram, span, key, limits.crowded)
-        sizes = [some.stop - some.start for some in slices]
-        part = np.repeat(np.arange(len(parts)), sizes)
-        there = np.concatenate([np.arange(some.start, some.stop) for some in slices])
-        at = 0
-        for p, some, size in zip(parts, slices, sizes, strict=True):
-            of = before[at : at + size]
-            p.least[some], p.send[some], p.home[some], p.there[some] = key[first[at : at + size]], send[at : at + size], groups[part[of]], there[of]
-            at += size
+        k = key[some]
+        first, before, send = _decide_range(gram[some], span[some], k, limits.crowded)
+        before = some[before]
+        out.least[some], out.send[some], out.home[some], out.there[some] = k[first], send, groups[part[before]], place[before]
+    return out
 
 
 def _decide_range(gram: np.ndarray, span: np.ndarray, key: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,11 +295,14 @@ def suffix_order(segment: np.ndarray, start: np.ndarray, prefix: np.ndarray, dat
 
 def extension(a: np.ndarray, b: np.ndarray, prefix: np.ndarray, length: int) -> np.ndarray:
     """The longest common extension of suffixes, at most ``length``, by binary search over hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
-    for _ in range(int(length).bit_length()):
-        middle = (low + high + 1) // 2
-        same = substring_hashes(prefix, a, middle) == substring_hashes(prefix, b, middle)
-        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    # What of ``substring_hashes`` depends on the start alone is looked up once, not at every step.
+    inverse = powers(len(prefix))[1]
+    before_a, before_b, scale_a, scale_b = prefix[a], prefix[b], inverse[a], inverse[b]
+    low = np.zeros(len(a), np.int64)
+    for step in (1 << np.arange(int(length).bit_length())[::-1]).tolist():
+        middle = np.minimum(low + step, length)
+        same = (prefix[a + middle] - before_a) * scale_a == (prefix[b + middle] - before_b) * scale_b
+        low = np.where(same, middle, low)
     return low
 
 
@@ -425,12 +437,11 @@ def _concatenated(text: np.ndarray, first: np.ndarray, length: np.ndarray) -> np
 #: What a row of the step between the two shuffles is: for its own group what is repeated, and where classes stand that
 #: others are compared with; for another group bytes to compare; a comparison that failed. From 0 on it is a bucket.
 COVER, HOME, CLAIM, FAILED = -1, -2, -3, -4
-STEP = "group bigint, bucket int, a binary, b binary, c binary, d binary, e binary"
+STEP = "group bigint, bucket int, packed binary"
 
 
-def _step(rows: list[tuple[int, int, list[bytes]]]) -> pa.Table:
-    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())]
-    return pa.table(columns + [pa.array([r[2][k] if k < len(r[2]) else b"" for r in rows], pa.binary()) for k in range(5)], names=["group", "bucket", "a", "b", "c", "d", "e"])
+def _step(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["group", "bucket", "packed"])
 
 
 def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed: int) -> pa.Table:
@@ -439,16 +450,14 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
     b = Group(text, ends, keys, limits.chunk, seed)
     data = np.frombuffer(text, np.uint8)
     edges, own = b.buckets(n_buckets), b.key[b.rep]
-    least, send = own.copy(), np.zeros(len(own), np.uint8)
+    # The buckets' answers, one after another, are in the order of the classes.
+    answers = found["packed"].take(pa.array(np.argsort(found["bucket"].to_numpy()))).to_pylist()
+    delta, send, homes, places = unpack_all(answers, ["<i8", "|u1", "<i8", "<i4"])
+    least, asks = own - delta, np.flatnonzero(send & ASKS)
     home, there = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    for bucket, delta, sends, homes, place in zip(*(found[c].to_pylist() for c in ("bucket", "least", "send", "home", "there")), strict=True):
-        some = slice(edges[bucket], edges[bucket + 1])
-        least[some] = own[some] - unpack(delta)
-        send[some] = np.frombuffer(zstandard.decompress(sends), np.uint8)
-        asks = np.flatnonzero(send[some] & ASKS) + edges[bucket]
-        home[asks], there[asks] = unpack(homes), unpack(place).astype(np.int64) | bucket << 32
+    home[asks], there[asks] = homes, places | np.searchsorted(edges, asks, side="right") - 1 << 32
     me = int(rows["group"][0].as_py())
-    out: list[tuple[int, int, list[bytes]]] = []
+    out: list[tuple[int, int, bytes]] = []
 
     whole = b.key > least[b.of_class]
     rep = b.rep[b.of_class]
@@ -456,19 +465,18 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
     alike = (b.count[more] == b.count[rep[more]]) & (b.lead[more] == b.lead[rep[more]])
     alike[alike] = _equal(data, b.first[more[alike]], b.first[rep[more[alike]]], b.count[more[alike]] + WINDOW - 1)
     if not alike.all():
-        out.append((me, FAILED, []))
+        out.append((me, FAILED, b""))
     # Bytes for others to compare, in the order of the text: neighbours overlap, and compress for it.
-    asks = np.flatnonzero(send & ASKS)
     asks = asks[np.lexsort((b.first[b.rep[asks]], home[asks]))]
     for some in np.split(asks, np.flatnonzero(np.diff(home[asks])) + 1) if len(asks) else []:
         r = b.rep[some]
-        out.append((int(home[some[0]]), CLAIM, [pack(there[some].astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), zstandard.compress(_concatenated(data, b.first[r], b.count[r].astype(np.int64) + WINDOW - 1).tobytes(), 1)]))
+        out.append((int(home[some[0]]), CLAIM, pack(there[some].astype("<i8"), (b.lead[r] * 64 + b.count[r]).astype("<i4"), _concatenated(data, b.first[r], b.count[r].astype(np.int64) + WINDOW - 1))))
     homes = np.flatnonzero(send & ASKED)
     if len(homes):
         bucket = np.searchsorted(edges, homes, side="right") - 1
         r = b.rep[homes]
-        out.append((me, HOME, [pack((homes - edges[bucket] | bucket << 32).astype("<i8")), pack((b.lead[r] * 64 + b.count[r]).astype("<i4")), pack(b.first[r].astype("<i8"))]))
-    send &= 3
+        out.append((me, HOME, pack((homes - edges[bucket] | bucket << 32).astype("<i8"), (b.lead[r] * 64 + b.count[r]).astype("<i4"), b.first[r].astype("<i8"))))
+    send = send & 3
 
     steps = np.zeros(len(text) + 1, np.int32)
     np.add.at(steps, b.first[whole], 1)
@@ -485,7 +493,7 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
     runs = np.flatnonzero(np.diff(np.r_[False, np.cumsum(steps, dtype=np.int32) > 0])).astype("<i8")
     # Places of the classes that are compared, in the documents with the smallest id.
     places = np.flatnonzero((send[b.of_class] > 0) & ~whole)
-    out.append((me, COVER, [pack(runs), pack(b.of_class[places].astype("<i8")), pack(b.first[places].astype("<i8"))]))
+    out.append((me, COVER, pack(runs, b.of_class[places].astype("<i8"), b.first[places].astype("<i8"))))
 
     # Spans and loose windows as one list: class, first, windows, lead, number within the class, hash.
     spans, alone = np.flatnonzero(send == 1), np.flatnonzero(~loose.repeated)
@@ -499,54 +507,64 @@ def _cover(rows: pa.Table, found: pa.Table, n_buckets: int, limits: Limits, seed
         r = b.rep[kind[some]]
         shape = (b.lead[r] - number[some]) * 64 + count[some] + (number[some] << 12)
         spelled = _concatenated(data, b.first[r] + number[some], count[some] + WINDOW - 1)
-        out.append((me, int(to[some[0]]), [pack(gram[some].astype("<u4")), pack(kind[some].astype("<i8")), pack(b.key[r].astype("<i8")), pack(shape.astype("<i4")), zstandard.compress(spelled.tobytes(), 3)]))
+        out.append((me, int(to[some[0]]), pack(gram[some].astype("<u4"), kind[some].astype("<i8"), b.key[r].astype("<i8"), shape.astype("<i4"), spelled, level=3)))
     give_back()
     return _step(out)
 
 
-def _verify(rows: pa.Table, found: pa.Table) -> pa.Table:
+def _portions(packed: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Strings of about ``most`` bytes together."""
+    ends = np.cumsum([len(x) for x in packed])
+    cuts = np.flatnonzero(np.diff(ends // most)) + 1 if len(packed) else []
+    for some in np.split(np.arange(len(packed)), cuts):
+        if len(some):
+            yield packed[some[0] : some[-1] + 1]
+
+
+def _verify(rows: pa.Table, found: pa.Table, limits: Limits) -> pa.Table:
     """A row if what another group takes for this group's bytes is something else."""
     text, _, _, _ = _joined(rows)
     data = np.frombuffer(text, np.uint8)
-    where, shape, first = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    notes = found.to_pylist()
-    for note in notes:
-        if note["bucket"] == HOME:
-            where, shape, first = (unpack(note[c]) for c in "abc")
+    kinds, packed = found["bucket"].to_numpy(), found["packed"]
+    where, shape, first = unpack_all(packed.filter(pa.array(kinds == HOME)).to_pylist(), ["<i8", "<i4", "<i8"])
     order = np.argsort(where)
     where, shape, first = where[order], shape[order], first[order]
     failed = False
-    for note in notes:
-        if note["bucket"] == CLAIM:
-            there, same = unpack(note["a"]), unpack(note["b"])
-            at = np.searchsorted(where, there)
-            theirs = np.frombuffer(zstandard.decompress(note["c"]), np.uint8)
-            failed |= not (shape[at] == same).all() or not np.array_equal(_concatenated(data, first[at], (same & 63).astype(np.int64) + WINDOW - 1), theirs)
+    # Many claims at a time: there is one from each other group, ever more of them and ever smaller ones.
+    for some in _portions(packed.filter(pa.array(kinds == CLAIM)).to_pylist(), limits.chunk):
+        there, same, theirs = unpack_all(some, [])
+        at = np.searchsorted(where, there)
+        failed |= not (shape[at] == same).all() or not np.array_equal(_concatenated(data, first[at], (same & 63).astype(np.int64) + WINDOW - 1), theirs)
     give_back()
     return pa.table({"failed": pa.array([True] * failed, pa.bool_())})
 
 
+def _united(kind: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct kinds in order, and all bits of each."""
+    order = np.argsort(kind, kind="stable")
+    kind, bits = kind[order], bits[order]
+    heads = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else order
+    return kind[heads], np.bitwise_or.reduceat(bits, heads) if len(kind) else bits
+
+
 def _cut(rows: pa.Table, found: pa.Table, whole_characters: bool) -> pa.Table:
     text, ends, _, rows = _joined(rows)
     carry = rows["carry"].combine_chunks().flatten()
     steps = np.zeros(len(text) + 1, np.int32)
-    notes = found.to_pylist()
-    kinds, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for note in notes:
-        if note["bucket"] == COVER:
-            runs, kinds, places = (unpack(note[c]) for c in "abc")
-            np.add.at(steps, runs[::2], 1)
-            np.add.at(steps, runs[1::2], -1)
-    for note in notes:
-        if note["bucket"] != COVER:
-            kind, mask = unpack(note["a"]), unpack(note["b"])
-            at = np.clip(np.searchsorted(kind, kinds), 0, len(kind) - 1)
-            hit = kind[at] == kinds
-            first, bits = places[hit], mask[at[hit]]
-            for n in range(64):
-                start = first[(bits >> np.uint64(n)) & np.uint64(1) == 1] + n
-                np.add.at(steps, start, 1)
-                np.add.at(steps, start + WINDOW, -1)
+    is_cover = found["bucket"].to_numpy() == COVER
+    runs, kinds, places = unpack_all(found["packed"].filter(pa.array(is_cover)).to_pylist(), ["<i8"] * 3)
+    np.add.at(steps, runs[::2], 1)
+    np.add.at(steps, runs[1::2], -1)
+    # All buckets' answers at once: there are ever more of them, and the group's places are gone through each time.
+    kind, mask = _united(*unpack_all(found["packed"].filter(pa.array(~is_cover)).to_pylist(), ["<i8", "<u8"]))
+    if len(kind):
+        at = np.clip(np.searchsorted(kind, kinds), 0, len(kind) - 1)
+        hit = kind[at] == kinds
+        first, bits = places[hit], mask[at[hit]]
+        for n in range(64):
+            start = first[(bits >> np.uint64(n)) & np.uint64(1) == 1] + n
+            np.add.at(steps, start, 1)
+            np.add.at(steps, start + WINDOW, -1)
     gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
     spans, kept, begin = [], [], 0
     for end in ends.tolist():
@@ -572,7 +590,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, id_col, text_col, limits, n)
     size = texts.agg(F.sum("size")).first()[0] or 0
-    n_buckets = n * max(1, -(-size // (n * limits.bucket)))
+    # No more than the text needs: each group sends to each bucket, so their number counts by its square.
+    n_buckets = max(min(n, BUCKETS), -(-size // limits.bucket))
     seed = 0
     while (steps := _steps(texts, n, n_buckets, limits, seed)) is None:
         seed += 1
@@ -580,21 +599,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            gram, kind, key, shape = (np.concatenate([unpack(r[k]) for r in rows]) for k in (1, 2, 3, 4))
-            group = np.repeat([r[0] for r in rows], [len(unpack(r[1])) for r in rows])
-            data = np.frombuffer(b"".join(zstandard.decompress(r[5]) for r in rows), np.uint8)
+            found = [unpack(r[1]) for r in rows]
+            group = np.repeat([r[0] for r in rows], [len(f[0]) for f in found])
+            gram, kind, key, shape, data = (np.concatenate(c) for c in zip(*found, strict=True))
+            del rows, found
             mask = _in_slices(gram, key, (shape & 4095) // 64, shape & 63, data, limits.sorted) << (shape >> 12).astype(np.uint64)
-            for one in np.unique(group[mask > 0]):
-                hit = (group == one) & (mask > 0)
-                kinds, at = np.unique(kind[hit], return_inverse=True)
-                bits = np.zeros(len(kinds), np.uint64)
-                np.bitwise_or.at(bits, at, mask[hit])
-                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([pack(kinds.astype("<i8"))], pa.binary()), pa.array([pack(bits.astype("<u8"))], pa.binary())], names=["group", "a", "b"])
-
-    spans = steps.where("bucket >= 0").select("bucket", "group", "a", "b", "c", "d", "e")
-    masks = _to_bucket(spans, n).mapInArrow(resolve, "group bigint, a binary, b binary")
-    empty = F.lit(None).cast("binary").alias("c")
-    both = steps.where(F.col("bucket") == COVER).select("group", "bucket", "a", "b", "c").unionByName(masks.select("group", F.lit(0).alias("bucket"), "a", "b", empty))
+            hit = np.flatnonzero(mask)
+            hit = hit[np.argsort(group[hit], kind="stable")]
+            parts = np.split(hit, np.flatnonzero(np.diff(group[hit])) + 1) if len(hit) else []
+            yield pa.RecordBatch.from_arrays([pa.array([group[h[0]] for h in parts], pa.int64()), pa.array([pack(*_united(kind[h], mask[h])) for h in parts], pa.binary())], names=["group", "packed"])
+
+    spans = steps.where("bucket >= 0").select("bucket", "group", "packed")
+    masks = _to_bucket(spans, n).mapInArrow(resolve, "group bigint, packed binary")
+    both = steps.where(F.col("bucket") == COVER).unionByName(masks.select("group", F.lit(0).alias("bucket"), "packed"))
     schema = T.StructType().add("carry", texts.schema["carry"].dataType.elementType)
     for f in T.StructType.fromDDL("n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"):
         schema.add(f)
@@ -616,30 +633,37 @@ def _steps(texts: DataFrame, n: int, n_buckets: int, limits: Limits, seed: int)
         edges, rep = b.buckets(n_buckets), b.rep
         sent = [(k, rep[edges[k] : edges[k + 1]]) for k in range(n_buckets) if edges[k] < edges[k + 1]]
         columns = [pa.array([k for k, _ in sent], pa.int32()), pa.array([rows["group"][0].as_py()] * len(sent), pa.int64())]
-        columns += [pa.array([pack(values[r].astype(kind)) for _, r in sent], pa.binary()) for values, kind in ((b.gram, "<u4"), (b.span, "<u8"), (b.key, "<i8"))]
+        columns.append(pa.array([pack(b.gram[r].astype("<u4"), b.span[r].astype("<u8"), b.key[r].astype("<i8")) for _, r in sent], pa.binary()))
         give_back()
-        return pa.table(columns, names=["bucket", "group", "gram", "span", "key"])
+        return pa.table(columns, names=["bucket", "group", "packed"])
 
     @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            parts = [Part(group, unpack(g), unpack(s), unpack(k)) for group, g, s, k in rows]
-            del rows
-            _decide_classes(parts, limits)
-            again = [p.send & ASKS > 0 for p in parts]
-            columns = [pa.array([p.group for p in parts]), pa.array([bucket] * len(parts), pa.int32()), pa.array([pack((p.key - p.least).astype("<i8")) for p in parts], pa.binary()), pa.array([zstandard.compress(p.send.tobytes(), 1) for p in parts], pa.binary())]
-            columns += [pa.array([pack(getattr(p, x)[some].astype(kind)) for p, some in zip(parts, again, strict=True)], pa.binary()) for x, kind in (("home", "<i8"), ("there", "<i4"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["group", "bucket", "least", "send", "home", "there"])
+            groups = np.array([group for group, _ in rows], np.int64)
+            found = [unpack(packed) for _, packed in rows]
+            sizes = np.array([len(f[0]) for f in found])
+            gram, span, key = (np.concatenate(c) for c in zip(*found, strict=True))
+            del rows, found
+            of = _decide_classes(groups, sizes, gram, span, key, limits)
+            delta, asks = key - of.least, of.send & ASKS > 0
+            ends = np.cumsum(sizes).tolist()
+            parts = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            answers = [pack(delta[p], of.send[p], of.home[p][asks[p]], of.there[p][asks[p]]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([bucket] * len(groups), pa.int32()), pa.array(answers, pa.binary())], names=["group", "bucket", "packed"])
 
     def cover(rows: pa.Table, found: pa.Table) -> pa.Table:
         return _cover(rows, found, n_buckets, limits, seed)
 
+    def verify(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return _verify(rows, found, limits)
+
     read = texts.select("group", "block", "ends", "data", "keys")
-    sent = read.groupBy("group").applyInArrow(classes, "bucket int, group bigint, gram binary, span binary, key binary")
-    decided = _to_bucket(sent, n).mapInArrow(decide, "group bigint, bucket int, least binary, send binary, home binary, there binary")
+    sent = read.groupBy("group").applyInArrow(classes, "bucket int, group bigint, packed binary")
+    decided = _to_bucket(sent, n).mapInArrow(decide, "group bigint, bucket int, packed binary")
     steps = materialize(read.groupBy("group").cogroup(decided.groupBy("group")).applyInArrow(cover, STEP), "steps")
     claims = steps.where(F.col("bucket").isin(HOME, CLAIM))
-    wrong = read.groupBy("group").cogroup(claims.groupBy("group")).applyInArrow(_verify, "failed boolean")
+    wrong = read.groupBy("group").cogroup(claims.groupBy("group")).applyInArrow(verify, "failed boolean")
     if steps.where(F.col("bucket") == FAILED).isEmpty() and not wrong.agg(F.count("*")).first()[0]:
         return steps
     return None

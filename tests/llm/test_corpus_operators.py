@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -150,6 +151,79 @@ def test_suffix_dedup_with_negative_ids(spark, make_docs):
     assert {r["doc_id"]: len(r["kept"]) for r in got} == {-5: len(text.encode()), -2: 0, 3: 0, None: 0}
 
 
+def test_suffix_dedup_uses_no_more_buckets_than_the_text_needs(spark, make_docs, monkeypatch):
+    used, steps = [], suffix_dedup._steps
+
+    def noted(texts, n, n_buckets, limits, seed):
+        used.append(n_buckets)
+        return steps(texts, n, n_buckets, limits, seed)
+
+    monkeypatch.setattr(suffix_dedup, "_steps", noted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        suffix_dedup.remove_repeats(make_docs([(1, prose(1, 9000)), (2, prose(2, 10))]))
+        suffix_dedup.remove_repeats(make_docs([(1, prose(1, 9000)), (2, prose(2, 10))]), limits=suffix_dedup.Limits(bucket=500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert used[0] == suffix_dedup.BUCKETS and used[1] == -(-len((prose(1, 9000) + prose(2, 10)).encode()) // 500)
+
+
+def group_rows(text):
+    one = pa.array([1], pa.int64())
+    cells = [suffix_dedup.pack(np.array([len(text)], "<i8")), suffix_dedup.zstandard.compress(text), suffix_dedup.pack(np.array([3], "<i8"))]
+    return pa.table([one, one, *(pa.array([c], pa.binary()) for c in cells), pa.array([[{"doc_id": 3}]])], names=["group", "block", "ends", "data", "keys", "carry"])
+
+
+def test_cutting_takes_no_pass_over_the_text_for_each_bucket(monkeypatch):
+    text, kinds = prose(5, 3000).encode(), np.arange(0, 400, 2)
+    places = kinds * 40
+    cover = suffix_dedup.pack(np.zeros(0, "<i8"), kinds, places)
+    calls = []
+    monkeypatch.setattr(suffix_dedup.np, "searchsorted", lambda *a, f=np.searchsorted, **b: calls.append(1) or f(*a, **b))
+
+    def cut(n):
+        notes = [suffix_dedup.pack(k, np.full(len(k), 5, "<u8")) for k in np.array_split(kinds, n)]
+        found = pa.table([pa.array([suffix_dedup.COVER] + [0] * n, pa.int32()), pa.array([cover, *notes], pa.binary())], names=["bucket", "packed"])
+        calls.clear()
+        out = suffix_dedup._cut(group_rows(text), found, False)
+        return out, len(calls)
+
+    (few, a), (many, b) = cut(1), cut(100)
+    assert few == many and a == b
+    gone = np.zeros(len(text), bool)
+    for at in places.tolist():
+        gone[at : at + 50] = gone[at + 2 : at + 52] = True
+    assert few["kept"][0].as_py() == bytes(np.frombuffer(text, np.uint8)[~gone])
+
+
+def test_bits_of_one_class_from_several_buckets_are_united():
+    kind, bits = suffix_dedup._united(np.array([7, 3, 7, 9]), np.array([1, 2, 4, 8], np.uint64))
+    assert kind.tolist() == [3, 7, 9] and bits.tolist() == [2, 5, 8]
+    assert [len(x) for x in suffix_dedup._united(np.zeros(0, np.int64), np.zeros(0, np.uint64))] == [0, 0]
+
+
+def test_packed_columns_come_back():
+    columns = [np.arange(5, dtype="<u4") * 70_000, np.zeros(0, "<i8"), np.frombuffer(b"abc", np.uint8), np.array([-1, 1 << 40], "<i8")]
+    for got, want in zip(suffix_dedup.unpack(suffix_dedup.pack(*columns)), columns, strict=True):
+        assert got.dtype == want.dtype and got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("wrong", [None, 0, 4, 9])
+@pytest.mark.parametrize("chunk", [1, 1 << 18])
+def test_a_wrong_claim_among_many_is_found(wrong, chunk):
+    text = prose(6, 400).encode()
+    first = np.arange(10) * 60
+    home = suffix_dedup.pack(np.arange(10, dtype="<i8")[::-1].copy(), np.full(10, 5 * 64 + 11, "<i4"), first.astype("<i8")[::-1].copy())
+    claims = []
+    for k in range(10):
+        spelled = np.frombuffer(text[first[k] : first[k] + 60], np.uint8).copy()
+        spelled[-1] ^= k == wrong
+        claims.append(suffix_dedup.pack(np.array([k], "<i8"), np.array([5 * 64 + 11], "<i4"), spelled))
+    found = pa.table([pa.array([suffix_dedup.CLAIM] * 10 + [suffix_dedup.HOME], pa.int32()), pa.array([*claims, home], pa.binary())], names=["bucket", "packed"])
+    assert len(suffix_dedup._verify(group_rows(text), found, suffix_dedup.Limits(chunk=chunk))) == (wrong is not None)
+
+
 def test_suffix_order_and_extensions():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
