@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.operators import relational as R
 from tarn.registry import Query, query, table
@@ -115,8 +116,14 @@ def _join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pairs_within(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey", ("a", "b"))
 
 
+def _join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") + 9500).alias("low"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return R.less_join(customers, suppliers, "low", "s_acctbal").where("s_nationkey <> c_nationkey").select("s_suppkey", "c_custkey")
+
+
 #: Queries whose text Spark would run in one task or by comparing all with all: the same rows by operators.
-OPERATORS: dict[str, Query] = {"join_self": _join_self}
+OPERATORS: dict[str, Query] = {"join_self": _join_self, "join_theta": _join_theta}
 
 
 def _register(name: str, spark_sql: str, oracle: str) -> None:

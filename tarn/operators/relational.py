@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,50 @@ def pairs_within(df: DataFrame, keys: list[str], value: str, names: tuple[str, s
     right = dealt.select(*known, F.col("_v").alias("_b"), F.explode(F.expr("sequence(0, _i)")).alias("_lo"), F.col("_i").alias("_hi"))
     met = left.repartition(parts, *unit).hint("merge").join(right.repartition(parts, *unit), unit).where("_lo < _hi OR _a < _b")
     return met.select(F.least("_a", "_b").alias(names[0]), F.greatest("_a", "_b").alias(names[1]))
+
+
+def range_of(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the ascending ``bounds`` are not above ``value``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(value >= F.lit(bounds[middle]), range_of(value, bounds[middle + 1 :], first + middle + 1)).otherwise(range_of(value, bounds[:middle], first))
+
+
+#: Ranges that quantiles make, at most; what they leave too large is dealt further by a hash.
+RANGES = 1024
+
+
+def _quantiles(df: DataFrame, column: str) -> tuple[int, list]:
+    """(rows, ascending quantiles of a numeric column, as many as blocks of rows)."""
+    n, found = df.agg(F.count("*"), F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)])).first()
+    step = -(-RANGES // max(1, min(RANGES, -(-n // BLOCK))))
+    return n, (found or [])[step - 1 :: step]
+
+
+def less_join(left: DataFrame, right: DataFrame, low: str, high: str) -> DataFrame:
+    """The pairs of rows with ``low < high``, of numeric columns of the left and the right side, as an equi-join.
+
+    Quantiles cut both sides to ranges, a large range (equal values) is dealt to blocks by a hash of the row, and a left
+    block meets the right blocks of its own range and of those above. So hardly more pairs are compared than come out.
+    """
+    least, most = left.agg(F.min(low)).first()[0], right.agg(F.max(high)).first()[0]
+    sides = [left.where(F.col(low) < F.lit(most)), right.where(F.col(high) > F.lit(least))]
+    bounds = sorted({b for side, column in zip(sides, (low, high), strict=True) for b in _quantiles(side, column)[1]})
+    placed, rows, starts = [], [], []
+    for side, column in zip(sides, (low, high), strict=True):
+        ranged = side.withColumn("_range", range_of(F.col(column), bounds))
+        counts = dict(map(tuple, ranged.groupBy("_range").count().collect()))
+        rows.append([counts.get(k, 0) for k in range(len(bounds) + 1)])
+        blocks = [-(-n // BLOCK) for n in rows[-1]]
+        starts.append([0, *accumulate(blocks)])
+        many, start = (F.get(F.array(*map(F.lit, x)), F.col("_range")) for x in (blocks, starts[-1]))
+        placed.append(ranged.withColumn("_own", (start + F.pmod(F.xxhash64(*side.columns), many)).cast("int")))
+    work = sum(n * above for n, above in zip(rows[0], reversed(list(accumulate(reversed(rows[1])))), strict=True))
+    parts = 1 + work // PAIRS
+    from_, below = (F.get(F.array(*map(F.lit, x)), F.col("_range")) for x in (starts[1], starts[0][1:]))
+    first, second = (p.repartition(parts, "_own") for p in placed)
+    first = first.where(from_ < starts[1][-1]).select(*left.columns, F.col("_own").alias("_p"), F.explode(F.sequence(from_, F.lit(starts[1][-1] - 1))).alias("_q"))
+    second = second.where(below > 0).select(*right.columns, F.explode(F.sequence(F.lit(0), below - 1)).alias("_p"), F.col("_own").alias("_q"))
+    met = first.repartition(parts, "_p", "_q").hint("merge").join(second.repartition(parts, "_p", "_q"), ["_p", "_q"])
+    return met.where(F.col(low) < F.col(high)).drop("_p", "_q")

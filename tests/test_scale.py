@@ -17,3 +17,27 @@ def test_pairs_of_one_large_group_are_the_work_of_many_tasks(spark, monkeypatch)
     tasks = [r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(tasks) > 4 and max(tasks) < len(got) / 3
     assert R.pairs_within(df.where("k > 9"), ["k"], "v", ("a", "b")).count() == 0
+
+
+def test_less_join_compares_blocks_that_can_match(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 20)
+    monkeypatch.setattr(R, "PAIRS", 2000)
+    nan = float("nan")
+    lows = [(k, float(k * 7 % 101)) for k in range(200)] + [(k, 50.0) for k in range(200, 300)] + [(300, None), (301, nan), (302, -0.0)]
+    highs = [(k, float(k * 11 % 103)) for k in range(150)] + [(k, 50.0) for k in range(150, 250)] + [(250, None), (251, nan), (252, 0.0)]
+    left, right = spark.createDataFrame(lows, "i int, low double"), spark.createDataFrame(highs, "j int, high double")
+    joined = R.less_join(left, right, "low", "high")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    same = left.crossJoin(right).where("low < high")
+    assert sorted((r.i, r.j) for r in joined.collect()) == sorted((r.i, r.j) for r in same.collect())
+    for none in (left.where("i < 0"), left.where("low IS NULL"), left.where("low > 1000 AND NOT isnan(low)")):
+        assert R.less_join(none, right, "low", "high").count() == 0
+    assert R.less_join(left, right.limit(0), "low", "high").count() == 0
+
+
+def test_join_theta_plans_no_nested_loop(spark):
+    from tarn import registry
+
+    plan = registry.queries()["join_theta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
