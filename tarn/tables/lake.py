@@ -309,7 +309,8 @@ class LakeTable:
         state = self.state
         physical = T.StructType([T.StructField(f"c{f['id']}", T._parse_datatype_json_string(f["type"])) for f in state.fields] + [T.StructField(f"p{k}", T.StringType()) for k in range(n_parts)])
         df = self.spark.read.schema(physical).option("basePath", folder).parquet(folder)
-        measures = [F.count("*").alias("rows"), F.first(F.col("_metadata.file_size")).alias("size"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(n_parts)]]
+        # The set makes it a hash aggregate of objects: without one, bounds of strings would have Spark sort all rows by file.
+        measures = [F.count("*").alias("rows"), F.collect_set(F.lit(1)).alias("_set"), F.first(F.col("_metadata.file_size")).alias("size"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(n_parts)]]
         for f in state.fields:
             c, kind = F.col(f"c{f['id']}"), T._parse_datatype_json_string(f["type"])
             ordered = isinstance(kind, T.NumericType | T.StringType | T.DateType | T.TimestampType | T.TimestampNTZType | T.BooleanType)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarn.operators import relational as R
+from tarn.tables import IcebergTable, LakeTable
 
 
 def test_pairs_of_one_large_group_are_the_work_of_many_tasks(spark, monkeypatch):
@@ -41,3 +42,19 @@ def test_join_theta_plans_no_nested_loop(spark):
 
     plan = registry.queries()["join_theta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_statistics_of_files_sort_no_rows(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def collect(self, whole=type(spark.range(1)).collect):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return whole(self)
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", collect)
+    rows = spark.range(100).selectExpr("id", "CAST(id AS STRING) AS name")
+    made = LakeTable.create_as(rows, f"{tmp_path}/t")
+    assert sorted(v for f in made.plan_files() for v in f["stats"]["2"][:2])[::-1][0] == "99"
+    IcebergTable.create(spark, f"{tmp_path}/i", rows.schema).append(rows)
+    described = [p for p in plans if "min(" in p]
+    assert len(described) == 2 and all("ObjectHashAggregate" in p and "SortAggregate" not in p for p in described)
