@@ -32,6 +32,9 @@ from tarn.tables.transforms import Transform
 MAX_RETRIES = 100
 DEFAULTS = {"format-version": "2", "write.parquet.compression-codec": "zstd", "write.target-file-size-bytes": str(512 << 20), "history.expire.max-snapshot-age-ms": str(5 * 86_400_000), "history.expire.min-snapshots-to-keep": "1", "write.isolation-level": "serializable", "maintenance.enabled": "true"}
 
+#: Places of deleted rows that are broadcast, at most; rows that a task joins with places, about.
+FEW, JOINED = 1 << 17, 1 << 19
+
 #: (column, operator, value): =, <>, <, <=, >, >=, in, is null, is not null.
 Predicate = tuple[str, str, object]
 
@@ -256,14 +259,31 @@ class LakeTable:
         dirty = [f["path"] for f in files if f["path"] in touched]
         parts = [scan(clean, keep_position)] if clean else []
         if dirty:
-            gone = self.spark.read.schema("file string, pos bigint").parquet(*sorted({d["path"] for d in deletes if set(d["targets"]) & set(dirty)}))
-            left = scan(dirty, True).join(gone, (F.col("_file") == F.col("file")) & (F.col("_pos") == F.col("pos")), "left_anti")
+            left = self._at(scan(dirty, True), [f for f in files if f["path"] in touched], [d for d in deletes if set(d["targets"]) & set(dirty)], "left_anti")
             parts.append(left if keep_position else left.drop("_file", "_pos"))
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more)
         return out
 
+    def _at(self, rows: DataFrame, files: list[dict], deletes: list[dict], how: str) -> DataFrame:
+        """``rows`` of ``files`` at the places that ``deletes`` list (left_semi), or at others (left_anti).
+
+        Files meet by their number in the table's own list, as their paths would make most of a row. How many places and
+        rows there are is known: few places are broadcast, else tasks get about ``JOINED`` rows each. Sizes of files say
+        nothing here, as places take next to no space there.
+        """
+        numbered = F.broadcast(self.spark.createDataFrame([(f["path"], k) for k, f in enumerate(files)], "_tarn_path string, _tarn_number int"))
+        places = self.spark.read.schema("file string, pos bigint").parquet(*sorted({d["path"] for d in deletes}))
+        gone = places.join(numbered, F.col("file") == F.col("_tarn_path")).select(F.col("_tarn_number").alias("_tarn_gone"), F.col("pos").alias("_tarn_at"))
+        rows = rows.join(numbered, F.col("_file") == F.col("_tarn_path")).drop("_tarn_path")
+        if sum(d["rows"] for d in deletes) <= FEW:
+            gone = F.broadcast(gone)
+        else:
+            n = 1 + sum(f["rows"] for f in files) // JOINED
+            rows, gone = rows.repartition(n, "_tarn_number", "_pos").hint("merge"), gone.repartition(n, "_tarn_gone", "_tarn_at")
+        return rows.join(gone, (F.col("_tarn_number") == F.col("_tarn_gone")) & (F.col("_pos") == F.col("_tarn_at")), how).drop("_tarn_number")
+
     def scan(self, columns: list[str] | None = None, where: list[Predicate] | None = None, snapshot_id: int | None = None) -> DataFrame:
         """Rows of a snapshot: files pruned here, columns and residual filters pushed to the Parquet reader by Catalyst."""
         snapshot = self._snapshot(snapshot_id)
@@ -416,9 +436,7 @@ class LakeTable:
     def _rows_at(self, deletes: list[dict], files: list[dict] | None = None) -> DataFrame:
         targets = {t for d in deletes for t in d["targets"]}
         files = [f for f in (self.state.current["files"] if files is None else files) if f["path"] in targets]
-        gone = self.spark.read.schema("file string, pos bigint").parquet(*[d["path"] for d in deletes])
-        rows = self._read(files, [], keep_position=True)
-        return rows.join(gone, (F.col("_file") == F.col("file")) & (F.col("_pos") == F.col("pos")), "left_semi").drop("_file", "_pos")
+        return self._at(self._read(files, [], keep_position=True), files, deletes, "left_semi").drop("_file", "_pos")
 
     def merge(self, source: DataFrame, on: list[str], update: dict[str, str] | None = None, delete_when: str | None = None, insert: bool = True) -> dict[str, int]:
         """MERGE by equal keys: ``update`` sets target columns to expressions over t.* and s.*; ``delete_when`` comes first.

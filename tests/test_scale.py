@@ -1,9 +1,10 @@
 """Work of one key or one comparison of all with all goes to many tasks, with the same rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import relational as R
-from tarn.tables import IcebergTable, LakeTable
+from tarn.tables import IcebergTable, LakeTable, lake
 
 
 def test_pairs_of_one_large_group_are_the_work_of_many_tasks(spark, monkeypatch):
@@ -44,6 +45,22 @@ def test_join_theta_plans_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_deleted_places_are_broadcast_only_where_few(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(lake, "FEW", few, raising=False)
+    monkeypatch.setattr(lake, "JOINED", 100, raising=False)
+    rows = spark.range(900).selectExpr("id AS file", "id % 3 AS pos", "CAST(id AS STRING) AS path", "id % 2 AS _number")
+    made = LakeTable.create_as(rows.repartition(3), f"{tmp_path}/t", partition_by=["pos"])
+    assert made.delete(F.col("file") % 5 == 0) == 180
+    assert made.update([("pos", "=", 1)], {"path": F.lit("new")}) == 240
+    assert made.delete(F.col("file") % 7 == 0) == sum(k % 5 > 0 and k % 7 == 0 for k in range(900))
+    scan = made.scan()
+    kept = [k for k in range(900) if k % 5 and k % 7]
+    assert sorted((r["file"], r["pos"], r["path"], r["_number"]) for r in scan.collect()) == [(k, k % 3, "new" if k % 3 == 1 else str(k), k % 2) for k in kept]
+    anti = [x for x in scan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftAnti" in x]
+    assert anti and all(("broadcast" in x) == bool(few) and ("merge" in x) == (not few) for x in anti)
+
+
 def test_statistics_of_files_sort_no_rows(spark, tmp_path, monkeypatch):
     plans = []
 
