@@ -122,8 +122,13 @@ def _join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.less_join(customers, suppliers, "low", "s_acctbal").where("s_nationkey <> c_nationkey").select("s_suppkey", "c_custkey")
 
 
-#: Queries whose text Spark would run in one task or by comparing all with all: the same rows by operators.
-OPERATORS: dict[str, Query] = {"join_self": _join_self, "join_theta": _join_theta}
+def _window_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return R.rankings(orders, "o_orderstatus", "o_orderpriority", "o_orderkey", 4).select("o_orderkey", "rk", "dr", "rn", "nt")
+
+
+#: Queries whose text Spark would run in a task or three, or by comparing all with all: the same rows by operators.
+OPERATORS: dict[str, Query] = {"join_self": _join_self, "join_theta": _join_theta, "window_ranking": _window_ranking}
 
 
 def _register(name: str, spark_sql: str, oracle: str) -> None:

@@ -75,3 +75,17 @@ def test_statistics_of_files_sort_no_rows(spark, tmp_path, monkeypatch):
     IcebergTable.create(spark, f"{tmp_path}/i", rows.schema).append(rows)
     described = [p for p in plans if "min(" in p]
     assert len(described) == 2 and all("ObjectHashAggregate" in p and "SortAggregate" not in p for p in described)
+
+
+def test_rankings_of_a_large_group_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE_ROWS", 40)
+    rows = [("F" if k % 10 else "O", f"{k * 7 % 5}", k * 3) for k in range(600)] + [(None, "1", 5), (None, None, 1), (None, "1", 2), ("P", "2", 7), ("O", "1", None)]
+    df = spark.createDataFrame(rows, "s string, p string, k bigint").repartition(3)
+    ranked = R.rankings(df, "s", "p", "k", 4)
+    w = "PARTITION BY s ORDER BY p NULLS LAST"
+    df.createOrReplaceTempView("ranked_rows")
+    same = spark.sql(f"SELECT s, p, k, rank() OVER ({w}), dense_rank() OVER ({w}), row_number() OVER ({w}, k NULLS LAST), ntile(4) OVER (PARTITION BY s ORDER BY k NULLS LAST) FROM ranked_rows")
+    assert sorted(map(str, map(tuple, ranked.collect()))) == sorted(map(str, map(tuple, same.collect())))
+    tasks = [r[0] for r in ranked.where("s = 'F'").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(tasks) > 2 and max(tasks) < 400
+    assert R.rankings(df.limit(0), "s", "p", "k", 4).count() == 0
